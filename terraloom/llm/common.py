@@ -58,3 +58,12 @@ def forget(df: DataFrame) -> None:
 def parts(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions as the session sets them, but at least as many as asked for."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right where the keys are the same (nulls are the same as nulls), else nulls."""
+    other = right.select(*[F.col(k).alias(f"{k}_r") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    return left.join(other, same, "left").drop(*[f"{k}_r" for k in keys])

@@ -54,7 +54,7 @@ BASE = (
 RULES = (
     Rule("word_length", "mean_word_chars", low=2.0, high=14.0),
     Rule("symbols", "symbol_ratio", high=0.10),
-    Rule("repeated_lines", "dup_line_share", high=0.30),
+    Rule("repeated_lines", "dup_line_share", high=0.60),
     Rule("stop_words", "stop_share", low=0.01),
     Rule("stuttering", "stutter_share", high=0.30),
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, quality_rules, topk
+from terraloom.llm import cube_mixing, pii, quality_rules, secret_scan, topk
 from terraloom.llm.common import documents
 
 
@@ -16,18 +16,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(*cols)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,
+    "op9_secret_scan": op9_secret_scan,
     "op10_cube_mixing": op10_cube_mixing,
 }
 
@@ -76,10 +86,10 @@ WITH t AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-       NOT (f1 OR f2 OR mean_chars < 2 OR mean_chars > 14 OR symbols > 0.1 OR dups > 0.3 OR stops < 0.01 OR stutter > 0.3) AS kept,
+       NOT (f1 OR f2 OR mean_chars < 2 OR mean_chars > 14 OR symbols > 0.1 OR dups > 0.6 OR stops < 0.01 OR stutter > 0.3) AS kept,
        list_filter([CASE WHEN f1 THEN 'min_words' END, CASE WHEN n_repeat_words / greatest(n_words, 1) > 0.3 THEN 'repeated_windows' END,
          CASE WHEN mean_chars < 2 OR mean_chars > 14 THEN 'word_length' END, CASE WHEN symbols > 0.1 THEN 'symbols' END,
-         CASE WHEN dups > 0.3 THEN 'repeated_lines' END, CASE WHEN stops < 0.01 THEN 'stop_words' END,
+         CASE WHEN dups > 0.6 THEN 'repeated_lines' END, CASE WHEN stops < 0.01 THEN 'stop_words' END,
          CASE WHEN stutter > 0.3 THEN 'stuttering' END], lambda x: x IS NOT NULL) AS failed_rules
 FROM f""",
 }
