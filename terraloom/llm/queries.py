@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, pii, quality_rules, secret_scan, topk
+from terraloom.llm import cube_mixing, pii, quality_rules, secret_scan, simhash, topk
 from terraloom.llm.common import documents
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(*cols)
@@ -34,6 +38,7 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,
