@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, pii, quality_rules, secret_scan, simhash, topk
+from terraloom.llm import cube_mixing, grammar, packing, pii, quality_rules, secret_scan, simhash, topk
 from terraloom.llm.common import documents
 
 
@@ -29,6 +30,14 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -42,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,
+    "op7_packing": op7_packing,
+    "op8_token_files": op8_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_cube_mixing": op10_cube_mixing,
 }
