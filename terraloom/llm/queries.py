@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, grammar, packing, pii, quality_rules, secret_scan, simhash, topk
+from terraloom.llm import cube_mixing, grammar, line_crf, packing, pii, quality_rules, secret_scan, simhash, topk
 from terraloom.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(*cols)
@@ -48,6 +52,7 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_line_crf": op3_line_crf,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_topk_search": op6_topk_search,
