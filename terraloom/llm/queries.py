@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, grammar, line_crf, packing, pii, quality_rules, secret_scan, simhash, topk
+from terraloom.llm import cube_mixing, grammar, html_text, line_crf, packing, pii, quality_rules, secret_scan, simhash, topk
 from terraloom.llm.common import documents
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
     "op3_line_crf": op3_line_crf,
     "op4_quality_rules": op4_quality_rules,
