@@ -143,8 +143,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, with all their columns, that pass; still one projection and a filter, without a join."""
+    """The rows of docs, with all their columns, that pass; still one projection, without a join.
+
+    Rows that fail leave by an empty explode: a filter would be pushed below the projections and compute the metrics again for
+    every mention of them in it.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     keyed = whole.select("__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{text_col}").alias("__body"))
-    good = judge(metrics(keyed, "__id", "__body", ("__row",)), rules).where("kept")
-    return good.select("__row.*")
+    judged = judge(metrics(keyed, "__id", "__body", ("__row",)), rules)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
