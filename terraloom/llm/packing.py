@@ -58,9 +58,7 @@ def _frequencies(size: int):
         for b in batches:
             for x in b.column("ids"):
                 ids = np.frombuffer(x.as_buffer(), "<u2")
-                seen = np.zeros(size, bool)
-                seen[ids] = True
-                df[seen] += 1
+                df[terms_of(ids)[0]] += 1
                 docs, tokens = docs + 1, tokens + len(ids)
         t = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t, [-1, -2]]), pa.int32()), pa.array(np.concatenate([df[t], [docs, tokens]]), pa.int64())], names=["t", "n"])
@@ -68,6 +66,13 @@ def _frequencies(size: int):
     return run
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their counts; numpy sorts 16-bit numbers by radix."""
+    s = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[at], np.diff(at, append=len(s))
+
+
 class Index:
     """BM25 over the documents of one shard; postings are grouped by term."""
 
@@ -75,7 +80,7 @@ class Index:
         terms, owners, weights = [], [], []
         self.top: list[np.ndarray] = []
         for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
+            t, tf = terms_of(ids)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
             terms.append(t)
             owners.append(np.full(len(t), i, np.int32))

@@ -1,32 +1,57 @@
 """Token ids of whole texts, made by the tokenizers library where the documents are read.
 
 A text is cut where the tokenizer itself always cuts, each distinct piece is encoded once, and a text's ids are its pieces' ids
-in a row. Texts in which a cut could fall elsewhere are encoded whole. Pieces are kept up to a fixed number per Python
-worker; beyond it they are encoded anew in each batch, so memory stays bounded.
+in a row. Texts in which a cut could fall elsewhere are encoded whole. A piece that is a word of common letters, with or without
+marks after it, goes straight to the library's merge model, which is what the tokenizer would do with it. Pieces are kept up to a
+fixed number per Python worker; beyond it they are encoded anew, so memory stays bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept per worker, and the longest that is kept.
-KEPT, LONGEST = 400_000, 40
+KEPT, LONGEST = 1_000_000, 40
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _AFTER_BLANK = re.compile(r" \s")
+#: Letters whose lower case is one letter by any rule, then marks that no vocabulary joins to letters.
+_PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.!?;:#*$%&|()]*)")
 _made: dict[tuple[str, bool], Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte: itself if it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces; a piece that isn't there is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < KEPT and len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, path: str, blank_joins: bool):
-        """blank_joins: a blank belongs to the word after it (byte-level vocabularies), rather than being dropped."""
+        """blank_joins: a blank belongs to the word after it (byte-level vocabularies), rather than being dropped with capitals."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,35 +59,37 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.blank_joins = blank_joins
-        self.kept: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.kept = _Pieces(self._piece)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return self._whole(piece)
+        blank, word, marks = m.groups()
+        if marks:
+            return self.kept[blank + word] + self.kept[marks]
+        if not self.blank_joins and word != word.lower():
+            return self.kept[word.lower()]
+        ids = [t.id for t in self.model.tokenize((blank + word).encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _text(self, text: str) -> bytes:
         if self.blank_joins:
             # Between a character and a single blank before a character, the pattern of byte-level vocabularies always cuts.
             if _AFTER_BLANK.search(text):
-                return [text]
+                return self._whole(text)
             first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        return [text] if _ODD.search(text) else text.split()
+            pieces = map(" ".__add__, rest)
+            return (self.kept[first] if first else b"") + b"".join(map(self.kept.__getitem__, pieces))
+        return self._whole(text) if _ODD.search(text) else b"".join(map(self.kept.__getitem__, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(self.kept)) if cut else []
-        here = dict(zip(new, self._ids(new)))
-        room = KEPT - len(self.kept)
-        if len(here) <= room and all(len(w) <= LONGEST for w in here):
-            self.kept |= here
-            here = {}
-        elif room > 0:
-            for w in [w for w in here if len(w) <= LONGEST][:room]:
-                self.kept[w] = here[w]
-        if not here:
-            return [b"".join(map(self.kept.__getitem__, c)) for c in cut]
-        kept = self.kept
-        return [b"".join([kept[w] if w in kept else here[w] for w in c]) for c in cut]
+        return [self._text(t) for t in texts]
 
 
 def encoder(path: str, blank_joins: bool) -> Encoder:
