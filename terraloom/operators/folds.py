@@ -63,19 +63,19 @@ def apply_operations(ops: DataFrame) -> DataFrame:
 
 def fixed_window(attempts: DataFrame, key: str, ts: str, window_s: int = 900, limit: int = 10) -> DataFrame:
     """Allowed attempts of a counter that restarts with the first attempt after its window has passed."""
-    rows = attempts.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    rows = attempts.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
 
     def step(state: tuple, r: tuple) -> tuple:
         begun, n = state
         begun, n = (r[1], 1) if begun is None or begun < r[1] - window_s * 1_000_000 else (begun, n + 1)
         return (begun, n), n, n <= limit
 
-    return fold(rows, key, ["at"], lambda: (None, 0), step, "attempts int, allowed boolean")
+    return fold(rows, key, ["at_us"], lambda: (None, 0), step, "attempts int, allowed boolean")
 
 
 def sliding_window(attempts: DataFrame, key: str, ts: str, window_s: int = 600, limit: int = 12) -> DataFrame:
     """Allowed attempts where only allowed ones are recorded: fewer than limit recorded within the window before."""
-    rows = attempts.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    rows = attempts.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))
 
     def step(recorded: deque, r: tuple) -> tuple:
         while recorded and recorded[0] < r[1] - window_s * 1_000_000:
@@ -85,7 +85,7 @@ def sliding_window(attempts: DataFrame, key: str, ts: str, window_s: int = 600,
             recorded.append(r[1])
         return recorded, good
 
-    return fold(rows, key, ["at"], deque, step, "allowed boolean")
+    return fold(rows, key, ["at_us"], deque, step, "allowed boolean")
 
 
 def counters(commands: DataFrame, key: str = "count_id", order: tuple[str, ...] = ("ts", "op_id")) -> DataFrame:

@@ -120,7 +120,7 @@ _FACES = f"""{_CELLS}, q AS (
   SELECT model_id, i, j, 0 AS k, 100 * sqrt(((z10 - z00) / 5) ** 2 + ((z01 - z00) / 5) ** 2) AS slope, (z00 + z10 + z01) / 3 AS mean FROM q
   UNION ALL SELECT model_id, i, j, 1, 100 * sqrt(((z11 - z01) / 5) ** 2 + ((z11 - z10) / 5) ** 2), (z11 + z10 + z01) / 3 FROM q
 )"""
-_FOLD = "at AS (SELECT user_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)"
+_FOLD = "tries AS (SELECT user_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)"
 
 _SQL = {
     "v1_apply_operations": """WITH RECURSIVE once AS (SELECT * FROM sync_ops QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY seq) = 1),
@@ -128,14 +128,14 @@ _SQL = {
       f AS (SELECT operation_id, project_id, n, expected_version = 0 AS good, CASE WHEN expected_version = 0 THEN 1 ELSE 0 END AS v FROM o WHERE n = 1
         UNION ALL SELECT o.operation_id, o.project_id, o.n, o.expected_version = f.v, f.v + CASE WHEN o.expected_version = f.v THEN 1 ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
       SELECT operation_id, project_id, CASE WHEN good THEN 'applied' ELSE 'conflict' END AS status, CAST(v AS BIGINT) AS server_version FROM f""",
-    "w7_fixed_window_limit": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT user_id, at, n, at AS begun, 1 AS attempts FROM at WHERE n = 1
-        UNION ALL SELECT a.user_id, a.at, a.n, CASE WHEN f.begun < a.at - 1728000000000 THEN a.at ELSE f.begun END, CASE WHEN f.begun < a.at - 1728000000000 THEN 1 ELSE f.attempts + 1 END FROM f JOIN at a ON a.user_id = f.user_id AND a.n = f.n + 1)
-      SELECT user_id, at, attempts, attempts <= 5 AS allowed FROM f""",
-    "w8_sliding_window_limit": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT user_id, at, n, true AS allowed, [at] AS rec FROM at WHERE n = 1
-        UNION ALL SELECT a.user_id, a.at, a.n, len(list_filter(f.rec, lambda x: x >= a.at - 1728000000000)) < 5,
-          CASE WHEN len(list_filter(f.rec, lambda x: x >= a.at - 1728000000000)) < 5 THEN list_append(list_filter(f.rec, lambda x: x >= a.at - 1728000000000), a.at) ELSE list_filter(f.rec, lambda x: x >= a.at - 1728000000000) END
-        FROM f JOIN at a ON a.user_id = f.user_id AND a.n = f.n + 1)
-      SELECT user_id, at, allowed FROM f""",
+    "w7_fixed_window_limit": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT user_id, at_us, n, at_us AS begun, 1 AS attempts FROM tries WHERE n = 1
+        UNION ALL SELECT a.user_id, a.at_us, a.n, CASE WHEN f.begun < a.at_us - 1728000000000 THEN a.at_us ELSE f.begun END, CASE WHEN f.begun < a.at_us - 1728000000000 THEN 1 ELSE f.attempts + 1 END FROM f JOIN tries a ON a.user_id = f.user_id AND a.n = f.n + 1)
+      SELECT user_id, at_us, attempts, attempts <= 5 AS allowed FROM f""",
+    "w8_sliding_window_limit": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT user_id, at_us, n, true AS allowed, [at_us] AS rec FROM tries WHERE n = 1
+        UNION ALL SELECT a.user_id, a.at_us, a.n, len(list_filter(f.rec, lambda x: x >= a.at_us - 1728000000000)) < 5,
+          CASE WHEN len(list_filter(f.rec, lambda x: x >= a.at_us - 1728000000000)) < 5 THEN list_append(list_filter(f.rec, lambda x: x >= a.at_us - 1728000000000), a.at_us) ELSE list_filter(f.rec, lambda x: x >= a.at_us - 1728000000000) END
+        FROM f JOIN tries a ON a.user_id = f.user_id AND a.n = f.n + 1)
+      SELECT user_id, at_us, allowed FROM f""",
     "st1_counters": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY count_id ORDER BY ts, op_id) AS n FROM count_commands),
       f AS (SELECT count_id, op_id, n, CASE action WHEN 'set' THEN set_value WHEN 'increment' THEN 1 ELSE 0 END AS quantity FROM o WHERE n = 1
         UNION ALL SELECT o.count_id, o.op_id, o.n, CASE action WHEN 'set' THEN set_value WHEN 'increment' THEN f.quantity + 1 ELSE greatest(f.quantity - 1, 0) END FROM f JOIN o ON o.count_id = f.count_id AND o.n = f.n + 1)

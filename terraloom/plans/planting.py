@@ -120,7 +120,7 @@ _SQL = {
     "g16_sample_points": f"""WITH {_RING}, bx AS (SELECT {_K}, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM g GROUP BY ALL),
       s AS (SELECT *, a + (b - a) * [0.5, 0.25, 0.5, 0.75, 0.25, 0.75, 0.25, 0.5, 0.75][k + 1] AS px, c + (d - c) * [0.5, 0.25, 0.25, 0.25, 0.5, 0.5, 0.75, 0.75, 0.75][k + 1] AS py FROM bx, unnest(range(0, 9)) t(k))
       SELECT {', '.join('s.' + x for x in _K.split(', '))}, CAST(k AS INTEGER) AS sample, round(px, 7) AS lon, round(py, 7) AS lat FROM s JOIN e USING ({_K})
-      WHERE (e.lat > py) <> (e.lat2 > py) AND px < (e.lon2 - e.lon) * (py - e.lat) / (e.lat2 - e.lat) + e.lon GROUP BY ALL HAVING count(*) % 2 = 1""",
+      WHERE (e.lat > py) <> (e.lat2 > py) AND px < (e.lon - e.lon2) * (py - e.lat2) / (e.lat - e.lat2) + e.lon2 GROUP BY ALL HAVING count(*) % 2 = 1""",
     "f1_commercial_rounding": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN l_extendedprice - 500 > 0 THEN ceil((l_extendedprice - 500) / 25) * 25 ELSE 0 END AS BIGINT) AS rounded FROM lineitem",
     "f5_web_mercator": f"SELECT {_K}, round((lon0 + 180) / 360 * 4194304, 4) AS x, round((1 - asinh(tan(radians(lat0))) / pi()) / 2 * 4194304, 4) AS y, round(lat0, 8) AS lat FROM project_fields",
     "f6_parse_coordinates": f"SELECT {_K}, CASE WHEN display_order % 3 < 2 THEN 'coordinate' WHEN project_id % 2 = 0 THEN 'address' ELSE 'invalid' END AS kind, CASE WHEN display_order % 3 < 2 THEN round(lat0, 5) END AS lat, CASE display_order % 3 WHEN 0 THEN round(lon0, 5) WHEN 1 THEN 8.5 END AS lon FROM project_fields",

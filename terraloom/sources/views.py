@@ -23,7 +23,7 @@ SELECT o_orderkey AS project_id, o_custkey AS owner_user_id,
   o_orderkey % 9 AS version, o_orderkey % 4 AS latest_revision_number
 FROM orders""",
     "project_fields": """
-SELECT l_orderkey AS project_id, l_suppkey * 1000000000 + l_partkey * 10 + l_linenumber AS client_field_id, l_linenumber AS display_order,
+SELECT l_orderkey AS project_id, (l_suppkey * 1000000000 + l_partkey * 10 + l_linenumber) * 100 + cast(l_quantity AS bigint) AS client_field_id, l_linenumber AS display_order,
   concat('Campo ', cast(l_linenumber AS string)) AS label,
   8.0e0 + (l_orderkey % 500) * 0.004e0 AS lon0, 44.5e0 + (l_partkey % 300) * 0.003e0 AS lat0,
   (20.0e0 + 2.0e0 * l_quantity) / 79000.0e0 AS dlon, (20.0e0 + 10.0e0 * l_linenumber) / 111000.0e0 AS dlat, l_discount AS skew,
@@ -72,7 +72,7 @@ SELECT o_orderkey AS list_id, o_custkey AS owner_user_id, CASE WHEN o_orderkey %
   o_orderdate AS updated_at, CASE WHEN o_orderkey % 19 = 0 THEN o_orderdate END AS deleted_at
 FROM orders""",
     "counts_entries": """
-SELECT l_orderkey AS list_id, l_suppkey * 1000000000 + l_partkey * 10 + l_linenumber AS client_field_id, l_linenumber AS entry_no,
+SELECT l_orderkey AS list_id, (l_suppkey * 1000000000 + l_partkey * 10 + l_linenumber) * 100 + cast(l_quantity AS bigint) AS client_field_id, l_linenumber AS entry_no,
   CASE l_returnflag WHEN 'A' THEN 'plants' WHEN 'N' THEN 'posts' ELSE 'other' END AS category,
   cast(l_quantity AS bigint) AS quantity, l_suppkey % 2 = 0 AS verified, l_shipdate AS updated_at
 FROM lineitem""",
