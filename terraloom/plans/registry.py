@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terraloom.plans import archive, dashboard, planting
+from terraloom.plans import archive, dashboard, planting, records
 
-_ALL = (dashboard, planting, archive)
+_ALL = (dashboard, planting, archive, records)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
 FLAGSHIP = dashboard.rollup

@@ -191,3 +191,22 @@ def test_stream_operations_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "operation_id long, project_id long, ts string, seq long, expected_version long").withColumn("ts", F.to_timestamp("ts"))
     pick = lambda d: sorted((r.operation_id, r.status, r.server_version) for r in d.collect())
     assert pick(stream(spark, tmp_path, df, logs.operations)) == pick(folds.apply_operations(df))
+
+
+def test_deliveries_lease_and_give_up(spark):
+    from terraloom.operators import records
+
+    log = [(1, 0, 1, "claim"), (1, 60, 2, "claim"), (1, 130, 3, "claim"), (1, 140, 4, "failed"), (1, 150, 5, "claim"), (1, 160, 6, "provider_accepted"), (1, 999, 7, "claim"), (2, 0, 1, "claim"), (2, 24 * 3600, 2, "claim"), (2, 24 * 3600 + 1, 3, "failed")]
+    got = records.deliveries(spark.createDataFrame(log, "submission_id long, at_s long, seq long, action string")).orderBy("submission_id", "seq").collect()
+    assert [(r.state, r.send) for r in got] == [("sending", True), ("sending", False), ("sending", True), ("failed", False), ("sending", True), ("provider_accepted", False), ("provider_accepted", False), ("sending", True), ("uncertain", False), ("uncertain", False)]
+
+
+def test_parcels_by_crossing_and_by_holding(spark):
+    from terraloom.operators import spatial
+
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n), (x, y)]
+    fields = spark.createDataFrame([(1, square(0.0, 0.0, 0.01)), (2, square(0.1, 0.1, 0.001))], "id long, ring array<struct<lon:double,lat:double>>")
+    parcels = spark.createDataFrame([(10, 1, square(0.005, 0.005, 0.01)), (11, 2, square(0.002, 0.002, 0.001)), (12, 3, square(0.09, 0.09, 0.03)), (13, 4, square(0.5, 0.5, 0.01))], "parcel_id long, ordinal long, ring array<struct<lon:double,lat:double>>")
+    assert {tuple(r) for r in spatial.touching(fields, parcels, ["id"]).collect()} == {(1, 10), (1, 11), (2, 12)}
+    points = spark.createDataFrame([(1, 0.0025, 0.0025), (2, 0.006, 0.006), (3, 0.3, 0.3)], "id long, lon double, lat double")
+    assert {(r.id, r.parcel_id) for r in spatial.points_in_parcels(points, parcels, ["id"]).collect()} == {(1, 11), (2, 10), (3, None)}
