@@ -193,7 +193,10 @@ def links(distinct: DataFrame, reach: int = 2, shard_rows: int = 20_000, sample:
     """(u, v): a spanning forest of the links between distinct fingerprints (column fp)."""
     n = distinct.count()
     leaves = max(1, n // shard_rows)
-    drawn = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample if leaves > 1 else 1).collect()], dtype=np.int64).view(np.uint64)
+    # A share by hash rather than the first by hash: about ``sample`` numbers reach the driver in all, not from each task.
+    share = int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    rows = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share).select("fp").collect() if leaves > 1 else []
+    drawn = np.sort(np.array([r["fp"] for r in rows], dtype=np.int64)).view(np.uint64)
     sent = distinct.sparkSession.sparkContext.broadcast(tree(drawn, reach, leaves) if len(drawn) else [])
     dealt = distinct.select("fp").mapInArrow(_dealing(sent, reach), "shard int, fp long")
     return dealt.repartition(parts(distinct), "shard").groupBy("shard").applyInPandas(_linking(reach), "u long, v long")
