@@ -210,3 +210,21 @@ def test_parcels_by_crossing_and_by_holding(spark):
     assert {tuple(r) for r in spatial.touching(fields, parcels, ["id"]).collect()} == {(1, 10), (1, 11), (2, 12)}
     points = spark.createDataFrame([(1, 0.0025, 0.0025), (2, 0.006, 0.006), (3, 0.3, 0.3)], "id long, lon double, lat double")
     assert {(r.id, r.parcel_id) for r in spatial.points_in_parcels(points, parcels, ["id"]).collect()} == {(1, 11), (2, 10), (3, None)}
+
+
+def test_geojson_rejects_and_labels(spark):
+    from terraloom.sources import ingest
+
+    ring = "[[0,0],[1,0],[1,1],[0,0]]"
+    rows = [
+        (1, f'{{"type":"Polygon","coordinates":[{ring}]}}'),
+        (2, f'{{"type":"Feature","properties":{{"name":" Vigna "}},"geometry":{{"type":"MultiPolygon","coordinates":[[{ring}],[{ring}]]}}}}'),
+        (3, '{"type":"Polygon","coordinates":[[[0,0],[1,1],[1,0],[0,1],[0,0]]]}'),
+        (4, f'{{"type":"Polygon","coordinates":[{ring},{ring}]}}'),
+        (5, '{"type":"Point","coordinates":[0,0]}'),
+        (6, "not json"),
+        (7, None),
+    ]
+    good, bad = ingest.geojson_fields(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    assert {(r.id, r.part_index, r.label) for r in good.collect()} == {(1, 0, "Campo storico 1"), (2, 0, "Vigna · 1"), (2, 1, "Vigna · 2")}
+    assert sorted(r.id for r in bad.collect()) == [3, 4, 5, 6, 7]
