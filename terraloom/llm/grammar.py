@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import shared_dir
-from terraloom.llm.packing import tokenised
+from terraloom.llm.packing import narrowed, tokenising
 
 #: Ids per shard; a pair is frequent from this count on; rounds end when one shortens the sequence by less than this share.
 SHARD, FREQUENT, GAIN = 1 << 20, 8, 0.005
@@ -34,13 +34,13 @@ FILE = "range int, shard int, first_id long, doc_id binary, missing int, doc_len
 
 def frequent_pairs(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of the pair at each position by falling count (-1: not frequent), and the pairs by rank."""
-    a, b = s[:-1].astype(np.int64), s[1:].astype(np.int64)
-    bucket = (a * 0x9E3779B1 + b * 0x85EBCA77) >> 7 & 0xFFFFF
-    likely = np.nonzero(np.bincount(bucket, minlength=1 << 20)[bucket] >= least)[0]
-    rank = np.full(len(a), -1, np.int32)
+    u = s.astype(np.uint32)
+    bucket = (u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
+    likely = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
+    rank = np.full(len(s) - 1, -1, np.int32)
     if not len(likely):
         return rank, np.zeros((0, 2), np.int64)
-    pairs, place, n = np.unique(a[likely] << 32 | b[likely], return_inverse=True, return_counts=True)
+    pairs, place, n = np.unique(s[likely].astype(np.int64) << 32 | s[likely + 1], return_inverse=True, return_counts=True)
     by = np.argsort(-n, kind="stable")
     by = by[n[by] >= least]
     named = np.full(len(pairs), -1, np.int32)
@@ -59,8 +59,12 @@ def compress(ids: np.ndarray, least: int = FREQUENT, gain: float = GAIN) -> tupl
             break
         order = np.where(rank < 0, np.int32(2**31 - 1), rank)
         before, after = np.concatenate([[2**31 - 1], order[:-1]]), np.concatenate([order[1:], [2**31 - 1]])
-        # A pair is replaced where it is more frequent than the pairs that overlap it.
-        at = np.nonzero((rank >= 0) & (order < before) & (order <= after))[0]
+        # A pair is replaced where it is more frequent than the pairs that overlap it; in a run of one symbol, at every other place.
+        at = np.flatnonzero((rank >= 0) & (order <= before) & (order <= after))
+        if (runs := order[at] == before[at]).any():
+            heads = np.flatnonzero(order != before)
+            start = heads[np.searchsorted(heads, at, side="right") - 1]
+            at = at[~runs & (order[at] < before[at]) | runs & ((at - start - (order[start] > before[start])) % 2 == 0)]
         used = np.bincount(rank[at], minlength=len(pairs))
         good = used >= least
         at = at[good[rank[at]]]
@@ -158,7 +162,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2, id_col: str = "
     n = ids.count()
     cuts = min(ranges, n // range_rows)
     bounds = ids.select(F.percentile_approx("doc_id", [k / (cuts + 1) for k in range(1, cuts + 1)], 100_000)).first()[0] if cuts else []
-    dealt = tokenised(docs, path, True, end, id_col, text_col).mapInArrow(_ranging(np.unique(np.array(bounds or [], np.int64))), "range int, doc_id long, ids binary")
+    encode, place = tokenising(path, True, end), _ranging(np.unique(np.array(bounds or [], np.int64)))
+    # One Python worker does both: a second operator would hold a second process per task.
+    dealt = narrowed(docs, id_col, text_col).mapInArrow(lambda batches: place(encode(batches)), "range int, doc_id long, ids binary")
     ordered = dealt.repartition(max(1, min(cuts + 1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "range").sortWithinPartitions("range", "doc_id", "ids")
     ordered.mapInArrow(_compressing(shard_ids), FILE).write.option("compression", "zstd").parquet(folder)
 

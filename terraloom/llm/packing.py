@@ -33,7 +33,7 @@ TERMS, NEIGHBOURS = 12, 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _tokenising(path: str, blank_joins: bool, end: int):
+def tokenising(path: str, blank_joins: bool, end: int):
     tail = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,10 +46,13 @@ def _tokenising(path: str, blank_joins: bool, end: int):
     return run
 
 
+def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def tokenised(docs: DataFrame, path: str, blank_joins: bool, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of every row's text and the end id, as little-endian unsigned 16-bit numbers."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_tokenising(path, blank_joins, end), "doc_id long, ids binary")
+    return narrowed(docs, id_col, text_col).mapInArrow(tokenising(path, blank_joins, end), "doc_id long, ids binary")
 
 
 def _frequencies(size: int):

@@ -42,7 +42,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(self) < KEPT and len(piece) <= LONGEST:
+        if len(self) < KEPT and len(piece) <= LONGEST and "\n" not in piece:
             self[piece] = ids
         return ids
 
@@ -62,17 +62,28 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.kept = _Pieces(self._piece)
+        #: Pieces that begin with a blank, by what follows it.
+        self.after = _Pieces(lambda rest: self._piece(" " + rest))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
+    def _cut(self, piece: str) -> bytes:
+        return self.after[piece[1:]] if piece[:1] == " " else self.kept[piece]
+
     def _piece(self, piece: str) -> bytes:
+        if "\n" in piece:
+            left, line, right = piece.partition("\n")
+            # One line end between two visible characters is a token of its own.
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return self._cut(left) + self.kept[line] + self.kept[right]
+            return self._whole(piece)
         m = _PLAIN.fullmatch(piece)
         if m is None:
             return self._whole(piece)
         blank, word, marks = m.groups()
         if marks:
-            return self.kept[blank + word] + self.kept[marks]
+            return self._cut(blank + word) + self.kept[marks]
         if not self.blank_joins and word != word.lower():
             return self.kept[word.lower()]
         ids = [t.id for t in self.model.tokenize((blank + word).encode().decode("latin-1").translate(self.letters))]
@@ -84,8 +95,7 @@ class Encoder:
             if _AFTER_BLANK.search(text):
                 return self._whole(text)
             first, *rest = text.split(" ")
-            pieces = map(" ".__add__, rest)
-            return (self.kept[first] if first else b"") + b"".join(map(self.kept.__getitem__, pieces))
+            return (self.kept[first] if first else b"") + b"".join(map(self.after.__getitem__, rest))
         return self._whole(text) if _ODD.search(text) else b"".join(map(self.kept.__getitem__, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
