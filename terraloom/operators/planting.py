@@ -113,8 +113,7 @@ def generate_rows(fields: DataFrame, key: list[str] = KEY, headland: str | None
     carry = [*key, "row_spacing_m", "exclusions"]
     turn = (-F.col(angle) * F.lit(math.pi / 180)).alias("turn")
     head = (F.greatest(F.lit(0.0), F.coalesce(F.col(headland), F.lit(0.0))) if headland else F.lit(0.0)).alias("head")
-    good = fields.where((F.col("row_spacing_m") > 0) & (F.size(geo.open_ring(F.col("ring"))) >= 3)).select(*carry, "ring", turn, head)
-    step = _local(good, [*carry, "turn", "head"]).select(*carry, "head", "pts", "ref", F.cos("turn").alias("cos"), F.sin("turn").alias("sin"))
+    step = _local(fields.select(*carry, "ring", turn, head), [*carry, "turn", "head"]).select(*carry, "head", "pts", "ref", F.cos("turn").alias("cos"), F.sin("turn").alias("sin"))
     spin = lambda p: geo.rotated(p, F.col("cos"), F.col("sin"))
     holes = F.transform("exclusions", lambda r: F.transform(geo.open_ring(r), lambda p: spin(geo.to_xy(p, F.col("ref")))))
     step = step.select(*carry, "head", "ref", "cos", "sin", F.transform("pts", spin).alias("pts"), F.filter(holes, lambda r: F.size(r) >= 3).alias("holes"))
@@ -122,11 +121,12 @@ def generate_rows(fields: DataFrame, key: list[str] = KEY, headland: str | None
     step = step.select(*key, "row_spacing_m", "head", "ref", "cos", "sin", geo.edges(F.col("pts")).alias("ring_sides"), F.transform("holes", geo.edges).alias("hole_sides"), F.array_min(xs).alias("lo"), F.array_max(xs).alias("hi"))
     first = F.col("lo") + F.col("row_spacing_m") / 2
     last = F.ceil((F.col("hi") - 1e-7 - first) / F.col("row_spacing_m")) - 1
-    step = step.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last.cast("int")))).alias("line")).withColumn("x", first + F.col("line") * F.col("row_spacing_m"))
+    # Outer explodes: for inner ones Spark infers a filter on the array and computes all that led to it again below.
+    step = step.select("*", F.explode_outer(F.when((F.col("row_spacing_m") > 0) & (F.size("ring_sides") >= 3), F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))))).alias("line")).where(F.col("line").isNotNull()).withColumn("x", first + F.col("line") * F.col("row_spacing_m"))
     step = step.withColumns({"ys": geo.crossings(F.col("ring_sides"), F.col("x")), "cut_ys": F.transform("hole_sides", lambda s: geo.crossings(s, F.col("x")))})
     outer = F.filter(F.transform(geo.paired(F.col("ys")), lambda i: F.struct((i["s"] + F.col("head")).alias("s"), (i["e"] - F.col("head")).alias("e"))), lambda i: i["e"] - i["s"] > 0.05)
     step = step.withColumns({"base": outer, "cuts": F.flatten(F.transform("cut_ys", geo.paired))})
-    step = step.select(*key, "line", "x", "ref", "cos", "sin", F.posexplode(geo.without(F.col("base"), F.col("cuts"))).alias("part", "i"))
+    step = step.select(*key, "line", "x", "ref", "cos", "sin", F.posexplode_outer(geo.without(F.col("base"), F.col("cuts"))).alias("part", "i")).where(F.col("i").isNotNull())
     back = lambda y: geo.to_lonlat(F.col("x") * F.col("cos") + y * F.col("sin"), -F.col("x") * F.col("sin") + y * F.col("cos"), F.col("ref"))
     return step.select(*key, "line", "part", "x", F.col("i.s").alias("y_start"), F.col("i.e").alias("y_end"), (F.col("i.e") - F.col("i.s")).alias("length_m"), back(F.col("i.s")).alias("start"), back(F.col("i.e")).alias("end"))
 
