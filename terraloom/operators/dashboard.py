@@ -179,7 +179,7 @@ def summary(projects: DataFrame, rows: DataFrame) -> DataFrame:
     per = rows.groupBy("project_id").agg(F.sum(F.coalesce("commercial_plants", F.lit(0))).alias("__plants"), F.sum(F.coalesce("area_m2", F.lit(0.0))).alias("__area"))
     return projects.join(per, "project_id", "left").agg(
         F.count("*").alias("total_projects"), F.count_if(F.col("status") == "quote_requested").alias("quote_requests"), F.count_if(F.col("status") == "client").alias("clients"),
-        F.count_if(F.col("owner_kind") == "guest").alias("guest_projects"), F.count_if(F.col("owner_kind") == "user").alias("registered_projects"), F.count_if(F.col("origin") == "fieldarea").alias("fieldarea_projects"),
+        F.count_if(F.col("owner_kind") == "guest").alias("guest_projects"), F.count_if(F.col("owner_kind") == "user").alias("registered_projects"), F.count_if(F.col("origin") == "imported").alias("imported_projects"),
         F.coalesce(F.sum("__plants"), F.lit(0)).alias("total_plants"), F.coalesce(F.sum("__area"), F.lit(0.0)).alias("total_area_m2"),
     )
 

@@ -97,7 +97,7 @@ QUERIES = {
     "v10_ownership_transfer": _grants,
     "f7_national_reference": _references,
     "d1_unique_references": _deduped,
-    "d2_archive_merge": lambda s, sf: a.merge_archives(view(s, sf, "projects").where("origin = 'fieldarea'").select("project_id", "name"), view(s, sf, "projects").select("project_id", F.upper("name").alias("name")), "project_id"),
+    "d2_archive_merge": lambda s, sf: a.merge_archives(view(s, sf, "projects").where("origin = 'imported'").select("project_id", "name"), view(s, sf, "projects").select("project_id", F.upper("name").alias("name")), "project_id"),
     "p14_headland": lambda s, sf: view(s, sf, "project_fields").select(*KEY, a.headland(F.col("headland_width_m"), F.col("l_shape")).alias("headland_m")),
     "p15_advice": lambda s, sf: a.advice(view(s, sf, "project_fields"), KEY),
     "p16_orientation": lambda s, sf: view(s, sf, "project_fields").select(*KEY, a.orientation(F.regexp_replace((F.col("orientation_deg") * 1.37 - 20).cast("string"), r"\.", ",")).alias("orientation")),
@@ -167,7 +167,7 @@ _SQL = {
     "f7_national_reference": """SELECT project_id, client_field_id, 'A' || lpad(CAST(CAST(floor(lon0 / 0.002) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS municipality_code, NULL AS section, CAST(CAST(floor(lat0 / 0.002) AS BIGINT) % 10000 AS VARCHAR) AS sheet,
       NULL AS attachment, NULL AS development, CAST(CAST(floor(lon0 / 0.002) AS BIGINT) AS VARCHAR) AS parcel FROM project_fields""",
     "d1_unique_references": "SELECT project_id, min(client_field_id) AS client_field_id FROM project_fields GROUP BY project_id, grape_variety, rootstock",
-    "d2_archive_merge": "SELECT project_id, CASE WHEN origin = 'fieldarea' THEN name ELSE upper(name) END AS name FROM projects",
+    "d2_archive_merge": "SELECT project_id, CASE WHEN origin = 'imported' THEN name ELSE upper(name) END AS name FROM projects",
     "p14_headland": "SELECT project_id, client_field_id, CASE WHEN l_shape THEN greatest(coalesce(headland_width_m, 6), 6) ELSE headland_width_m END AS headland_m FROM project_fields",
     "p15_advice": "SELECT project_id, client_field_id, 'mechanised_without_headland' AS advice FROM project_fields WHERE headland_width_m IS NULL UNION ALL SELECT project_id, client_field_id, 'verify_machine' FROM project_fields WHERE row_spacing_m < 2.25",
     "p16_orientation": "SELECT project_id, client_field_id, round(least(greatest(orientation_deg * 1.37 - 20, 0), 179.9), 1) AS orientation FROM project_fields",

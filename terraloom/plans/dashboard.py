@@ -98,7 +98,7 @@ _SQL = {
       (SELECT round(CASE WHEN bool_or(terrain_invalid) THEN NULL ELSE sum(area_m2) END, 2) FROM rows_) AS archive_area_m2,
       (SELECT count(*) FROM roll) AS total_projects, (SELECT count(*) FROM roll WHERE quote_requested) AS quote_requests, (SELECT count(*) FROM cl) AS total_clients""",
     "a4_summary": f"""WITH {_ROWS} SELECT count(*) AS total_projects, count(*) FILTER (status = 'quote_requested') AS quote_requests, count(*) FILTER (status = 'client') AS clients,
-      count(*) FILTER (owner_kind = 'guest') AS guest_projects, count(*) FILTER (owner_kind = 'user') AS registered_projects, count(*) FILTER (origin = 'fieldarea') AS fieldarea_projects,
+      count(*) FILTER (owner_kind = 'guest') AS guest_projects, count(*) FILTER (owner_kind = 'user') AS registered_projects, count(*) FILTER (origin = 'imported') AS imported_projects,
       (SELECT CAST(sum(commercial_plants) AS BIGINT) FROM rows_) AS total_plants, (SELECT round(sum(area_m2), 2) FROM rows_) AS total_area_m2 FROM projects""",
     "a9_report_summary": f"""WITH {_ROWS}, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY display_order, field_id, grape_variety) AS n FROM rows_),
       v AS (SELECT project_id, list(grape_variety ORDER BY m) AS varieties FROM (SELECT project_id, grape_variety, min(n) AS m FROM o GROUP BY ALL) GROUP BY project_id),

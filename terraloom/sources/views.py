@@ -16,7 +16,7 @@ SELECT o_orderkey AS project_id, o_custkey AS owner_user_id,
   CASE WHEN o_orderkey % 10 = 0 THEN 'TEST' ELSE 'LIVE' END AS environment,
   CASE o_orderkey % 6 WHEN 0 THEN 'draft' WHEN 1 THEN 'saved' WHEN 2 THEN 'pdf_downloaded' WHEN 3 THEN 'quote_requested' WHEN 4 THEN 'contacted' ELSE 'client' END AS status,
   CASE WHEN o_custkey % 97 = 0 THEN 'admin' WHEN o_custkey % 7 = 0 THEN 'guest' ELSE 'user' END AS owner_kind,
-  CASE WHEN o_orderkey % 5 = 0 THEN 'fieldarea' ELSE 'direct' END AS origin,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'imported' ELSE 'direct' END AS origin,
   cast(year(o_orderdate) AS int) AS campaign_year, o_orderdate AS created_at,
   cast(cast(o_orderdate AS date) + cast(o_orderkey % 120 AS int) AS timestamp) AS updated_at,
   CASE WHEN o_orderkey % 17 = 0 THEN cast(cast(o_orderdate AS date) + 40 AS timestamp) END AS deleted_at,
