@@ -333,6 +333,47 @@ def test_packing_prefers_lexical_neighbours():
     assert [{d % 2 for d, _, _ in s} for s in seqs] == [{0}, {1}]
 
 
+def test_packing_fetches_neighbours_until_the_window_is_full():
+    # 200 short documents share a word with the seed, between as many that share none; 64 of them don't fill the window.
+    docs = [np.array([7, 100 + i] if i % 2 == 0 else [8, 100 + i], "<u2") for i in range(400)]
+    index = packing.Index(docs, np.ones(1000), 2.0)
+    seqs = packing.fill(np.array([2] * 400), index.neighbours, 400)
+    assert [{d % 2 for d, _, _ in s} for s in seqs] == [{0}, {1}]
+
+
+def test_packing_asks_all_terms_of_the_seed():
+    # Every document but the seed's companion shares one of its 20 best words; the companion shares 20 lesser ones.
+    idf = np.ones(1000)
+    idf[:20] = 2.0
+    seed = np.arange(40).astype("<u2")
+    docs = [seed] + [np.array([i, *range(100 + 50 * i, 139 + 50 * i)], "<u2") for i in range(12)] + [np.array([*range(20, 40), *range(900, 920)], "<u2")]
+    index = packing.Index(docs, idf, 40.0)
+    assert next(index.neighbours(0, np.arange(14) == 0)) == 13
+
+
+def test_packing_deals_by_words_when_there_are_many_shards(spark):
+    topics = 40
+    rng = np.random.RandomState(5)
+    names = ["".join(chr(97 + c) for c in rng.randint(0, 26, 7)) for _ in range(topics * 12)]
+    rows = []
+    for i in range(1200):
+        own = names[(i % topics) * 12 : (i % topics + 1) * 12]
+        rows.append((i, " ".join(rng.permutation([own[j] for j in rng.randint(0, 12, 15)] + prose(i, 25).split()))))
+    rows += [(5000 + i, prose(1, 80)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack(frame, public_tokenizers.path("word_bpe_49k.json"), window=512, shard_tokens=6000).collect()
+    assert sum(r.length for r in got) == sum(n for n in {r.doc_id: r.doc_tokens for r in got}.values())
+    held, tokens = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        tokens[r.sequence_id >> 32] += r.length
+        if r.doc_id < 5000:
+            held[r.sequence_id].append(r.doc_id % topics)
+    assert len(tokens) > 15 and max(tokens.values()) < 2 * 6000
+    pairs = [a == b for t in held.values() for a, b in itertools.combinations(t, 2)]
+    # Dealt by chance, some 25 of 1200 documents meet in a shard, of 40 topics.
+    assert sum(pairs) / len(pairs) > 0.4
+
+
 def test_token_files_round_trip(docs, empty):
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in grammar.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_ids=500, range_rows=4).collect())
     want, at = [], 0
