@@ -5,12 +5,14 @@ of the entity's information content a term reveals is its pointwise mutual infor
 
     PMI(e, t) = log2(N * joint(e, t) / (df(e) * df(t)))        IC(e) = log2(N / df(e))
 
-with frequencies over documents. A term whose PMI reaches ``generalise`` of IC(e) discloses it: it is
-generalised; from ``remove`` on it is removed. A term needs ``support`` different surroundings of the entity, so that copies of one
-passage don't count as evidence.
+with frequencies over documents, and joint(e, t) of whole texts: a term counts wherever it stands in a text that holds the entity. A term
+whose PMI reaches ``generalise`` of IC(e) discloses it: it is generalised; from ``remove`` on it is removed; at all of its places in the texts that
+hold the entity. A term needs ``support`` different surroundings, so that copies of one passage don't count as evidence: the other words within
+``reach`` characters of the entity, and for a term that stands farther away also the two words on each side of it
+(so that the outermost two words of a copied passage can pass as different).
 
-Texts are read twice (patterns, then the frequencies of terms); words near entities and a count for each term of a partition are
-shuffled, as hashes. No group is gathered: all counts are sums with map-side combining.
+Texts are read twice (patterns, then the frequencies of terms); words of texts with entities, as hashes and positions, are written once, and a count for
+each term of a partition is shuffled. No group is gathered: all counts are sums with map-side combining.
 
 Defined cases: a null text has no spans; rows that repeat id and text give the same spans each and count as
 documents each; an empty table gives an empty table; other columns are ignored by scan() and kept by sanitised().
@@ -55,28 +57,36 @@ def term(w: Column) -> Column:
     return F.btrim(F.lower(w), F.lit(EDGES))
 
 
-def _near(text: Column, reach: int) -> Column:
-    """Words wholly within ``reach`` characters of a base span and outside all of them, with their positions and the surroundings."""
+def _entities(reach: int) -> Column:
+    """Each entity of a text once, with the terms around each of its places."""
+    near = lambda b: F.transform(F.filter("__words", lambda w: (w["start"] >= b["start"] - reach) & (w["end"] <= b["end"] + reach)), lambda w: w["t"])
+    return F.transform("__base", lambda b: F.struct(F.xxhash64(b["kind"], F.lower(b["value"])).alias("e"), near(b).alias("near")))
 
-    def placed(piece: Column, at: Column) -> Column:
-        """Words of a short piece as (start, end, word)."""
-        w, gaps = words(piece), F.split(piece, WORD, -1)
-        back = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
-        return F.transform(w, lambda x, i: F.struct((at + back(gaps, i + 1) + back(w, i)).alias("start"), (at + back(gaps, i + 1) + back(w, i) + F.length(x)).alias("end"), term(x).alias("term")))
 
-    def around(e: Column) -> Column:
-        left = F.greatest(e["start"] - reach, F.lit(0))
-        stop = e["end"] + reach
-        cut_l, cut_r = F.substring(text, left, F.lit(1)).rlike(WORD) & (left > 0), F.substring(text, stop + 1, F.lit(1)).rlike(WORD)
-        both = F.concat(placed(F.substring(text, left + 1, e["start"] - left), left), placed(F.substring(text, e["end"] + 1, F.lit(reach)), e["end"]))
-        return F.filter(both, lambda w: (F.length(w["term"]) > 0) & ~((w["start"] == left) & cut_l) & ~((w["end"] == stop) & cut_r) & (w["end"] != e["start"]) & (w["start"] != e["end"]))
+def _words(found: DataFrame) -> DataFrame:
+    """Adds ``__words``: the words of __text outside all base spans, as (start, end, hash of the term)."""
+    out = find(found, "__text", (Kind("word", "", WORD, 0, lambda v: F.lit(True)),), "__all")
+    apart = F.filter("__all", lambda w: (F.length(term(w["value"])) > 0) & ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return out.withColumn("__words", F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(term(w["value"])).alias("t")))).drop("__all")
 
-    spans = F.col("__base")
-    groups = F.transform(
-        spans,
-        lambda e: F.struct(F.xxhash64(e["kind"], F.lower(e["value"])).alias("e"), F.filter(around(e), lambda w: ~F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))).alias("ws")),
-    )
-    return F.flatten(F.transform(groups, lambda g: F.transform(g["ws"], lambda w: F.struct(g["e"].alias("e"), F.xxhash64(w["term"]).alias("t"), w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.filter(F.transform(g["ws"], lambda o: o["term"]), lambda o: o != w["term"])).alias("about")))))
+
+def _joint(some: DataFrame, support: int) -> DataFrame:
+    """(e, t, joint): in how many texts entity and term stand together, of pairs with enough different surroundings."""
+    # A pair can't have more surroundings than its entity has texts and places, so most entities leave here.
+    seen = some.select("__h", F.explode("__es").alias("x")).select("__h", "x.e", F.xxhash64("x.near").alias("about")).distinct()
+    asked = written(seen.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("e"), "entities")
+    aside = lambda i: F.array(*[F.get(F.col("__words"), i + k)["t"] for k in (-2, -1, 1, 2)])
+    placed = some.select("__w", "__es", F.sort_array(F.transform("__words", lambda w, i: F.struct(w["t"].alias("t"), i.alias("i"), F.xxhash64(aside(i)).alias("aside")))).alias("__ts"))
+    placed = placed.select("__w", "__es", F.filter("__ts", lambda x, i: (i == 0) | (F.get(F.col("__ts"), F.greatest(i - 1, F.lit(0)))["t"] != x["t"])).alias("__ts"))
+    each = placed.select("__w", "__es", "__ts", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).join(asked, "e")
+    each = each.select("e", "__w", F.transform(F.filter("__es", lambda x: x["e"] == F.col("e")), lambda x: x["near"]).alias("near"), F.explode("__ts").alias("x"))
+    t = F.col("x.t")
+    by = F.filter("near", lambda o: F.array_contains(o, t))
+    close = F.transform(by, lambda o, i: F.struct(F.xxhash64(F.filter(o, lambda v: v != t)).alias("about"), F.when(i == 0, F.col("__w")).otherwise(0.0).alias("w")))
+    far = F.array(F.struct(F.xxhash64(F.element_at("near", 1), F.col("x.aside")).alias("about"), F.col("__w").alias("w")))
+    pairs = each.select("e", t.alias("t"), F.explode(F.when(F.size(by) > 0, close).otherwise(far)).alias("c"))
+    sums = pairs.groupBy("e", "t", "c.about").agg(F.sum("c.w").alias("w")).groupBy("e", "t").agg(F.count("*").alias("contexts"), F.round(F.sum("w")).alias("joint"))
+    return written(sums.where(F.col("contexts") >= support).select("e", "t", "joint"), "terms")
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -87,21 +97,22 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, reach: int, support: in
     """All rows (key, base spans), and the term spans of the keys that have any."""
     rows = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     found = find(rows, "__text", BASE, "__base")
-    near = F.when(F.size("__base") > 0, _near(F.col("__text"), reach))
-    found = written(found.select("__id", "__h", "__base", near.alias("__near")), "pii")
-    some = found.where(F.size("__near") > 0)
-    pairs = some.select("__id", "__h", F.explode("__near").alias("w")).select("__id", "__h", "w.*")
-    contexts = pairs.groupBy("e", "t", "about").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    asked = written(contexts, "terms")
-    joint = some.select(F.explode(F.array_distinct(F.transform("__near", lambda w: F.struct(w["e"], w["t"])))).alias("w")).groupBy("w.e", "w.t").agg(F.count("*").alias("joint")).join(asked, ["e", "t"])
-    df_e = found.where(F.size("__base") > 0).select(F.explode(F.array_distinct(F.transform("__base", lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))).alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
+    found = _words(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__text")).alias("__text")))
+    found = written(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__words")).alias("__words")), "pii")
+    texts = docs.select(_key(id_col, text_col)[1], F.col(text_col).alias("__text"))
+    some = found.where(F.size("__base") > 0).withColumn("__w", F.lit(1.0))
+    held = texts.select(F.lit(1.0).alias("__w"), F.explode(F.array_distinct(F.transform(words(F.col("__text")), lambda w: F.xxhash64(term(w))))).alias("t"))
+    count = found.count()
+    some = some.select("__id", "__h", "__w", "__words", _entities(reach).alias("__es"))
+    joint = _joint(some, support)
+    df_e = some.select("__w", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.round(F.sum("__w")).alias("df_e"))
     # Counted where the texts are read; a partition sends one row for each of its terms.
-    held = docs.select(F.explode(F.array_distinct(F.transform(words(F.col(text_col)), lambda w: F.xxhash64(term(w))))).alias("t"))
-    df_t = held.groupBy("t").agg(F.count("*").alias("df_t")).join(asked.select("t").distinct(), "t")
-    n = F.lit(float(max(found.count(), 1)))
+    df_t = held.groupBy("t").agg(F.round(F.sum("__w")).alias("df_t")).join(joint.select("t").distinct(), "t")
+    n = F.lit(float(max(count, 1)))
     scored = joint.join(df_e, "e").join(df_t, "t").withColumns({"pmi": F.log2(n * F.col("joint") / (F.col("df_e") * F.col("df_t"))), "ic": F.log2(n / F.col("df_e"))})
     scored = scored.withColumn("share", F.when(F.col("ic") > 0, F.col("pmi") / F.col("ic")).otherwise(0.0)).where(F.col("share") >= generalise)
-    hits = pairs.join(scored.select("e", "t", "share"), ["e", "t"]).groupBy("__id", "__h", "start", "end").agg(F.max("share").alias("share"))
+    told = some.select("__id", "__h", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).join(scored.select("e", "t", "share"), "e").groupBy("__id", "__h", "t").agg(F.max("share").alias("share"))
+    hits = attach(some.select("__id", "__h", F.explode("__words").alias("x")).select("__id", "__h", "x.*"), told, ["__id", "__h", "t"]).where("share IS NOT NULL").groupBy("__id", "__h", "start", "end").agg(F.max("share").alias("share"))
     span = F.struct("start", F.lit(len(BASE)).alias("rank"), "end", F.lit("term").alias("kind"), F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("value"))
     return found, hits.groupBy("__id", "__h").agg(F.sort_array(F.collect_list(span)).alias("__terms"))
 

@@ -140,6 +140,22 @@ def test_pii_terms_follow_the_corpus(spark):
     assert "oriarty" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[4][1]
 
 
+def test_pii_terms_anywhere_in_the_text(spark):
+    rows = [(i, f"Moriarty wrote {prose(i, 25)} mail mo@crime.example.com {prose(50 + i, 25)} yours, Moriarty.") for i in range(4)]
+    rows += [(None if i == 0 else 100 + i, prose(100 + i, 50) + " mail wrote yours") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.scan(docs).collect()}
+    for i in range(4):
+        assert got[i].split(",")[1:] == ["term:0:8", f"term:{len(rows[i][1]) - 9}:{len(rows[i][1])}"]
+    assert all(not got[d] for d, _ in rows[4:])
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all("oriarty" not in clean[i] and "[EMAIL]" in clean[i] for i in range(4))
+    # One passage copied into other texts is no evidence, however far its words stand from the entity.
+    passage = f"the word of xylograph that it was {prose(7, 25)} mail mo@crime.example.com {prose(8, 25)}"
+    rows = [(i, f"{prose(i, 9)} {passage} {prose(20 + i, 9)}") for i in range(3)] + rows[4:]
+    assert all("term" not in r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_secrets_base(docs, empty):
     got = secret_scan.scan(docs).collect()
     want = [(d, digest(base_secrets(t)), *(sum(k == x[0] for x in base_secrets(t)) for k in ("assign", "access", "hex"))) for d, t, _ in TEXTS]
