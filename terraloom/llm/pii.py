@@ -5,7 +5,7 @@ of the entity's information content a term reveals is its pointwise mutual infor
 
     PMI(e, t) = log2(N * joint(e, t) / (df(e) * df(t)))        IC(e) = log2(N / df(e))
 
-with frequencies over documents, and joint(e, t) of whole texts: a term counts wherever it stands in a text that holds the entity. A term
+with frequencies over distinct texts, and joint(e, t) of whole texts: a term counts wherever it stands in a text that holds the entity. A term
 whose PMI reaches ``generalise`` of IC(e) discloses it: it is generalised; from ``remove`` on it is removed; at all of its places in the texts that
 hold the entity. A term needs ``support`` different surroundings, so that copies of one passage don't count as evidence: the other words within
 ``reach`` characters of the entity, and for a term that stands farther away also the two words on each side of it
@@ -14,8 +14,8 @@ hold the entity. A term needs ``support`` different surroundings, so that copies
 Texts are read twice (patterns, then the frequencies of terms); words of texts with entities, as hashes and positions, are written once, and a count for
 each term of a partition is shuffled. No group is gathered: all counts are sums with map-side combining.
 
-Defined cases: a null text has no spans; rows that repeat id and text give the same spans each and count as
-documents each; an empty table gives an empty table; other columns are ignored by scan() and kept by sanitised().
+Defined cases: a null text has no spans; rows that repeat a text give the same spans each and count as
+one text; an empty table gives an empty table; other columns are ignored by scan() and kept by sanitised().
 """
 
 from __future__ import annotations
@@ -100,9 +100,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, reach: int, support: in
     found = _words(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__text")).alias("__text")))
     found = written(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__words")).alias("__words")), "pii")
     texts = docs.select(_key(id_col, text_col)[1], F.col(text_col).alias("__text"))
-    some = found.where(F.size("__base") > 0).withColumn("__w", F.lit(1.0))
-    held = texts.select(F.lit(1.0).alias("__w"), F.explode(F.array_distinct(F.transform(words(F.col("__text")), lambda w: F.xxhash64(term(w))))).alias("t"))
-    count = found.count()
+    # A text counts once, so each of its copies counts as its share; most texts have none, and sums are rounded to whole texts.
+    copies = written(texts.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1"), "copies")
+    shared = lambda df: df.join(copies, "__h", "left").withColumn("__w", 1.0 / F.coalesce(F.col("__n"), F.lit(1))).drop("__n")
+    some = shared(found.where(F.size("__base") > 0))
+    held = shared(texts).select("__w", F.explode(F.array_distinct(F.transform(words(F.col("__text")), lambda w: F.xxhash64(term(w))))).alias("t"))
+    count = found.count() - (copies.agg(F.sum(F.col("__n") - 1)).first()[0] or 0)
     some = some.select("__id", "__h", "__w", "__words", _entities(reach).alias("__es"))
     joint = _joint(some, support)
     df_e = some.select("__w", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.round(F.sum("__w")).alias("df_e"))

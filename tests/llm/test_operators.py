@@ -156,6 +156,14 @@ def test_pii_terms_anywhere_in_the_text(spark):
     assert all("term" not in r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_pii_copies_of_a_text_count_once(spark):
+    # A third of the rows are two texts that hold an e-mail beside a common word; 45 % of the rows hold the word.
+    rows = [(i, f"{'red' if i % 2 else 'blue'} garden at joe@farm.example.com {prose(i % 2, 5)}") for i in range(100)]
+    rows += [(100 + i, prose(100 + i, 40) + (" garden" if i < 35 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all("term" not in r.spans for r in pii.scan(docs).collect() if r.doc_id < 100)
+
+
 def test_secrets_base(docs, empty):
     got = secret_scan.scan(docs).collect()
     want = [(d, digest(base_secrets(t)), *(sum(k == x[0] for x in base_secrets(t)) for k in ("assign", "access", "hex"))) for d, t, _ in TEXTS]
