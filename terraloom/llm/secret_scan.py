@@ -2,7 +2,8 @@
 
 Base kinds are always reported. Further candidates (well-known token shapes and long quoted strings of mixed letters and
 digits) are reported only if the corpus says that they look live: each candidate's hash is counted by distinct owners and
-repositories; a value that many owners share is an example that people copy, a value that stays with few owners is a credential.
+repositories; a value that many owners share, or that stands in many repositories of few owners, is an example that people copy; a value that stays with
+few owners and few repositories is a credential. Copies of a text within an owner count as one repository.
 The same verdict splits the base spans into live ones and examples.
 
 Texts are read once; what is shuffled is (hash, owner, repository), pre-aggregated before it is dealt out, and spans of the
@@ -43,27 +44,30 @@ def _key(id_col: str, text_col: str, owner_col: str) -> list[Column]:
 KEY = ["__id", "__h", "__owner"]
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None, max_owners: int) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None, max_owners: int, max_repos: int) -> tuple[DataFrame, DataFrame]:
     """All rows (key, base spans), and for keys that have candidates all spans to report with ``live``."""
     rows = docs.select(*_key(id_col, text_col, owner_col), F.col(repo_col or id_col).cast("string").alias("__repo"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     found = find(find(rows, "__text", BASE, "__base"), "__text", EXTRA, "__extra", len(BASE))
     # An extra candidate inside a base span is the same secret.
     apart = F.filter("__extra", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     found = written(found.select("__id", "__h", "__owner", "__repo", "__base", apart.alias("__extra")), "secrets")
-    some = found.where((F.size("__base") > 0) | (F.size("__extra") > 0)).dropDuplicates(["__id", "__h", "__owner"])
+    some = found.where((F.size("__base") > 0) | (F.size("__extra") > 0))
+    # Copies of one text within an owner count as one repository, the least.
+    some = some.groupBy("__id", "__h", "__owner").agg(F.min("__repo").alias("__repo"), F.first("__base").alias("__base"), F.first("__extra").alias("__extra"))
     each = some.select("__id", "__h", "__owner", "__repo", F.explode(F.concat("__base", "__extra")).alias("s")).withColumn("v", F.sha2("s.value", 256))
-    by_repo = each.groupBy("v", "__owner", "__repo").agg(F.count("*").alias("n"))
+    by_text = each.groupBy("v", "__owner", "__h").agg(F.min("__repo").alias("__repo"), F.count("*").alias("n"))
+    by_repo = by_text.groupBy("v", "__owner", "__repo").agg(F.sum("n").alias("n"))
     by_owner = by_repo.groupBy("v", "__owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     spread = by_owner.groupBy("v").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(spread, "v").withColumn("live", F.col("owners") <= max_owners)
+    judged = each.join(spread, "v").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     judged = judged.where(F.col("live") | (F.col("s.rank") < len(BASE)))
     span = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "live", "owners", "repos")
     return found, judged.groupBy("__id", "__h", "__owner").agg(F.sort_array(F.collect_list(span)).alias("__spans"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
     """Per document: counts of the base kinds, digest of the base spans, all spans, and how many look live or copied."""
-    rows, judged = _judged(docs, id_col, text_col, owner_col, repo_col, max_owners)
+    rows, judged = _judged(docs, id_col, text_col, owner_col, repo_col, max_owners, max_repos)
     out = attach(rows.select(*KEY, "__base"), judged, KEY)
     base, spans = F.col("__base"), F.col("__spans")
     some = lambda live: F.coalesce(F.size(F.filter(spans, lambda s: s["live"] == live)), F.lit(0)).cast("long")
@@ -77,9 +81,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, length_col: str | None = None) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 10, length_col: str | None = None) -> DataFrame:
     """docs with every reported span masked: live ones as [SECRET], widely copied ones as [EXAMPLE]; length_col follows the text."""
-    _, judged = _judged(docs, id_col, text_col, owner_col, repo_col, max_owners)
+    _, judged = _judged(docs, id_col, text_col, owner_col, repo_col, max_owners, max_repos)
     whole = docs.select(*_key(id_col, text_col, owner_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     out = attach(whole, judged, KEY)
     label = lambda s: F.when(s["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))

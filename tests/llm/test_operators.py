@@ -183,6 +183,16 @@ def test_secrets_ownership(spark):
     assert masked[9] == "mine '[SECRET]' only" and masked[10] == '[EXAMPLE]"' and masked[0] == rows[0][1]
 
 
+def test_secrets_repositories_decide_too(spark):
+    example, live = "'c0py1ngth1sexampl3isf1ne'", "'q1w2e3r4t5y6u7i8o9p0'"
+    # One owner: an example in 20 documents of their own words, and a credential in 20 copies of one text.
+    rows = [(i, f"{prose(i, 9)} use {example} here", "o1") for i in range(20)] + [(100 + i, f"mine {live} only", "o1") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert all(got[i].spans == "" and got[i].n_live == 0 for i in range(20))
+    assert all(got[100 + i].n_live == 1 for i in range(20))
+
+
 @pytest.mark.parametrize("operator", [pii.scan, secret_scan.scan])
 def test_native_plans(docs, operator):
     assert not re.search("Python|Arrow|Pandas", operator(docs)._jdf.queryExecution().executedPlan().toString())
