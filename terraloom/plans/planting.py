@@ -57,7 +57,7 @@ QUERIES = {
     "g5_corridors": _corridors,
     "g6_ring_validity": lambda s, sf: p.valid_rings(_fields(s, sf)).groupBy("valid").agg(F.count("*").alias("n")),
     "g7_generate_rows": _rows,
-    "g11_quantities": lambda s, sf: _r(p.quantities(_fields(s, sf)).select(*p.KEY, "area_m2", "row_count", "row_linear_m", "head_posts", "net_area_m2"), 2, "area_m2", "row_linear_m", "net_area_m2"),
+    "g11_quantities": lambda s, sf: _r(p.quantities(_fields(s, sf)), 2, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_linear_m"),
     "g16_sample_points": lambda s, sf: _r(p.sample_points(_fields(s, sf)), 7, "lon", "lat"),
     "f1_commercial_rounding": lambda s, sf: s.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ceil25(F.col("l_extendedprice") - 500).alias("rounded")),
     "f3_f4_utm": _utm,

@@ -1,5 +1,6 @@
 """Hand-computed cases of the planning operators, and every query against its SQL on the smallest tables."""
 
+import collections
 import math
 import os
 import sys
@@ -14,6 +15,7 @@ from terraloom.functions import geo  # noqa: E402
 from terraloom.functions.common import ceil25, poisoned_sum  # noqa: E402
 from terraloom.operators import archive, dashboard, folds, planting, terrain  # noqa: E402
 from terraloom.plans import registry  # noqa: E402
+from terraloom.sources.views import view, with_rings  # noqa: E402
 from terraloom.streaming import logs  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -228,3 +230,21 @@ def test_geojson_rejects_and_labels(spark):
     good, bad = ingest.geojson_fields(spark.createDataFrame(rows, "id long, body string"), "id", "body")
     assert {(r.id, r.part_index, r.label) for r in good.collect()} == {(1, 0, "Campo storico 1"), (2, 0, "Vigna · 1"), (2, 1, "Vigna · 2")}
     assert sorted(r.id for r in bad.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_quantities_hold_the_whole_record(spark):
+    some = F.col("project_id") % 50 == 1
+    given = {tuple(r[k] for k in planting.KEY): r for r in view(spark, DATA, "project_fields").where(some).collect()}
+    lengths = collections.defaultdict(list)
+    for r in planting.generate_rows(with_rings(view(spark, DATA, "project_fields").where(some))).collect():
+        lengths[tuple(r[k] for k in planting.KEY)].append(r.length_m)
+    got = registry.QUERIES["g11_quantities"](spark, DATA).where(some).collect()
+    assert len(got) == len(given) > 0
+    for r in got:
+        f = given[tuple(r[k] for k in planting.KEY)]
+        rows = lengths[tuple(r[k] for k in planting.KEY)]
+        plants = sum(math.floor(x / f.plant_spacing_m) + 1 for x in rows) if f.plant_spacing_m > 0 else 0
+        posts = sum(max(0, math.ceil(x / f.post_spacing_m) - 1) for x in rows)
+        assert (r.row_count, r.simulated_plants, r.intermediate_posts, r.total_posts) == (len(rows), plants, posts, posts + r.head_posts)
+        assert r.commercial_plants_25 == math.ceil((plants or r.theoretical_plants) / 25) * 25
+        assert r.perimeter_m > 0 and r.headland_area_m2 >= 0
