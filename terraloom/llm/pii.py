@@ -78,8 +78,11 @@ def _joint(some: DataFrame, support: int) -> DataFrame:
     aside = lambda i: F.array(*[F.get(F.col("__words"), i + k)["t"] for k in (-2, -1, 1, 2)])
     placed = some.select("__w", "__es", F.sort_array(F.transform("__words", lambda w, i: F.struct(w["t"].alias("t"), i.alias("i"), F.xxhash64(aside(i)).alias("aside")))).alias("__ts"))
     placed = placed.select("__w", "__es", F.filter("__ts", lambda x, i: (i == 0) | (F.get(F.col("__ts"), F.greatest(i - 1, F.lit(0)))["t"] != x["t"])).alias("__ts"))
-    each = placed.select("__w", "__es", "__ts", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).join(asked, "e")
-    each = each.select("e", "__w", F.transform(F.filter("__es", lambda x: x["e"] == F.col("e")), lambda x: x["near"]).alias("near"), F.explode("__ts").alias("x"))
+    # The places of an entity travel in the exploded struct: computed once for each entity, not once for each of its pairs.
+    own = F.transform(F.array_distinct(F.transform("__es", lambda x: x["e"])), lambda e: F.struct(e.alias("e"), F.transform(F.filter("__es", lambda x: x["e"] == e), lambda x: x["near"]).alias("near")))
+    each = placed.select("__w", "__ts", F.explode(own).alias("o")).select("__w", "__ts", "o.e", "o.near").join(asked, "e")
+    # Outer: for an inner explode Spark infers a filter on the array and computes it anew for each of its own elements.
+    each = each.select("e", "__w", "near", F.explode_outer("__ts").alias("x")).where(F.col("x").isNotNull())
     t = F.col("x.t")
     by = F.filter("near", lambda o: F.array_contains(o, t))
     close = F.transform(by, lambda o, i: F.struct(F.xxhash64(F.filter(o, lambda v: v != t)).alias("about"), F.when(i == 0, F.col("__w")).otherwise(0.0).alias("w")))
@@ -98,7 +101,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, reach: int, support: in
     rows = docs.select(*_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     found = find(rows, "__text", BASE, "__base")
     found = _words(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__text")).alias("__text")))
-    found = written(found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__words")).alias("__words")), "pii")
+    found = found.select("__id", "__h", "__base", F.when(F.size("__base") > 0, F.col("__words")).alias("__words"))
+    found = written(found.select("__id", "__h", "__base", "__words", F.when(F.size("__base") > 0, _entities(reach)).alias("__es")), "pii")
     texts = docs.select(_key(id_col, text_col)[1], F.col(text_col).alias("__text"))
     # A text counts once, so each of its copies counts as its share; most texts have none, and sums are rounded to whole texts.
     copies = written(texts.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1"), "copies")
@@ -106,7 +110,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, reach: int, support: in
     some = shared(found.where(F.size("__base") > 0))
     held = shared(texts).select("__w", F.explode(F.array_distinct(F.transform(words(F.col("__text")), lambda w: F.xxhash64(term(w))))).alias("t"))
     count = found.count() - (copies.agg(F.sum(F.col("__n") - 1)).first()[0] or 0)
-    some = some.select("__id", "__h", "__w", "__words", _entities(reach).alias("__es"))
+    some = some.select("__id", "__h", "__w", "__words", "__es")
     joint = _joint(some, support)
     df_e = some.select("__w", F.explode(F.array_distinct(F.transform("__es", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.round(F.sum("__w")).alias("df_e"))
     # Counted where the texts are read; a partition sends one row for each of its terms.
