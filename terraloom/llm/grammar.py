@@ -2,7 +2,7 @@
 
 Documents are tokenised where they are read and dealt to ranges of ascending id. Within a range, in order of id, they
 are cut into shards of a bounded number of ids; each shard is compressed by replacing its frequent pairs of symbols by nonterminals, round
-after round, until no pair is frequent. A file row holds one shard: the rules, the number of ids that each rule stands for, the
+after round, until no pair is found often enough to pay for its rule. A file row holds one shard: the rules, the number of ids that each rule stands for, the
 remaining sequence, and ids and lengths of its documents. A stretch of ids is decoded by looking up, in the running sum of
 expansion lengths, which symbols cover it.
 
@@ -26,56 +26,81 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import shared_dir
 from terraloom.llm.packing import narrowed, tokenising
 
-#: Ids per shard; a pair is frequent from this count on; rounds end when one shortens the sequence by less than this share.
-SHARD, FREQUENT, GAIN = 1 << 20, 8, 0.005
+#: Ids per shard; a pair is frequent from this count on: its rule costs two symbols and a length, so fewer uses don't pay for it.
+SHARD, FREQUENT = 1 << 20, 4
+NONE = 2**31 - 1  # rank of what isn't frequent
 FIRST = 1 << 16  # nonterminals are numbered from here
-FILE = "range int, shard int, first_id long, doc_id binary, missing int, doc_length binary, rules binary, rule_length binary, sequence binary"
-
-
-def frequent_pairs(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of the pair at each position by falling count (-1: not frequent), and the pairs by rank."""
-    u = s.astype(np.uint32)
-    bucket = (u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
-    likely = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
-    rank = np.full(len(s) - 1, -1, np.int32)
-    if not len(likely):
-        return rank, np.zeros((0, 2), np.int64)
-    pairs, place, n = np.unique(s[likely].astype(np.int64) << 32 | s[likely + 1], return_inverse=True, return_counts=True)
-    by = np.argsort(-n, kind="stable")
-    by = by[n[by] >= least]
-    named = np.full(len(pairs), -1, np.int32)
-    named[by] = np.arange(len(by), dtype=np.int32)
-    rank[likely] = named[place]
-    chosen = pairs[by]
-    return rank, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)
-
-
-def compress(ids: np.ndarray, least: int = FREQUENT, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
+FILE = "range int, shard int, first_id long, n_ids long, doc_id binary, missing int, doc_length binary, rules binary, rule_length binary, sequence binary"
+
+
+def _classes(a: np.ndarray, b: np.ndarray, h: np.ndarray, buckets: int) -> np.ndarray:
+    """For each pair (a, b) the place of one pair that equals it, the same for all equal ones; h is a hash of the pair below buckets."""
+    table = np.empty(buckets, np.int32)
+    every = np.arange(len(a), dtype=np.int32)
+    # One pair per bucket stands for its equals; what differs from it goes around again.
+    table[h] = every
+    out = table[h]
+    todo = np.flatnonzero((a != a[out]) | (b != b[out]))
+    while len(todo):
+        table[h[todo]] = every[todo]
+        out[todo] = table[h[todo]]
+        todo = todo[(a[todo] != a[out[todo]]) | (b[todo] != b[out[todo]])]
+    return out
+
+
+def frequent_pairs(s: np.ndarray, asked: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places among ``asked`` of s (sorted) where a pair begins that is found ``least`` times there, its rank by falling count, and the pairs by rank."""
+    bits = min(20, max(8, len(asked).bit_length() + 1))
+    a, b = s[asked], s[asked + 1]
+    h = ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int32)
+    likely = np.flatnonzero((np.bincount(h, minlength=1 << bits) >= least)[h])
+    a, b = a[likely], b[likely]
+    of = _classes(a, b, h[likely], 1 << bits)
+    n = np.bincount(of, minlength=len(of))
+    chosen = np.flatnonzero(n >= least)
+    chosen = chosen[np.lexsort((b[chosen], a[chosen], -n[chosen]))]
+    named = np.full(len(of), -1, np.int32)
+    named[chosen] = np.arange(len(chosen), dtype=np.int32)
+    rank = named[of]
+    some = rank >= 0
+    return asked[likely[some]], rank[some], np.stack([a[chosen], b[chosen]], axis=1)
+
+
+def compress(ids: np.ndarray, least: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): rule k is the pair that symbol FIRST + k stands for."""
     s, rules, known = ids.astype(np.int32), [], 0
-    while len(s) > 1:
-        rank, pairs = frequent_pairs(s, least)
+    asked = np.arange(len(s) - 1, dtype=np.int32)
+    while len(asked):
+        place, rank, pairs = frequent_pairs(s, asked, least)
         if not len(pairs):
             break
-        order = np.where(rank < 0, np.int32(2**31 - 1), rank)
-        before, after = np.concatenate([[2**31 - 1], order[:-1]]), np.concatenate([order[1:], [2**31 - 1]])
+        beside = place[1:] - place[:-1] == 1
+        before, after = np.full((2, len(rank)), NONE, np.int32)
+        before[1:][beside], after[:-1][beside] = rank[:-1][beside], rank[1:][beside]
         # A pair is replaced where it is more frequent than the pairs that overlap it; in a run of one symbol, at every other place.
-        at = np.flatnonzero((rank >= 0) & (order <= before) & (order <= after))
-        if (runs := order[at] == before[at]).any():
-            heads = np.flatnonzero(order != before)
-            start = heads[np.searchsorted(heads, at, side="right") - 1]
-            at = at[~runs & (order[at] < before[at]) | runs & ((at - start - (order[start] > before[start])) % 2 == 0)]
-        used = np.bincount(rank[at], minlength=len(pairs))
-        good = used >= least
+        at = np.flatnonzero((rank <= before) & (rank <= after))
+        if (runs := rank[at] == before[at]).any():
+            heads, some = np.flatnonzero(rank != before), at[runs]
+            start = heads[np.searchsorted(heads, some, side="right") - 1]
+            runs[runs] = (some - start - (rank[start] > before[start])) % 2 == 1
+            at = at[~runs]
+        good = np.bincount(rank[at], minlength=len(pairs)) >= least
         at = at[good[rank[at]]]
-        if len(at) < max(1, gain * len(s)):
+        if not len(at):
             break
         named = np.cumsum(good) - 1
-        s = s.copy()
-        s[at] = FIRST + known + named[rank[at]]
-        left = np.ones(len(s), bool)
-        left[at + 1] = False
-        s = s[left]
+        made = place[at]
+        s[made] = (FIRST + known + named.astype(np.int32))[rank[at]]
+        gone = made + 1
+        s = np.delete(s, gone)
+        # A pair that wasn't frequent never will be; left to ask are frequent pairs that stayed and pairs with a new symbol.
+        live = np.zeros(len(s), bool)
+        stayed = place[gone[np.minimum(np.searchsorted(gone, place), len(gone) - 1)] != place]
+        live[stayed - np.searchsorted(gone, stayed)] = True
+        new = made - np.arange(len(made), dtype=np.int32)
+        live[new] = True
+        live[np.maximum(new - 1, 0)] = True
+        asked = np.flatnonzero(live[:-1]).astype(np.int32)
         rules.append(pairs[good])
         known += int(good.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2))).astype(np.int32), s
@@ -136,8 +161,8 @@ def _compressing(shard_ids: int):
             rules, seq = compress(np.concatenate([x for _, x in held]))
             blobs = (np.array([d or 0 for d, _ in held], "<i8"), lengths, rules.astype("<i4"), expansion_lengths(rules).astype("<i8"), seq.astype("<i4"))
             doc, length, *rest = (x.tobytes() for x in blobs)
-            values = [now, shard, first, doc, int(held[0][0] is None), length, *rest]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
+            values = [now, shard, first, int(lengths.sum()), doc, int(held[0][0] is None), length, *rest]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         size = 0
@@ -185,12 +210,11 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, decoded from the files: ids of all documents before it, its number of ids, and their checksum."""
     files = spark.read.schema(FILE).parquet(folder)
-    sizes = files.groupBy("range").agg(F.max_by(F.struct("first_id", "doc_length"), "shard").alias("last"), F.max("shard").alias("shards")).select("range", F.col("last.first_id").alias("n"), F.col("last.doc_length").alias("len"))
     # One row per range, at most as many as write() was told to make.
     before, offsets = 0, []
-    for r in sizes.orderBy("range").collect():
+    for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect():
         offsets.append((r["range"], before))
-        before += r["n"] + int(np.frombuffer(r["len"], "<i8").sum())
+        before += r["n"]
     at = spark.createDataFrame(offsets, "range int, before long")
     docs = files.mapInArrow(_reading, "range int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(at), "range").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,9 +1,9 @@
 """Token ids of whole texts, made by the tokenizers library where the documents are read.
 
 A text is cut where the tokenizer itself always cuts, each distinct piece is encoded once, and a text's ids are its pieces' ids
-in a row. Texts in which a cut could fall elsewhere are encoded whole. A piece that is a word of common letters, with or without
-marks after it, goes straight to the library's merge model, which is what the tokenizer would do with it. Pieces are kept up to a
-fixed number per Python worker; beyond it they are encoded anew, so memory stays bounded.
+in a row. Texts in which a cut could fall elsewhere, and by default texts that spell a special token, are encoded whole. A piece that is a
+word of common letters, with or without marks after it, goes straight to the library's merge model, which is what the tokenizer would do
+with it. Pieces are kept up to a fixed number per Python worker; beyond it they are encoded anew, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 KEPT, LONGEST = 1_000_000, 40
 #: Characters that str.split() takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
-_AFTER_BLANK = re.compile(r" \s")
+#: Runs of white space that byte-level vocabularies don't cut into single characters.
+_RUN = re.compile(r"\s\s\s|\s\s\Z")
 #: Letters whose lower case is one letter by any rule, then marks that no vocabulary joins to letters.
 _PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.!?;:#*$%&|()]*)")
-_made: dict[tuple[str, bool], Encoder] = {}
+_made: dict[tuple[str, bool, bool], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,7 +43,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(self) < KEPT and len(piece) <= LONGEST and "\n" not in piece:
+        if len(self) < KEPT and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
@@ -50,20 +51,23 @@ class _Pieces(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 16-bit numbers."""
 
-    def __init__(self, path: str, blank_joins: bool):
+    def __init__(self, path: str, blank_joins: bool, special_as_text: bool = True):
         """blank_joins: a blank belongs to the word after it (byte-level vocabularies), rather than being dropped with capitals."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit in 16 bits")
         self.blank_joins = blank_joins
+        starts = sorted({re.escape(t.content[:2]) for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = re.compile("|".join(starts)) if starts and not special_as_text else None
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.kept = _Pieces(self._piece)
-        #: Pieces that begin with a blank, by what follows it.
-        self.after = _Pieces(lambda rest: self._piece(" " + rest))
+        self.line = self._whole("\n")
+        #: Pieces that begin with a blank, by what follows it, and those that begin with a line end.
+        self.after = _Pieces(lambda rest: self.line + (self.kept[rest[1:]] if rest[1:] else b"") if rest[:1] == "\n" else self._piece(" " + rest))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -72,12 +76,6 @@ class Encoder:
         return self.after[piece[1:]] if piece[:1] == " " else self.kept[piece]
 
     def _piece(self, piece: str) -> bytes:
-        if "\n" in piece:
-            left, line, right = piece.partition("\n")
-            # One line end between two visible characters is a token of its own.
-            if left and right and not left[-1].isspace() and not right[0].isspace():
-                return self._cut(left) + self.kept[line] + self.kept[right]
-            return self._whole(piece)
         m = _PLAIN.fullmatch(piece)
         if m is None:
             return self._whole(piece)
@@ -90,11 +88,13 @@ class Encoder:
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def _text(self, text: str) -> bytes:
+        if self.special is not None and self.special.search(text):
+            return self._whole(text)
         if self.blank_joins:
-            # Between a character and a single blank before a character, the pattern of byte-level vocabularies always cuts.
-            if _AFTER_BLANK.search(text):
+            # Before a single blank or line end, the pattern of byte-level vocabularies always cuts; after a line end, too.
+            if _RUN.search(text):
                 return self._whole(text)
-            first, *rest = text.split(" ")
+            first, *rest = text.replace("\n", " \n").split(" ")
             return (self.kept[first] if first else b"") + b"".join(map(self.after.__getitem__, rest))
         return self._whole(text) if _ODD.search(text) else b"".join(map(self.kept.__getitem__, text.split()))
 
@@ -102,8 +102,9 @@ class Encoder:
         return [self._text(t) for t in texts]
 
 
-def encoder(path: str, blank_joins: bool) -> Encoder:
-    """The worker's own encoder for a vocabulary file."""
-    if (path, blank_joins) not in _made:
-        _made[path, blank_joins] = Encoder(path, blank_joins)
-    return _made[path, blank_joins]
+def encoder(path: str, blank_joins: bool, special_as_text: bool = False) -> Encoder:
+    """The worker's own encoder for a vocabulary file; by default a special token's spelling in a text gives that token, as in the library."""
+    key = (path, blank_joins, special_as_text)
+    if key not in _made:
+        _made[key] = Encoder(*key)
+    return _made[key]

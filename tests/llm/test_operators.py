@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -331,6 +332,34 @@ def test_pieces_give_the_tokenizers_ids(name, joins):
     assert Encoder(path, joins).encode(texts) == want
 
 
+@pytest.mark.parametrize("name, joins", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_pieces_give_the_library_s_own_ids_by_default(name, joins):
+    from terraloom.llm.tokens import encoder
+
+    path = public_tokenizers.path(name)
+    draw = random.Random(3)
+    bits = ["a", "the", "Word", " ", " ", "\n", "\n", "\t", ".", ",", "'s", "'", "é", "ß", "1", "23", "\u0301", "日", "😀", "\r\n", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", "ing", "(", "-"]
+    texts = ODD + ["".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert encoder(path, joins).encode(texts) == want
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_repair_replaces_every_pair_that_pays(least):
+    draw = np.random.default_rng(4)
+    for ids in (draw.integers(0, 5, 3000), np.repeat(draw.integers(0, 3, 300), 7), np.zeros(1000, int), np.arange(50), np.zeros(0, int), np.array([7])):
+        rules, seq = grammar.compress(ids.astype("<u2"), least)
+        assert np.array_equal(grammar.expand(seq, rules), ids)
+        last = -1
+        counts = {}
+        for i, pair in enumerate(zip(seq.tolist(), seq.tolist()[1:])):
+            if not (pair[0] == pair[1] and last == i - 1 and seq[i - 1] == pair[0]):
+                counts[pair] = counts.get(pair, 0) + 1
+                last = i
+        # What is left may overlap itself or pairs that won, so a few uses can stay; not many.
+        assert max(counts.values(), default=0) < 3 * least
+
+
 def ids_of(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return [(d, np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4")) for d, x, _ in TEXTS]
