@@ -527,3 +527,74 @@ def test_template_of_a_host_without_article_elements(spark):
     rows = [(i, "http://s.example/", page.format(a=prose(i, 60), b=prose(i + 50, 60))) for i in range(8)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == prose(r.page_id, 60) + "\n" + prose(r.page_id + 50, 60) for r in got)
+
+
+def test_template_text_goes_from_articles_too(spark):
+    """The same line on every page belongs to the template; switched off, it stays. Names in doubt are settled by the template."""
+    body = "<html><body><nav>Home</nav><article><h1>Title {0}</h1><p>{1}</p><p>Read more in our paper edition.</p>{2}</article></body></html>"
+    extra = ['<div class="notice-box">Office closed.</div>'] * 12
+    extra[5] = '<div class="recipe-menu">Soup of the day</div>'
+    rows = [(i, f"http://h.example/{i}", body.format(i, prose(i, 30), extra[i])) for i in range(12)]
+    rows += [(20 + i, "http://h.example/copy", rows[0][2]) for i in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"Title 1\n{prose(1, 30)}"
+    assert got[5] == f"Title 5\n{prose(5, 30)}\nSoup of the day"
+    assert got[20] == got[0] == f"Title 0\n{prose(0, 30)}"
+    assert html_text.text_of(html_text.parse(rows[1][2])) == f"Title 1\n{prose(1, 30)}\nRead more in our paper edition."
+
+
+def test_copied_articles_are_no_template(spark):
+    page = "<html><body><article><h1>News</h1><p>{0}</p><p>{1}</p></article></body></html>"
+    rows = [(i, "http://c.example/", page.format(prose(1, 60), "End " + "abcdefghijkl"[i])) for i in range(12)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith(f"News\n{prose(1, 60)}\nEnd") for r in got)
+
+
+def test_classes_match_brute_force_on_a_host():
+    """Equal signatures are equal occurrence vectors."""
+    import pyarrow as pa
+
+    pages = [f"<html><body><div class='a'>x</div>{'<p>k</p>' * (i % 3)}<article>{'<p>t</p>' * (1 + i % 2)}</article></body></html>" for i in range(12)]
+    vectors = collections.defaultdict(lambda: [0] * 12)
+    for i, h in enumerate(pages):
+        for n in html_text.parse(h).opened:
+            vectors[n.path][i] += 1
+    batch = pa.RecordBatch.from_pydict({"host": ["h"] * 12, "page_id": list(range(12)), "html": pages})
+    rows = next(html_text._tokens(iter([batch]))).to_pylist()
+    signed = {r["token"]: (r["pages"], r["a"], r["b"]) for r in rows if r["depth"] >= 0}
+    for p, q in itertools.combinations(vectors, 2):
+        assert (vectors[p] == vectors[q]) == (signed[p] == signed[q])
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>text one</p><p>two</p>", "text one\ntwo"),
+        ("<article><p>before</p><svg/><p>after</p></article>", "before\nafter"),
+        ("<article><p>a</p><svg><title>t</title><path/></svg><p>b <math><mi>x</mi></math> c</p></article>", "a\nb x c"),
+        ("<article><p>a</p><object>fallback<p>in</p></object><p>b</p></article>", "a\nb"),
+        ("<article><p>a<p>b<script>never closed", "a\nb"),
+        ("<article>" + "<div>" * 50 + "x" + "</span></p>" * 50, "x"),
+        ("</div></article>x<article>y</article></article>", "y"),
+        ("<article><p>a &lt;b&gt; &amp;amp; &#233;</p>\n<p> c\n\td </p></article>", "a <b> &amp; é\nc d"),
+        ("", ""),
+    ],
+)
+def test_broken_markup(html, text):
+    assert html_text.text_of(html_text.parse(html)) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<div>x" * 150_000, "<p><span>" * 100_000, "</b>" * 250_000 + "<ul>" * 100_000, "<li><div>" * 100_000])
+def test_a_megabyte_of_nested_tags_takes_seconds(page):
+    import time
+
+    began = time.process_time()
+    html_text.text_of(html_text.parse(page))
+    assert time.process_time() - began < 20
+
+
+def test_pages_with_clashing_columns_and_long_texts(spark):
+    rows = [(1, "http://x/", f"<article><p>{'word ' * 200_000}</p></article>", "h", 1), (None, None, None, None, None), (1, "http://x/", "<p>b</p>", "h", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, content long")
+    got = sorted((r.page_id or 0, r.n_chars) for r in html_text.extract(df).collect())
+    assert got == [(0, 0), (1, 1), (1, 999_999)]
