@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.functions.common import blank_to_null, ceil25, text
+from terraloom.functions.common import blank_to_null, ceil25, finite_or_null, text
 
 CATEGORIES = ("plants", "posts", "other")
+PUBLISHED = ("saved", "pdf_downloaded", "quote_requested", "contacted", "client")
 #: Accented Latin letters and what they fold to.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
@@ -43,11 +44,19 @@ def owned_fields(fields: DataFrame, projects: DataFrame, owner: int) -> DataFram
 
 
 def resolve_codes(asked: DataFrame, aliases: DataFrame, projects: DataFrame) -> DataFrame:
-    """Project of each public code: by alias first, then by the project's own code; only published, live ones."""
-    live = projects.where(F.col("deleted_at").isNull() & F.col("status").isin("saved", "pdf_downloaded", "quote_requested", "contacted", "client"))
-    own = live.select(F.col("public_code").alias("code"), F.col("project_id").alias("by_code"))
-    named = aliases.join(live.select("project_id"), "project_id", "left_semi").select("code", F.col("project_id").alias("by_alias"))
-    return asked.join(named, "code", "left").join(own, "code", "left").select("code", F.coalesce("by_alias", "by_code").alias("project_id"))
+    """Project of each public code: the alias's project, or else the one with that code, if it is live and published. An alias that
+    leads to another project hides a project's own code even then; texts that are no code give null."""
+    own = projects.select(F.col("public_code").alias("__code"), F.col("project_id").alias("by_code"))
+    named = aliases.select(F.col("code").alias("__alias"), F.col("project_id").alias("by_alias"))
+    key = F.when(public_code_ok(F.upper(F.trim("code"))), F.upper(F.trim("code")))
+    met = asked.select("code", key.alias("__key")).join(named, F.col("__key") == F.col("__alias"), "left").join(own, F.col("__key") == F.col("__code"), "left")
+    open_ = projects.where(F.col("deleted_at").isNull() & F.col("status").isin(*PUBLISHED)).select(F.col("project_id").alias("open_id"))
+    met = met.withColumn("found", F.coalesce("by_alias", "by_code"))
+    return met.join(open_, met["found"] == open_["open_id"], "left").select("code", F.col("open_id").alias("project_id"))
+
+
+def public_code_ok(code: Column) -> Column:
+    return F.coalesce(code.rlike("^VO-[0-9]{7}$"), F.lit(False))
 
 
 def lists_with_flag(lists: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -59,19 +68,19 @@ def check_snapshots(submissions: DataFrame, sent: DataFrame, live: DataFrame, li
     """Per submission: accepted if it has 1 to limit entries, none twice, each live and unchanged; else what is wrong first."""
     key = ["list_id", "client_field_id", "entry_no"]
     now = live.select(*key, F.col("quantity").alias("now"))
-    met = sent.join(now, key, "left").groupBy("submission_id").agg(F.count("*").alias("n"), F.countDistinct("client_field_id", "entry_no").alias("distinct"), F.count_if(F.col("now").isNull()).alias("gone"), F.count_if(F.col("now") != F.col("quantity")).alias("changed"))
+    met = sent.join(now, key, "left").groupBy("submission_id").agg(F.count("*").alias("n"), F.count_distinct(F.struct("client_field_id", "entry_no")).alias("distinct"), F.count_if(F.col("now").isNull()).alias("gone"), F.count_if(F.col("now") != F.col("quantity")).alias("changed"))
     out = submissions.select("submission_id").join(met, "submission_id", "left")
     verdict = F.when(F.coalesce("n", F.lit(0)) == 0, "empty").when(F.col("n") > limit, "too_many").when(F.col("distinct") < F.col("n"), "repeated").when(F.col("gone") > 0, "gone").when(F.col("changed") > 0, "changed").otherwise("accepted")
     return out.select("submission_id", verdict.alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_entries"))
 
 
-def revision_changes(revisions: DataFrame) -> DataFrame:
-    """Groups of values that differ between each revision and the one before it."""
-    w = Window.partitionBy("project_id").orderBy("revision_number")
-    before = revisions.withColumn("b", F.lag(F.struct("row_spacing_m", "rootstock", "label")).over(w)).where(F.col("b").isNotNull())
-    names = (("layout", "row_spacing_m"), ("material", "rootstock"), ("identity", "label"))
-    changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"b.{c}")), F.lit(n)) for n, c in names]))
-    return before.select("project_id", "revision_number", changed.alias("changed"))
+def revision_changes(revisions: DataFrame, groups: dict[str, list[str]], key: str = "project_id", number: str = "revision_number") -> DataFrame:
+    """Groups of values (group -> columns) that differ between each revision and the one before it, in the order of groups."""
+    w = Window.partitionBy(key).orderBy(number)
+    columns = [c for cs in groups.values() for c in cs]
+    before = revisions.withColumn("b", F.lag(F.struct(*columns)).over(w)).where(F.col("b").isNotNull())
+    differs = {n: ~F.struct(*cs).eqNullSafe(F.struct(*[F.col(f"b.{c}") for c in cs])) for n, cs in groups.items()}
+    return before.select(key, number, F.array_compact(F.array(*[F.when(d, F.lit(n)) for n, d in differs.items()])).alias("changed"))
 
 
 def compare_revisions(fields: DataFrame, other: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -132,19 +141,17 @@ def orientation(x: Column) -> Column:
 
 
 def headland(width: Column, mechanised: Column) -> Column:
-    """Mechanised plots need at least six metres."""
-    return F.when(mechanised, F.greatest(F.coalesce(width, F.lit(6.0)), F.lit(6.0))).otherwise(width)
-
-
-def advice(fields: DataFrame, key: list[str]) -> DataFrame:
-    """A row per piece of design advice."""
-    notes = F.array_compact(
-        F.array(
-            F.when(F.col("row_spacing_m").isNull() | F.col("plant_spacing_m").isNull(), F.lit("incomplete_spacing")),
-            F.when(F.col("headland_width_m").isNull(), F.lit("mechanised_without_headland")),
-            F.when(F.col("row_spacing_m") < 2.25, F.lit("verify_machine")),
-        )
-    )
+    """Mechanised plots need at least six metres; a width that is no number or negative counts as none."""
+    good = F.when(finite_or_null(width) >= 0, finite_or_null(width))
+    return F.when(mechanised, F.greatest(F.coalesce(good, F.lit(6.0)), F.lit(6.0))).otherwise(good)
+
+
+def advice(fields: DataFrame, key: list[str], mechanised: str = "mechanised", row: str = "row_spacing_m", plant: str = "plant_spacing_m", headland_col: str = "headland_width_m") -> DataFrame:
+    """A row per piece of design advice: spacings that are missing or not positive; for mechanised harvest, a missing headland or else a
+    machine to verify."""
+    positive = lambda c: F.coalesce(finite_or_null(F.col(c)) > 0, F.lit(False))
+    by_machine = F.when(positive(headland_col), F.lit("mechanization_verify_machine")).otherwise(F.lit("mechanization_headland_missing"))
+    notes = F.array_compact(F.array(F.when(~(positive(row) & positive(plant)), F.lit("spacing_incomplete")), F.when(F.col(mechanised), by_machine)))
     return fields.select(*key, F.explode(notes).alias("advice"))
 
 

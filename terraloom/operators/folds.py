@@ -61,6 +61,14 @@ def apply_operations(ops: DataFrame) -> DataFrame:
     return fold(once, "project_id", ["ts", "seq"], lambda: 0, step, "status string, server_version bigint")
 
 
+def answers(ops: DataFrame) -> DataFrame:
+    """Every row of the log with the result of its operation: a repeated operation is answered with its first result and changes nothing."""
+    w = Window.partitionBy("operation_id").orderBy("seq")
+    results = apply_operations(ops).select("operation_id", F.col("project_id").alias("__project"), "status", "server_version")
+    asked = ops.select("seq", "operation_id").withColumn("repeated", F.row_number().over(w) > 1)
+    return asked.join(results, "operation_id").withColumnRenamed("__project", "project_id")
+
+
 def fixed_window(attempts: DataFrame, key: str, ts: str, window_s: int = 900, limit: int = 10) -> DataFrame:
     """Allowed attempts of a counter that restarts with the first attempt after its window has passed."""
     rows = attempts.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from terraloom.functions.common import blank_to_null
 
 
+#: Kinds of event and the payload keys that are never kept for them.
+PRIVATE = {"gps_used": ("latitude", "longitude", "lat", "lon", "lng", "accuracy", "coords")}
+
+
 def counts_per_field(entries: DataFrame, key: list[str]) -> DataFrame:
     """Totals of the three categories and the latest update of every field."""
     total = lambda c: F.coalesce(F.sum(F.when(F.col("category") == c, F.col("quantity"))), F.lit(0)).alias(c)
@@ -48,12 +52,15 @@ def merge_outbox(queued: DataFrame, retained: DataFrame, conflicted: DataFrame)
     return kept.join(conflicted.withColumn("blocked", F.lit(True)), "project_id", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
-def redacted_events(events: DataFrame, private: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
-    """Payloads without private keys for some kinds of event; the visitor only where analytics are consented to."""
-    payload = F.from_json("props", "map<string,string>")
-    cut = F.map_filter(payload, lambda k, v: ~k.isin(*private))
-    shown = F.when(F.col("event_type").isin(*kinds), cut).otherwise(payload)
-    return events.select("event_id", "event_type", F.array_sort(F.map_keys(shown)).alias("payload_keys"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("visitor"))
+def redacted_events(events: DataFrame, consents: DataFrame, payload: str = "props", private: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Events with their payload as JSON less the private keys of their kind, and the visitor only where (user_id, consent) says analytics."""
+    private = PRIVATE if private is None else private
+    given = F.from_json(payload, "map<string,string>")
+    shown = given
+    for kind, keys in private.items():
+        shown = F.when(F.col("event_type") == kind, F.map_filter(given, lambda k, v, keys=keys: ~k.isin(*keys))).otherwise(shown)
+    agreed = consents.where(F.col("consent") == "analytics").select("user_id").distinct().withColumn("__agreed", F.lit(True))
+    return events.join(agreed, "user_id", "left").select("event_id", "event_type", F.to_json(shown).alias("payload"), F.when(F.col("__agreed"), F.col("user_id")).alias("visitor"))
 
 
 def public_fields(nested: DataFrame, selected: DataFrame) -> DataFrame:
@@ -98,20 +105,24 @@ def recompute_totals(projects: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def signature(ring: Column) -> Column:
-    """A ring's text with six decimals, to notice when a stored profile belongs to an older outline."""
+    """A ring's text with six decimals."""
     return F.array_join(F.transform(ring, lambda p: F.format_string("%.6f,%.6f", p["lon"], p["lat"])), ";")
 
 
+def current(stored: Column, ring: Column) -> Column:
+    """Whether a stored signature is that of the ring; one that is missing or empty never is."""
+    return F.coalesce((stored != "") & (stored == signature(ring)), F.lit(False))
+
+
 def reference_text(municipality: Column, section: Column, sheet: Column, parcel: Column) -> Column:
     """Display text of a cadastral reference; parts that are missing are left out."""
     part = lambda label, x: F.when(blank_to_null(x).isNotNull(), F.concat(F.lit(label), F.trim(x)))
     return F.concat_ws(" · ", blank_to_null(municipality), part("Sez. ", section), part("Fg. ", sheet), part("Part. ", parcel))
 
 
-def horizontal_step(ground_m: Column, slope_x: Column, slope_y: Column, angle: Column) -> Column:
-    """Horizontal distance between rows so that they are ground_m apart on a plane of the given slopes, across rows of the given direction."""
-    across = slope_x * F.cos(angle) + slope_y * F.sin(angle)
-    return ground_m / F.sqrt(1 + across * across)
+def horizontal_step(ground_m: Column, along: Column, across: Column) -> Column:
+    """Horizontal distance between rows so that they are ground_m apart on a plane that climbs ``along`` the rows and ``across`` them."""
+    return ground_m * F.sqrt((1 + along * along) / (1 + along * along + across * across))
 
 
 DELIVERY = "state string, send boolean, attempts int"

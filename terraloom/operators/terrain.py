@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 STEP = 5.0
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """Rows of heights (model_id, j, embedding) -> cells; any array column of one raster row is read this way."""
-    return rows.select("model_id", "j", F.posexplode("embedding").alias("i", "v")).select("model_id", "i", "j", (200.0 + 10.0 * F.col("v").cast("double") + 0.5 * F.col("i")).alias("z"))
+def cells(rows: DataFrame, heights: str = "heights") -> DataFrame:
+    """Raster rows (model_id, j, array of heights) -> cells."""
+    return rows.select("model_id", "j", F.posexplode(heights).alias("i", "z")).select("model_id", "i", "j", F.col("z").cast("double").alias("z"))
 
 
 def explode_tiles(tiles: DataFrame) -> DataFrame:

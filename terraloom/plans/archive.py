@@ -30,10 +30,20 @@ def _snapshots(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _codes(s: SparkSession, sf: str) -> DataFrame:
+    """Some codes are aliases of other projects, live or not; some texts are no codes."""
     p = view(s, sf, "projects")
     aliases = p.where("project_id % 50 = 7").select(F.concat(F.lit("VO-9"), F.lpad(F.col("project_id").cast("string"), 6, "0")).alias("code"), "project_id")
-    asked = aliases.select("code").unionByName(p.where("project_id % 9 = 4").select(F.col("public_code").alias("code")))
-    return a.resolve_codes(asked, aliases, p)
+    taken = p.where("project_id % 90 = 4 AND project_id > 0").select(F.col("public_code").alias("code"), (F.col("project_id") - 1).alias("project_id"))
+    wrong = p.where("project_id % 40 = 1").select(F.concat(F.lit("vo "), "public_code").alias("code"))
+    asked = aliases.select("code").unionByName(p.where("project_id % 9 = 4").select(F.col("public_code").alias("code"))).unionByName(wrong)
+    return a.resolve_codes(asked, aliases.unionByName(taken), p)
+
+
+def _changed(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("project_id") + F.col("revision_number")
+    more = {"outline": k % 5, "exclusions": F.when(k % 3 == 0, F.array(F.lit(1))), "surface": k % 7 > 2, "notes": F.when(k % 4 > 1, F.concat(F.lit("n"), (k % 4).cast("string")))}
+    groups = {"identity": ["label"], "geometry": ["outline"], "exclusions": ["exclusions"], "layout": ["row_spacing_m"], "terrain": ["surface"], "material": ["rootstock"], "notes": ["notes"]}
+    return a.revision_changes(view(s, sf, "revisions").withColumns(more), groups)
 
 
 def _compared(s: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +76,13 @@ def _grants(s: SparkSession, sf: str) -> DataFrame:
     return a.transfer(p.select("project_id", "owner_user_id"), grants)
 
 
+def _cells(s: SparkSession, sf: str) -> DataFrame:
+    heights = F.transform("embedding", lambda v, i: 200.0 + 10.0 * v.cast("double") + 0.5 * i)
+    return terrain.cells(view(s, sf, "raster").select("model_id", "j", heights.alias("heights")))
+
+
 def _sampled(s: SparkSession, sf: str) -> DataFrame:
-    c = terrain.cells(view(s, sf, "raster"))
+    c = _cells(s, sf)
     points = view(s, sf, "raster").select("model_id", F.col("j").alias("point"), (F.col("j") * 0.61).alias("u"), (F.col("j") * 1.013 - 0.4).alias("v"))
     return terrain.heights_at(points, c).select("model_id", "point", F.round("z", 5).alias("z"))
 
@@ -78,6 +93,7 @@ def _r(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 QUERIES = {
     "v1_apply_operations": lambda s, sf: folds.apply_operations(view(s, sf, "sync_ops")).select("operation_id", "project_id", "status", "server_version"),
+    "v1_answers": lambda s, sf: folds.answers(view(s, sf, "sync_ops")).select("seq", "operation_id", "project_id", "status", "server_version", "repeated"),
     "w7_fixed_window_limit": lambda s, sf: folds.fixed_window(_attempts(s, sf), "user_id", "ts", 20 * 86_400, 5),
     "w8_sliding_window_limit": lambda s, sf: folds.sliding_window(_attempts(s, sf), "user_id", "ts", 20 * 86_400, 5),
     "st1_counters": lambda s, sf: folds.counters(view(s, sf, "count_commands")).select("count_id", "op_id", "quantity"),
@@ -89,7 +105,7 @@ QUERIES = {
     "j5_public_codes": _codes,
     "j7_submitted_lists": lambda s, sf: a.lists_with_flag(view(s, sf, "counts_lists"), view(s, sf, "submissions")),
     "j16_snapshot_check": lambda s, sf: a.check_snapshots(*_snapshots(s, sf), view(s, sf, "counts_entries")),
-    "v11_revision_changes": lambda s, sf: a.revision_changes(view(s, sf, "revisions")),
+    "v11_revision_changes": _changed,
     "j18_revision_compare": _compared,
     "v2_field_upsert": _upserted,
     "v4_restore": lambda s, sf: a.restore(view(s, sf, "projects"), _now(), 400),
@@ -98,18 +114,18 @@ QUERIES = {
     "f7_national_reference": _references,
     "d1_unique_references": _deduped,
     "d2_archive_merge": lambda s, sf: a.merge_archives(view(s, sf, "projects").where("origin = 'imported'").select("project_id", "name"), view(s, sf, "projects").select("project_id", F.upper("name").alias("name")), "project_id"),
-    "p14_headland": lambda s, sf: view(s, sf, "project_fields").select(*KEY, a.headland(F.col("headland_width_m"), F.col("l_shape")).alias("headland_m")),
-    "p15_advice": lambda s, sf: a.advice(view(s, sf, "project_fields"), KEY),
+    "p14_headland": lambda s, sf: view(s, sf, "project_fields").select(*KEY, a.headland(F.col("headland_width_m") - F.when(F.col("project_id") % 5 == 1, 4).otherwise(0), F.col("l_shape")).alias("headland_m")),
+    "p15_advice": lambda s, sf: a.advice(view(s, sf, "project_fields").withColumn("plant_spacing_m", F.when(F.col("project_id") % 10 != 3, F.col("plant_spacing_m"))), KEY, "l_shape"),
     "p16_orientation": lambda s, sf: view(s, sf, "project_fields").select(*KEY, a.orientation(F.regexp_replace((F.col("orientation_deg") * 1.37 - 20).cast("string"), r"\.", ",")).alias("orientation")),
     "p19_count_violations": lambda s, sf: a.count_violations(view(s, sf, "counts_entries").withColumn("quantity", F.col("quantity") - 5), ["list_id", "client_field_id"]),
     "p20_profile_errors": lambda s, sf: a.profile_errors(view(s, sf, "profiles")),
     "v17_quote_text": lambda s, sf: a.quote_lines(view(s, sf, "project_fields"), view(s, sf, "production_lots"), KEY),
     "a18_catalogue": lambda s, sf: view(s, sf, "production_lots").select("grape_variety", "clone_selection").distinct().orderBy(text(F.col("grape_variety"))),
-    "r4_terrain_faces": lambda s, sf: _r(terrain.faces(terrain.cells(view(s, sf, "raster"))), 3, "slope_percent", "mean_z"),
-    "a13_terrain_summary": lambda s, sf: _r(terrain.summary(terrain.cells(view(s, sf, "raster"))), 3, "min_z", "max_z", "range_z", "max_slope_percent"),
+    "r4_terrain_faces": lambda s, sf: _r(terrain.faces(_cells(s, sf)), 3, "slope_percent", "mean_z"),
+    "a13_terrain_summary": lambda s, sf: _r(terrain.summary(_cells(s, sf)), 3, "min_z", "max_z", "range_z", "max_slope_percent"),
     "r3_heights_at_points": _sampled,
-    "r6_surface_area": lambda s, sf: _r(terrain.surface_area(terrain.cells(view(s, sf, "raster"))), 2, "surface_m2"),
-    "r10_height_colours": lambda s, sf: terrain.encode_heights(terrain.cells(view(s, sf, "raster"))),
+    "r6_surface_area": lambda s, sf: _r(terrain.surface_area(_cells(s, sf)), 2, "surface_m2"),
+    "r10_height_colours": lambda s, sf: terrain.encode_heights(_cells(s, sf)),
 }
 
 _CELLS = "cells AS (SELECT model_id, CAST(n - 1 AS INTEGER) AS i, j, 200.0e0 + 10.0e0 * CAST(embedding[n] AS DOUBLE) + 0.5e0 * (n - 1) AS z FROM raster, unnest(range(1, len(embedding) + 1)) t(n))"
@@ -128,6 +144,12 @@ _SQL = {
       f AS (SELECT operation_id, project_id, n, expected_version = 0 AS good, CASE WHEN expected_version = 0 THEN 1 ELSE 0 END AS v FROM o WHERE n = 1
         UNION ALL SELECT o.operation_id, o.project_id, o.n, o.expected_version = f.v, f.v + CASE WHEN o.expected_version = f.v THEN 1 ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
       SELECT operation_id, project_id, CASE WHEN good THEN 'applied' ELSE 'conflict' END AS status, CAST(v AS BIGINT) AS server_version FROM f""",
+    "v1_answers": """WITH RECURSIVE once AS (SELECT * FROM sync_ops QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY seq) = 1),
+      o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, seq) AS n FROM once),
+      f AS (SELECT operation_id, project_id, n, expected_version = 0 AS good, CASE WHEN expected_version = 0 THEN 1 ELSE 0 END AS v FROM o WHERE n = 1
+        UNION ALL SELECT o.operation_id, o.project_id, o.n, o.expected_version = f.v, f.v + CASE WHEN o.expected_version = f.v THEN 1 ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
+      SELECT s.seq, s.operation_id, f.project_id, CASE WHEN good THEN 'applied' ELSE 'conflict' END AS status, CAST(v AS BIGINT) AS server_version, s.seq <> first.seq AS repeated
+      FROM sync_ops s JOIN f ON f.operation_id = s.operation_id JOIN once first ON first.operation_id = s.operation_id""",
     "w7_fixed_window_limit": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT user_id, at_us, n, at_us AS begun, 1 AS attempts FROM tries WHERE n = 1
         UNION ALL SELECT a.user_id, a.at_us, a.n, CASE WHEN f.begun < a.at_us - 1728000000000 THEN a.at_us ELSE f.begun END, CASE WHEN f.begun < a.at_us - 1728000000000 THEN 1 ELSE f.attempts + 1 END FROM f JOIN tries a ON a.user_id = f.user_id AND a.n = f.n + 1)
       SELECT user_id, at_us, attempts, attempts <= 5 AS allowed FROM f""",
@@ -149,14 +171,19 @@ _SQL = {
     "a6_counts_by_category": """SELECT list_id, category, count(quantity) AS items, CAST(coalesce(sum(quantity), 0) AS VARCHAR) AS total
       FROM (SELECT DISTINCT list_id, unnest(['plants', 'posts', 'other']) AS category FROM counts_entries) k LEFT JOIN counts_entries e USING (list_id, category) GROUP BY ALL""",
     "j3_owned_fields": "SELECT f.project_id, f.client_field_id FROM project_fields f WHERE EXISTS (SELECT 1 FROM projects p WHERE p.project_id = f.project_id AND p.owner_user_id = 49 AND p.deleted_at IS NULL)",
-    "j5_public_codes": """WITH al AS (SELECT concat('VO-9', lpad(CAST(project_id AS VARCHAR), 6, '0')) AS code, project_id FROM projects WHERE project_id % 50 = 7),
-      q AS (SELECT code FROM al UNION ALL SELECT public_code FROM projects WHERE project_id % 9 = 4), ok AS (SELECT * FROM projects WHERE deleted_at IS NULL AND status <> 'draft')
-      SELECT q.code, coalesce((SELECT al.project_id FROM al JOIN ok USING (project_id) WHERE al.code = q.code), (SELECT project_id FROM ok WHERE public_code = q.code)) AS project_id FROM q""",
+    "j5_public_codes": """WITH al AS (SELECT concat('VO-9', lpad(CAST(project_id AS VARCHAR), 6, '0')) AS code, project_id FROM projects WHERE project_id % 50 = 7
+        UNION ALL SELECT public_code, project_id - 1 FROM projects WHERE project_id % 90 = 4 AND project_id > 0),
+      q AS (SELECT code FROM al WHERE code LIKE 'VO-9%' UNION ALL SELECT public_code FROM projects WHERE project_id % 9 = 4 UNION ALL SELECT 'vo ' || public_code FROM projects WHERE project_id % 40 = 1)
+      SELECT q.code, o.project_id FROM q LEFT JOIN al ON al.code = q.code LEFT JOIN projects p ON p.public_code = q.code
+      LEFT JOIN projects o ON o.project_id = CASE WHEN al.code IS NOT NULL THEN al.project_id ELSE p.project_id END AND o.deleted_at IS NULL AND o.status <> 'draft'""",
     "j7_submitted_lists": "SELECT list_id, status, list_id IN (SELECT list_id FROM submissions) AS submitted FROM counts_lists WHERE deleted_at IS NULL",
     "j16_snapshot_check": """WITH n AS (SELECT list_id, count(*) AS n, count(*) FILTER (entry_no = 1) AS first FROM counts_entries GROUP BY list_id)
       SELECT submission_id, CASE WHEN n IS NULL THEN 'empty' WHEN submission_id % 12 = 1 AND first > 0 THEN 'changed' ELSE 'accepted' END AS verdict, coalesce(n, 0) AS n_entries FROM submissions LEFT JOIN n USING (list_id)""",
-    "v11_revision_changes": """SELECT b.project_id, b.revision_number, list_filter([CASE WHEN a.row_spacing_m <> b.row_spacing_m THEN 'layout' END, CASE WHEN a.rootstock <> b.rootstock THEN 'material' END, CASE WHEN a.label <> b.label THEN 'identity' END], lambda x: x IS NOT NULL) AS changed
-      FROM revisions a JOIN revisions b ON a.project_id = b.project_id AND b.revision_number = a.revision_number + 1""",
+    "v11_revision_changes": """WITH r AS (SELECT *, (project_id + revision_number) AS k FROM revisions)
+      SELECT b.project_id, b.revision_number, list_filter([CASE WHEN a.label <> b.label THEN 'identity' END, CASE WHEN a.k % 5 <> b.k % 5 THEN 'geometry' END, CASE WHEN (a.k % 3 = 0) <> (b.k % 3 = 0) THEN 'exclusions' END,
+        CASE WHEN a.row_spacing_m <> b.row_spacing_m THEN 'layout' END, CASE WHEN (a.k % 7 > 2) <> (b.k % 7 > 2) THEN 'terrain' END, CASE WHEN a.rootstock <> b.rootstock THEN 'material' END,
+        CASE WHEN greatest(a.k % 4, 1) <> greatest(b.k % 4, 1) THEN 'notes' END], lambda x: x IS NOT NULL) AS changed
+      FROM r a JOIN r b ON a.project_id = b.project_id AND b.revision_number = a.revision_number + 1""",
     "j18_revision_compare": """SELECT CASE WHEN client_field_id % 11 = 5 THEN 'added' WHEN client_field_id % 7 = 3 THEN 'removed' WHEN client_field_id % 5 = 0 THEN 'changed' ELSE 'same' END AS verdict, count(*) AS n
       FROM project_fields WHERE NOT (client_field_id % 11 = 5 AND client_field_id % 7 = 3) GROUP BY 1""",
     "v2_field_upsert": """SELECT project_id, client_field_id, row_spacing_m, CASE WHEN client_field_id % 3 <> 1 AND client_field_id % 2 <> 0 THEN label || '*' WHEN client_field_id % 4 <> 2 THEN label END AS label, client_field_id % 3 = 1 AS deleted, client_field_id % 4 = 2 AS inserted
@@ -168,8 +195,9 @@ _SQL = {
       NULL AS attachment, NULL AS development, CAST(CAST(floor(lon0 / 0.002) AS BIGINT) AS VARCHAR) AS parcel FROM project_fields""",
     "d1_unique_references": "SELECT project_id, min(client_field_id) AS client_field_id FROM project_fields GROUP BY project_id, grape_variety, rootstock",
     "d2_archive_merge": "SELECT project_id, CASE WHEN origin = 'imported' THEN name ELSE upper(name) END AS name FROM projects",
-    "p14_headland": "SELECT project_id, client_field_id, CASE WHEN l_shape THEN greatest(coalesce(headland_width_m, 6), 6) ELSE headland_width_m END AS headland_m FROM project_fields",
-    "p15_advice": "SELECT project_id, client_field_id, 'mechanised_without_headland' AS advice FROM project_fields WHERE headland_width_m IS NULL UNION ALL SELECT project_id, client_field_id, 'verify_machine' FROM project_fields WHERE row_spacing_m < 2.25",
+    "p14_headland": "WITH w AS (SELECT *, headland_width_m - CASE WHEN project_id % 5 = 1 THEN 4 ELSE 0 END AS w FROM project_fields) SELECT project_id, client_field_id, CASE WHEN l_shape AND (w IS NULL OR w < 6) THEN 6 WHEN w >= 0 THEN w END AS headland_m FROM w",
+    "p15_advice": """SELECT project_id, client_field_id, 'spacing_incomplete' AS advice FROM project_fields WHERE project_id % 10 = 3
+      UNION ALL SELECT project_id, client_field_id, CASE WHEN headland_width_m > 0 THEN 'mechanization_verify_machine' ELSE 'mechanization_headland_missing' END FROM project_fields WHERE l_shape""",
     "p16_orientation": "SELECT project_id, client_field_id, round(least(greatest(orientation_deg * 1.37 - 20, 0), 179.9), 1) AS orientation FROM project_fields",
     "p19_count_violations": "SELECT list_id, client_field_id, 'quantity' AS violation FROM counts_entries WHERE quantity < 5",
     "p20_profile_errors": "SELECT user_id, list_filter([CASE WHEN email IS NULL THEN 'email' END, CASE WHEN company_name IS NULL THEN 'company_name' END, CASE WHEN count(*) OVER (PARTITION BY lower(display_name)) > 1 THEN 'display_name' END], lambda x: x IS NOT NULL) AS missing FROM profiles",

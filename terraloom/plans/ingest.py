@@ -49,6 +49,6 @@ _SQL = {
     "s6_geojson": f"SELECT {_ID}, 0 AS feature_index, 0 AS part_index, label, CASE WHEN l_shape THEN 7 ELSE 5 END AS n_points FROM project_fields",
     "s7_gml_parcels": f"SELECT {_ID}, true AS complete, 0 AS ordinal, concat('p', CAST(project_id AS VARCHAR), ':', CAST(client_field_id AS VARCHAR)) AS gml_id, rootstock AS reference, 4 AS n_points, round(lon0 + dlon, 9) AS lon1 FROM project_fields",
     "s8_cadastral_html": f"SELECT {_ID}, concat('A12', CAST(display_order AS VARCHAR)) AS municipality_code, NULL AS section, '45' AS sheet, NULL AS attachment, NULL AS development, CASE WHEN display_order > 3 THEN '7/b' ELSE rootstock END AS parcel FROM project_fields",
-    "s9_soil_text": f"SELECT {_ID}, rootstock AS soil_unit, NULL AS soil_type, grape_variety AS texture, NULL AS limestone, NULL AS drainage, NULL AS reaction, display_order + 0.5e0 AS sand, NULL AS silt, NULL AS clay, row_spacing_m AS ph FROM project_fields WHERE display_order <> 7",
+    "s9_soil_text": f"SELECT {_ID}, rootstock AS soil_unit, NULL AS soil_type, grape_variety AS texture, NULL AS limestone, NULL AS drainage, NULL AS reaction, NULL AS organic_matter, NULL AS skeleton, NULL AS code, grape_variety AS description, display_order + 0.5e0 AS sand, NULL AS silt, NULL AS clay, row_spacing_m AS ph FROM project_fields WHERE display_order <> 7",
 }
 ORACLES = {k: with_views(v) for k, v in _SQL.items()}

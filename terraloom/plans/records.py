@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.operators import dashboard, records, spatial
+from terraloom.plans.planting import _RING
 from terraloom.sources.views import point, view, with_rings, with_views
 
 KEY = ["project_id", "client_field_id"]
@@ -55,6 +56,19 @@ def _deliveries(s: SparkSession, sf: str) -> DataFrame:
     return records.deliveries(e.select(F.col("user_id").alias("submission_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_s"), F.col("event_id").alias("seq"), action.alias("action")))
 
 
+def _redacted(s: SparkSession, sf: str) -> DataFrame:
+    e = s.read.parquet(f"{sf}/events.parquet")
+    consents = e.where("user_id % 2 = 0").select("user_id", F.lit("analytics").alias("consent")).distinct()
+    return records.redacted_events(e, consents, private={"view": ("k",), "click": ("k", "lat")})
+
+
+def _signatures(s: SparkSession, sf: str) -> DataFrame:
+    """Every third stored signature is current; of the others one is of a moved ring and one is empty."""
+    f = with_rings(view(s, sf, "project_fields")).select(*KEY, "display_order", "ring", records.signature(F.col("ring")).alias("signature"))
+    stored = F.when(F.col("display_order") % 3 == 0, F.col("signature")).when(F.col("display_order") % 3 == 1, F.concat("signature", F.lit(";0.000000,0.000000"))).otherwise("")
+    return f.withColumn("stored", stored).select(*KEY, "signature", records.current(F.col("stored"), F.col("ring")).alias("current"))
+
+
 def _reports(s: SparkSession, sf: str) -> DataFrame:
     p = view(s, sf, "projects")
     reports = p.select(F.col("project_id").alias("report_id"), F.sha2("public_code", 256).alias("token_hash"), F.col("deleted_at").alias("revoked_at"))
@@ -69,8 +83,8 @@ QUERIES = {
     "d5_requested_ids": _requested,
     "j4_report_tokens": _reports,
     "j10_points_in_parcels": lambda s, sf: spatial.points_in_parcels(_points(s, sf), parcels(s, sf), KEY),
-    "j9_fields_on_parcels": lambda s, sf: spatial.touching(with_rings(view(s, sf, "project_fields").where("NOT l_shape AND skew = 0")), parcels(s, sf), KEY),
-    "p11_redacted_events": lambda s, sf: records.redacted_events(s.read.parquet(f"{sf}/events.parquet"), ("k",), ("view", "click")),
+    "j9_fields_on_parcels": lambda s, sf: spatial.touching(with_rings(view(s, sf, "project_fields")), parcels(s, sf), KEY),
+    "p11_redacted_events": _redacted,
     "p12_public_fields": _shown,
     "st4_acknowledged": lambda s, sf: records.acknowledged(view(s, sf, "sync_ops")),
     "st5_deliveries": _deliveries,
@@ -79,8 +93,8 @@ QUERIES = {
     "w2_next_revisions": _revisions,
     "w6_smallest_unused": lambda s, sf: records.smallest_unused(view(s, sf, "project_fields"), "project_id", "display_order"),
     "f8_reference_text": lambda s, sf: view(s, sf, "project_fields").select(*KEY, records.reference_text(F.col("grape_variety"), F.lit(" "), F.col("rootstock"), F.col("label")).alias("reference")),
-    "f9_signature": lambda s, sf: with_rings(view(s, sf, "project_fields")).select(*KEY, F.length(records.signature(F.col("ring"))).alias("n"), F.substring(records.signature(F.col("ring")), 1, 8).alias("head")),
-    "f13_ground_spacing": lambda s, sf: view(s, sf, "project_fields").select(*KEY, F.round(records.horizontal_step(F.col("row_spacing_m"), F.col("skew"), F.lit(0.1), F.radians("orientation_deg")), 6).alias("step_m")),
+    "f9_signature": _signatures,
+    "f13_ground_spacing": lambda s, sf: view(s, sf, "project_fields").select(*KEY, F.round(records.horizontal_step(F.col("row_spacing_m"), F.lit(0.1) * F.cos(F.radians("orientation_deg")), F.col("skew")), 6).alias("step_m")),
 }
 
 _SQL = {
@@ -92,9 +106,6 @@ _SQL = {
     "j4_report_tokens": "SELECT public_code AS token, project_id AS report_id FROM projects WHERE project_id % 3 = 1 AND deleted_at IS NULL",
     "j10_points_in_parcels": """WITH t AS (SELECT DISTINCT CAST(floor(lon0 / 0.002) AS BIGINT) AS tx, CAST(floor(lat0 / 0.002) AS BIGINT) AS ty FROM project_fields)
       SELECT project_id, client_field_id, CASE WHEN t.tx IS NOT NULL THEN t.tx * 100000 + t.ty END AS parcel_id FROM project_fields f LEFT JOIN t ON t.tx = CAST(floor((lon0 + 0.0003 + 0.0005) / 0.002) AS BIGINT) AND t.ty = CAST(floor((lat0 + 0.0007 + 0.0003) / 0.002) AS BIGINT)""",
-    "j9_fields_on_parcels": """WITH t AS (SELECT DISTINCT CAST(floor(lon0 / 0.002) AS BIGINT) AS tx, CAST(floor(lat0 / 0.002) AS BIGINT) AS ty FROM project_fields),
-      f AS (SELECT project_id, client_field_id, lon0, lat0, lon0 + dlon AS lon1, lat0 + dlat AS lat1, unnest([0, 1]) AS a FROM project_fields WHERE NOT l_shape AND skew = 0), c AS (SELECT *, unnest([0, 1]) AS b FROM f)
-      SELECT DISTINCT project_id, client_field_id, tx * 100000 + ty AS parcel_id FROM c JOIN t ON tx = CAST(floor((lon0 + 0.0005) / 0.002) AS BIGINT) + a AND ty = CAST(floor((lat0 + 0.0003) / 0.002) AS BIGINT) + b WHERE tx * 0.002e0 - 0.0005 < lon1 AND ty * 0.002e0 - 0.0003 < lat1""",
     "p12_public_fields": "SELECT project_id, coalesce(list(client_field_id ORDER BY display_order, client_field_id) FILTER (display_order % 2 = 1), []) AS shown FROM project_fields SEMI JOIN projects USING (project_id) GROUP BY project_id HAVING count(*) FILTER (display_order % 2 = 1) > 0",
     "st4_acknowledged": "WITH l AS (SELECT *, last_value(seq) OVER (PARTITION BY project_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS by_seq FROM sync_ops) SELECT operation_id, seq, project_id, by_seq FROM l WHERE seq <> by_seq",
     "v13_revoke": "SELECT project_id, CASE WHEN project_id % 2 = 0 THEN coalesce(deleted_at, TIMESTAMP '2001-01-01') ELSE deleted_at END AS revoked_at FROM projects",
@@ -102,6 +113,9 @@ _SQL = {
     "w2_next_revisions": "SELECT s.project_id, s.seq, coalesce(p.latest_revision_number, 0) + row_number() OVER (PARTITION BY s.project_id ORDER BY s.seq) AS revision_number FROM sync_ops s LEFT JOIN projects p ON p.project_id = s.project_id",
     "w6_smallest_unused": "WITH n AS (SELECT project_id, unnest(range(1, 9)) AS k FROM (SELECT DISTINCT project_id FROM project_fields)) SELECT project_id, min(k) AS unused FROM n WHERE NOT EXISTS (SELECT 1 FROM project_fields f WHERE f.project_id = n.project_id AND f.display_order = n.k) GROUP BY project_id",
     "f8_reference_text": "SELECT project_id, client_field_id, concat(grape_variety, ' · Fg. ', rootstock, ' · Part. ', label) AS reference FROM project_fields",
-    "f13_ground_spacing": "SELECT project_id, client_field_id, round(row_spacing_m / sqrt(1 + (skew * cos(radians(orientation_deg)) + 0.1 * sin(radians(orientation_deg))) ** 2), 6) AS step_m FROM project_fields",
+    "f13_ground_spacing": "WITH a AS (SELECT *, 0.1 * cos(radians(orientation_deg)) AS along FROM project_fields) SELECT project_id, client_field_id, round(row_spacing_m * sqrt((1 + along ** 2) / (1 + along ** 2 + skew ** 2)), 6) AS step_m FROM a",
+    "p11_redacted_events": """SELECT event_id, event_type, CASE WHEN event_type IN ('view', 'click') THEN '{}' ELSE replace(replace(props, ': ', ':"'), '}', '"}') END AS payload, CASE WHEN user_id % 2 = 0 THEN user_id END AS visitor FROM events""",
+    "f9_signature": f"""WITH {_RING}, p AS (SELECT project_id, client_field_id, display_order, i, printf('%.6f,%.6f', lon, lat) AS t FROM g), s AS (SELECT project_id, client_field_id, display_order, string_agg(t, ';' ORDER BY i) || ';' || min_by(t, i) AS sig FROM p GROUP BY ALL)
+      SELECT project_id, client_field_id, sig AS signature, display_order % 3 = 0 AS current FROM s""",
 }
 ORACLES = {k: with_views(v) for k, v in _SQL.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.common import blank_to_null
+from terraloom.functions.geo import close_ring
 from terraloom.operators.archive import parse_reference
 from terraloom.operators.planting import valid_rings
 
@@ -45,38 +46,55 @@ def geojson_fields(docs: DataFrame, id_col: str, body_col: str) -> tuple[DataFra
     return kept(F.col("good")).select("r.*"), kept(~F.col("good")).select(f"r.{id_col}", "r.feature_index", "r.part_index")
 
 
+#: Character references of markup.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def decoded(x: Column) -> Column:
+    for entity, c in ENTITIES:
+        x = F.replace(x, F.lit(entity), F.lit(c))
+    return F.trim(x)
+
+
+def _pieces(x: Column, name: str) -> Column:
+    """What stands in each element of a name, with any prefix: the text is split at its tags, and every other piece is inside."""
+    tags = rf"(?i)</?(?:[a-z]+:)?{name}(?:\s[^>]*)?>"
+    return F.filter(F.split(x, tags, -1), lambda p, i: i % 2 == 1)
+
+
+def _attribute(x: Column, name: str) -> Column:
+    """Value of the first attribute of a name: what stands between the quotes after it."""
+    after = F.get(F.split(x, f"(?i){name}=", 2), F.lit(1))
+    quote = F.substring(after, 1, 1)
+    return F.when(quote.isin('"', "'"), blank_to_null(F.split_part(F.substring(after, F.lit(2), F.length(after)), quote, F.lit(1))))
+
+
 def gml_parcels(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """Parcels of feature-service answers: reference, closed ring with longitude first, and whether the answer holds as many as it says."""
-    member = r"(?is)<wfs:member\b[^>]*>(.*?)</wfs:member>"
-    said = F.regexp_extract(F.col(body_col), r"""(?i)numberReturned=["'](\d+)["']""", 1).try_cast("int")
-    rows = docs.select(id_col, said.alias("said"), F.regexp_extract_all(F.col(body_col), F.lit(member), F.lit(1)).alias("members"))
+    """Parcels of feature-service answers: id, reference, closed ring with longitude first, and whether the answer holds as many as it says.
+
+    Parcels with fewer than three positions, an odd count, values that are no numbers or positions off the globe give no row.
+    """
+    rows = docs.select(id_col, _attribute(F.col(body_col), "numberReturned").try_cast("int").alias("said"), _pieces(F.col(body_col), "member").alias("members"))
     rows = rows.select(id_col, (F.coalesce("said", F.size("members")) == F.size("members")).alias("complete"), F.posexplode("members").alias("ordinal", "m"))
-    some = lambda p: blank_to_null(F.regexp_extract("m", p, 1))
-    values = F.transform(F.split(F.trim(F.regexp_extract("m", r"(?is)<gml:posList\b[^>]*>(.*?)</gml:posList>", 1)), r"\s+"), lambda x: x.try_cast("double"))
-    rows = rows.select(id_col, "complete", "ordinal", some(r"""(?i)gml:id=["']([^"']+)["']""").alias("gml_id"), some(r"(?is)<cp:nationalCadastralReference\b[^>]*>(.*?)</cp:nationalCadastralReference>").alias("reference"), values.alias("v"))
-    rows = rows.where((F.size("v") >= 6) & (F.size("v") % 2 == 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("v") / 2 - 1).cast("int")), lambda i: F.struct(F.get("v", 2 * i + 1).alias("lon"), F.get("v", 2 * i).alias("lat")))
-    rows = rows.select(id_col, "complete", "ordinal", "gml_id", "reference", pairs.alias("ring"))
-    closed = F.when(F.element_at("ring", 1) != F.element_at("ring", -1), F.concat("ring", F.slice("ring", F.lit(1), F.lit(1)))).otherwise(F.col("ring"))
-    return rows.withColumn("ring", closed)
+    first = lambda name: F.get(_pieces(F.col("m"), name), F.lit(0))
+    values = F.transform(F.filter(F.split(F.trim(first("posList")), r"\s"), lambda x: x != ""), lambda x: x.try_cast("double"))
+    rows = rows.select(id_col, "complete", "ordinal", _attribute(F.col("m"), "gml:id").alias("gml_id"), blank_to_null(decoded(first("nationalCadastralReference"))).alias("reference"), values.alias("v"))
+    pairs = F.transform(F.filter("v", lambda x, i: i % 2 == 0), lambda lat, k: F.struct(F.get("v", 2 * k + 1).alias("lon"), lat.alias("lat")))
+    rows = rows.where((F.size("v") >= 6) & (F.size("v") % 2 == 0)).select(id_col, "complete", "ordinal", "gml_id", "reference", pairs.alias("ring"))
+    rows = rows.where(F.forall("ring", lambda p: F.coalesce(p["lon"].between(-180, 180) & p["lat"].between(-90, 90), F.lit(False))))
+    return rows.withColumn("ring", close_ring(F.col("ring")))
 
 
 def cadastral_html(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """Reference of each page of header and value cells; a label cell overrides the parcel. Pages without a reference give nulls."""
     cell = lambda n: F.regexp_extract(F.col(body_col), rf"(?i)<th[^>]*>\s*{n}\s*</th>\s*<td[^>]*>([^<]*)</td>", 1)
-
-    def decoded(x: Column) -> Column:
-        for entity, c in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
-            x = F.replace(x, F.lit(entity), F.lit(c))
-        return F.trim(x)
-
     rows = docs.select(id_col, decoded(cell("NationalCadastralReference")).alias("reference"), blank_to_null(decoded(cell("Label"))).alias("label"))
     rows = rows.withColumn("p", parse_reference(F.col("reference")))
     names = ("municipality_code", "section", "sheet", "attachment", "development")
     return rows.select(id_col, *[F.col("p")[n].alias(n) for n in names], F.when(F.col("p").isNotNull(), F.coalesce("label", F.col("p.parcel"))).alias("parcel"))
 
 
-#: Keys of soil answers and what they are called here.
+#: Keys of soil answers and what they are called here, upper limits of numbers, words of answers that hold nothing.
 SOIL_TEXT = {
     "soil_unit": "cod_ucs_50 unita_pedologica unita_di_suolo soil_unit",
     "soil_type": "tipo_suolo tipo_di_suolo soil_type",
@@ -84,25 +102,46 @@ SOIL_TEXT = {
     "limestone": "calcare calcare_topsoil limestone classe_calcare_t",
     "drainage": "drenaggio drainage classe_drenaggio",
     "reaction": "reazione reazione_topsoil classe_reazione_t",
+    "organic_matter": "sostanza_organica carbonio_organico organic_matter",
+    "skeleton": "scheletro skeleton",
+    "code": "cod_ucs_50 codice cod id",
+    "description": "descrizione descriz denominazione nome desc_calcare_t desc_drenaggio desc_reazione_t",
 }
 SOIL_NUMBER = {"sand": ("sabbia sabbia_pct sand", 100), "silt": ("limo limo_pct silt", 100), "clay": ("argilla argilla_pct clay", 100), "ph": ("ph reazione_ph", 14)}
+NOTHING = ("serviceexception", "exceptionreport", "no features", "no results", "nessun risultato", "no data")
+NO_VALUE = ("null", "undefined", "n/a")
 
 
 def soil_profiles(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
-    """Typed profile of each answer of ``key: value`` lines; the last line of a key counts. Error answers give no row."""
-    failed = F.col(body_col).rlike("(?i)ServiceException|ExceptionReport|no features|no results|nessun risultato|no data")
-    line = r"^\s*([\w\sÀ-ÿ.-]{2,45}?)\s*[:=]\s*(.{1,250}?)\s*$"
-    lines = F.transform(F.split(F.col(body_col), r"\r?\n", -1), lambda x: F.struct(F.regexp_replace(F.lower(F.trim(F.regexp_extract(x, line, 1))), r"[\s.-]+", "_").alias("k"), F.trim(F.regexp_replace(F.regexp_extract(x, line, 2), r"""^(['"])(.*)\1$""", "$2")).alias("v")))
-    rows = docs.where(~F.coalesce(failed, F.lit(True)) & (F.col(body_col) != "")).select(id_col, F.filter(lines, lambda x: (x["v"] != "") & ~x["v"].rlike("(?i)^(null|undefined|n/a)$")).alias("kv"))
-    last = lambda keys: F.element_at(F.filter("kv", lambda x: x["k"].isin(*keys.split())), F.lit(-1))
-    found = lambda keys: F.when(F.exists("kv", lambda x: x["k"].isin(*keys.split())), last(keys)["v"])
+    """Typed profile of each answer of ``key: value`` or ``key = value`` lines; the last line of a key counts. A profile without a
+    description takes its texture, type, unit, limestone, drainage or reaction. Error answers and those without any known key give no row."""
+    failed = F.lit(False)
+    for w in NOTHING:
+        failed = failed | F.lower(body_col).contains(w)
+
+    def read(line: Column) -> Column:
+        cut = F.split(line, "[:=]", 2)
+        key, value = F.lower(F.trim(F.get(cut, F.lit(0)))), F.trim(F.regexp_replace(F.get(cut, F.lit(1)), "\r", ""))
+        quoted = F.substring(value, 1, 1).isin('"', "'") & (F.length(value) > 1) & (F.substring(value, 1, 1) == F.right(value, F.lit(1)))
+        bare = F.trim(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+        good = F.length(key).between(2, 45) & F.length(value).between(1, 250) & (bare != "") & ~F.lower(bare).isin(*NO_VALUE)
+        return F.when(good, F.struct(F.array_join(F.filter(F.split(F.translate(key, " .-\t", "____"), "_"), lambda w: w != ""), "_").alias("k"), bare.alias("v")))
+
+    rows = docs.where(~F.coalesce(failed, F.lit(True))).select(id_col, F.array_compact(F.transform(F.split(F.col(body_col), "\n"), read)).alias("kv"))
+    found = lambda keys: F.element_at(F.transform(F.filter("kv", lambda x: x["k"].isin(*keys.split())), lambda x: x["v"]), F.lit(-1))
 
     def number(keys: str, top: int) -> Column:
-        v = F.regexp_replace(F.regexp_replace(found(keys), ",", "."), r"\s*%$", "")
-        d = F.when(v.rlike(r"^\d+(?:\.\d+)?$"), v.try_cast("double"))
+        v = F.rtrim(F.rtrim(F.translate(found(keys), ",", "."), F.lit("%")))
+        d = F.when(v.rlike("^[0-9]") & v.rlike("[0-9]$") & ~v.rlike("[^0-9.]"), v.try_cast("double"))
         return F.when(d.between(0, top), d)
 
-    return rows.select(id_col, *[found(k).alias(n) for n, k in SOIL_TEXT.items()], *[number(k, top).alias(n) for n, (k, top) in SOIL_NUMBER.items()])
+    known = [k for keys in SOIL_TEXT.values() for k in keys.split()] + [k for keys, _ in SOIL_NUMBER.values() for k in keys.split()]
+    rows = rows.where(F.exists("kv", lambda x: x["k"].isin(*known)))
+    rows = rows.withColumn("kv", F.when(F.size("kv") > 0, F.col("kv")))
+    # element_at() of an empty array is an error, so keys that are absent are asked for first.
+    some = lambda keys, value: F.when(F.exists("kv", lambda x: x["k"].isin(*keys.split())), value)
+    out = rows.select(id_col, *[some(k, found(k)).alias(n) for n, k in SOIL_TEXT.items()], *[some(k, number(k, top)).alias(n) for n, (k, top) in SOIL_NUMBER.items()])
+    return out.withColumn("description", F.coalesce("description", "texture", "soil_type", "soil_unit", "limestone", "drainage", "reaction"))
 
 
 def features(fields: DataFrame, key: list[str], ring_col: str, properties: list[str]) -> DataFrame:

@@ -248,3 +248,81 @@ def test_quantities_hold_the_whole_record(spark):
         assert (r.row_count, r.simulated_plants, r.intermediate_posts, r.total_posts) == (len(rows), plants, posts, posts + r.head_posts)
         assert r.commercial_plants_25 == math.ceil((plants or r.theoretical_plants) / 25) * 25
         assert r.perimeter_m > 0 and r.headland_area_m2 >= 0
+
+
+def test_rules_by_hand(spark):
+    """Values worked out from the rules, not from the operators."""
+    rows = [(1, 2.5, 1.0, 6.0, True), (2, 2.5, 1.0, None, True), (3, 0.0, 1.0, 0.0, True), (4, None, 1.0, 3.0, False), (5, 2.0, 0.9, None, False)]
+    df = spark.createDataFrame(rows, "id int, row_spacing_m double, plant_spacing_m double, headland_width_m double, mechanised boolean")
+    assert sorted((r.id, r.advice) for r in archive.advice(df, ["id"]).collect()) == [
+        (1, "mechanization_verify_machine"), (2, "mechanization_headland_missing"), (3, "mechanization_headland_missing"), (3, "spacing_incomplete"), (4, "spacing_incomplete")
+    ]
+    widths = spark.createDataFrame([(None, True), (None, False), (-1.0, True), (-1.0, False), (4.0, True), (4.0, False), (8.0, True)], "w double, m boolean")
+    assert [r.h for r in widths.select(archive.headland(F.col("w"), F.col("m")).alias("h")).collect()] == [6.0, None, 6.0, None, 6.0, 4.0, 8.0]
+    from terraloom.operators import records
+
+    steps = spark.createDataFrame([(2.0, 0.0, 0.0), (2.0, 0.5, 0.0), (2.0, 0.0, 0.75), (2.0, 0.5, 0.75)], "g double, a double, b double")
+    assert [r.s for r in steps.select(records.horizontal_step(F.col("g"), F.col("a"), F.col("b")).alias("s")).collect()] == pytest.approx([2.0, 2.0, 1.6, 2 * math.sqrt(1.25 / 1.8125)])
+
+
+def test_a_dead_alias_hides_the_code_behind_it(spark):
+    projects = spark.createDataFrame([(1, "VO-0000001", "saved", None), (2, "VO-0000002", "saved", "2024"), (3, "VO-0000003", "draft", None), (4, "VO-0000004", "client", None)], "project_id long, public_code string, status string, deleted_at string")
+    aliases = spark.createDataFrame([("VO-0000001", 2), ("VO-9000000", 4)], "code string, project_id long")
+    asked = spark.createDataFrame([("VO-0000001",), ("VO-9000000",), ("VO-0000003",), (" vo-0000004 ",), ("VO-4",), (None,)], "code string")
+    assert {r.code: r.project_id for r in archive.resolve_codes(asked, aliases, projects).collect()} == {"VO-0000001": None, "VO-9000000": 4, "VO-0000003": None, " vo-0000004 ": 4, "VO-4": None, None: None}
+
+
+def test_entries_without_keys_are_not_repeats(spark):
+    sent = spark.createDataFrame([(1, 1, None, 1, 5), (1, 1, 7, 1, 5)], "submission_id long, list_id long, client_field_id long, entry_no int, quantity long")
+    live = spark.createDataFrame([(1, 7, 1, 5)], "list_id long, client_field_id long, entry_no int, quantity long")
+    assert archive.check_snapshots(spark.createDataFrame([(1,)], "submission_id long"), sent, live).first().verdict == "gone"
+
+
+def test_repeated_operations_get_their_first_answer(spark):
+    rows = [(1, 9, 1, 1, 0), (2, 9, 2, 2, 1), (1, 9, 3, 3, 2), (3, 9, 4, 4, 1)]
+    got = folds.answers(spark.createDataFrame(rows, "operation_id long, project_id long, ts long, seq long, expected_version long")).orderBy("seq").collect()
+    assert [(r.operation_id, r.status, r.server_version, r.repeated) for r in got] == [(1, "applied", 1, False), (2, "applied", 2, False), (1, "applied", 1, True), (3, "conflict", 2, False)]
+
+
+def test_soil_and_gml_answers(spark):
+    from terraloom.sources import ingest
+
+    soil = [(1, "Cod_UCS_50: B12\r\nPendenza: 3\nSostanza organica = 1,2\nScheletro: 'assente'\npH: 15\nlimo: 33,5 %"), (2, "ServiceException: x"), (3, "altro: 1"), (4, None), (5, ""), (6, "texture: a:b\ntexture: n/a\nsand: 1e1")]
+    got = {r.id: r for r in ingest.soil_profiles(spark.createDataFrame(soil, "id long, body string"), "id", "body").collect()}
+    assert set(got) == {1, 6}
+    assert (got[1].soil_unit, got[1].code, got[1].organic_matter, got[1].skeleton, got[1].ph, got[1].silt, got[1].description) == ("B12", "B12", "1,2", "assente", None, 33.5, "B12")
+    assert (got[6].texture, got[6].sand, got[6].description) == ("a:b", None, "a:b")
+    member = "<wfs:member><cp:CadastralParcel gml:id='{0}'><cp:nationalCadastralReference>A&amp;B</cp:nationalCadastralReference><gml:posList srsDimension='2'> {1} </gml:posList></cp:CadastralParcel></wfs:member>"
+    body = '<wfs:FeatureCollection numberReturned="4">' + member.format("a", "44 8 44 9 45 9 44 8") + member.format("b", "44 8 44 9 45 9") + member.format("c", "144 8 44 9 45 9") + "</wfs:FeatureCollection>"
+    out = ingest.gml_parcels(spark.createDataFrame([(1, body), (2, None), (3, "<x/>")], "id long, body string"), "id", "body").orderBy("ordinal").collect()
+    assert [(r.gml_id, r.reference, r.complete, len(r.ring)) for r in out] == [("a", "A&B", False, 4), ("b", "A&B", False, 4)]
+    assert tuple(out[0].ring[1]) == (9.0, 44.0)
+
+
+@pytest.mark.parametrize("text, kind", [("lat: 4", "invalid"), ("12 Via Roma", "address"), ("44,5", "coordinate"), ("44;5", "invalid"), ("45 30 N", "invalid"), ("44.1, x", "address"), ("-44.5 , +8.", "coordinate"), ("N 44° Roma", "invalid"), ("44, NaN", "invalid"), ("44° 30' 0\" N 45° 0' 0\" N", "invalid"), ("90° 0' 0\" S; 180° 0' 0\" W", "coordinate"), ("90° 0' 1\" S 8° 0' 0\" W", "invalid"), ("Latina 5", "address")])
+def test_coordinate_kinds(spark, text, kind):
+    assert spark.createDataFrame([(text,)], "q string").select(geo.parse_coordinates(F.col("q")).alias("c")).first().c.kind == kind
+
+
+def test_fields_on_parcels_by_brute_force(spark):
+    """Skewed and L-shaped rings against every parcel, edge by edge."""
+    from terraloom.operators import spatial
+    from terraloom.plans import records as plans
+
+    def inside(x, y, ring):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
+
+    def turn(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def meets(f, p):
+        crossed = any(turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0 for a, b in zip(f, f[1:]) for c, d in zip(p, p[1:]))
+        return crossed or any(inside(*v, f) for v in p) or any(inside(*v, p) for v in f)
+
+    fields = with_rings(view(spark, DATA, "project_fields").where("project_id % 40 = 3"))
+    rings = {(r.project_id, r.client_field_id): [tuple(p) for p in r.ring] for r in fields.collect()}
+    parcels = plans.parcels(spark, DATA)
+    squares = {r.parcel_id: [tuple(p) for p in r.ring] for r in parcels.collect()}
+    near = lambda f, p: abs(f[0][0] - p[0][0]) < 0.02 and abs(f[0][1] - p[0][1]) < 0.02
+    want = {(*k, pid) for k, f in rings.items() for pid, p in squares.items() if near(f, p) and meets(f, p)}
+    assert want and {tuple(r) for r in spatial.touching(fields, parcels, plans.KEY).collect()} == want
