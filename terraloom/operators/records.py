@@ -56,9 +56,10 @@ def redacted_events(events: DataFrame, consents: DataFrame, payload: str = "prop
     """Events with their payload as JSON less the private keys of their kind, and the visitor only where (user_id, consent) says analytics."""
     private = PRIVATE if private is None else private
     given = F.from_json(payload, "map<string,string>")
+    without = lambda keys: F.map_filter(given, lambda k, v: ~k.isin(*keys))
     shown = given
     for kind, keys in private.items():
-        shown = F.when(F.col("event_type") == kind, F.map_filter(given, lambda k, v, keys=keys: ~k.isin(*keys))).otherwise(shown)
+        shown = F.when(F.col("event_type") == kind, without(keys)).otherwise(shown)
     agreed = consents.where(F.col("consent") == "analytics").select("user_id").distinct().withColumn("__agreed", F.lit(True))
     return events.join(agreed, "user_id", "left").select("event_id", "event_type", F.to_json(shown).alias("payload"), F.when(F.col("__agreed"), F.col("user_id")).alias("visitor"))
 
