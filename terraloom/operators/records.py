@@ -149,3 +149,35 @@ def deliveries(log: DataFrame) -> DataFrame:
         return (state, first, lease, n), state, send, n
 
     return fold(log.select("submission_id", "at_s", "seq", "action"), "submission_id", ["at_s", "seq"], lambda: ("pending", None, None, 0), step, DELIVERY)
+
+
+def media_listing(media: DataFrame, owner: int, writable: bool) -> DataFrame:
+    """An owner's ready media, and pending ones where they may write, newest first."""
+    shown = ("ready", "pending") if writable else ("ready",)
+    return media.where((F.col("owner_user_id") == owner) & F.col("status").isin(*shown)).select("media_id", "status", "created_at").orderBy(F.desc("created_at"), F.desc("media_id"))
+
+
+def with_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes and new ones, trimmed, blank ones left out, with their place within the project, newest first."""
+    fresh = new.withColumn("body", F.trim("body")).where(F.col("body") != "")
+    w = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("note_id"))
+    return notes.unionByName(fresh.select(*notes.columns)).withColumn("place", F.row_number().over(w))
+
+
+def status_updates(projects: DataFrame, wanted: DataFrame, statuses: tuple[str, ...] = ("draft", "saved", "pdf_downloaded", "quote_requested", "contacted", "client")) -> DataFrame:
+    """Next status and version of each project; an unknown status is invalid, another version than expected a conflict."""
+    out = projects.join(wanted, "project_id", "left")
+    verdict = F.when(F.col("wanted").isNull(), "untouched").when(~F.col("wanted").isin(*statuses), "invalid").when(~F.col("expected").eqNullSafe(F.col("version")), "conflict").otherwise("updated")
+    out = out.withColumn("outcome", verdict)
+    done = F.col("outcome") == "updated"
+    return out.select("project_id", F.when(done, F.col("wanted")).otherwise(F.col("status")).alias("status"), "outcome", (F.col("version") + done.cast("int")).alias("version"))
+
+
+def stable_json(values: Column) -> Column:
+    """Canonical text of a map: keys in order of code point."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def expired(rows: DataFrame, since: str, now: Column, days: int) -> DataFrame:
+    """Rows whose time in ``since`` lies more than so many days back."""
+    return rows.where(F.col(since) < now - F.make_interval(days=F.lit(days)))

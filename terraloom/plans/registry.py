@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terraloom.plans import archive, dashboard, ingest, planting, records
+from terraloom.plans import archive, catalog, dashboard, ingest, planting, records
 
-_ALL = (dashboard, planting, archive, records, ingest)
+_ALL = (dashboard, planting, archive, records, ingest, catalog)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _ALL for k, v in m.ORACLES.items()}
 FLAGSHIP = dashboard.rollup
