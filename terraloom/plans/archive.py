@@ -87,6 +87,34 @@ def _sampled(s: SparkSession, sf: str) -> DataFrame:
     return terrain.heights_at(points, c).select("model_id", "point", F.round("z", 5).alias("z"))
 
 
+def _draped(s: SparkSession, sf: str) -> DataFrame:
+    """Lines across each model, one per raster row; the first ones leave it."""
+    lines = view(s, sf, "raster").select("model_id", F.col("j").alias("line"), F.lit(0.25).alias("u0"), (F.col("j") * 0.9 - 0.5).alias("v0"), F.lit(40.75).alias("u1"), (F.col("j") * 0.8 + 3.0).alias("v1"))
+    return terrain.draped_lengths(lines, _cells(s, sf), ["model_id", "line"])
+
+
+def _draped_plants(s: SparkSession, sf: str) -> DataFrame:
+    rows = view(s, sf, "raster").select("model_id", F.col("j").alias("line"), (F.col("j") % 10).alias("field"), F.lit(0.9).alias("plant_spacing_m"), F.lit(4.5).alias("post_spacing_m"))
+    out = terrain.draped_plants(rows, _draped(s, sf), ["model_id", "line"], ["model_id", "field"])
+    return _r(out, 4, "surface_row_m")
+
+
+def _models(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("project_id")
+    m = view(s, sf, "projects").select("project_id", F.when(k % 11 == 0, 2).otherwise(1).alias("version"), F.when(k % 7 == 0, "EPSG:4326").otherwise(F.concat(F.lit("EPSG:3263"), (k % 3 + 2).cast("string"))).alias("crs"), F.lit(5e5).alias("origin_x"), F.when(k % 5 == 0, float("nan")).otherwise(5e6).alias("origin_y"), F.lit(5.0).alias("step_x"), F.when(k % 13 == 0, 5.0).otherwise(-5.0).alias("step_y"), F.when(k % 17 == 0, " ").otherwise("dtm").alias("source"), F.lit(5.0).alias("resolution_m"), (k % 4 != 0).alias("complete"))
+    return terrain.model_errors(m, "project_id")
+
+
+def _windows(s: SparkSession, sf: str) -> DataFrame:
+    f = view(s, sf, "project_fields").select(*KEY, (F.col("lon0") * 1e5).alias("x0"), (F.col("lat0") * 1e5).alias("y0"), (F.col("lon0") * 1e5 + F.col("area_m2")).alias("x1"), (F.col("lat0") * 1e5 + 90.0).alias("y1"))
+    return terrain.support_windows(f, KEY, (2.5, -1.25), 5.0)
+
+
+def _blended(s: SparkSession, sf: str) -> DataFrame:
+    f = view(s, sf, "project_fields").select(*KEY, F.when(F.col("display_order") != 5, F.col("area_m2") / 10).alias("native"), F.col("lat0").alias("context"), (F.col("simulated_plants") / 20.0 - 10).alias("distance"), F.lit(25.0).alias("collar"))
+    return _r(terrain.blended(f, "native", "context", "distance", "collar").select(*KEY, "height"), 6, "height")
+
+
 def _r(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -125,6 +153,11 @@ QUERIES = {
     "a13_terrain_summary": lambda s, sf: _r(terrain.summary(_cells(s, sf)), 3, "min_z", "max_z", "range_z", "max_slope_percent"),
     "r3_heights_at_points": _sampled,
     "r6_surface_area": lambda s, sf: _r(terrain.surface_area(_cells(s, sf)), 2, "surface_m2"),
+    "r1_model_errors": _models,
+    "r2_support_windows": _windows,
+    "r5_draped_lengths": lambda s, sf: _r(_draped(s, sf), 4, "length_m"),
+    "r9_blended_heights": _blended,
+    "r11_draped_plants": _draped_plants,
     "r10_height_colours": lambda s, sf: terrain.encode_heights(_cells(s, sf)),
 }
 
@@ -136,6 +169,17 @@ _FACES = f"""{_CELLS}, q AS (
   SELECT model_id, i, j, 0 AS k, 100 * sqrt(((z10 - z00) / 5) ** 2 + ((z01 - z00) / 5) ** 2) AS slope, (z00 + z10 + z01) / 3 AS mean FROM q
   UNION ALL SELECT model_id, i, j, 1, 100 * sqrt(((z11 - z01) / 5) ** 2 + ((z11 - z10) / 5) ** 2), (z11 + z10 + z01) / 3 FROM q
 )"""
+_DRAPED = """ln AS (SELECT model_id, j AS line, 0.25e0 AS u0, j * 0.9e0 - 0.5e0 AS v0, 40.75e0 AS u1, j * 0.8e0 + 3.0e0 AS v1 FROM raster), ks AS (SELECT unnest(range(-3, 200)) AS k),
+      ts AS (SELECT DISTINCT * FROM (SELECT ln.*, 0.0e0 AS t FROM ln UNION ALL SELECT ln.*, 1.0e0 FROM ln
+        UNION ALL SELECT ln.*, (k - u0) / (u1 - u0) FROM ln, ks WHERE k > least(u0, u1) AND k < greatest(u0, u1) UNION ALL SELECT ln.*, (k - v0) / (v1 - v0) FROM ln, ks WHERE v1 <> v0 AND k > least(v0, v1) AND k < greatest(v0, v1)
+        UNION ALL SELECT ln.*, (k - u0 - v0) / (u1 + v1 - u0 - v0) FROM ln, ks WHERE k > least(u0 + v0, u1 + v1) AND k < greatest(u0 + v0, u1 + v1)) x),
+      pt AS (SELECT *, u0 + t * (u1 - u0) AS u, v0 + t * (v1 - v0) AS v FROM ts), sz AS (SELECT model_id, max(i) AS wi, max(j) AS hj FROM cells GROUP BY model_id),
+      held AS (SELECT pt.*, u BETWEEN -2e-7 AND wi + 2e-7 AND v BETWEEN -2e-7 AND hj + 2e-7 AS good, CAST(least(floor(greatest(u, 0)), wi - 1) AS INTEGER) AS i, CAST(least(floor(greatest(v, 0)), hj - 1) AS INTEGER) AS j FROM pt JOIN sz USING (model_id)),
+      hz AS (SELECT held.*, u - held.i AS a, v - held.j AS b, c0.z AS z00, c1.z AS z10, c2.z AS z01, c3.z AS z11 FROM held LEFT JOIN cells c0 ON good AND c0.model_id = held.model_id AND c0.i = held.i AND c0.j = held.j LEFT JOIN cells c1 ON good AND c1.model_id = held.model_id AND c1.i = held.i + 1 AND c1.j = held.j
+        LEFT JOIN cells c2 ON good AND c2.model_id = held.model_id AND c2.i = held.i AND c2.j = held.j + 1 LEFT JOIN cells c3 ON good AND c3.model_id = held.model_id AND c3.i = held.i + 1 AND c3.j = held.j + 1),
+      zz AS (SELECT *, CASE WHEN a + b <= 1 THEN z00 + a * (z10 - z00) + b * (z01 - z00) ELSE z11 + (1 - b) * (z10 - z11) + (1 - a) * (z01 - z11) END AS z FROM hz),
+      dd AS (SELECT model_id, line, z, sqrt((5 * (u - lag(u) OVER w)) ** 2 + (5 * (v - lag(v) OVER w)) ** 2 + (z - lag(z) OVER w) ** 2) AS d FROM zz WINDOW w AS (PARTITION BY model_id, line ORDER BY t)),
+      draped AS (SELECT model_id, line, CASE WHEN count(z) = count(*) THEN sum(d) END AS length_m FROM dd GROUP BY model_id, line)"""
 _FOLD = "tries AS (SELECT user_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)"
 
 _SQL = {
@@ -207,6 +251,18 @@ _SQL = {
     "r4_terrain_faces": f"WITH {_FACES} SELECT model_id, i, j, k, round(slope, 3) AS slope_percent, round(mean, 3) AS mean_z FROM fc",
     "a13_terrain_summary": f"WITH {_FACES} SELECT model_id, round(min(z), 3) AS min_z, round(max(z), 3) AS max_z, round(max(z) - min(z), 3) AS range_z, count(*) AS n_cells, (SELECT round(max(slope), 3) FROM fc WHERE fc.model_id = cells.model_id) AS max_slope_percent FROM cells GROUP BY model_id",
     "r6_surface_area": f"WITH {_FACES} SELECT model_id, round(sum(12.5 * sqrt(1 + (slope / 100) ** 2)), 2) AS surface_m2 FROM fc GROUP BY model_id",
+    "r1_model_errors": """SELECT project_id, CASE WHEN project_id % 11 = 0 THEN 'version' WHEN project_id % 7 = 0 THEN 'crs' WHEN project_id % 5 = 0 OR project_id % 13 = 0 THEN 'grid' WHEN project_id % 17 = 0 THEN 'source' WHEN project_id % 4 = 0 THEN 'incomplete' END AS error FROM projects""",
+    "r2_support_windows": """WITH w AS (SELECT project_id, client_field_id, floor((lon0 * 1e5 - 42.5e0) / 5) * 5 + 2.5e0 AS west, floor((lat0 * 1e5 - 38.75e0) / 5) * 5 - 1.25e0 AS south, ceil((lon0 * 1e5 + area_m2 + 37.5e0) / 5) * 5 + 2.5e0 AS east, ceil((lat0 * 1e5 + 131.25e0) / 5) * 5 - 1.25e0 AS north FROM project_fields),
+      s AS (SELECT *, CAST(round((east - west) / 5) AS BIGINT) AS width, CAST(round((north - south) / 5) AS BIGINT) AS height FROM w) SELECT *, width >= 2 AND height >= 2 AND width * height <= 262144 AS allowed FROM s""",
+    "r3_heights_at_points": f"""WITH {_CELLS}, p AS (SELECT model_id, j AS point, j * 0.61e0 AS u, j * 1.013e0 - 0.4e0 AS v FROM raster), m AS (SELECT model_id, max(i) AS wi, max(j) AS hj FROM cells GROUP BY model_id),
+      q AS (SELECT p.*, CAST(least(floor(greatest(u, 0)), wi - 1) AS INTEGER) AS i, CAST(least(floor(greatest(v, 0)), hj - 1) AS INTEGER) AS j FROM p JOIN m USING (model_id) WHERE u BETWEEN -2e-7 AND wi + 2e-7 AND v BETWEEN -2e-7 AND hj + 2e-7),
+      h AS (SELECT q.model_id, point, u - q.i AS a, v - q.j AS b, c0.z AS z00, c1.z AS z10, c2.z AS z01, c3.z AS z11 FROM q JOIN cells c0 ON c0.model_id = q.model_id AND c0.i = q.i AND c0.j = q.j JOIN cells c1 ON c1.model_id = q.model_id AND c1.i = q.i + 1 AND c1.j = q.j
+        JOIN cells c2 ON c2.model_id = q.model_id AND c2.i = q.i AND c2.j = q.j + 1 JOIN cells c3 ON c3.model_id = q.model_id AND c3.i = q.i + 1 AND c3.j = q.j + 1)
+      SELECT p.model_id, p.point, round(CASE WHEN a + b <= 1 THEN z00 + a * (z10 - z00) + b * (z01 - z00) ELSE z11 + (1 - b) * (z10 - z11) + (1 - a) * (z01 - z11) END, 5) AS z FROM p LEFT JOIN h ON h.model_id = p.model_id AND h.point = p.point""",
+    "r5_draped_lengths": f"WITH {_CELLS}, {_DRAPED} SELECT model_id, line, round(length_m, 4) AS length_m FROM draped",
+    "r9_blended_heights": """WITH f AS (SELECT *, least(1, greatest(0, (simulated_plants / 20 - 10) / 25)) AS t FROM project_fields) SELECT project_id, client_field_id, round(CASE WHEN t <= 0 OR display_order = 5 THEN lat0 ELSE lat0 + (area_m2 / 10 - lat0) * t * t * (3 - 2 * t) END, 6) AS height FROM f""",
+    "r11_draped_plants": f"""WITH {_CELLS}, {_DRAPED} SELECT model_id, line % 10 AS field, count(*) AS row_count, CASE WHEN count(length_m) = count(*) THEN round(sum(length_m), 4) END AS surface_row_m, CASE WHEN count(length_m) = count(*) THEN CAST(sum(floor(length_m / 0.9e0) + 1) AS BIGINT) END AS plants,
+      CASE WHEN count(length_m) = count(*) THEN CAST(sum(greatest(0, ceil(length_m / 4.5e0) - 1) + 2) AS BIGINT) END AS posts FROM draped GROUP BY model_id, line % 10""",
     "r10_height_colours": f"WITH {_CELLS}, n AS (SELECT *, CAST(round((z + 32768) * 256) AS BIGINT) AS n FROM cells) SELECT model_id, i, j, n // 65536 % 256 AS r, n // 256 % 256 AS g, n % 256 AS b FROM n",
 }
 ORACLES = {k: with_views(v) for k, v in _SQL.items()}

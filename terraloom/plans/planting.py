@@ -58,6 +58,8 @@ QUERIES = {
     "g6_ring_validity": lambda s, sf: p.valid_rings(_fields(s, sf)).groupBy("valid").agg(F.count("*").alias("n")),
     "g7_generate_rows": _rows,
     "g11_quantities": lambda s, sf: _r(p.quantities(_fields(s, sf)), 2, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_linear_m"),
+    # Plants and posts change with the last bit where a length is a whole number of spacings, so SQL is compared on the rest of the record.
+    "g11_field_areas": lambda s, sf: _r(_r(p.quantities(_fields(s, sf)), 2, "area_m2", "perimeter_m", "row_linear_m"), 3, "net_area_m2", "headland_area_m2").select(*p.KEY, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_count", "row_linear_m", "head_posts"),
     "g13_best_orientation": lambda s, sf: p.best_orientation(_fields(s, sf)),
     "g16_sample_points": lambda s, sf: _r(p.sample_points(_fields(s, sf)), 7, "lon", "lat"),
     "f1_commercial_rounding": lambda s, sf: s.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ceil25(F.col("l_extendedprice") - 500).alias("rounded")),
@@ -114,6 +116,23 @@ pieces AS (
 _SQL = {
     "g1_polygon_metrics": f"WITH {_RING} SELECT {_K}, CAST(count(*) AS INTEGER) AS vertex_count, round(abs(sum(x * y2 - x2 * y)) / 2, 2) AS area_m2, round(sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)), 2) AS perimeter_m FROM e GROUP BY ALL",
     "g2_sides": f"WITH {_RING} SELECT {_K}, CAST(i - 1 AS INTEGER) AS side, round(sqrt((x2 - x) ** 2 + (y2 - y) ** 2), 4) AS length_m, round((lon + lon2) / 2, 4) AS mid_lon, round((lat + lat2) / 2, 4) AS mid_lat FROM e",
+    "g4_label_points": f"""WITH {_RING}, m AS (SELECT {_K}, any_value(rlon) AS rlon, any_value(rlat) AS rlat, sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)) AS cx, sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)) AS cy FROM e GROUP BY ALL)
+      SELECT {_K}, round(rlon + degrees(cx / 6371008.8 / cos(radians(rlat))), 6) AS lon, round(rlat + degrees(cy / 6371008.8), 6) AS lat FROM m""",
+    "f3_f4_utm": f"""WITH t AS (SELECT *, radians(lon0 - 9) AS lam, tan(radians(lat0)) AS tau FROM project_fields), s AS (SELECT *, sinh({geo._E!r} * atanh({geo._E!r} * tau / sqrt(1 + tau * tau))) AS sg FROM t), c AS (SELECT *, tau * sqrt(1 + sg * sg) - sg * sqrt(1 + tau * tau) AS tc FROM s),
+      k AS (SELECT *, atan2(tc, cos(lam)) AS xi, asinh(sin(lam) / sqrt(tc * tc + cos(lam) ** 2)) AS eta FROM c)
+      SELECT {_K}, round(500000 + {0.9996 * geo._RADIUS!r} * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))}), 3) AS x,
+        round({0.9996 * geo._RADIUS!r} * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))}), 3) AS y, round(lon0, 9) AS lon, round(lat0, 9) AS lat FROM k""",
+    "g11_field_areas": f"""WITH {_RING}, {_TURNED}, o0 AS (SELECT * FROM iv WHERE hole = 0 AND m % 2 = 1 AND t IS NOT NULL AND t - s > 0.05),
+      p0 AS (SELECT o0.project_id, o0.client_field_id, o0.display_order, CASE WHEN cs IS NULL OR ct <= s OR cs >= t THEN t - s WHEN cs > s THEN least(cs, t) - s END AS len FROM o0 LEFT JOIN cut USING (project_id, client_field_id, display_order, n)
+        UNION ALL SELECT o0.project_id, o0.client_field_id, o0.display_order, t - greatest(ct, s) FROM o0 JOIN cut USING (project_id, client_field_id, display_order, n) WHERE NOT (ct <= s OR cs >= t) AND ct < t),
+      raw AS (SELECT {_K}, sum(len) AS raw FROM p0 WHERE len > 0.05 GROUP BY ALL),
+      pl AS (SELECT {_K}, count(*) AS row_count, sum(len) AS linear, sum(floor(len / plant_spacing_m) + 1) AS plants, sum(greatest(0, ceil(len / post_spacing_m) - 1)) AS posts FROM pieces JOIN project_fields USING ({_K}) WHERE len > 0.05 GROUP BY ALL),
+      ar AS (SELECT {_K}, abs(sum(x * y2 - x2 * y)) / 2 AS area, sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS perimeter FROM e GROUP BY ALL),
+      u AS (SELECT f.*, area, perimeter, coalesce(pl.row_count, 0) AS rc, coalesce(linear, 0) AS linear, coalesce(raw, 0) AS raw, coalesce(plants, 0) AS plants, coalesce(posts, 0) AS posts,
+          greatest(0, area - CASE WHEN has_exclusion THEN radians(0.2 * dlon) * cos(radians(lat0 + 0.3 * dlat)) * radians(0.2 * dlat) * 6371008.8 ** 2 ELSE 0 END) AS usable
+        FROM project_fields f JOIN ar USING ({_K}) LEFT JOIN pl USING ({_K}) LEFT JOIN raw USING ({_K})),
+      n AS (SELECT *, least(usable, greatest(0, raw - linear) * row_spacing_m) AS headland FROM u), q AS (SELECT *, greatest(0, usable - headland) AS net FROM n), z AS (SELECT *, ceil(net / (row_spacing_m * plant_spacing_m)) AS theory FROM q)
+      SELECT {_K}, round(area, 2) AS area_m2, round(perimeter, 2) AS perimeter_m, round(net, 3) AS net_area_m2, round(headland, 3) AS headland_area_m2, rc AS row_count, round(linear, 2) AS row_linear_m, rc * 2 AS head_posts FROM z""",
     "g5_corridors": f"SELECT {_K}, 4 AS vertex_count, round(1.5 * sqrt((radians(dlon) * 6371008.8 * cos(radians(lat0 + dlat / 2))) ** 2 + (radians(dlat) * 6371008.8) ** 2), 2) AS area_m2 FROM project_fields",
     "g6_ring_validity": "SELECT true AS valid, count(*) AS n FROM project_fields",
     "g7_generate_rows": f"WITH {_RING}, {_TURNED} SELECT {_K}, row_count, round(linear, 3) AS linear_m, round(longest, 3) AS longest_m FROM sums",

@@ -108,6 +108,14 @@ _SQL = {
       SELECT project_id, client_field_id, CASE WHEN t.tx IS NOT NULL THEN t.tx * 100000 + t.ty END AS parcel_id FROM project_fields f LEFT JOIN t ON t.tx = CAST(floor((lon0 + 0.0003 + 0.0005) / 0.002) AS BIGINT) AND t.ty = CAST(floor((lat0 + 0.0007 + 0.0003) / 0.002) AS BIGINT)""",
     "p12_public_fields": "SELECT project_id, coalesce(list(client_field_id ORDER BY display_order, client_field_id) FILTER (display_order % 2 = 1), []) AS shown FROM project_fields SEMI JOIN projects USING (project_id) GROUP BY project_id HAVING count(*) FILTER (display_order % 2 = 1) > 0",
     "st4_acknowledged": "WITH l AS (SELECT *, last_value(seq) OVER (PARTITION BY project_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS by_seq FROM sync_ops) SELECT operation_id, seq, project_id, by_seq FROM l WHERE seq <> by_seq",
+    "st5_deliveries": """WITH RECURSIVE o AS (SELECT user_id AS submission_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS at_s, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'provider_accepted' ELSE 'claim' END AS action FROM events),
+      l AS (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY at_s, seq) AS n FROM o),
+      f AS (SELECT submission_id, at_s, seq, action, n, CASE WHEN action = 'claim' THEN 'sending' ELSE 'pending' END AS state, action = 'claim' AS send, CASE WHEN action = 'claim' THEN 1 ELSE 0 END AS attempts, CASE WHEN action = 'claim' THEN at_s END AS began, CASE WHEN action = 'claim' THEN at_s + 120 END AS lease FROM l WHERE n = 1
+        UNION ALL SELECT submission_id, at_s, seq, action, n, CASE WHEN old THEN 'uncertain' WHEN send THEN 'sending' WHEN action <> 'claim' AND was = 'sending' THEN action ELSE was END, send, tries + CASE WHEN send THEN 1 ELSE 0 END, CASE WHEN send THEN coalesce(first, at_s) ELSE first END,
+          CASE WHEN old OR (action <> 'claim' AND was = 'sending') THEN NULL WHEN send THEN at_s + 120 ELSE held END
+        FROM (SELECT *, able AND coalesce(first < at_s - 82800, false) AS old, able AND NOT coalesce(first < at_s - 82800, false) AS send FROM (
+          SELECT l.*, f.state AS was, f.attempts AS tries, f.began AS first, f.lease AS held, l.action = 'claim' AND f.state <> 'provider_accepted' AND NOT coalesce(f.lease > l.at_s, false) AS able FROM f JOIN l ON l.submission_id = f.submission_id AND l.n = f.n + 1) x) y)
+      SELECT submission_id, at_s, seq, action, state, send, attempts FROM f""",
     "v13_revoke": "SELECT project_id, CASE WHEN project_id % 2 = 0 THEN coalesce(deleted_at, TIMESTAMP '2001-01-01') ELSE deleted_at END AS revoked_at FROM projects",
     "v18_quote_states": "WITH a AS (SELECT user_id AS project_id, event_id, CASE event_type WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'failed' ELSE 'pending' END AS o FROM events) SELECT project_id, CASE WHEN bool_or(o = 'sent') THEN 'sent' ELSE arg_max(o, event_id) END AS state, count(*) AS attempts FROM a GROUP BY project_id",
     "w2_next_revisions": "SELECT s.project_id, s.seq, coalesce(p.latest_revision_number, 0) + row_number() OVER (PARTITION BY s.project_id ORDER BY s.seq) AS revision_number FROM sync_ops s LEFT JOIN projects p ON p.project_id = s.project_id",
