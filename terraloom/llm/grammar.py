@@ -119,7 +119,7 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+def _by_levels(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for, all of one level at a time."""
     s = symbols
     while (big := s >= FIRST).any():
@@ -131,12 +131,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return s
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for: each rule that occurs is expanded once, then all are copied in one go."""
+    big = symbols >= FIRST
+    if not big.any():
+        return symbols
+    lengths = expansion_lengths(rules) if lengths is None else lengths
+    used, which = np.unique(symbols[big], return_inverse=True)
+    n = lengths[used - FIRST]
+    table = np.concatenate([_by_levels(used, rules), symbols[~big]])
+    size, start = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    size[big], start[big] = n[which], (np.cumsum(n) - n)[which]
+    start[~big] = n.sum() + np.arange(np.count_nonzero(~big))
+    return table[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def part(rules: np.ndarray, rule_length: np.ndarray, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a shard; only the symbols that cover them are expanded."""
     ends = np.cumsum(np.where(sequence < FIRST, 1, rule_length[np.maximum(sequence - FIRST, 0)] if len(rules) else 1))
     i, j = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
     skipped = int(ends[i - 1]) if i else 0
-    return expand(sequence[i:j], rules)[start - skipped : stop - skipped]
+    return expand(sequence[i:j], rules, rule_length)[start - skipped : stop - skipped]
 
 
 def _ranging(bounds: np.ndarray):
@@ -198,7 +213,7 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
             rules = np.frombuffer(r["rules"], "<i4").reshape(-1, 2)
-            ids = expand(np.frombuffer(r["sequence"], "<i4"), rules).astype("<u4")
+            ids = expand(np.frombuffer(r["sequence"], "<i4"), rules, np.frombuffer(r["rule_length"], "<i8")).astype("<u4")
             n = np.frombuffer(r["doc_length"], "<i8")
             ends = np.cumsum(n)
             crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends, n)]
