@@ -53,9 +53,7 @@ def frequent_pairs(s: np.ndarray, asked: np.ndarray, least: int) -> tuple[np.nda
     bits = min(20, max(8, len(asked).bit_length() + 1))
     a, b = s[asked], s[asked + 1]
     h = ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int32)
-    likely = np.flatnonzero((np.bincount(h, minlength=1 << bits) >= least)[h])
-    a, b = a[likely], b[likely]
-    of = _classes(a, b, h[likely], 1 << bits)
+    of = _classes(a, b, h, 1 << bits)
     n = np.bincount(of, minlength=len(of))
     chosen = np.flatnonzero(n >= least)
     chosen = chosen[np.lexsort((b[chosen], a[chosen], -n[chosen]))]
@@ -63,7 +61,7 @@ def frequent_pairs(s: np.ndarray, asked: np.ndarray, least: int) -> tuple[np.nda
     named[chosen] = np.arange(len(chosen), dtype=np.int32)
     rank = named[of]
     some = rank >= 0
-    return asked[likely[some]], rank[some], np.stack([a[chosen], b[chosen]], axis=1)
+    return asked[some], rank[some], np.stack([a[chosen], b[chosen]], axis=1)
 
 
 def compress(ids: np.ndarray, least: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +89,15 @@ def compress(ids: np.ndarray, least: int = FREQUENT) -> tuple[np.ndarray, np.nda
         named = np.cumsum(good) - 1
         made = place[at]
         s[made] = (FIRST + known + named.astype(np.int32))[rank[at]]
-        gone = made + 1
-        s = np.delete(s, gone)
+        gone = np.zeros(len(s), bool)
+        gone[made + 1] = True
+        before = np.cumsum(gone, dtype=np.int32)
+        s = s[~gone]
         # A pair that wasn't frequent never will be; left to ask are frequent pairs that stayed and pairs with a new symbol.
         live = np.zeros(len(s), bool)
-        stayed = place[gone[np.minimum(np.searchsorted(gone, place), len(gone) - 1)] != place]
-        live[stayed - np.searchsorted(gone, stayed)] = True
-        new = made - np.arange(len(made), dtype=np.int32)
+        stayed = place[~gone[place]]
+        live[stayed - before[stayed]] = True
+        new = made - before[made]
         live[new] = True
         live[np.maximum(new - 1, 0)] = True
         asked = np.flatnonzero(live[:-1]).astype(np.int32)
