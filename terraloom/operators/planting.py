@@ -131,6 +131,29 @@ def generate_rows(fields: DataFrame, key: list[str] = KEY, headland: str | None
     return step.select(*key, "line", "part", "x", F.col("i.s").alias("y_start"), F.col("i.e").alias("y_end"), (F.col("i.e") - F.col("i.s")).alias("length_m"), back(F.col("i.s")).alias("start"), back(F.col("i.e")).alias("end"))
 
 
+def curve_points(fields: DataFrame, key: list[str] = KEY, position: str = "position", offset: str = "offset_m", angle: str = "orientation_deg") -> DataFrame:
+    """Where a control point of curved rows lies: ``offset`` metres beside the middle of the rotated ring, ``position`` of the way along it; and that place
+    read back as position and offset."""
+    turn = (-F.col(angle) * F.lit(math.pi / 180)).alias("turn")
+    step = _local(fields.select(*key, position, offset, "ring", turn), [*key, position, offset, "turn"]).select(*key, position, offset, "pts", "ref", F.cos("turn").alias("cos"), F.sin("turn").alias("sin"))
+    spun = F.transform("pts", lambda p: geo.rotated(p, F.col("cos"), F.col("sin")))
+    step = step.select(*key, position, offset, "ref", "cos", "sin", F.transform(spun, lambda p: p["x"]).alias("xs"), F.transform(spun, lambda p: p["y"]).alias("ys"))
+    step = step.select(*key, position, offset, "ref", "cos", "sin", ((F.array_min("xs") + F.array_max("xs")) / 2).alias("mid"), F.array_min("ys").alias("low"), (F.array_max("ys") - F.array_min("ys")).alias("span"))
+    step = step.withColumns({"x": F.col("mid") + F.col(offset), "y": F.col("low") + F.col(position) * F.col("span")})
+    step = step.withColumn("at", geo.to_lonlat(F.col("x") * F.col("cos") + F.col("y") * F.col("sin"), -F.col("x") * F.col("sin") + F.col("y") * F.col("cos"), F.col("ref")))
+    back = step.withColumn("p", geo.rotated(geo.to_xy(F.col("at"), F.col("ref")), F.col("cos"), F.col("sin")))
+    return back.select(*key, F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"), ((F.col("p.y") - F.col("low")) / F.col("span")).alias("position"), (F.col("p.x") - F.col("mid")).alias("offset_m"))
+
+
+def soil_themes(samples: DataFrame, key: list[str], themes: tuple[str, ...] = ("texture", "limestone", "drainage", "reaction"), most: int = 4) -> DataFrame:
+    """Per field the first value of each theme among its samples, the centre (number 0) first, then in order, so many at most; fields without any value give no row."""
+    w = Window.partitionBy(*key).orderBy("sample")
+    few = samples.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    first = [F.min_by(t, F.when(F.col(t).isNotNull(), F.col("__n"))).alias(t) for t in themes]
+    out = few.groupBy(*key).agg(*first, F.count("*").alias("samples"))
+    return out.where(F.coalesce(*themes).isNotNull())
+
+
 def quantities(fields: DataFrame, key: list[str] = KEY) -> DataFrame:
     """The quantity record of each field without curved rows: areas, rows, plants, posts; zero where nothing can be planted."""
     per = fields.select(*key, "plant_spacing_m", "post_spacing_m")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.common import blank_to_null, text
-from terraloom.operators.catalog import allocated_codes
+from terraloom.operators.catalog import allocated_codes, located
 from terraloom.operators.archive import public_code_ok
 from terraloom.operators.folds import first_of_each, fold
 
@@ -59,6 +59,14 @@ def edit_fields(fields: DataFrame, edits: DataFrame, projects: DataFrame, longes
     return left, out
 
 
+def set_locations(nested: DataFrame, patches: DataFrame, projects: DataFrame) -> DataFrame:
+    """Embedded fields with their new locations; every project that has one gets its next version and revision."""
+    asked = patches.select("project_id").distinct().withColumn("__asked", F.lit(1))
+    out = located(nested, patches).join(projects.select("project_id", "version", "latest_revision_number"), "project_id").join(asked, "project_id", "left")
+    more = F.coalesce("__asked", F.lit(0))
+    return out.withColumns({"version": F.col("version") + more, "latest_revision_number": F.col("latest_revision_number") + more}).drop("__asked")
+
+
 def report_errors(requests: DataFrame, revisions: DataFrame) -> DataFrame:
     """What is wrong first with each report request (report_id, project_id, revision_number, ids, disclaimer, token_hash): no ids, ids twice, an unknown
     revision, ids that the revision (array field_ids) lacks, the disclaimer, the token's hash; else null. Ids come back distinct and sorted."""

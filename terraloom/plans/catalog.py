@@ -56,12 +56,16 @@ def _titles(s: SparkSession, sf: str) -> DataFrame:
     return e.select("list_id", "client_field_id", c.reading_title(given, F.col("category")).alias("title"))
 
 
-def _located(s: SparkSession, sf: str) -> DataFrame:
+def _nested(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     f = view(s, sf, "project_fields").select("project_id", "display_order", F.struct(F.col("client_field_id"), F.lit("").alias("municipality"), F.lit("").alias("province"), F.lit("").alias("region")).alias("f"))
     nested = f.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("display_order", F.col("f.client_field_id").alias("k"), "f"))), lambda x: x["f"]).alias("field_plans"))
     nested = nested.select("project_id", "field_plans", *[F.lit("?").alias(x) for x in ("municipality", "province", "region")])
     patches = view(s, sf, "project_fields").where("display_order % 3 = 1").select(*KEY, F.concat(F.lit("M"), _s("display_order")).alias("municipality"), F.lit("CN").alias("province"), F.lit("Piemonte").alias("region"))
-    out = c.located(nested, patches)
+    return nested, patches
+
+
+def _located(s: SparkSession, sf: str) -> DataFrame:
+    out = c.located(*_nested(s, sf))
     return out.select("project_id", "municipality", "region", F.array_join(F.transform("field_plans", lambda x: x["municipality"]), "|").alias("fields"))
 
 

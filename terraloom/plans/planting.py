@@ -50,7 +50,22 @@ def _corridors(s: SparkSession, sf: str) -> DataFrame:
     return _r(p.polygon_metrics(p.corridor(f, "a", "b", 1.5)).select(*p.KEY, "vertex_count", "area_m2"), 2, "area_m2")
 
 
+def _curves(s: SparkSession, sf: str) -> DataFrame:
+    f = _fields(s, sf).withColumns({"position": F.lit(0.1) + (F.col("display_order") * 0.1), "offset_m": F.col("row_spacing_m") * 3 - 5})
+    return p.curve_points(f).select(*p.KEY, F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("position", 6).alias("position"), F.round("offset_m", 5).alias("offset_m"))
+
+
+def _themes(s: SparkSession, sf: str) -> DataFrame:
+    """Soil values that only some samples have."""
+    k = F.col("client_field_id")
+    pts = p.sample_points(_fields(s, sf)).select(*p.KEY, "sample")
+    named = lambda t, good: F.when(good, F.concat(F.lit(t), F.col("sample").cast("string")))
+    return p.soil_themes(pts.withColumns({"texture": named("t", F.col("sample") > 1), "limestone": named("l", k % 3 == 0), "drainage": named("d", (F.col("sample") + k) % 4 == 1), "reaction": named("r", k % 5 == 9)}), p.KEY)
+
+
 QUERIES = {
+    "g18_curve_points": _curves,
+    "j21_soil_themes": _themes,
     "g1_polygon_metrics": lambda s, sf: _r(p.polygon_metrics(_fields(s, sf)), 2, "area_m2", "perimeter_m"),
     "g2_sides": lambda s, sf: _r(p.sides(_fields(s, sf)), 4, "length_m", "mid_lon", "mid_lat"),
     "g4_label_points": lambda s, sf: _r(p.label_points(_fields(s, sf)), 6, "lon", "lat"),
@@ -140,6 +155,15 @@ _SQL = {
       s AS (SELECT *, a + (b - a) * [0.5, 0.25, 0.5, 0.75, 0.25, 0.75, 0.25, 0.5, 0.75][k + 1] AS px, c + (d - c) * [0.5, 0.25, 0.25, 0.25, 0.5, 0.5, 0.75, 0.75, 0.75][k + 1] AS py FROM bx, unnest(range(0, 9)) t(k))
       SELECT {', '.join('s.' + x for x in _K.split(', '))}, CAST(k AS INTEGER) AS sample, round(px, 7) AS lon, round(py, 7) AS lat FROM s JOIN e USING ({_K})
       WHERE (e.lat > py) <> (e.lat2 > py) AND px < (e.lon - e.lon2) * (py - e.lat2) / (e.lat - e.lat2) + e.lon2 GROUP BY ALL HAVING count(*) % 2 = 1""",
+    "g18_curve_points": f"""WITH {_RING}, {_TURNED}, fr AS (SELECT {_K}, any_value(t) AS t, (min(rx) + max(rx)) / 2 AS mid, min(ry) AS low, max(ry) - min(ry) AS span FROM tr WHERE hole = 0 GROUP BY ALL),
+      q AS (SELECT f.*, fr.t, rlon, rlat, mid + row_spacing_m * 3 - 5 AS lx, low + (0.1e0 + display_order * 0.1e0) * span AS ly FROM project_fields f JOIN fr USING ({_K}) JOIN r USING ({_K}))
+      SELECT {_K}, round(rlon + degrees((lx * cos(t) + ly * sin(t)) / 6371008.8 / cos(radians(rlat))), 7) AS lon, round(rlat + degrees((-lx * sin(t) + ly * cos(t)) / 6371008.8), 7) AS lat, round(0.1e0 + display_order * 0.1e0, 6) AS position, round(row_spacing_m * 3 - 5, 5) AS offset_m FROM q""",
+    "j21_soil_themes": f"""WITH {_RING}, bx AS (SELECT {_K}, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM g GROUP BY ALL),
+      s AS (SELECT *, a + (b - a) * [0.5, 0.25, 0.5, 0.75, 0.25, 0.75, 0.25, 0.5, 0.75][k + 1] AS px, c + (d - c) * [0.5, 0.25, 0.25, 0.25, 0.5, 0.5, 0.75, 0.75, 0.75][k + 1] AS py FROM bx, unnest(range(0, 9)) t(k)),
+      pts AS (SELECT {', '.join('s.' + x for x in _K.split(', '))}, CAST(k AS INTEGER) AS sample FROM s JOIN e USING ({_K})
+      WHERE (e.lat > py) <> (e.lat2 > py) AND px < (e.lon - e.lon2) * (py - e.lat2) / (e.lat - e.lat2) + e.lon2 GROUP BY {', '.join('s.' + x for x in _K.split(', '))}, k, px, py HAVING count(*) % 2 = 1),
+      o AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY sample) AS n FROM pts), val AS (SELECT *, CASE WHEN sample > 1 THEN 't' || sample END AS tx, CASE WHEN client_field_id % 3 = 0 THEN 'l' || sample END AS li, CASE WHEN (sample + client_field_id) % 4 = 1 THEN 'd' || sample END AS dr FROM o WHERE n <= 4)
+      SELECT {_K}, arg_min(tx, n) FILTER (tx IS NOT NULL) AS texture, arg_min(li, n) FILTER (li IS NOT NULL) AS limestone, arg_min(dr, n) FILTER (dr IS NOT NULL) AS drainage, CAST(NULL AS VARCHAR) AS reaction, count(*) AS samples FROM val GROUP BY {_K} HAVING count(tx) + count(li) + count(dr) > 0""",
     "f1_commercial_rounding": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN l_extendedprice - 500 > 0 THEN ceil((l_extendedprice - 500) / 25) * 25 ELSE 0 END AS BIGINT) AS rounded FROM lineitem",
     "f5_web_mercator": f"SELECT {_K}, round((lon0 + 180) / 360 * 4194304, 4) AS x, round((1 - asinh(tan(radians(lat0))) / pi()) / 2 * 4194304, 4) AS y, round(lat0, 8) AS lat FROM project_fields",
     "f6_parse_coordinates": f"SELECT {_K}, CASE WHEN display_order % 3 < 2 THEN 'coordinate' WHEN project_id % 2 = 0 THEN 'address' ELSE 'invalid' END AS kind, CASE WHEN display_order % 3 < 2 THEN round(lat0, 5) END AS lat, CASE display_order % 3 WHEN 0 THEN round(lon0, 5) WHEN 1 THEN 8.5 END AS lon FROM project_fields",

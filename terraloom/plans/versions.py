@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.operators import versions as v
+from terraloom.plans.catalog import _nested
 from terraloom.sources.views import view, with_rings, with_views
 
 KEY = ["project_id", "client_field_id"]
@@ -127,7 +128,12 @@ def _oriented(s: SparkSession, sf: str) -> DataFrame:
     return v.suggested_orientation(f, f.where("client_field_id % 3 <> 0").select(*KEY, F.lit(45).alias("angle")), KEY).select(*KEY, "orientation_deg")
 
 
+def _placed(s: SparkSession, sf: str) -> DataFrame:
+    return v.set_locations(*_nested(s, sf), view(s, sf, "projects")).select("project_id", "municipality", F.col("version").cast("long").alias("version"), F.col("latest_revision_number").cast("long").alias("latest_revision_number"))
+
+
 QUERIES = {
+    "v8_set_locations": _placed,
     "v3_create_revisions": _created,
     "v6_restore_revisions": _restored,
     "v9_edited_fields": lambda s, sf: _edited(s, sf)[0].select(*KEY, "label"),
@@ -162,6 +168,8 @@ _SQL = {
     "v9_edited_fields": f"WITH {_GOOD} SELECT project_id, client_field_id, coalesce(renamed, label) AS label FROM edits WHERE NOT gone",
     "v9_edited_projects": f"""WITH {_GOOD} SELECT project_id, any_value(version) + CASE WHEN bool_or(gone OR renamed IS NOT NULL) THEN 1 ELSE 0 END AS version, count(*) FILTER (NOT gone) AS n_fields, round(coalesce(sum(area_m2) FILTER (NOT gone), 0), 2) AS area_m2,
       CAST(coalesce(sum(commercial_plants_25) FILTER (NOT gone), 0) AS BIGINT) AS plants, count(*) FILTER (NOT gone) = 0 AS deleted FROM edits GROUP BY project_id""",
+    "v8_set_locations": """WITH f AS (SELECT project_id, count(*) AS n, bool_or(display_order % 3 = 1) AS hit, max(CASE WHEN display_order % 3 = 1 THEN 'M' || CAST(display_order AS VARCHAR) END) AS m FROM project_fields GROUP BY project_id)
+      SELECT project_id, CASE WHEN n = 1 AND hit THEN m ELSE '?' END AS municipality, version + CASE WHEN hit THEN 1 ELSE 0 END AS version, latest_revision_number + CASE WHEN hit THEN 1 ELSE 0 END AS latest_revision_number FROM projects JOIN f USING (project_id)""",
     "v12_report_errors": """SELECT project_id AS report_id, [[], ['b'], ['a', 'z'], ['a', 'c'], ['a', 'c']][project_id % 5 + 1] AS sorted_ids, CASE WHEN project_id % 5 = 0 THEN 'fields_required' WHEN project_id % 5 = 1 THEN 'fields_repeated' WHEN latest_revision_number < 2 THEN 'revision_not_found'
       WHEN project_id % 5 = 2 THEN 'fields_not_in_revision' WHEN project_id % 7 = 0 THEN 'disclaimer_required' WHEN project_id % 4 = 0 THEN 'invalid_token_hash' END AS error FROM projects""",
     "v14_apply_counts": """WITH RECURSIVE ops AS (SELECT event_id - CASE WHEN event_id % 13 = 5 THEN 1 ELSE 0 END AS op_id, event_id AS seq, user_id, CASE WHEN event_id % 26 = 5 THEN 'other' ELSE 'same' END AS digest, CAST(floor(value) AS BIGINT) % 3 AS expected, event_type = 'error' AS deletes FROM events),

@@ -326,3 +326,47 @@ def test_fields_on_parcels_by_brute_force(spark):
     near = lambda f, p: abs(f[0][0] - p[0][0]) < 0.02 and abs(f[0][1] - p[0][1]) < 0.02
     want = {(*k, pid) for k, f in rings.items() for pid, p in squares.items() if near(f, p) and meets(f, p)}
     assert want and {tuple(r) for r in spatial.touching(fields, parcels, plans.KEY).collect()} == want
+
+
+def test_curve_controls_by_brute_force(spark):
+    from terraloom.operators import catalog
+
+    rng = __import__("random").Random(2)
+    rows = [(k, i, rng.choice([None, float("nan"), *[rng.random() * 1.2 - 0.1 for _ in range(8)], 0.5, 0.5004]), rng.uniform(-150, 150)) for k in range(20) for i in range(rng.randint(1, 40))]
+    got = {r.field: [(p.position, p.id, p.offset_m) for p in r.controls] for r in catalog.curve_controls(spark.createDataFrame(rows, "field long, i long, position double, offset_m double"), "field", "i").collect()}
+    for k in {r[0] for r in rows}:
+        points = sorted((min(max(p, 0.01), 0.99), i, min(max(o, -100.0), 100.0)) for f, i, p, o in rows if f == k and p is not None and not math.isnan(p))
+        kept = []
+        for p in points:
+            near = next((n for n, q in enumerate(kept) if abs(q[0] - p[0]) < 0.001), None)
+            kept = kept + [p] if near is None else [*kept[:near], p, *kept[near + 1 :]]
+        assert got.get(k, []) == pytest.approx(kept[:24]) if not points else [tuple(map(float, p)) for p in got[k]] == [pytest.approx(p) for p in kept[:24]]
+
+
+def test_count_operations_by_hand(spark):
+    from terraloom.operators import versions
+
+    lists = spark.createDataFrame([(1, 5, None), (2, 5, "gone")], "list_id long, owner_user_id long, deleted_at string")
+    ops = [(1, 1, 7, 1, 5, "a", 0, False), (2, 2, 7, 1, 5, "b", 0, False), (1, 3, 7, 1, 5, "a", 0, False), (1, 4, 7, 1, 5, "z", 0, False), (3, 5, 7, 1, 5, "c", 1, True), (4, 6, 7, 1, 5, "d", 2, False), (5, 7, 8, 2, 5, "e", 0, False), (6, 8, 8, 1, 6, "f", 0, False)]
+    df = spark.createDataFrame(ops, "op_id long, seq long, count_id long, list_id long, owner long, digest string, expected long, deletes boolean")
+    got = [(r.outcome, r.revision) for r in versions.apply_counts(df, lists).orderBy("seq").collect()]
+    gone = ("NOT_FOUND_OR_FORBIDDEN", None)
+    assert got == [("APPLIED", 1), ("VERSION_CONFLICT", 1), ("APPLIED", 1), ("OPERATION_CONFLICT", None), ("APPLIED", 2), gone, gone, gone]
+
+
+def test_allocated_codes_fill_gaps(spark):
+    from terraloom.operators import catalog
+
+    used = spark.createDataFrame([("VO-0000000",), ("VO-0000002",), ("VO-0000005",), ("old",)], "code string")
+    need = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    assert [r.code[-1] for r in catalog.allocated_codes(need, used, ["id"]).orderBy("id").collect()] == list("134678")
+    assert catalog.allocated_codes(need, used.where("false"), ["id"]).orderBy("id").first().code == "VO-0000000"
+
+
+def test_draped_length_on_a_plane(spark):
+    """On a plane the surface length is the flat one times the slope's factor; lines that leave the grid have none."""
+    cells = spark.createDataFrame([(1, i, j, 3.0 * i + 4.0 * j) for i in range(9) for j in range(7)], "model_id long, i int, j int, z double")
+    lines = spark.createDataFrame([(1, 1, 0.3, 0.2, 7.7, 5.9), (2, 1, 1.0, 1.0, 4.0, 1.0), (3, 1, 1.0, 1.0, 9.5, 1.0), (4, 1, 2.5, 2.5, 2.5, 2.5)], "line long, model_id long, u0 double, v0 double, u1 double, v1 double")
+    got = {r.line: r.length_m for r in terrain.draped_lengths(lines, cells, ["line"]).collect()}
+    du, dv = 7.4, 5.7
+    assert got[1] == pytest.approx(math.hypot(5 * du, 5 * dv, 3 * du + 4 * dv)) and got[2] == pytest.approx(math.hypot(15, 9)) and got[3] is None and got[4] == 0
