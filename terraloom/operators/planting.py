@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions import geo
@@ -105,28 +105,54 @@ def valid_rings(fields: DataFrame, key: list[str] = KEY) -> DataFrame:
     return step.select(*key, (closed & within & (F.abs(shoelace) > 0) & ~F.exists(flags, lambda x: x)).alias("valid"))
 
 
-def generate_rows(fields: DataFrame, key: list[str] = KEY, headland: str | None = "headland_width_m", angle: str = "orientation_deg") -> DataFrame:
-    """Vine rows: scan lines across the rotated ring at the row spacing, less headlands at both ends, less exclusions.
+def _dealt(fields: DataFrame, key: list[str], *columns: str) -> DataFrame:
+    """The named columns, dealt out by key: a field is one narrow row that gives hundreds of scan lines, so even shares matter more than this
+    shuffle, and sums by key need none after it. The number is given, as adaptive execution would judge so few bytes by their size and merge them."""
+    return fields.select(*key, *columns).repartition(int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
-    Scan line k lies at min x + spacing / 2 + k * spacing. Returns (key, line, part, x, y_start, y_end, length_m, start, end).
-    """
-    carry = [*key, "row_spacing_m", "exclusions"]
-    turn = (-F.col(angle) * F.lit(math.pi / 180)).alias("turn")
-    head = (F.greatest(F.lit(0.0), F.coalesce(F.col(headland), F.lit(0.0))) if headland else F.lit(0.0)).alias("head")
-    step = _local(fields.select(*carry, "ring", turn, head), [*carry, "turn", "head"]).select(*carry, "head", "pts", "ref", F.cos("turn").alias("cos"), F.sin("turn").alias("sin"))
+
+def _scanned(fields: DataFrame, key: list[str], turn: Column, extra: list[str] = [], exclusions: bool = True) -> DataFrame:  # noqa: B006
+    """A row per scan line with ``spans``, the intervals inside the rotated ring, and ``cuts``, those inside exclusions; a field without any has one row
+    whose ``line`` is null. Scan line k lies at min x + spacing / 2 + k * spacing."""
+    carry = [*key, "row_spacing_m", *extra]
+    holes = ["exclusions"] if exclusions else []
+    step = _local(fields.select(*carry, *holes, "ring", turn.alias("turn")), [*carry, *holes, "turn"]).select(*carry, *holes, "pts", "ref", F.cos("turn").alias("cos"), F.sin("turn").alias("sin"))
     spin = lambda p: geo.rotated(p, F.col("cos"), F.col("sin"))
-    holes = F.transform("exclusions", lambda r: F.transform(geo.open_ring(r), lambda p: spin(geo.to_xy(p, F.col("ref")))))
-    step = step.select(*carry, "head", "ref", "cos", "sin", F.transform("pts", spin).alias("pts"), F.filter(holes, lambda r: F.size(r) >= 3).alias("holes"))
+    cut = F.filter(F.transform("exclusions", lambda r: F.transform(geo.open_ring(r), lambda p: spin(geo.to_xy(p, F.col("ref"))))), lambda r: F.size(r) >= 3)
+    step = step.select(*carry, "ref", "cos", "sin", F.transform("pts", spin).alias("pts"), *([cut.alias("holes")] if exclusions else []))
     xs = F.transform("pts", lambda p: p["x"])
-    step = step.select(*key, "row_spacing_m", "head", "ref", "cos", "sin", geo.edges(F.col("pts")).alias("ring_sides"), F.transform("holes", geo.edges).alias("hole_sides"), F.array_min(xs).alias("lo"), F.array_max(xs).alias("hi"))
+    step = step.select(*carry, "ref", "cos", "sin", geo.edges(F.col("pts")).alias("ring_sides"), *([F.transform("holes", geo.edges).alias("hole_sides")] if exclusions else []), F.array_min(xs).alias("lo"), F.array_max(xs).alias("hi"))
     first = F.col("lo") + F.col("row_spacing_m") / 2
     last = F.ceil((F.col("hi") - 1e-7 - first) / F.col("row_spacing_m")) - 1
     # Outer explodes: for inner ones Spark infers a filter on the array and computes all that led to it again below.
-    step = step.select("*", F.explode_outer(F.when((F.col("row_spacing_m") > 0) & (F.size("ring_sides") >= 3), F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))))).alias("line")).where(F.col("line").isNotNull()).withColumn("x", first + F.col("line") * F.col("row_spacing_m"))
-    step = step.withColumns({"ys": geo.crossings(F.col("ring_sides"), F.col("x")), "cut_ys": F.transform("hole_sides", lambda s: geo.crossings(s, F.col("x")))})
-    outer = F.filter(F.transform(geo.paired(F.col("ys")), lambda i: F.struct((i["s"] + F.col("head")).alias("s"), (i["e"] - F.col("head")).alias("e"))), lambda i: i["e"] - i["s"] > 0.05)
-    step = step.withColumns({"base": outer, "cuts": F.flatten(F.transform("cut_ys", geo.paired))})
-    step = step.select(*key, "line", "x", "ref", "cos", "sin", F.posexplode_outer(geo.without(F.col("base"), F.col("cuts"))).alias("part", "i")).where(F.col("i").isNotNull())
+    step = step.select("*", F.explode_outer(F.when((F.col("row_spacing_m") > 0) & (F.size("ring_sides") >= 3), F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))))).alias("line")).withColumn("x", first + F.col("line") * F.col("row_spacing_m"))
+    step = step.withColumns({"ys": geo.crossings(F.col("ring_sides"), F.col("x"))} | ({"cut_ys": F.transform("hole_sides", lambda s: geo.crossings(s, F.col("x")))} if exclusions else {}))
+    return step.select(*carry, "ref", "cos", "sin", "line", "x", geo.paired(F.col("ys")).alias("spans"), *([F.flatten(F.transform("cut_ys", geo.paired)).alias("cuts")] if exclusions else []))
+
+
+def _pieces(head: Column) -> Column:
+    """What is left of a scan line's spans after so much headland at both ends and without its cuts."""
+    trimmed = F.transform("spans", lambda i: F.struct((i["s"] + head).alias("s"), (i["e"] - head).alias("e")))
+    base = F.filter(trimmed, lambda i: i["e"] - i["s"] > 0.05)
+    return F.when(F.size("cuts") > 0, geo.without(base, F.col("cuts"))).otherwise(base)
+
+
+def _width(headland: str) -> Column:
+    return F.greatest(F.lit(0.0), F.coalesce(F.col(headland), F.lit(0.0)))
+
+
+def _turn(angle: str) -> Column:
+    return -F.col(angle) * F.lit(math.pi / 180)
+
+
+def generate_rows(fields: DataFrame, key: list[str] = KEY, headland: str | None = "headland_width_m", angle: str = "orientation_deg") -> DataFrame:
+    """Vine rows: scan lines across the rotated ring at the row spacing, less headlands at both ends, less exclusions.
+
+    Returns (key, line, part, x, y_start, y_end, length_m, start, end).
+    """
+    step = _dealt(fields.withColumn("head", _width(headland) if headland else F.lit(0.0)), key, "row_spacing_m", "exclusions", "ring", "head", angle)
+    step = _scanned(step, key, _turn(angle), ["head"]).where(F.col("line").isNotNull())
+    step = step.select(*key, "line", "x", "ref", "cos", "sin", F.posexplode_outer(_pieces(F.col("head"))).alias("part", "i")).where(F.col("i").isNotNull())
     back = lambda y: geo.to_lonlat(F.col("x") * F.col("cos") + y * F.col("sin"), -F.col("x") * F.col("sin") + y * F.col("cos"), F.col("ref"))
     return step.select(*key, "line", "part", "x", F.col("i.s").alias("y_start"), F.col("i.e").alias("y_end"), (F.col("i.e") - F.col("i.s")).alias("length_m"), back(F.col("i.s")).alias("start"), back(F.col("i.e")).alias("end"))
 
@@ -155,16 +181,24 @@ def soil_themes(samples: DataFrame, key: list[str], themes: tuple[str, ...] = ("
 
 
 def quantities(fields: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """The quantity record of each field without curved rows: areas, rows, plants, posts; zero where nothing can be planted."""
-    per = fields.select(*key, "plant_spacing_m", "post_spacing_m")
+    """The quantity record of each field without curved rows: areas, rows, plants, posts; zero where nothing can be planted. Keys are unique.
+
+    One pass over the scan lines gives both the rows and, for the headland's area, their length without headlands.
+    """
+    spacing = ["plant_spacing_m", "post_spacing_m"]
+    step = _dealt(fields.withColumn("head", _width("headland_width_m")), key, "row_spacing_m", "exclusions", "ring", "head", "orientation_deg", *spacing)
+    step = _local(step, [*key, "row_spacing_m", "exclusions", "ring", "head", "orientation_deg", *spacing]).drop("open", "ref").withColumn("m", geo.edges(F.col("pts")))
+    some = F.size("pts") >= 3
+    step = step.withColumns({"area_m2": F.when(some, F.abs(geo.twice_area(F.col("m"))) / 2).otherwise(0.0), "perimeter_m": F.when(some, geo.length(F.col("m"))).otherwise(0.0), "excluded_m2": F.aggregate("exclusions", F.lit(0.0), lambda a, r: a + _ring_area(r))})
+    once = ["area_m2", "perimeter_m", "excluded_m2", *spacing]
+    line = _scanned(step.drop("pts", "m"), key, _turn("orientation_deg"), ["head", *once])
+    total = F.aggregate(_pieces(F.lit(0.0)), F.lit(0.0), lambda a, i: a + (i["e"] - i["s"]))
+    line = line.select(*key, "row_spacing_m", *once, total.alias("raw"), F.posexplode_outer(_pieces(F.col("head"))).alias("part", "i"))
+    line = line.withColumns({"raw": F.when(F.coalesce("part", F.lit(0)) == 0, F.col("raw")), "length_m": F.col("i.e") - F.col("i.s")})
     plants = F.sum(F.when(F.col("plant_spacing_m") > 0, F.floor(F.col("length_m") / F.col("plant_spacing_m")) + 1))
-    between = F.sum(F.greatest(F.lit(0), F.ceil(F.col("length_m") / F.col("post_spacing_m")) - 1))
-    rows = generate_rows(fields, key).join(per, key).groupBy(*key).agg(F.count("*").alias("row_count"), F.sum("length_m").alias("row_linear_m"), plants.alias("simulated_plants"), between.alias("intermediate_posts"))
-    full = generate_rows(fields, key, None).groupBy(*key).agg(F.sum("length_m").alias("raw_linear_m"))
-    hole = F.aggregate("exclusions", F.lit(0.0), lambda a, r: a + _ring_area(r))
-    base = polygon_metrics(fields, key).join(fields.select(*key, "row_spacing_m", "plant_spacing_m", "post_spacing_m", hole.alias("holes")), key)
-    out = base.join(rows, key, "left").join(full, key, "left").na.fill(0)
-    usable = F.greatest(F.lit(0.0), F.col("area_m2") - F.least(F.col("area_m2"), F.col("holes")))
+    between = F.sum(F.when(F.col("length_m").isNotNull(), F.greatest(F.lit(0), F.ceil(F.col("length_m") / F.col("post_spacing_m")) - 1)))
+    out = line.groupBy(*key).agg(*[F.first(c).alias(c) for c in ["row_spacing_m", *once]], F.count("length_m").alias("row_count"), F.sum("length_m").alias("row_linear_m"), F.sum("raw").alias("raw_linear_m"), plants.alias("simulated_plants"), between.alias("intermediate_posts")).na.fill(0)
+    usable = F.greatest(F.lit(0.0), F.col("area_m2") - F.least(F.col("area_m2"), F.col("excluded_m2")))
     out = out.withColumn("headland_area_m2", F.least(usable, F.greatest(F.lit(0.0), F.col("raw_linear_m") - F.col("row_linear_m")) * F.col("row_spacing_m"))).withColumn("net_area_m2", F.greatest(F.lit(0.0), usable - F.col("headland_area_m2")))
     theoretical = F.ceil(F.col("net_area_m2") / (F.col("row_spacing_m") * F.col("plant_spacing_m")))
     head = F.when(F.col("post_spacing_m") > 0, F.col("row_count") * 2).otherwise(0)
@@ -184,8 +218,10 @@ def best_orientation(fields: DataFrame, key: list[str] = KEY, step: int = 5) ->
 
     Each field is exploded by the angles, its rows are summed per angle, and the 180 / step sums fold in order, as the tolerance isn't transitive.
     """
-    spread = fields.withColumn("__angle", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step)))).withColumn("__deg", F.col("__angle").cast("double")).withColumn("exclusions", F.array().cast("array<array<struct<lon:double,lat:double>>>"))
-    per = generate_rows(spread, [*key, "__angle"], None, "__deg").groupBy(*key, "__angle").agg(F.count("*").alias("n"), F.sum("length_m").alias("total"))
+    spread = _dealt(fields, key, "row_spacing_m", "ring").withColumn("__angle", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step))))
+    line = _scanned(spread, [*key, "__angle"], _turn("__angle"), exclusions=False).select(*key, "__angle", F.filter("spans", lambda i: i["e"] - i["s"] > 0.05).alias("kept"))
+    per = line.select(*key, "__angle", F.size("kept").alias("rows"), F.aggregate("kept", F.lit(0.0), lambda a, i: a + (i["e"] - i["s"])).alias("long"))
+    per = per.groupBy(*key, "__angle").agg(F.sum("rows").alias("n"), F.sum("long").alias("total")).where(F.col("n") > 0)
     tried = per.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__angle", (F.col("total") / F.col("n")).alias("mean"), "total", "n"))).alias("all"))
     none = F.struct(F.lit(0).alias("__angle"), F.lit(-1.0).alias("mean"), F.lit(-1.0).alias("total"), F.lit(2**62).cast("long").alias("n"))
 
