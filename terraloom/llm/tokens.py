@@ -23,7 +23,8 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Runs of white space that byte-level vocabularies don't cut into single characters.
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 #: Letters whose lower case is one letter by any rule, then marks that no vocabulary joins to letters.
-_PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.!?;:#*$%&|()]*)")
+_MARKS = ",.!?;:#*$%&|()"
+_PLAIN = re.compile(f"( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([{_MARKS}]*)")
 _made: dict[tuple[str, bool, bool], Encoder] = {}
 
 
@@ -64,6 +65,7 @@ class Encoder:
         self.special = re.compile("|".join(starts)) if starts and not special_as_text else None
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.kept = _Pieces(self._piece)
         self.line = self._whole("\n")
         #: Pieces that begin with a blank, by what follows it, and those that begin with a line end.
@@ -75,17 +77,24 @@ class Encoder:
     def _cut(self, piece: str) -> bytes:
         return self.after[piece[1:]] if piece[:1] == " " else self.kept[piece]
 
+    def _merged(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
     def _piece(self, piece: str) -> bytes:
-        m = _PLAIN.fullmatch(piece)
-        if m is None:
-            return self._whole(piece)
-        blank, word, marks = m.groups()
-        if marks:
-            return self._cut(blank + word) + self.kept[marks]
+        # Most pieces are words of basic letters; they are told apart without the pattern.
+        blank, rest = (" ", piece[1:]) if piece[:1] == " " else ("", piece)
+        word = rest.rstrip(_MARKS)
+        if not (word.isascii() and word.isalpha()):
+            if _PLAIN.fullmatch(piece) is None:
+                return self._whole(piece)
+        if len(word) < len(rest):
+            return self._cut(blank + word) + self.kept[rest[len(word) :]]
         if not self.blank_joins and word != word.lower():
             return self.kept[word.lower()]
-        ids = [t.id for t in self.model.tokenize((blank + word).encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        if word.isascii():
+            return self._merged(self.blank + word if blank else word)
+        return self._merged((blank + word).encode().decode("latin-1").translate(self.letters))
 
     def _text(self, text: str) -> bytes:
         if self.special is not None and self.special.search(text):
