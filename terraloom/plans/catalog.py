@@ -130,7 +130,22 @@ def _polylines(s: SparkSession, sf: str) -> DataFrame:
     return planting.polyline_lengths(e, ["list_id"], "client_field_id").withColumn("length_m", F.round("length_m", 6))
 
 
+def _normal_soil(s: SparkSession, sf: str) -> DataFrame:
+    """Profiles with unknown layers, gaps, long and padded texts, numbers out of range or with signs of per cent."""
+    o, k = F.col("display_order"), F.col("project_id") % 10
+    raw = view(s, sf, "project_fields").select(
+        *KEY, F.when(o % 3 == 0, "texture").when(o % 3 == 1, "other").alias("layer"), F.when(o % 4 == 0, "  ").when(o % 4 == 1, F.concat(F.lit(" \t"), F.repeat("label", 60))).alias("description"),
+        F.when(k < 5, F.concat(F.lit("\n"), "grape_variety", F.lit(" "))).alias("texture"), F.lit(None).cast("string").alias("soil_type"), F.when(k < 8, F.col("rootstock")).alias("soil_unit"), F.repeat(_s("display_order"), 90).alias("code"),
+        (o * 3 - 4).alias("samples"), F.when(k == 1, "2024-01-02").alias("retrieved_at"), F.when(k < 3, "2020-05-06").alias("observed_at"), F.lit(None).cast("string").alias("geometry_signature"),
+        F.lit(" ").alias("limestone"), F.col("clone_selection").alias("organic_matter"), F.lit(None).cast("string").alias("skeleton"), F.lit(None).cast("string").alias("drainage"), F.lit(None).cast("string").alias("reaction"),
+        F.concat(k.cast("string"), F.lit(",5 %")).alias("sand"), (o * 25).alias("silt"), F.concat(F.lit("-"), k.cast("string")).alias("clay"), F.concat((k * 2).cast("string"), F.lit(".0")).alias("ph"),
+        F.when(o % 2 == 0, F.array(F.struct(F.col("rootstock").alias("description"), F.lit(None).cast("string").alias("code")), F.struct(F.lit("").alias("description"), F.lit("x").alias("code")))).alias("units"),
+    )
+    return c.normal_soil(raw, KEY).select(*KEY, "layer", "description", "code", "samples", "retrieved_at", "texture", "soil_unit", "limestone", "organic_matter", "sand", "silt", "clay", "ph", F.size("units").alias("n_units"))
+
+
 QUERIES = {
+    "f10_normal_soil": _normal_soil,
     "s3_scan": lambda s, sf: _f(s, sf).select(*KEY, "label").orderBy(*KEY),
     "s5_notes": _notes,
     "s15_media": _media,
@@ -178,6 +193,11 @@ _PEOPLE = """people AS (SELECT contact_id, CASE WHEN contact_id % 17 <> 0 THEN f
 _LACKS = "[CASE WHEN first_name = '' THEN 'Nome' END, CASE WHEN last_name = '' THEN 'Cognome' END, CASE WHEN phone = '' THEN 'Telefono' END, CASE WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') THEN 'E-mail' END]"
 _K = "project_id, client_field_id"
 _SQL = {
+    "f10_normal_soil": """WITH t AS (SELECT *, project_id % 10 AS k, display_order AS o FROM project_fields),
+      d AS (SELECT *, CASE WHEN o % 4 = 0 THEN '' WHEN o % 4 = 1 THEN left(repeat(label, 60), 250) WHEN k < 5 THEN grape_variety WHEN k < 8 THEN rootstock END AS said FROM t)
+      SELECT project_id, client_field_id, CASE WHEN o % 3 = 0 THEN 'texture' ELSE 'soil' END AS layer, said AS description, repeat(CAST(o AS VARCHAR), 80) AS code, CAST(CASE o WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 8 ELSE 9 END AS DOUBLE) AS samples,
+        CASE WHEN k = 1 THEN '2024-01-02' WHEN k < 3 THEN '2020-05-06' ELSE '' END AS retrieved_at, CASE WHEN k < 5 THEN grape_variety END AS texture, CASE WHEN k < 8 THEN rootstock END AS soil_unit, CAST(NULL AS VARCHAR) AS limestone, clone_selection AS organic_matter,
+        k + 0.5e0 AS sand, CASE WHEN o <= 4 THEN o * 25e0 END AS silt, CAST(NULL AS DOUBLE) AS clay, CASE WHEN k <= 7 THEN k * 2e0 END AS ph, CAST(CASE WHEN o % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_units FROM d WHERE said <> ''""",
     "s3_scan": f"SELECT {_K}, label FROM project_fields",
     "s5_notes": "SELECT user_id AS project_id, event_id AS note_id, CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END || event_type AS body, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events WHERE event_type <> 'error'",
     "s15_media": "SELECT event_id AS media_id, CASE event_type WHEN 'click' THEN 'pending' ELSE 'ready' END AS status, ts AS created_at FROM events WHERE user_id = 12 AND event_type <> 'error'",
