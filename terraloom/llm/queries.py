@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import cube_mixing, grammar, html_text, line_crf, packing, pii, quality_rules, secret_scan, simhash, topk
+from terraloom.llm import cube_mixing, grammar, html_text, line_crf, line_runs, merkle, packing, pii, quality_rules, secret_scan, simhash, topk, whitening
 from terraloom.llm.common import documents
 
 
@@ -54,6 +54,19 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mixing.mix(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
@@ -65,11 +78,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_cube_mixing": op10_cube_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
 ORACLES: dict[str, str] = {
+    "op11_line_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), e AS (
+  SELECT r, doc_id, i, l[i] AS line,
+         translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM d, unnest(range(1, len(l) + 1)) u(i)
+), f AS (
+  SELECT k, true AS gone FROM e WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256
+FROM e LEFT JOIN f USING (k) GROUP BY r, doc_id""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, doc_id, CAST(doc_id AS VARCHAR) AS i, source, lang, n_chars, text FROM documents
+), c AS (
+  SELECT *, i IS NOT NULL AND xor(list_reduce(list_concat([4294967295], list_transform(string_split(i, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 7 = 0 AS bad FROM f
+), p AS (
+  SELECT *, list_transform([i, source, lang, CAST(n_chars AS VARCHAR), text], lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END) AS v,
+    CASE WHEN bad AND n_chars IS NOT NULL THEN strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END AS more FROM c
+), h AS (
+  SELECT r, g, doc_id, sha256(array_to_string(v, '')) AS leaf, sha256(v[1] || v[2] || v[3] || coalesce(more, v[4]) || v[5]) AS given FROM p
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY g) AS n FROM h
+), t AS (
+  SELECT g, 0 AS level, slot, leaf AS node, n FROM l
+  UNION ALL SELECT g, level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), any_value(n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, level, slot // 2
+), k AS (
+  SELECT 0 AS level, g AS slot, node, count(*) OVER () AS n FROM t WHERE n = 1
+  UNION ALL SELECT level + 1, slot // 2, sha256(string_agg(node, '' ORDER BY slot)), any_value(n + 1) // 2 FROM k WHERE n > 1 GROUP BY level, slot // 2
+), own AS (
+  SELECT DISTINCT g, level FROM t WHERE n > 1 UNION ALL SELECT x.g, 100 + k.level FROM (SELECT DISTINCT g FROM l) x, (SELECT DISTINCT level FROM k WHERE n > 1) k
+), w AS (
+  SELECT r, level, level >= 100 AS high, CASE WHEN level < 100 THEN slot >> level ELSE g >> (level - 100) END AS at, g FROM l JOIN own USING (g)
+), s AS (
+  SELECT w.r, row_number() OVER (PARTITION BY w.r ORDER BY w.level) AS step, w.at % 2 AS odd, coalesce(t.node, k.node) AS node
+  FROM w LEFT JOIN t ON NOT w.high AND t.g = w.g AND t.level = w.level AND t.slot = xor(w.at, 1) LEFT JOIN k ON w.high AND k.level = w.level - 100 AND k.slot = xor(w.at, 1)
+), up AS (
+  SELECT r, 0 AS step, given AS node FROM l
+  UNION ALL SELECT up.r, up.step + 1, sha256(CASE WHEN odd = 1 THEN s.node || up.node ELSE up.node || coalesce(s.node, '') END) FROM up JOIN s ON s.r = up.r AND s.step = up.step + 1
+), last AS (SELECT r, arg_max(node, step) AS folded_root FROM up GROUP BY r),
+proof AS (SELECT r, sha256(string_agg(node, '' ORDER BY step)) AS proof_sha256 FROM s WHERE node IS NOT NULL GROUP BY r)
+SELECT doc_id, leaf, x.node AS subroot, y.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = y.node AS verified
+FROM l JOIN last USING (r) LEFT JOIN proof USING (r) JOIN (SELECT g, node FROM t WHERE n = 1) x USING (g) CROSS JOIN (SELECT node FROM k WHERE n = 1) y""",
     "op6_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
