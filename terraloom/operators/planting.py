@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geo
 from terraloom.functions.common import ceil25
+from terraloom.operators import slabs
 
 KEY = ["project_id", "client_field_id", "display_order"]
 
@@ -180,11 +181,27 @@ def soil_themes(samples: DataFrame, key: list[str], themes: tuple[str, ...] = ("
     return out.where(F.coalesce(*themes).isNotNull())
 
 
+def _tangled(fields: DataFrame, key: list[str]) -> DataFrame:
+    """The fields with exclusions that cross or leave the perimeter, or whose boxes overlap: only there is the excluded area not the sum of the exclusions'."""
+    some = fields.where(F.size("exclusions") > 0).select(*key, "ring", "exclusions", geo.edges(geo.open_ring(F.col("ring"))).alias("g"), F.transform("exclusions", lambda r: geo.edges(geo.open_ring(r))).alias("holes"))
+    turn = lambda p, q, r: (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])
+    cross = lambda e, f: (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) <= 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) <= 0)
+    leaves = F.exists("holes", lambda h: F.exists(h, lambda e: ~geo.inside(e["a"]["lon"], e["a"]["lat"], F.col("g")) | F.exists("g", lambda f: cross(e, f))))
+    of = lambda r, c, f: f(F.transform(r, lambda p: p[c]))
+    box = F.transform("exclusions", lambda r, i: F.struct(i.alias("i"), of(r, "lon", F.array_min).alias("x0"), of(r, "lon", F.array_max).alias("x1"), of(r, "lat", F.array_min).alias("y0"), of(r, "lat", F.array_max).alias("y1")))
+    some = some.select(*key, "ring", "exclusions", leaves.alias("leaves"), box.alias("boxes"))
+    meet = F.exists("boxes", lambda a: F.exists("boxes", lambda b: (a["i"] < b["i"]) & (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])))
+    return some.where(F.col("leaves") | meet).select(*key, "ring", "exclusions")
+
+
 def quantities(fields: DataFrame, key: list[str] = KEY) -> DataFrame:
     """The quantity record of each field without curved rows: areas, rows, plants, posts; zero where nothing can be planted. Keys are unique.
 
-    One pass over the scan lines gives both the rows and, for the headland's area, their length without headlands.
+    One pass over the scan lines gives both the rows and, for the headland's area, their length without headlands. Excluded is what the field loses to its exclusions: the sum of
+    their areas, or, where they overlap or leave the field, the area of the usable portions less.
     """
+    usable = slabs.areas(slabs.cells(slabs.field_edges(_tangled(fields, key), key), key), key).withColumnRenamed("area_m2", "usable_m2")
+    usable = _tangled(fields, key).select(*key).join(usable, key, "left").select(*key, F.coalesce("usable_m2", F.lit(0.0)).alias("usable_m2"))
     spacing = ["plant_spacing_m", "post_spacing_m"]
     step = _dealt(fields.withColumn("head", _width("headland_width_m")), key, "row_spacing_m", "exclusions", "ring", "head", "orientation_deg", *spacing)
     step = _local(step, [*key, "row_spacing_m", "exclusions", "ring", "head", "orientation_deg", *spacing]).drop("open", "ref").withColumn("m", geo.edges(F.col("pts")))
@@ -198,11 +215,12 @@ def quantities(fields: DataFrame, key: list[str] = KEY) -> DataFrame:
     plants = F.sum(F.when(F.col("plant_spacing_m") > 0, F.floor(F.col("length_m") / F.col("plant_spacing_m")) + 1))
     between = F.sum(F.when(F.col("length_m").isNotNull(), F.greatest(F.lit(0), F.ceil(F.col("length_m") / F.col("post_spacing_m")) - 1)))
     out = line.groupBy(*key).agg(*[F.first(c).alias(c) for c in ["row_spacing_m", *once]], F.count("length_m").alias("row_count"), F.sum("length_m").alias("row_linear_m"), F.sum("raw").alias("raw_linear_m"), plants.alias("simulated_plants"), between.alias("intermediate_posts")).na.fill(0)
-    usable = F.greatest(F.lit(0.0), F.col("area_m2") - F.least(F.col("area_m2"), F.col("excluded_m2")))
-    out = out.withColumn("headland_area_m2", F.least(usable, F.greatest(F.lit(0.0), F.col("raw_linear_m") - F.col("row_linear_m")) * F.col("row_spacing_m"))).withColumn("net_area_m2", F.greatest(F.lit(0.0), usable - F.col("headland_area_m2")))
+    out = out.join(usable, key, "left")
+    usable = F.when(F.col("usable_m2").isNotNull(), F.least("area_m2", "usable_m2")).otherwise(F.greatest(F.lit(0.0), F.col("area_m2") - F.least(F.col("area_m2"), F.col("excluded_m2"))))
+    out = out.withColumn("excluded_area_m2", F.col("area_m2") - usable).withColumn("headland_area_m2", F.least(usable, F.greatest(F.lit(0.0), F.col("raw_linear_m") - F.col("row_linear_m")) * F.col("row_spacing_m"))).withColumn("net_area_m2", F.greatest(F.lit(0.0), usable - F.col("headland_area_m2")))
     theoretical = F.ceil(F.col("net_area_m2") / (F.col("row_spacing_m") * F.col("plant_spacing_m")))
     head = F.when(F.col("post_spacing_m") > 0, F.col("row_count") * 2).otherwise(0)
-    return out.select(*key, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_count", "row_linear_m", "simulated_plants", theoretical.alias("theoretical_plants"),
+    return out.select(*key, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "excluded_area_m2", "row_count", "row_linear_m", "simulated_plants", theoretical.alias("theoretical_plants"),
         ceil25(F.when(F.col("simulated_plants") > 0, F.col("simulated_plants")).otherwise(theoretical)).alias("commercial_plants_25"), head.alias("head_posts"), F.col("intermediate_posts"), (head + F.col("intermediate_posts")).alias("total_posts"))
 
 

@@ -132,3 +132,11 @@ def with_rings(fields: DataFrame) -> DataFrame:
     a, b = F.lit(0.2), F.lit(0.4)
     hole = F.array(at(a, a), at(b, a), at(b, b), at(a, b), at(a, a))
     return fields.withColumns({"ring": F.when(F.col("l_shape"), ell).otherwise(quad), "exclusions": F.when(F.col("has_exclusion"), F.array(hole)).otherwise(F.array().cast("array<array<struct<lon:double,lat:double>>>"))})
+
+
+def with_roads(fields: DataFrame) -> DataFrame:
+    """with_rings() with a road across every second field, from beyond one side to beyond the other."""
+    at = lambda u, v: point(F.col("lon0") + u * F.col("dlon"), F.col("lat0") + v * F.col("dlat"))
+    a, b, c, d = F.lit(-0.1), F.lit(1.2), F.lit(0.45), F.lit(0.55)
+    road = F.array(at(a, c), at(b, c), at(b, d), at(a, d), at(a, c))
+    return with_rings(fields).withColumn("exclusions", F.when(F.col("display_order") % 2 == 0, F.concat("exclusions", F.array(road))).otherwise(F.col("exclusions")))
