@@ -67,15 +67,20 @@ def set_locations(nested: DataFrame, patches: DataFrame, projects: DataFrame) ->
     return out.withColumns({"version": F.col("version") + more, "latest_revision_number": F.col("latest_revision_number") + more}).drop("__asked")
 
 
-def report_errors(requests: DataFrame, revisions: DataFrame) -> DataFrame:
-    """What is wrong first with each report request (report_id, project_id, revision_number, ids, disclaimer, token_hash): no ids, ids twice, an unknown
-    revision, ids that the revision (array field_ids) lacks, the disclaimer, the token's hash; else null. Ids come back distinct and sorted."""
-    clean = F.array_sort(F.array_distinct("ids"))
-    out = requests.join(revisions.select("project_id", "revision_number", "field_ids"), ["project_id", "revision_number"], "left").withColumn("sorted_ids", clean)
+def report_errors(requests: DataFrame, projects: DataFrame, revisions: DataFrame) -> DataFrame:
+    """What is wrong first with each report request (report_id, project_id, user_id, admin, revision_number, ids, disclaimer, token_hash): a project that isn't the user's (unless an
+    administrator asks) or isn't there, an unknown revision, no ids, ids that the revision (array field_ids) lacks, the disclaimer, the token's hash; else null.
+
+    Ids come back as they are used: trimmed, without blank ones, distinct and sorted.
+    """
+    trimmed = F.filter(F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    owned = projects.select("project_id", F.col("owner_user_id").alias("__owner"))
+    out = requests.join(owned, "project_id", "left").join(revisions.select("project_id", "revision_number", "field_ids"), ["project_id", "revision_number"], "left").withColumn("sorted_ids", F.array_sort(F.array_distinct(trimmed)))
+    allowed = (F.col("user_id") == F.col("__owner")) | (F.col("__owner").isNotNull() & F.col("admin"))
     error = (
-        F.when(F.coalesce(F.size("ids"), F.lit(0)) < 1, "fields_required")
-        .when(F.size("sorted_ids") != F.size("ids"), "fields_repeated")
+        F.when(~F.coalesce(allowed, F.lit(False)), "access_denied")
         .when(F.col("field_ids").isNull(), "revision_not_found")
+        .when(F.size("sorted_ids") < 1, "fields_required")
         .when(F.size(F.array_except("sorted_ids", "field_ids")) > 0, "fields_not_in_revision")
         .when(~F.coalesce("disclaimer", F.lit(False)), "disclaimer_required")
         .when(~F.coalesce(F.col("token_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)), "invalid_token_hash")
@@ -83,30 +88,58 @@ def report_errors(requests: DataFrame, revisions: DataFrame) -> DataFrame:
     return out.select("report_id", "sorted_ids", error.alias("error"))
 
 
-def apply_counts(ops: DataFrame, lists: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Outcome of each operation (op_id, seq, count_id, list_id, owner, digest, expected, deletes) on count readings.
+def apply_counts(ops: DataFrame, lists: DataFrame, base: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """Outcome of each operation (op_id, seq, count_id, list_id, owner, digest, expected, deletes, category, field) on count readings, in order: (seq, op_id, outcome, revision).
+
+    In this order: an applied operation that comes again with its digest has its first result, an operation id with another digest is a VALIDATION_ERROR. The list must be there and the
+    owner's, and a deleted list takes deletions only (NOT_FOUND_OR_FORBIDDEN). A reading keeps its list and category (VALIDATION_ERROR). A verified field must be among ``fields`` (owner,
+    field), unless the reading already has it (FIELD_UNAVAILABLE). An existing reading must be at the expected revision, and after a deletion takes deletions only (VERSION_CONFLICT, with its
+    revision); one that doesn't exist expects 0 (NOT_FOUND_OR_FORBIDDEN). An operation that failed is judged anew when it comes again.
 
-    A repeated op_id with the same digest gets its first result, with another digest it is a conflict of operations. The list must be alive and the owner's.
-    An operation must expect the reading's revision (0 before it exists, or ``base``: count_id, revision) and raises it; after a deletion, nothing is found.
+    ``base``: readings before the log (count_id, revision, list_id, category, field, deleted). ``field`` is null where no verified field is named.
     """
-    alive = lists.where(F.col("deleted_at").isNull()).select("list_id", F.col("owner_user_id").alias("owner"), F.lit(True).alias("__open"))
-    once = first_of_each(ops, "op_id", ["seq"])
-    log = once.join(alive, ["list_id", "owner"], "left").select("count_id", "seq", "op_id", "digest", "expected", "deletes", F.coalesce("__open", F.lit(False)).alias("open"))
-    log = log.join(base.select("count_id", F.col("revision").alias("base")), "count_id", "left") if base is not None else log.withColumn("base", F.lit(0).cast("long"))
-
-    def step(state: tuple, r: tuple) -> tuple:
-        done, gone = state
-        expected, deletes, is_open, begun = r[4:8]
-        now = (begun or 0) + done
-        if not is_open or gone:
-            return state, "NOT_FOUND_OR_FORBIDDEN", None
-        if expected != now:
-            return state, "VERSION_CONFLICT", now
-        return (done + 1, bool(deletes)), "APPLIED", now + 1
-
-    results = fold(log, "count_id", ["seq"], lambda: (0, False), step, "outcome string, revision bigint").select("op_id", F.col("digest").alias("__d"), "outcome", "revision")
-    same = F.col("digest") == F.col("__d")
-    return ops.join(results, "op_id").select("seq", "op_id", F.when(same, F.col("outcome")).otherwise("OPERATION_CONFLICT").alias("outcome"), F.when(same, F.col("revision")).alias("revision"))
+    named = lists.select("list_id", F.col("owner_user_id").alias("owner"), F.lit(True).alias("there"), F.col("deleted_at").isNotNull().alias("shut"))
+    first = ops.groupBy("op_id").agg(F.min_by("digest", "seq").alias("own"))
+    log = ops.join(first, "op_id").join(named, ["list_id", "owner"], "left").withColumn("known", F.col("field").isNull())
+    if fields is not None:
+        log = log.join(fields.select("owner", "field", F.lit(True).alias("__known")).distinct(), ["owner", "field"], "left").withColumn("known", F.col("known") | F.coalesce("__known", F.lit(False)))
+    row = ["count_id", "seq", "op_id", "list_id", "category", "field", "expected", "deletes", "there", "shut", "known"]
+    log = log.select(*row, F.col("digest").eqNullSafe(F.col("own")).alias("same"))
+    kinds = {"revision": "long", "list_id": "long", "category": "string", "field": "string", "deleted": "boolean"}
+    if base is None:
+        log = log.select("*", *[F.lit(None).cast(t).alias(f"b_{c}") for c, t in kinds.items()])
+    else:
+        log = log.join(base.select("count_id", *[(F.col(c) if c in base.columns else F.lit(None)).cast(t).alias(f"b_{c}") for c, t in kinds.items()]), "count_id", "left")
+
+    def judged(state: dict, r: tuple) -> tuple[str, int | None]:
+        _, _, op, list_id, category, field, expected, deletes, there, shut, known, same = r[:12]
+        if not same:
+            return "VALIDATION_ERROR", None
+        if op in state["done"]:
+            return "REPEATED", state["done"][op]
+        if not there or shut and not deletes:
+            return "NOT_FOUND_OR_FORBIDDEN", None
+        if state["revision"] and (state["list_id"], state["category"]) != (list_id, category):
+            return "VALIDATION_ERROR", None
+        if not known and not (state["revision"] and state["field"] == field):
+            return "FIELD_UNAVAILABLE", None
+        if state["revision"] and (state["revision"] != expected or state["deleted"] and not deletes):
+            return "VERSION_CONFLICT", state["revision"]
+        if not state["revision"] and expected != 0:
+            return "NOT_FOUND_OR_FORBIDDEN", None
+        return "APPLIED", state["revision"] + 1
+
+    def step(state: dict | None, r: tuple) -> tuple:
+        if state is None:
+            revision, list_id, category, field, deleted = r[12:17]
+            state = {"revision": revision or 0, "list_id": list_id if list_id is not None else r[3], "category": category if revision else r[4], "field": field, "deleted": bool(deleted), "done": {}}
+        outcome, revision = judged(state, r)
+        if outcome == "APPLIED":
+            state.update(revision=revision, list_id=r[3], category=r[4], field=r[5], deleted=bool(r[7]))
+            state["done"][r[2]] = revision
+        return state, "APPLIED" if outcome == "REPEATED" else outcome, revision
+
+    return fold(log, "count_id", ["seq"], lambda: None, step, "outcome string, revision bigint").select("seq", "op_id", "outcome", "revision")
 
 
 def accepted_submissions(verdicts: DataFrame, sent: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

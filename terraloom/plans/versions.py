@@ -37,14 +37,17 @@ def _edited(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _issued(s: SparkSession, sf: str) -> DataFrame:
     r = view(s, sf, "revisions").select("project_id", "revision_number", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("field_ids"))
     k = F.col("project_id")
-    ids = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit("b"), F.lit("b"))).when(k % 5 == 2, F.array(F.lit("z"), F.lit("a"))).otherwise(F.array(F.lit("c"), F.lit("a")))
-    asked = view(s, sf, "projects").select(k.alias("report_id"), "project_id", F.lit(2).cast("long").alias("revision_number"), ids.alias("ids"), (k % 7 != 0).alias("disclaimer"), F.when(k % 4 == 0, "x").otherwise(F.sha2("public_code", 256)).alias("token_hash"))
-    return v.report_errors(asked, r)
+    ids = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit(" b "), F.lit("b"), F.lit(" "))).when(k % 5 == 2, F.array(F.lit("z"), F.lit("a"))).otherwise(F.array(F.lit("c"), F.lit("a")))
+    owner = F.col("owner_user_id")
+    asked = view(s, sf, "projects").select(k.alias("report_id"), "project_id", F.when(k % 11 == 0, owner + 1).otherwise(owner).alias("user_id"), (k % 22 == 0).alias("admin"), F.lit(2).cast("long").alias("revision_number"), ids.alias("ids"), (k % 7 != 0).alias("disclaimer"), F.when(k % 4 == 0, "x").otherwise(F.sha2("public_code", 256)).alias("token_hash"))
+    return v.report_errors(asked, view(s, sf, "projects"), r)
 
 
 def _counted(s: SparkSession, sf: str) -> DataFrame:
     e = _events(s, sf)
-    ops = e.select((F.col("event_id") - (F.col("event_id") % 13 == 5).cast("int")).alias("op_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("count_id"), (F.col("user_id") % 40).alias("list_id"), (F.col("user_id") % 9).alias("owner"), F.when(F.col("event_id") % 26 == 5, "other").otherwise("same").alias("digest"), (F.floor("value").cast("long") % 3).alias("expected"), (F.col("event_type") == "error").alias("deletes"))
+    i = F.col("event_id")
+    ops = e.select(i.alias("op_id"), "user_id", (F.floor("value").cast("long") % 3).alias("expected"), (F.col("event_type") == "error").alias("deletes"), F.when(i % 17 == 0, "posts").otherwise("plants").alias("category"), F.explode(F.when(i % 13 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    ops = ops.select("op_id", (F.col("op_id") * 2 + F.col("again")).alias("seq"), F.col("user_id").alias("count_id"), (F.col("user_id") % 40).alias("list_id"), (F.col("user_id") % 9).alias("owner"), F.when((F.col("op_id") % 26 == 5) & (F.col("again") == 1), "other").otherwise("same").alias("digest"), "expected", "deletes", "category", F.lit(None).cast("string").alias("field"))
     lists = _events(s, sf).select((F.col("user_id") % 40).alias("list_id"), (F.col("user_id") % 9).alias("owner_user_id")).distinct().withColumn("deleted_at", F.when(F.col("list_id") % 6 == 0, "gone"))
     return v.apply_counts(ops, lists)
 
@@ -170,15 +173,20 @@ _SQL = {
       CAST(coalesce(sum(commercial_plants_25) FILTER (NOT gone), 0) AS BIGINT) AS plants, count(*) FILTER (NOT gone) = 0 AS deleted FROM edits GROUP BY project_id""",
     "v8_set_locations": """WITH f AS (SELECT project_id, count(*) AS n, bool_or(display_order % 3 = 1) AS hit, max(CASE WHEN display_order % 3 = 1 THEN 'M' || CAST(display_order AS VARCHAR) END) AS m FROM project_fields GROUP BY project_id)
       SELECT project_id, CASE WHEN n = 1 AND hit THEN m ELSE '?' END AS municipality, version + CASE WHEN hit THEN 1 ELSE 0 END AS version, latest_revision_number + CASE WHEN hit THEN 1 ELSE 0 END AS latest_revision_number FROM projects JOIN f USING (project_id)""",
-    "v12_report_errors": """SELECT project_id AS report_id, [[], ['b'], ['a', 'z'], ['a', 'c'], ['a', 'c']][project_id % 5 + 1] AS sorted_ids, CASE WHEN project_id % 5 = 0 THEN 'fields_required' WHEN project_id % 5 = 1 THEN 'fields_repeated' WHEN latest_revision_number < 2 THEN 'revision_not_found'
+    "v12_report_errors": """SELECT project_id AS report_id, [[], ['b'], ['a', 'z'], ['a', 'c'], ['a', 'c']][project_id % 5 + 1] AS sorted_ids,
+      CASE WHEN project_id % 11 = 0 AND project_id % 22 <> 0 THEN 'access_denied' WHEN latest_revision_number < 2 THEN 'revision_not_found' WHEN project_id % 5 = 0 THEN 'fields_required'
       WHEN project_id % 5 = 2 THEN 'fields_not_in_revision' WHEN project_id % 7 = 0 THEN 'disclaimer_required' WHEN project_id % 4 = 0 THEN 'invalid_token_hash' END AS error FROM projects""",
-    "v14_apply_counts": """WITH RECURSIVE ops AS (SELECT event_id - CASE WHEN event_id % 13 = 5 THEN 1 ELSE 0 END AS op_id, event_id AS seq, user_id, CASE WHEN event_id % 26 = 5 THEN 'other' ELSE 'same' END AS digest, CAST(floor(value) AS BIGINT) % 3 AS expected, event_type = 'error' AS deletes FROM events),
-      once AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY op_id ORDER BY seq) = 1),
-      o AS (SELECT *, user_id % 40 % 6 <> 0 AS open, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM once),
-      f AS (SELECT op_id, user_id, digest, n, CASE WHEN NOT open THEN 'NOT_FOUND_OR_FORBIDDEN' WHEN expected <> 0 THEN 'VERSION_CONFLICT' ELSE 'APPLIED' END AS outcome, CASE WHEN open THEN CASE WHEN expected = 0 THEN 1 ELSE 0 END END AS revision, CASE WHEN open AND expected = 0 THEN 1 ELSE 0 END AS done, open AND expected = 0 AND deletes AS gone FROM o WHERE n = 1
-        UNION ALL SELECT o.op_id, o.user_id, o.digest, o.n, CASE WHEN NOT open OR f.gone THEN 'NOT_FOUND_OR_FORBIDDEN' WHEN expected <> f.done THEN 'VERSION_CONFLICT' ELSE 'APPLIED' END, CASE WHEN open AND NOT f.gone THEN CASE WHEN expected = f.done THEN f.done + 1 ELSE f.done END END,
-          CASE WHEN open AND NOT f.gone AND expected = f.done THEN f.done + 1 ELSE f.done END, f.gone OR (open AND expected = f.done AND deletes) FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
-      SELECT ops.seq, ops.op_id, CASE WHEN ops.digest = f.digest THEN f.outcome ELSE 'OPERATION_CONFLICT' END AS outcome, CAST(CASE WHEN ops.digest = f.digest THEN f.revision END AS BIGINT) AS revision FROM ops JOIN f USING (op_id)""",
+    "v14_apply_counts": """WITH RECURSIVE ops AS (
+        SELECT event_id AS op_id, event_id * 2 + again AS seq, user_id, CASE WHEN event_id % 26 = 5 AND again = 1 THEN 'other' ELSE 'same' END AS digest, CAST(floor(value) AS BIGINT) % 3 AS expected, event_type = 'error' AS deletes,
+          CASE WHEN event_id % 17 = 0 THEN 'posts' ELSE 'plants' END AS cat, user_id % 40 % 6 = 0 AS shut FROM events, (VALUES (0), (1)) t(again) WHERE again = 0 OR event_id % 13 = 5),
+      o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM ops),
+      f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS op_id, CAST(-1 AS BIGINT) AS seq, '' AS outcome, CAST(NULL AS BIGINT) AS revision, CAST(0 AS BIGINT) AS rev, false AS gone, '' AS cat FROM o WHERE n = 1
+        UNION ALL SELECT user_id, n, op_id, seq, CASE WHEN x = 'REPEATED' THEN 'APPLIED' ELSE x END, CASE x WHEN 'REPEATED' THEN revision WHEN 'APPLIED' THEN rev + 1 WHEN 'VERSION_CONFLICT' THEN rev END,
+            CASE x WHEN 'APPLIED' THEN rev + 1 ELSE rev END, CASE x WHEN 'APPLIED' THEN deletes ELSE gone END, CASE x WHEN 'APPLIED' THEN cat ELSE had END
+          FROM (SELECT o.*, f.revision, f.rev, f.gone, f.cat AS had, CASE WHEN o.op_id = f.op_id AND digest <> 'same' THEN 'VALIDATION_ERROR' WHEN o.op_id = f.op_id AND f.outcome = 'APPLIED' THEN 'REPEATED' WHEN shut AND NOT deletes THEN 'NOT_FOUND_OR_FORBIDDEN'
+            WHEN rev > 0 AND f.cat <> o.cat THEN 'VALIDATION_ERROR' WHEN rev > 0 AND (rev <> expected OR gone AND NOT deletes) THEN 'VERSION_CONFLICT' WHEN rev = 0 AND expected <> 0 THEN 'NOT_FOUND_OR_FORBIDDEN' ELSE 'APPLIED' END AS x
+          FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+      SELECT seq, op_id, outcome, revision FROM f WHERE n > 0""",
     "v15_frozen_entries": "SELECT submission_id, client_field_id, quantity FROM submissions JOIN counts_entries USING (list_id) WHERE submission_id % 12 <> 1 AND submission_id % 5 <> 0",
     "v15_new_deliveries": "SELECT submission_id, 'pending' AS state, 0 AS attempts FROM submissions WHERE submission_id % 12 <> 1 AND submission_id % 5 <> 0",
     "v16_guest_merge": """SELECT project_id, client_field_id, CASE WHEN client_field_id % 7 = 0 THEN 'untouched' WHEN client_field_id % 3 = 0 THEN 'taken' WHEN client_field_id % 5 >= 2 THEN 'equal' WHEN client_field_id % 2 = 0 THEN 'conflict' ELSE 'proposal' END AS verdict

@@ -346,12 +346,37 @@ def test_curve_controls_by_brute_force(spark):
 def test_count_operations_by_hand(spark):
     from terraloom.operators import versions
 
-    lists = spark.createDataFrame([(1, 5, None), (2, 5, "gone")], "list_id long, owner_user_id long, deleted_at string")
-    ops = [(1, 1, 7, 1, 5, "a", 0, False), (2, 2, 7, 1, 5, "b", 0, False), (1, 3, 7, 1, 5, "a", 0, False), (1, 4, 7, 1, 5, "z", 0, False), (3, 5, 7, 1, 5, "c", 1, True), (4, 6, 7, 1, 5, "d", 2, False), (5, 7, 8, 2, 5, "e", 0, False), (6, 8, 8, 1, 6, "f", 0, False)]
-    df = spark.createDataFrame(ops, "op_id long, seq long, count_id long, list_id long, owner long, digest string, expected long, deletes boolean")
-    got = [(r.outcome, r.revision) for r in versions.apply_counts(df, lists).orderBy("seq").collect()]
-    gone = ("NOT_FOUND_OR_FORBIDDEN", None)
-    assert got == [("APPLIED", 1), ("VERSION_CONFLICT", 1), ("APPLIED", 1), ("OPERATION_CONFLICT", None), ("APPLIED", 2), gone, gone, gone]
+    lists = spark.createDataFrame([(1, 5, None), (2, 5, "gone"), (3, 5, None)], "list_id long, owner_user_id long, deleted_at string")
+    conflict, missing, wrong = lambda n: ("VERSION_CONFLICT", n), ("NOT_FOUND_OR_FORBIDDEN", None), ("VALIDATION_ERROR", None)
+    # op, count, list, owner, digest, expected, deletes, category, field -> outcome, revision
+    cases = [
+        ((1, 7, 1, 5, "a", 0, False, "plants", None), ("APPLIED", 1)),
+        ((2, 7, 1, 5, "b", 0, False, "plants", None), conflict(1)),
+        ((1, 7, 1, 5, "a", 0, False, "plants", None), ("APPLIED", 1)),
+        ((1, 7, 1, 5, "z", 0, False, "plants", None), wrong),
+        ((3, 7, 3, 5, "c", 1, False, "plants", None), wrong),
+        ((4, 7, 1, 5, "d", 1, False, "posts", None), wrong),
+        ((5, 7, 1, 5, "e", 1, True, "plants", None), ("APPLIED", 2)),
+        ((6, 7, 1, 5, "f", 2, False, "plants", None), conflict(2)),
+        ((7, 7, 1, 5, "g", 2, True, "plants", None), ("APPLIED", 3)),
+        ((8, 8, 2, 5, "h", 0, False, "plants", None), missing),
+        ((9, 8, 2, 5, "i", 0, True, "plants", None), ("APPLIED", 1)),
+        ((10, 9, 1, 6, "j", 0, False, "plants", None), missing),
+        ((11, 10, 1, 5, "k", 2, False, "plants", None), missing),
+        ((12, 11, 1, 5, "l", 0, False, "plants", "f1"), ("APPLIED", 1)),
+        ((13, 12, 1, 5, "m", 0, False, "plants", "f9"), ("FIELD_UNAVAILABLE", None)),
+        ((14, 13, 1, 5, "n", 4, False, "plants", "f9"), ("APPLIED", 5)),
+        ((15, 13, 1, 5, "o", 5, False, "plants", "f8"), ("FIELD_UNAVAILABLE", None)),
+        # A failed operation is judged anew when it comes again.
+        ((16, 14, 1, 5, "p", 1, False, "plants", None), missing),
+        ((17, 14, 1, 5, "q", 0, False, "plants", None), ("APPLIED", 1)),
+        ((16, 14, 1, 5, "p", 1, False, "plants", None), ("APPLIED", 2)),
+    ]
+    ops = spark.createDataFrame([(c[0], seq, *c[1:]) for seq, (c, _) in enumerate(cases)], "op_id long, seq long, count_id long, list_id long, owner long, digest string, expected long, deletes boolean, category string, field string")
+    base = spark.createDataFrame([(13, 4, 1, "plants", "f9", False)], "count_id long, revision long, list_id long, category string, field string, deleted boolean")
+    fields = spark.createDataFrame([(5, "f1")], "owner long, field string")
+    got = [(r.outcome, r.revision) for r in versions.apply_counts(ops, lists, base, fields).orderBy("seq").collect()]
+    assert got == [want for _, want in cases]
 
 
 def test_allocated_codes_fill_gaps(spark):
