@@ -35,28 +35,73 @@ def create_revisions(requests: DataFrame, projects: DataFrame) -> DataFrame:
     return fold(log, "project_id", ["seq"], lambda: 0, step, "outcome string, server_version bigint, revision_number bigint").drop("base_version", "base_number", "expected_version")
 
 
-def restore_revisions(requests: DataFrame, projects: DataFrame, revisions: DataFrame, values: list[str]) -> DataFrame:
-    """A chosen revision becomes the state again, as a new version and a new revision; at most one request per project."""
-    out = requests.join(projects.select("project_id", "version", "latest_revision_number"), "project_id", "left").join(revisions.select("project_id", "revision_number", F.struct(*values).alias("__v")), ["project_id", "revision_number"], "left")
-    outcome = F.when(F.col("version").isNull() | F.col("__v").isNull(), "not_found").when(F.col("version") != F.col("expected_version"), "conflict").otherwise("restored")
-    out = out.withColumn("outcome", outcome)
-    good = F.col("outcome") == "restored"
-    return out.select("project_id", "outcome", F.when(good, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(good, F.col("latest_revision_number") + 1).alias("new_revision"), *[F.when(good, F.col(f"__v.{v}")).alias(v) for v in values])
+def restore_revisions(requests: DataFrame, projects: DataFrame, revisions: DataFrame, fields: DataFrame, now: Column, values: tuple[str, ...] = ("label", "area_m2", "commercial_plants_25")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(projects, fields, new revisions) after a chosen revision becomes the state of its project again; at most one request (project_id, revision_number) per project.
+
+    No version is checked: a restored project has its next version and revision, is not deleted any more, and takes name and campaign year of the snapshot where it has them. All its
+    fields go (deleted_at = now), those of the snapshot (array ``fields`` of structs client_field_id and values) come back or are new, with the snapshot's values. The snapshot itself is the
+    new revision. Without such a revision the outcome is not_found and nothing changes. Only projects that are asked for are returned, with ``outcome``.
+    """
+    snapshot = revisions.select("project_id", "revision_number", F.col("name").alias("__name"), F.col("campaign_year").alias("__year"), F.col("fields").alias("__fields"), F.lit(True).alias("__there"))
+    met = requests.join(projects, "project_id", "left").join(snapshot, ["project_id", "revision_number"], "left").withColumn("good", F.coalesce("__there", F.lit(False)) & F.col("version").isNotNull())
+    more = F.col("good").cast("int")
+    state = met.select(
+        "project_id", F.when(F.col("good"), "restored").otherwise("not_found").alias("outcome"), (F.col("version") + more).alias("version"), (F.col("latest_revision_number") + more).alias("latest_revision_number"),
+        F.when(F.col("good"), F.coalesce(F.nullif("__name", F.lit("")), "name")).otherwise(F.col("name")).alias("name"), F.when(F.col("good"), F.coalesce("__year", "campaign_year")).otherwise(F.col("campaign_year")).alias("campaign_year"),
+        F.when(~F.col("good"), F.col("deleted_at")).alias("deleted_at"),
+    )
+    again = met.where("good").select("project_id", (F.col("latest_revision_number") + 1).alias("revision_number"), F.col("revision_number").alias("restored_from"), F.lit("revision_restore").alias("reason"), F.col("__fields").alias("fields"))
+    back = met.where("good").select("project_id", F.explode("__fields").alias("__f")).select("project_id", "__f.client_field_id", *[F.col(f"__f.{c}").alias(f"__{c}") for c in values], F.lit(True).alias("__back"))
+    had = fields.select("project_id", "client_field_id", *values).join(met.where("good").select("project_id"), "project_id", "left_semi")
+    both = had.join(back, ["project_id", "client_field_id"], "full_outer")
+    rows = both.select("project_id", "client_field_id", *[F.when(F.col("__back"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values], F.when(F.col("__back").isNull(), now).alias("deleted_at"))
+    return state, rows, again
+
+
+def edit_results(edits: DataFrame, fields: DataFrame, projects: DataFrame, longest: int = 80) -> DataFrame:
+    """Outcome of each edit (project_id, seq, client_field_id, action, name, expected_version), in order: adds outcome, server_version and new_revision.
+
+    An edit sees what the ones before it left: the version rises with each that is applied, so two that name the same version can't both be. A blank name or one that is too long is refused
+    (name_required), so is a project that isn't there or has lost its last field (not_found), another version (conflict, with the project's), a field that is gone (field_not_found).
+    """
+    there = fields.groupBy("project_id").agg(F.collect_set("client_field_id").alias("__ids"))
+    start = projects.select("project_id", F.col("version").cast("long").alias("__version"), F.col("latest_revision_number").cast("long").alias("__number")).join(there, "project_id", "left")
+    log = edits.select("project_id", "seq", "client_field_id", "action", "name", "expected_version").join(start, "project_id", "left")
+
+    def step(state: tuple | None, r: tuple) -> tuple:
+        _, _, field, action, name, expected, version, number, ids = r
+        now, revision, left = state or (version, number, frozenset(ids or ()))
+        state = (now, revision, left)
+        if action == "rename" and not 0 < len((name or "").strip(" ")) <= longest:
+            return state, "name_required", now, None
+        if now is None or not left:
+            return state, "not_found", None, None
+        if expected != now:
+            return state, "conflict", now, None
+        if field not in left:
+            return state, "field_not_found", now, None
+        state = (now + 1, revision + 1, left - {field} if action == "delete" else left)
+        return state, "applied", now + 1, revision + 1
+
+    return fold(log, "project_id", ["seq"], lambda: None, step, "outcome string, server_version bigint, new_revision bigint").drop("__version", "__number", "__ids")
 
 
 def edit_fields(fields: DataFrame, edits: DataFrame, projects: DataFrame, longest: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(next fields, next projects) after renames and deletions (project_id, client_field_id, action, name, expected_version).
+    """(next fields, next projects) after renames and deletions in order, as edit_results() judges them.
 
-    Names are trimmed and cut; an edit that expects another version or a blank name changes nothing. A project whose last field goes is deleted; totals follow the fields.
+    Names are trimmed; the last one of a field stays. Every applied edit is a version and a revision of its project, one whose last field goes is deleted; totals follow the fields.
     """
     key = ["project_id", "client_field_id"]
-    good = edits.join(projects.select("project_id", "version"), "project_id").where((F.col("version") == F.col("expected_version")) & ((F.col("action") == "delete") | blank_to_null(F.col("name")).isNotNull()))
-    todo = good.groupBy(*key).agg(F.bool_or(F.col("action") == "delete").alias("__gone"), F.max(F.when(F.col("action") == "rename", F.substring(F.trim("name"), 1, longest))).alias("__name"))
+    done = edit_results(edits, fields, projects, longest).where("outcome = 'applied'")
+    todo = done.groupBy(*key).agg(F.bool_or(F.col("action") == "delete").alias("__gone"), F.max_by(F.trim("name"), F.when(F.col("action") == "rename", F.col("seq"))).alias("__name"))
     met = fields.join(todo, key, "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
     left = met.where(~F.col("__gone")).withColumn("label", F.coalesce("__name", "label")).select(*fields.columns)
-    touched = met.groupBy("project_id").agg(F.bool_or(F.col("__gone") | F.col("__name").isNotNull()).alias("touched"), F.count_if(~F.col("__gone")).alias("n_fields"), F.sum(F.when(~F.col("__gone"), F.col("area_m2"))).alias("area_m2"), F.sum(F.when(~F.col("__gone"), F.col("commercial_plants_25"))).alias("plants"))
-    out = projects.join(touched, "project_id").select("project_id", (F.col("version") + F.col("touched").cast("int")).alias("version"), "n_fields", F.coalesce("area_m2", F.lit(0.0)).alias("area_m2"), F.coalesce("plants", F.lit(0)).cast("long").alias("plants"), (F.col("n_fields") == 0).alias("deleted"))
-    return left, out
+    totals = met.groupBy("project_id").agg(F.count_if(~F.col("__gone")).alias("n_fields"), F.sum(F.when(~F.col("__gone"), F.col("area_m2"))).alias("area_m2"), F.sum(F.when(~F.col("__gone"), F.col("commercial_plants_25"))).alias("plants"))
+    steps = done.groupBy("project_id").agg(F.count("*").alias("steps"))
+    out = projects.join(totals, "project_id").join(steps, "project_id", "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
+    return left, out.select(
+        "project_id", (F.col("version") + F.col("steps")).alias("version"), (F.col("latest_revision_number") + F.col("steps")).alias("latest_revision_number"), "n_fields", F.coalesce("area_m2", F.lit(0.0)).alias("area_m2"), F.coalesce("plants", F.lit(0)).cast("long").alias("plants"), (F.col("n_fields") == 0).alias("deleted")
+    )
 
 
 def set_locations(nested: DataFrame, patches: DataFrame, projects: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators import versions as v
@@ -21,17 +21,30 @@ def _created(s: SparkSession, sf: str) -> DataFrame:
     return v.create_revisions(ops, view(s, sf, "projects").where("project_id % 5 <> 4").select("project_id", "version", "latest_revision_number"))
 
 
-def _restored(s: SparkSession, sf: str) -> DataFrame:
-    p = view(s, sf, "projects")
-    asked = p.where("project_id % 2 = 1").select("project_id", (F.col("project_id") % 3 + 1).alias("revision_number"), (F.col("version") - (F.col("project_id") % 7 == 0).cast("int")).alias("expected_version"))
-    return v.restore_revisions(asked, p, view(s, sf, "revisions"), ["row_spacing_m", "rootstock", "label"])
+def _restored(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every second project goes back; a revision's snapshot lacks every third field and has a field of its own."""
+    p, f = view(s, sf, "projects"), view(s, sf, "project_fields").select(*KEY, "display_order", "label", "area_m2", "commercial_plants_25")
+    n = F.col("revision_number")
+    r = view(s, sf, "revisions").select("project_id", "revision_number", F.when(n % 2 == 0, F.concat(F.lit("Nome "), n.cast("string"))).otherwise("").alias("name"), F.when(F.col("project_id") % 3 == 0, 2000 + n.cast("int")).alias("campaign_year"))
+    item = lambda i, label, area, plants: F.struct(i.alias("client_field_id"), label.alias("label"), area.alias("area_m2"), plants.alias("commercial_plants_25"))
+    kept_ = r.join(f, "project_id").where((F.col("display_order") + n) % 3 != 0).groupBy("project_id", "revision_number").agg(F.collect_list(item(F.col("client_field_id"), F.concat("label", F.lit(" r"), n.cast("string")), F.col("area_m2") / 2, F.col("commercial_plants_25"))).alias("items"))
+    own = F.array(item(-n, F.lit("Campo"), F.lit(1.0), F.lit(25).cast("long")))
+    r = r.join(kept_, ["project_id", "revision_number"], "left").select("project_id", "revision_number", "name", "campaign_year", F.coalesce(F.concat("items", own), own).alias("fields"))
+    asked = p.where("project_id % 2 = 1").select("project_id", (F.col("project_id") % 3 + 1).alias("revision_number"))
+    return v.restore_revisions(asked, p, r, f, F.lit("now"))
 
 
 def _edited(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p, f = view(s, sf, "projects"), view(s, sf, "project_fields").select(*KEY, "label", "area_m2", "commercial_plants_25")
+    p, f = view(s, sf, "projects"), view(s, sf, "project_fields").select(*KEY, "display_order", "label", "area_m2", "commercial_plants_25")
     k = F.col("client_field_id")
-    edits = f.where(k % 3 != 0).join(p.select("project_id", "version"), "project_id").select(*KEY, F.when(k % 3 == 1, "delete").otherwise("rename").alias("action"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit(" "), "label", F.lit(" bis"))).alias("name"), (F.col("version") + (F.col("project_id") % 11 == 0).cast("int")).alias("expected_version"))
-    return v.edit_fields(f, edits, p.select("project_id", "version"))
+    # Edits in the order of their fields, every seventh project's with a version that is never there; each expects the version that the applied ones before it leave, some one less.
+    w = Window.partitionBy("project_id").orderBy("display_order", "client_field_id")
+    name = F.when(k % 7 == 0, " ").when(k % 7 == 1, F.repeat("label", 12)).otherwise(F.concat(F.lit(" "), "label", F.lit(" bis")))
+    edits = f.where(k % 3 != 0).select(*KEY, "display_order", F.when(k % 3 == 1, "delete").otherwise("rename").alias("action"), name.alias("name"), F.row_number().over(w).alias("seq"))
+    good = (F.col("action") == "delete") | ((k % 7 != 0) & (k % 7 != 1))
+    edits = edits.withColumn("before", F.coalesce(F.sum(good.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(p.select("project_id", "version"), "project_id")
+    edits = edits.withColumn("expected_version", F.col("version") + F.col("before") + (F.col("project_id") % 11 == 0).cast("int"))
+    return v.edit_fields(f, edits.where(k % 5 != 0), p.select("project_id", "version", "latest_revision_number"))
 
 
 def _issued(s: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +151,9 @@ def _placed(s: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "v8_set_locations": _placed,
     "v3_create_revisions": _created,
-    "v6_restore_revisions": _restored,
+    "v6_restore_revisions": lambda s, sf: _restored(s, sf)[0].select("project_id", "outcome", "version", "latest_revision_number", "name", "campaign_year", F.col("deleted_at").isNotNull().alias("deleted")),
+    "v6_restored_fields": lambda s, sf: _restored(s, sf)[1].withColumn("area_m2", F.round("area_m2", 4)),
+    "v6_new_revisions": lambda s, sf: _restored(s, sf)[2].withColumn("fields", F.size("fields")),
     "v9_edited_fields": lambda s, sf: _edited(s, sf)[0].select(*KEY, "label"),
     "v9_edited_projects": lambda s, sf: _edited(s, sf)[1].withColumn("area_m2", F.round("area_m2", 2)),
     "v12_report_errors": _issued,
@@ -158,18 +173,32 @@ QUERIES = {
     "p25_suggested_orientation": _oriented,
 }
 
-_GOOD = "edits AS (SELECT f.*, p.version, CASE WHEN f.client_field_id % 3 = 1 AND p.project_id % 11 <> 0 THEN true ELSE false END AS gone, CASE WHEN f.client_field_id % 3 = 2 AND f.client_field_id % 7 <> 0 AND p.project_id % 11 <> 0 THEN f.label || ' bis' END AS renamed FROM project_fields f JOIN projects p USING (project_id))"
+# Edits as in _edited(); those of fields whose id five divides are not sent, so the ones after them expect a version that isn't there yet.
+_GOOD = """e AS (SELECT f.*, p.version, p.latest_revision_number, row_number() OVER k AS seq, client_field_id % 3 = 1 AS del, client_field_id % 3 = 1 OR client_field_id % 7 > 1 AS ok, client_field_id % 5 <> 0 AS sent
+    FROM project_fields f JOIN projects p USING (project_id) WHERE client_field_id % 3 <> 0 WINDOW k AS (PARTITION BY project_id ORDER BY display_order, client_field_id)),
+  x AS (SELECT *, version + coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY project_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN project_id % 11 = 0 THEN 1 ELSE 0 END AS expected FROM e),
+  y AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY seq) AS n FROM x WHERE sent),
+  r AS (SELECT project_id, n, client_field_id, del, label, expected = version AND ok AS applied, version + CASE WHEN expected = version AND ok THEN 1 ELSE 0 END AS now FROM y WHERE n = 1
+    UNION ALL SELECT y.project_id, y.n, y.client_field_id, y.del, y.label, y.expected = r.now AND y.ok, r.now + CASE WHEN y.expected = r.now AND y.ok THEN 1 ELSE 0 END FROM r JOIN y ON y.project_id = r.project_id AND y.n = r.n + 1),
+  edits AS (SELECT f.*, p.version, p.latest_revision_number, coalesce(r.applied AND r.del, false) AS gone, CASE WHEN r.applied AND NOT r.del THEN f.label || ' bis' END AS renamed, coalesce(r.applied, false) AS applied
+    FROM project_fields f JOIN projects p USING (project_id) LEFT JOIN r USING (project_id, client_field_id))"""
 _SQL = {
     "v3_create_revisions": """WITH RECURSIVE o AS (SELECT s.project_id, s.seq, s.expected_version + s.project_id % 9 - 1 AS expected, p.version, p.latest_revision_number AS number, row_number() OVER (PARTITION BY s.project_id ORDER BY s.seq) AS n FROM sync_ops s LEFT JOIN projects p ON p.project_id = s.project_id AND p.project_id % 5 <> 4),
       f AS (SELECT project_id, seq, n, version, number, coalesce(expected = version, false) AS good, CASE WHEN expected = version THEN 1 ELSE 0 END AS done FROM o WHERE n = 1
         UNION ALL SELECT o.project_id, o.seq, o.n, o.version, o.number, coalesce(o.expected = o.version + f.done, false), f.done + CASE WHEN o.expected = o.version + f.done THEN 1 ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
       SELECT project_id, seq, CASE WHEN version IS NULL THEN 'not_found' WHEN good THEN 'saved' ELSE 'conflict' END AS outcome, version + done AS server_version, CASE WHEN good THEN number + done END AS revision_number FROM f""",
-    "v6_restore_revisions": """WITH a AS (SELECT p.project_id, p.version, p.latest_revision_number AS l, r.row_spacing_m, r.rootstock, r.label, CASE WHEN r.project_id IS NULL THEN 'not_found' WHEN p.project_id % 7 = 0 THEN 'conflict' ELSE 'restored' END AS outcome
-        FROM projects p LEFT JOIN revisions r ON r.project_id = p.project_id AND r.revision_number = p.project_id % 3 + 1 WHERE p.project_id % 2 = 1)
-      SELECT project_id, outcome, CASE WHEN outcome = 'restored' THEN version + 1 ELSE version END AS version, CASE WHEN outcome = 'restored' THEN l + 1 END AS new_revision, CASE WHEN outcome = 'restored' THEN row_spacing_m END AS row_spacing_m,
-        CASE WHEN outcome = 'restored' THEN rootstock END AS rootstock, CASE WHEN outcome = 'restored' THEN label END AS label FROM a""",
-    "v9_edited_fields": f"WITH {_GOOD} SELECT project_id, client_field_id, coalesce(renamed, label) AS label FROM edits WHERE NOT gone",
-    "v9_edited_projects": f"""WITH {_GOOD} SELECT project_id, any_value(version) + CASE WHEN bool_or(gone OR renamed IS NOT NULL) THEN 1 ELSE 0 END AS version, count(*) FILTER (NOT gone) AS n_fields, round(coalesce(sum(area_m2) FILTER (NOT gone), 0), 2) AS area_m2,
+    "v6_restore_revisions": """WITH a AS (SELECT p.*, r.revision_number AS n FROM projects p LEFT JOIN revisions r ON r.project_id = p.project_id AND r.revision_number = p.project_id % 3 + 1 WHERE p.project_id % 2 = 1)
+      SELECT project_id, CASE WHEN n IS NULL THEN 'not_found' ELSE 'restored' END AS outcome, version + CASE WHEN n IS NULL THEN 0 ELSE 1 END AS version, latest_revision_number + CASE WHEN n IS NULL THEN 0 ELSE 1 END AS latest_revision_number,
+        CASE WHEN n % 2 = 0 THEN 'Nome ' || n ELSE name END AS name, CAST(CASE WHEN n IS NOT NULL AND project_id % 3 = 0 THEN 2000 + n ELSE campaign_year END AS INTEGER) AS campaign_year, n IS NULL AND deleted_at IS NOT NULL AS deleted FROM a""",
+    "v6_restored_fields": """WITH a AS (SELECT project_id, revision_number AS n FROM revisions WHERE project_id % 2 = 1 AND revision_number = project_id % 3 + 1)
+      SELECT project_id, client_field_id, CASE WHEN (display_order + n) % 3 <> 0 THEN label || ' r' || n ELSE label END AS label, round(CASE WHEN (display_order + n) % 3 <> 0 THEN area_m2 / 2 ELSE area_m2 END, 4) AS area_m2, commercial_plants_25,
+        CASE WHEN (display_order + n) % 3 = 0 THEN 'now' END AS deleted_at FROM a JOIN project_fields USING (project_id)
+      UNION ALL SELECT project_id, -n, 'Campo', 1.0e0, 25, NULL FROM a""",
+    "v6_new_revisions": """WITH a AS (SELECT project_id, revision_number AS n FROM revisions WHERE project_id % 2 = 1 AND revision_number = project_id % 3 + 1)
+      SELECT project_id, any_value(latest_revision_number) + 1 AS revision_number, n AS restored_from, 'revision_restore' AS reason, CAST(count(*) FILTER ((display_order + n) % 3 <> 0) + 1 AS INTEGER) AS fields
+      FROM a JOIN projects USING (project_id) LEFT JOIN project_fields USING (project_id) GROUP BY project_id, n""",
+    "v9_edited_fields": f"WITH RECURSIVE {_GOOD} SELECT project_id, client_field_id, coalesce(renamed, label) AS label FROM edits WHERE NOT gone",
+    "v9_edited_projects": f"""WITH RECURSIVE {_GOOD} SELECT project_id, any_value(version) + count(*) FILTER (applied) AS version, any_value(latest_revision_number) + count(*) FILTER (applied) AS latest_revision_number, count(*) FILTER (NOT gone) AS n_fields, round(coalesce(sum(area_m2) FILTER (NOT gone), 0), 2) AS area_m2,
       CAST(coalesce(sum(commercial_plants_25) FILTER (NOT gone), 0) AS BIGINT) AS plants, count(*) FILTER (NOT gone) = 0 AS deleted FROM edits GROUP BY project_id""",
     "v8_set_locations": """WITH f AS (SELECT project_id, count(*) AS n, bool_or(display_order % 3 = 1) AS hit, max(CASE WHEN display_order % 3 = 1 THEN 'M' || CAST(display_order AS VARCHAR) END) AS m FROM project_fields GROUP BY project_id)
       SELECT project_id, CASE WHEN n = 1 AND hit THEN m ELSE '?' END AS municipality, version + CASE WHEN hit THEN 1 ELSE 0 END AS version, latest_revision_number + CASE WHEN hit THEN 1 ELSE 0 END AS latest_revision_number FROM projects JOIN f USING (project_id)""",

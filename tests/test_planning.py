@@ -379,6 +379,23 @@ def test_count_operations_by_hand(spark):
     assert got == [want for _, want in cases]
 
 
+def test_field_edits_see_what_came_before(spark):
+    from terraloom.operators import versions
+
+    fields = spark.createDataFrame([(1, 10, "a", 5.0, 25), (1, 11, "b", 7.0, 50), (2, 20, "c", 1.0, 25)], "project_id long, client_field_id long, label string, area_m2 double, commercial_plants_25 long")
+    projects = spark.createDataFrame([(1, 3, 1), (2, 0, 0)], "project_id long, version long, latest_revision_number long")
+    cases = [
+        ((1, 10, "rename", " x ", 3), ("applied", 4)), ((1, 10, "rename", "y", 3), ("conflict", 4)), ((1, 10, "rename", "z" * 81, 4), ("name_required", 4)), ((1, 10, "rename", " ", 4), ("name_required", 4)),
+        ((1, 11, "delete", None, 4), ("applied", 5)), ((1, 11, "rename", "w", 5), ("field_not_found", 5)), ((2, 20, "delete", None, 0), ("applied", 1)), ((2, 20, "rename", "v", 1), ("not_found", None)), ((9, 1, "delete", None, 0), ("not_found", None)),
+    ]
+    edits = spark.createDataFrame([(c[0], n, *c[1:]) for n, (c, _) in enumerate(cases)], "project_id long, seq long, client_field_id long, action string, name string, expected_version long")
+    got = versions.edit_results(edits, fields, projects).orderBy("seq").collect()
+    assert [(r.outcome, r.server_version) for r in got] == [w for _, w in cases] and [r.new_revision for r in got if r.outcome == "applied"] == [2, 3, 1]
+    left, after = versions.edit_fields(fields, edits, projects)
+    assert [(r.client_field_id, r.label) for r in left.collect()] == [(10, "x")]
+    assert sorted(tuple(r) for r in after.collect()) == [(1, 5, 3, 1, 5.0, 25, False), (2, 1, 1, 0, 0.0, 0, True)]
+
+
 def test_allocated_codes_fill_gaps(spark):
     from terraloom.operators import catalog
 
