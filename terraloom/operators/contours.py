@@ -9,10 +9,14 @@ Coordinates are in grid units (u along a row, v down the rows). A node has four
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terraloom.functions.stages import dropped, kept
+from terraloom.operators.catalog import weighted_lower_median
 from terraloom.operators.terrain import corners
 
 GROUP = ["model_id", "level"]
@@ -115,3 +119,55 @@ def chains(found: DataFrame) -> DataFrame:
     chain = F.when(F.col("ended"), F.least(F.col("nq"), F.col("oq"))).otherwise(F.col("least"))
     out = met.where(first).select(*GROUP, "p", "q", chain.alias("chain"), (~F.col("ended")).alias("closed"), F.when(F.col("ended"), F.col("before")).alias("at"))
     return out.join(both, [*GROUP, "p", "q"]).select(*GROUP, "chain", "closed", "at", "u0", "v0", "u1", "v1")
+
+
+def _speed() -> Column:
+    """Height gained per metre along the surface of a triangle."""
+    q = F.pow(F.col("slope_percent") / 100, 2)
+    return F.sqrt(q / (1 + q))
+
+
+def speeds_at(faces: DataFrame, levels: DataFrame, key: list[str]) -> DataFrame:
+    """(key, level, median): the weighted lower median of the speeds of the faces (key, i, j, k, share_m2, slope_percent, low, high) that reach a level (key, level) and are not flat."""
+    met = faces.join(levels, key).where((F.col("low") <= F.col("level")) & (F.col("level") <= F.col("high")) & (F.col("slope_percent") > 0))
+    met = met.select(*key, "level", _speed().alias("speed"), "share_m2", F.struct("j", "i", "k").alias("face"))
+    return weighted_lower_median(met, [*key, "level"], "speed", "share_m2", "face")
+
+
+def adaptive_levels(faces: DataFrame, key: list[str], spacing_m: float, phase: float = 0.5, refinements: int = 4) -> DataFrame:
+    """Levels at which contours are about ``spacing_m`` apart on the surface: (key, n, level, reason).
+
+    From the lowest height on, each step is spacing times the median speed of the faces at the middle of the step, which is refined so many times; the first step is shortened by ``phase``.
+    Faces as in speeds_at(); they are those of one field's raster window, whose size is limited, and lie in one task per field, sorted by speed once. A field where the steps find no
+    face to climb has one row with n null and the reason.
+    """
+    schema = StructType([faces.schema[k] for k in key]).add("n", "integer").add("level", "double").add("reason", "string")
+    rows = faces.select(*key, "low", "high", _speed().alias("speed"), "share_m2", "j", "i", "k")
+
+    def climb(name: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("speed", "j", "i", "k")])
+        low, high, speed, weight = (table.column(c).to_numpy() for c in ("low", "high", "speed", "share_m2"))
+        bottom, top, levels, reason = low.min(), high.max(), [], None
+
+        def step(level: float) -> float:
+            delta = 0.0
+            for _ in range(refinements + 1):
+                at = min(top, level + delta / 2)
+                run = np.cumsum(np.where((low <= at) & (at <= high) & (speed > 0), weight, 0.0))
+                delta = spacing_m * float(speed[np.argmax(run >= run[-1] / 2)]) if run[-1] > 0 else 0.0
+                if not delta or level + delta == level:
+                    raise ArithmeticError
+            return delta
+
+        try:
+            level = bottom + phase * step(bottom)
+            while level < top:
+                levels.append(level)
+                level += step(level)
+        except ArithmeticError:
+            levels, reason = [None], "no_progression"
+        first = table.slice(0, 1).select(key)
+        out = pa.concat_tables([first] * len(levels)) if levels else table.slice(0, 0).select(key)
+        return out.append_column("n", pa.array([None] if reason else list(range(1, len(levels) + 1)), pa.int32())).append_column("level", pa.array(levels, pa.float64())).append_column("reason", pa.array([reason] * len(levels), pa.string()))
+
+    return rows.groupBy(*key).applyInArrow(climb, schema)

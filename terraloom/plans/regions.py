@@ -84,6 +84,21 @@ def _chains(s: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("model_id", "level", "chain", "closed").agg(F.count("*").alias("segments"), F.round(F.sum(F.hypot(F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0"))), 4).alias("length"))
 
 
+def _faces(s: SparkSession, sf: str) -> DataFrame:
+    return surfaces.faces_within(_plots(s, sf), _cells(s, sf), ["model_id", "plot"]).where("share_m2 > 1e-6")
+
+
+def _adaptive(s: SparkSession, sf: str) -> DataFrame:
+    out = contours.adaptive_levels(_faces(s, sf), ["model_id", "plot"], 2.5)
+    return out.groupBy("model_id", "plot").agg(F.count("level").alias("levels"), F.round(F.min("level"), 4).alias("first"), F.round(F.max("level"), 4).alias("last"), F.max("reason").alias("reason"))
+
+
+def _speeds(s: SparkSession, sf: str) -> DataFrame:
+    faces = kept(_faces(s, sf))
+    middle = faces.groupBy("model_id", "plot").agg(((F.min("low") + F.max("high")) / 2).alias("level"))
+    return _r(contours.speeds_at(faces, middle, ["model_id", "plot"]), 6, "level", "median")
+
+
 def _joined_parcels(s: SparkSession, sf: str) -> DataFrame:
     """Parcels in a row for each project; the last one lies apart in some, two are the same in others."""
     tile = view(s, sf, "projects").select("project_id", (F.col("project_id") % 4 + 1).alias("n")).select("project_id", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
@@ -111,11 +126,15 @@ QUERIES = {
     "a14_field_relief": lambda s, sf: _r(surfaces.relief(_plots(s, sf), _cells(s, sf), ["model_id", "plot"]), 3, "min_z", "max_z", "range_z", "max_slope_percent"),
     "r7_contour_segments": _contours,
     "r7_contour_chains": _chains,
+    "r8_adaptive_levels": _adaptive,
+    "a15_median_speeds": _speeds,
 }
 
 # Width and height of a field's box in metres about its ring's mean, whose latitude is the middle for both shapes.
 _BOX = f"b AS (SELECT *, radians(dlon) * 6371008.8 * cos(radians(lat0 + 0.5e0 * dlat)) AS w, radians(dlat) * 6371008.8 AS h, display_order % 2 = 0 AS road FROM project_fields)"
 _PLOTS = "pl AS (SELECT model_id, j AS plot, j % 11 AS u0, j % 11 + 2 + j % 5 AS u1, j AS v0, j + 3 AS v1 FROM raster)"
+_CLIMB = f"""{_PLOTS}, fa AS (SELECT pl.model_id, plot, i, j, k, least(z10, z01, CASE k WHEN 0 THEN z00 ELSE z11 END) AS lo, greatest(z10, z01, CASE k WHEN 0 THEN z00 ELSE z11 END) AS hi, sqrt((slope / 100) ** 2 / (1 + (slope / 100) ** 2)) AS speed
+    FROM pl JOIN fc USING (model_id) JOIN q USING (model_id, i, j) WHERE i >= u0 AND i < u1 AND j >= v0 AND j < v1)"""
 _PIECES = f"""c AS (SELECT *, CASE WHEN l_shape THEN 0.5e0 ELSE 1 END AS top FROM b),
   pc AS (SELECT *, 0 AS line, 1 AS piece, CASE WHEN has_exclusion THEN (0.2e0 - CASE WHEN l_shape THEN 0 ELSE 0.3e0 * skew END) * w ELSE w END AS len FROM c
     UNION ALL SELECT *, 0, 2, (CASE WHEN l_shape THEN 0.6e0 ELSE 0.6e0 + 0.3e0 * skew END) * w FROM c WHERE has_exclusion
@@ -140,6 +159,16 @@ _SQL = {
     "a14_field_relief": f"""WITH {_FACES}, {_PLOTS}, rr AS (SELECT pl.model_id, plot, min(least(z10, z01, CASE k WHEN 0 THEN z00 ELSE z11 END)) AS lo, max(greatest(z10, z01, CASE k WHEN 0 THEN z00 ELSE z11 END)) AS hi, max(slope) AS slope
       FROM pl JOIN fc USING (model_id) JOIN q USING (model_id, i, j) WHERE i >= u0 AND i < u1 AND j >= v0 AND j < v1 GROUP BY ALL)
       SELECT model_id, plot, round(lo, 3) AS min_z, round(hi, 3) AS max_z, round(hi - lo, 3) AS range_z, round(slope, 3) AS max_slope_percent FROM rr""",
+    "a15_median_speeds": f"""WITH {_FACES}, {_CLIMB}, m AS (SELECT model_id, plot, (min(lo) + max(hi)) / 2 AS level FROM fa GROUP BY ALL),
+      w AS (SELECT model_id, plot, level, speed, sum(12.5e0) OVER (PARTITION BY model_id, plot ORDER BY speed, j, i, k) AS run, sum(12.5e0) OVER (PARTITION BY model_id, plot) AS total FROM fa JOIN m USING (model_id, plot) WHERE lo <= level AND level <= hi AND speed > 0)
+      SELECT model_id, plot, round(level, 6) AS level, round(min(speed), 6) AS median FROM w WHERE run >= total / 2 GROUP BY model_id, plot, level""",
+    "r8_adaptive_levels": f"""WITH RECURSIVE {_FACES}, {_CLIMB}, b AS (SELECT model_id, plot, min(lo) AS bottom, max(hi) AS top FROM fa GROUP BY ALL),
+      st AS (SELECT model_id, plot, bottom, top, 0 AS n, 0 AS it, bottom AS level, 0.0e0 AS delta FROM b
+        UNION ALL SELECT model_id, plot, bottom, top, n + CASE WHEN it = 4 THEN 1 ELSE 0 END, CASE WHEN it = 4 THEN 0 ELSE it + 1 END, CASE WHEN it < 4 THEN level WHEN n = 0 THEN level + 0.5e0 * 2.5e0 * speed ELSE level + 2.5e0 * speed END, CASE WHEN it = 4 THEN 0 ELSE 2.5e0 * speed END
+        FROM (SELECT st.*, speed, sum(12.5e0) OVER (PARTITION BY st.model_id, st.plot ORDER BY speed, j, i, k) AS run, sum(12.5e0) OVER (PARTITION BY st.model_id, st.plot) AS total
+            FROM st JOIN fa ON fa.model_id = st.model_id AND fa.plot = st.plot AND lo <= least(top, level + delta / 2) AND least(top, level + delta / 2) <= hi AND speed > 0 WHERE level < top)
+        QUALIFY run >= total / 2 AND row_number() OVER (PARTITION BY model_id, plot, run >= total / 2 ORDER BY run) = 1)
+      SELECT model_id, plot, count(*) AS levels, round(min(level), 4) AS first, round(max(level), 4) AS last, CAST(NULL AS VARCHAR) AS reason FROM st WHERE it = 0 AND n > 0 AND level < top GROUP BY model_id, plot""",
     "r7_contour_segments": f"""WITH {_FACES}, t AS (SELECT model_id, i, j, 0 AS k, z00 AS za, z10 AS zb, z01 AS zc FROM q UNION ALL SELECT model_id, i, j, 1, z11, z01, z10 FROM q),
       e AS (SELECT *, za - level AS a, zb - level AS b, zc - level AS c FROM t, (VALUES (204.0e0), (211.0e0), (218.0e0)) x(level)),
       s AS (SELECT *, CASE k WHEN 0 THEN [0, 0] ELSE [1, 1] END AS pa, CASE k WHEN 0 THEN [1, 0] ELSE [0, 1] END AS pb, CASE k WHEN 0 THEN [0, 1] ELSE [1, 0] END AS pc FROM e),

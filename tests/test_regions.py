@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,24 @@ def test_long_chains_take_few_rounds(spark):
     assert all((a.u1, a.v1) == (b.u0, b.v0) for a, b in zip(rows, rows[1:]))
 
 
+def test_adaptive_levels(spark):
+    """On a plane the steps are spacing times the sine of its slope; on a flat field there is none; where two slopes meet each has its own."""
+    kind = "field int, low double, high double, slope_percent double, share_m2 double, j int, i int, k int"
+    plane = [(1, float(i), i + 1.0, 75.0, 12.5, 0, i, 0) for i in range(10)]
+    flat = [(2, 5.0, 5.0, 0.0, 12.5, 0, i, 0) for i in range(3)]
+    bend = [(3, float(i), i + 1.0, 75.0 if i < 5 else 100 * math.tan(math.asin(0.2)), 12.5, 0, i, 0) for i in range(10)]
+    got = {}
+    for r in contours.adaptive_levels(spark.createDataFrame(plane + flat + bend, kind), ["field"], 2.0).collect():
+        got.setdefault(r.field, []).append((r.n, r.level, r.reason))
+    assert [x for _, x, _ in sorted(got[1])] == pytest.approx([0.6 + 1.2 * n for n in range(8)]) and got[2] == [(None, None, "no_progression")]
+    steps = np.diff([x for _, x, _ in sorted(got[3])])
+    assert steps[0] == pytest.approx(1.2) and steps[-1] == pytest.approx(0.4) and all(a >= b - 1e-9 for a, b in zip(steps, steps[1:]))
+    faces = spark.createDataFrame([(1, 0.0, 2.0, s, w, 0, i, 0) for i, (s, w) in enumerate([(75.0, 1.0), (0.0, 50.0), (100 * math.tan(math.asin(0.2)), 2.0), (100 * math.tan(math.asin(0.9)), 3.0)])], kind)
+    level = spark.createDataFrame([(1, 1.0), (1, 9.0)], "field int, level double")
+    # Weights 2, 1, 3 of speeds 0.2, 0.6, 0.9: half of them is reached at 0.6.
+    assert [(r.level, round(r.median, 9)) for r in contours.speeds_at(faces, level, ["field"]).collect()] == [(1.0, 0.6)]
+
+
 def test_surfaces_within_fields(spark):
     a, b = 0.3, -0.2
     cells = spark.createDataFrame([(1, i, j, 100 + a * i * 5 + b * j * 5) for i in range(N) for j in range(N)], "model_id long, i int, j int, z double")
