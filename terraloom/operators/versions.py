@@ -104,6 +104,61 @@ def edit_fields(fields: DataFrame, edits: DataFrame, projects: DataFrame, longes
     )
 
 
+def move_results(moves: DataFrame, projects: DataFrame) -> DataFrame:
+    """Outcome of each move of a field to another project (op_id, seq, source_id, target_id, field_id, user_id, admin), in order.
+
+    projects: (project_id, owner_user_id, deleted_at, version, latest_revision_number, field_ids, an array in display order). Both projects must be there, different, not deleted and of one owner,
+    who is the user unless an administrator moves; no version is expected. A field whose id the target already has gets a new one (moved-<op_id>); a source that loses its last field gets a
+    placeholder (empty-<op_id>). Both projects have their next version and revision. An operation that was done is answered alike when it comes again.
+
+    Both projects of a move that can succeed are of one owner, so logs are dealt out by owner and two moves that meet in a project are always in one fold, whose state is the projects that
+    it has met. Returns (seq, op_id, outcome, source_id, target_id, new_field_id, and of both projects version, revision and field_ids after the move).
+    """
+    side = lambda c: projects.select(F.col("project_id").alias(f"{c}_id"), F.col("owner_user_id").alias(f"{c}_owner"), F.struct("version", "latest_revision_number", F.transform("field_ids", lambda x: x.cast("string")).alias("ids"), F.col("deleted_at").isNotNull().alias("gone")).alias(f"{c}_project"))
+    log = moves.select("op_id", "seq", "source_id", "target_id", F.trim(F.col("field_id").cast("string")).alias("field_id"), "user_id", "admin").join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
+    log = log.select("source_owner", "seq", "op_id", "source_id", "target_id", "field_id", "user_id", "admin", "target_owner", "source_project", "target_project")
+
+    def step(state: tuple | None, r: tuple) -> tuple:
+        owner, _, op, source, target, field, user, admin, other, first, second = r
+        now, done = state or ({}, {})
+        state = (now, done)
+        if op in done:
+            return (state, *done[op])
+        refused = lambda why: (state, why, *[None] * 7)
+        if source == target:
+            return refused("same_project")
+        if not field:
+            return refused("field_required")
+        if first is None or second is None or first["gone"] or second["gone"] or owner != other or owner != user and not admin:
+            return refused("access_denied")
+        for k, found in ((source, first), (target, second)):
+            now.setdefault(k, (found["version"], found["latest_revision_number"], tuple(found["ids"] or ())))
+        (v0, n0, ids), (v1, n1, others) = now[source], now[target]
+        if field not in ids:
+            return refused("field_not_found")
+        new = f"moved-{op}" if field in others else field
+        now[source] = (v0 + 1, n0 + 1, tuple(x for x in ids if x != field) or (f"empty-{op}",))
+        now[target] = (v1 + 1, n1 + 1, (*others, new))
+        done[op] = ("field_moved", new, v0 + 1, v1 + 1, n0 + 1, n1 + 1, list(now[source][2]), list(now[target][2]))
+        return (state, *done[op])
+
+    out = "outcome string, new_field_id string, source_version bigint, target_version bigint, source_revision bigint, target_revision bigint, source_fields array<string>, target_fields array<string>"
+    names = [c.split()[0] for c in out.split(", ")]
+    return fold(log, "source_owner", ["seq"], lambda: None, step, out).select("seq", "op_id", "source_id", "target_id", "field_id", *names)
+
+
+def moved_projects(results: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next projects, new revisions) of move_results(): version, revision and field ids after each project's last move; two revisions a move, with direction and the other project."""
+    done = results.where("outcome = 'field_moved'")
+    one = lambda me, you, way, field: done.select(F.col(f"{me}_id").alias("project_id"), F.col(f"{me}_revision").alias("revision_number"), F.lit(way).alias("direction"), F.col(field).alias("field_id"), F.col(f"{you}_id").alias("other_project_id"), F.col(f"{me}_version").alias("version"), F.col(f"{me}_fields").alias("field_ids"))
+    # A repeated operation has the revision of its first answer.
+    both = one("source", "target", "out", "field_id").unionByName(one("target", "source", "in", "new_field_id")).dropDuplicates(["project_id", "revision_number"])
+    last = both.groupBy("project_id").agg(F.max_by(F.struct("version", "revision_number", "field_ids"), "version").alias("l"))
+    rest = projects.select("project_id", "version", "latest_revision_number", F.transform("field_ids", lambda x: x.cast("string")).alias("field_ids")).join(last, "project_id", "left")
+    now = lambda new, old: F.coalesce(F.col(f"l.{new}"), F.col(old)).alias(old)
+    return rest.select("project_id", now("version", "version"), now("revision_number", "latest_revision_number"), now("field_ids", "field_ids")), both.drop("version")
+
+
 def set_locations(nested: DataFrame, patches: DataFrame, projects: DataFrame) -> DataFrame:
     """Embedded fields with their new locations; every project that has one gets its next version and revision."""
     asked = patches.select("project_id").distinct().withColumn("__asked", F.lit(1))

@@ -47,6 +47,25 @@ def _edited(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return v.edit_fields(f, edits.where(k % 5 != 0), p.select("project_id", "version", "latest_revision_number"))
 
 
+def _moves(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each owner's projects; four moves in a pair: first and second field over, the first again, and one back. Field ids are numbers in the project, so they clash."""
+    f = view(s, sf, "project_fields").groupBy("project_id").agg(F.array_sort(F.collect_set("display_order")).alias("field_ids"))
+    p = view(s, sf, "projects").join(f, "project_id").select("project_id", "owner_user_id", "deleted_at", "version", "latest_revision_number", "field_ids")
+    w = Window.partitionBy("owner_user_id").orderBy("project_id")
+    pair = p.withColumn("n", F.row_number().over(w)).withColumn("b", F.lead("project_id").over(w)).where("n % 2 = 1 AND b IS NOT NULL")
+    k = F.col("project_id")
+    move = lambda n, a, b, field: F.struct(F.lit(n).alias("n"), a.alias("source_id"), b.alias("target_id"), field.alias("field_id"))
+    first, second = F.get("field_ids", F.lit(0)), F.coalesce(F.get("field_ids", F.lit(1)), F.lit(99))
+    steps = F.array(move(0, k, F.col("b"), first), move(1, k, F.col("b"), second), move(2, k, F.col("b"), first), move(3, F.col("b"), k, first))
+    moves = pair.select("owner_user_id", k.alias("a"), F.explode(steps).alias("m")).select((F.col("a") * 4 + F.col("m.n")).alias("op_id"), (F.col("a") * 4 + F.col("m.n")).alias("seq"), "m.source_id", "m.target_id", "m.field_id", F.when(F.col("a") % 13 == 0, -1).otherwise(F.col("owner_user_id")).alias("user_id"), (F.col("a") % 26 == 0).alias("admin"))
+    return v.move_results(moves, p), p
+
+
+def _moved(s: SparkSession, sf: str) -> DataFrame:
+    out = _moves(s, sf)[0]
+    return out.select("seq", "source_id", "target_id", "outcome", "new_field_id", "source_version", "target_version", "source_revision", "target_revision", F.array_join("source_fields", ",").alias("source_fields"), F.array_join("target_fields", ",").alias("target_fields"))
+
+
 def _issued(s: SparkSession, sf: str) -> DataFrame:
     r = view(s, sf, "revisions").select("project_id", "revision_number", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("field_ids"))
     k = F.col("project_id")
@@ -154,6 +173,9 @@ QUERIES = {
     "v6_restore_revisions": lambda s, sf: _restored(s, sf)[0].select("project_id", "outcome", "version", "latest_revision_number", "name", "campaign_year", F.col("deleted_at").isNotNull().alias("deleted")),
     "v6_restored_fields": lambda s, sf: _restored(s, sf)[1].withColumn("area_m2", F.round("area_m2", 4)),
     "v6_new_revisions": lambda s, sf: _restored(s, sf)[2].withColumn("fields", F.size("fields")),
+    "v7_field_moves": _moved,
+    "v7_moved_projects": lambda s, sf: v.moved_projects(*_moves(s, sf))[0].withColumn("field_ids", F.array_join("field_ids", ",")),
+    "v7_move_revisions": lambda s, sf: v.moved_projects(*_moves(s, sf))[1].withColumn("field_ids", F.array_join("field_ids", ",")),
     "v9_edited_fields": lambda s, sf: _edited(s, sf)[0].select(*KEY, "label"),
     "v9_edited_projects": lambda s, sf: _edited(s, sf)[1].withColumn("area_m2", F.round("area_m2", 2)),
     "v12_report_errors": _issued,
@@ -182,7 +204,27 @@ _GOOD = """e AS (SELECT f.*, p.version, p.latest_revision_number, row_number() O
     UNION ALL SELECT y.project_id, y.n, y.client_field_id, y.del, y.label, y.expected = r.now AND y.ok, r.now + CASE WHEN y.expected = r.now AND y.ok THEN 1 ELSE 0 END FROM r JOIN y ON y.project_id = r.project_id AND y.n = r.n + 1),
   edits AS (SELECT f.*, p.version, p.latest_revision_number, coalesce(r.applied AND r.del, false) AS gone, CASE WHEN r.applied AND NOT r.del THEN f.label || ' bis' END AS renamed, coalesce(r.applied, false) AS applied
     FROM project_fields f JOIN projects p USING (project_id) LEFT JOIN r USING (project_id, client_field_id))"""
+# Moves as in _moves(), pair by pair: la and lb are the fields of both projects, va and vb their versions.
+_MOVES = """pr AS (SELECT project_id, owner_user_id, deleted_at, version, latest_revision_number AS rev, list(DISTINCT CAST(display_order AS VARCHAR) ORDER BY CAST(display_order AS VARCHAR)) AS ids FROM projects JOIN project_fields USING (project_id) GROUP BY ALL),
+  w AS (SELECT *, row_number() OVER o AS n, lead(project_id) OVER o AS b FROM pr WINDOW o AS (PARTITION BY owner_user_id ORDER BY project_id)),
+  pa AS (SELECT w.project_id AS a, w.b, w.ids AS la, x.ids AS lb, w.version AS va, x.version AS vb, w.rev AS ra, x.rev AS rb, w.ids[1] AS f0, coalesce(w.ids[2], '99') AS f1,
+    w.deleted_at IS NULL AND x.deleted_at IS NULL AND (w.project_id % 13 <> 0 OR w.project_id % 26 = 0) AS ok FROM w JOIN pr x ON x.project_id = w.b WHERE w.n % 2 = 1),
+  st AS (SELECT *, -1 AS n, '' AS outcome, CAST(NULL AS VARCHAR) AS new FROM pa
+    UNION ALL SELECT a, b, CASE WHEN x <> 'field_moved' THEN la WHEN n < 2 OR n = 2 THEN CASE WHEN len(s) = 0 THEN ['empty-' || op] ELSE s END ELSE list_append(la, nw) END,
+      CASE WHEN x <> 'field_moved' THEN lb WHEN n < 3 THEN list_append(lb, nw) WHEN len(s) = 0 THEN ['empty-' || op] ELSE s END, va + CASE x WHEN 'field_moved' THEN 1 ELSE 0 END, vb + CASE x WHEN 'field_moved' THEN 1 ELSE 0 END,
+      ra + CASE x WHEN 'field_moved' THEN 1 ELSE 0 END, rb + CASE x WHEN 'field_moved' THEN 1 ELSE 0 END, f0, f1, ok, n, x, CASE x WHEN 'field_moved' THEN nw END
+    FROM (SELECT * REPLACE (n + 1 AS n), CASE WHEN NOT ok THEN 'access_denied' WHEN NOT list_contains(CASE WHEN n + 1 = 3 THEN lb ELSE la END, CASE WHEN n + 1 = 1 THEN f1 ELSE f0 END) THEN 'field_not_found' ELSE 'field_moved' END AS x, a * 4 + n + 1 AS op,
+        list_filter(CASE WHEN n + 1 = 3 THEN lb ELSE la END, lambda y: y <> CASE WHEN n + 1 = 1 THEN f1 ELSE f0 END) AS s,
+        CASE WHEN list_contains(CASE WHEN n + 1 = 3 THEN la ELSE lb END, CASE WHEN n + 1 = 1 THEN f1 ELSE f0 END) THEN 'moved-' || (a * 4 + n + 1) WHEN n + 1 = 1 THEN f1 ELSE f0 END AS nw FROM st WHERE n < 3)),
+  mv AS (SELECT a * 4 + n AS seq, n, CASE n WHEN 3 THEN b ELSE a END AS source_id, CASE n WHEN 3 THEN a ELSE b END AS target_id, outcome, new, CASE n WHEN 1 THEN f1 ELSE f0 END AS field, CASE n WHEN 3 THEN vb ELSE va END AS sv, CASE n WHEN 3 THEN va ELSE vb END AS tv,
+    CASE n WHEN 3 THEN rb ELSE ra END AS sr, CASE n WHEN 3 THEN ra ELSE rb END AS tr, array_to_string(CASE n WHEN 3 THEN lb ELSE la END, ',') AS sf, array_to_string(CASE n WHEN 3 THEN la ELSE lb END, ',') AS tf, outcome = 'field_moved' AS good FROM st WHERE n >= 0),
+  rv AS (SELECT source_id AS project_id, sr AS revision_number, 'out' AS direction, field AS field_id, target_id AS other_project_id, sv AS version, sf AS field_ids FROM mv WHERE good UNION ALL SELECT target_id, tr, 'in', new, source_id, tv, tf FROM mv WHERE good)"""
 _SQL = {
+    "v7_field_moves": f"""WITH RECURSIVE {_MOVES} SELECT seq, source_id, target_id, outcome, new AS new_field_id, CASE WHEN good THEN sv END AS source_version, CASE WHEN good THEN tv END AS target_version, CASE WHEN good THEN sr END AS source_revision, CASE WHEN good THEN tr END AS target_revision,
+      CASE WHEN good THEN sf END AS source_fields, CASE WHEN good THEN tf END AS target_fields FROM mv""",
+    "v7_moved_projects": f"""WITH RECURSIVE {_MOVES}, l AS (SELECT project_id, arg_max(revision_number, version) AS r, arg_max(field_ids, version) AS f, max(version) AS v FROM rv GROUP BY project_id)
+      SELECT project_id, coalesce(l.v, version) AS version, coalesce(l.r, rev) AS latest_revision_number, coalesce(l.f, array_to_string(ids, ',')) AS field_ids FROM pr LEFT JOIN l USING (project_id)""",
+    "v7_move_revisions": f"WITH RECURSIVE {_MOVES} SELECT project_id, revision_number, direction, field_id, other_project_id, field_ids FROM rv",
     "v3_create_revisions": """WITH RECURSIVE o AS (SELECT s.project_id, s.seq, s.expected_version + s.project_id % 9 - 1 AS expected, p.version, p.latest_revision_number AS number, row_number() OVER (PARTITION BY s.project_id ORDER BY s.seq) AS n FROM sync_ops s LEFT JOIN projects p ON p.project_id = s.project_id AND p.project_id % 5 <> 4),
       f AS (SELECT project_id, seq, n, version, number, coalesce(expected = version, false) AS good, CASE WHEN expected = version THEN 1 ELSE 0 END AS done FROM o WHERE n = 1
         UNION ALL SELECT o.project_id, o.seq, o.n, o.version, o.number, coalesce(o.expected = o.version + f.done, false), f.done + CASE WHEN o.expected = o.version + f.done THEN 1 ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)

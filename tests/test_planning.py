@@ -396,6 +396,27 @@ def test_field_edits_see_what_came_before(spark):
     assert sorted(tuple(r) for r in after.collect()) == [(1, 5, 3, 1, 5.0, 25, False), (2, 1, 1, 0, 0.0, 0, True)]
 
 
+@pytest.mark.parametrize("order", [(1, 2), (2, 1)])
+def test_field_moves_that_meet_in_a_project(spark, order):
+    """Two moves into one project in either order, a clash of ids, an emptied project, a repeated and a refused operation."""
+    from terraloom.operators import versions
+
+    projects = spark.createDataFrame([(1, 5, None, 3, 1, ["a"]), (2, 5, None, 0, 0, ["a", "b"]), (3, 5, None, 7, 2, ["a", "c"]), (4, 6, None, 0, 0, ["z"]), (5, 5, "gone", 0, 0, ["y"])], "project_id long, owner_user_id long, deleted_at string, version long, latest_revision_number long, field_ids array<string>")
+    first = {1: (11, 1, 3, "a", 5, False), 2: (12, 2, 3, "a", 5, False)}
+    rows = [first[k] for k in order] + [(11, 1, 3, "a", 5, False), (13, 1, 4, "a", 5, True), (14, 1, 1, "a", 5, False), (15, 3, 5, "c", 5, False), (16, 3, 2, "c", 9, False), (17, 3, 2, "c", 9, True), (18, 3, 2, "c", 5, False), (19, 3, 2, " ", 5, False)]
+    moves = spark.createDataFrame([(r[0], n, *r[1:]) for n, r in enumerate(rows)], "op_id long, seq long, source_id long, target_id long, field_id string, user_id long, admin boolean")
+    results = versions.move_results(moves, projects)
+    got = results.orderBy("seq").collect()
+    assert [r.outcome for r in got] == ["field_moved"] * 3 + ["access_denied", "same_project", "access_denied", "access_denied", "field_moved", "field_not_found", "field_required"]
+    again = got[order.index(1)]
+    assert tuple(got[2])[1:] == tuple(again)[1:] and [r.new_field_id for r in got[:2]] == [f"moved-{first[k][0]}" for k in order]
+    after, revisions = versions.moved_projects(results, projects)
+    assert {r.project_id: (r.version, r.latest_revision_number, r.field_ids) for r in after.collect()} == {
+        1: (4, 2, ["empty-11"]), 2: (2, 2, ["b", "c"]), 3: (10, 5, ["a", *[f"moved-{first[k][0]}" for k in order]]), 4: (0, 0, ["z"]), 5: (0, 0, ["y"])
+    }
+    assert revisions.count() == 6 and revisions.where("project_id = 3 AND direction = 'in'").count() == 2
+
+
 def test_allocated_codes_fill_gaps(spark):
     from terraloom.operators import catalog
 
