@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geo
 from terraloom.functions.stages import kept
-from terraloom.operators import contours, lines, parcels, slabs, surfaces
+from terraloom.operators import contours, designs, lines, parcels, slabs, surfaces
 from terraloom.operators.planting import KEY
 from terraloom.plans.archive import _FACES, _cells
 from terraloom.plans.planting import _K, _r
@@ -115,8 +115,31 @@ def _union(s: SparkSession, sf: str) -> DataFrame:
     return out.select("project_id", F.size("ring").alias("points"), F.round("area_m2", 2).alias("area_m2"), F.array_join("references", ",").alias("refs"), "reason")
 
 
+def _designed(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A portion for each field and edits of two thirds of them."""
+    f = view(s, sf, "project_fields")
+    k, o = F.col("client_field_id"), F.col("display_order")
+    points = lambda offset: F.array(F.struct(F.lit(0.5).alias("position"), offset.cast("double").alias("offset_m")))
+    portions = f.select(*KEY, F.when(k % 4 == 0, " ").otherwise("Nord").alias("label"), F.when(k % 2 == 0, "local").otherwise("inherited").alias("mode"), "orientation_deg", points(o % 3).alias("curve_points"), (k % 5 != 0).alias("equidistant"), F.when(k % 2 == 1, F.lit("base")).alias("inherited"), F.when(k % 6 == 0, "merged-layouts").alias("conflict"))
+    edits = f.where(k % 3 != 0).select(*KEY, F.when(k % 3 == 1, "Sud").alias("label"), F.when(k % 3 == 2, F.lit(45.0)).alias("orientation_deg"), F.when(k % 7 == 0, points(o)).alias("curve_points"), F.when(k % 11 == 0, F.lit(False)).alias("equidistant"))
+    return portions, edits
+
+
+def _patched(s: SparkSession, sf: str) -> DataFrame:
+    out = designs.patched_portions(*_designed(s, sf), KEY)
+    return out.select(*KEY, "label", "mode", "orientation_deg", F.get("curve_points", F.lit(0))["offset_m"].alias("offset_m"), "equidistant", "inherited", "conflict")
+
+
+def _described(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("client_field_id")
+    guide = {"applied": k % 2 == 0, "guide": F.when(k % 3 == 0, designs.TERRAIN_GUIDE), "guide_points": (k % 4).cast("int"), "algorithm": F.lit(designs.TERRAIN_ALGORITHM), "design_mode": F.when(k % 5 == 0, designs.TERRAIN_MODE), "axes": F.lit(1)}
+    return designs.portion_descriptors(_designed(s, sf)[0].withColumns(guide), ["project_id"], "client_field_id")
+
+
 QUERIES = {
     "g9_portions": lambda s, sf: _r(slabs.portions(_fields(s, sf), KEY), 2, "area_m2").drop("anchor"),
+    "g14_portion_patches": _patched,
+    "g15_portion_descriptors": _described,
     "g19_passage_parts": _passages,
     "g21_clipped_lines": _clipped_lengths,
     "g22_trimmed_lines": _trimmed,
@@ -144,6 +167,13 @@ _SQL = {
     "g9_portions": f"""WITH {_BOX}, p AS (SELECT {_K}, 1 AS portion, w * h * (CASE WHEN road THEN 0.45e0 WHEN l_shape THEN 0.75e0 ELSE 1 END - CASE WHEN has_exclusion THEN 0.04e0 ELSE 0 END) AS a, road FROM b
       UNION ALL SELECT {_K}, 2, w * h * CASE WHEN l_shape THEN 0.225e0 ELSE 0.45e0 END, road FROM b WHERE road)
       SELECT {_K}, portion, round(a, 2) AS area_m2, CASE WHEN road THEN 2 ELSE 1 END AS portions FROM p""",
+    "g14_portion_patches": f"""WITH e AS (SELECT *, client_field_id AS k, client_field_id % 3 <> 0 AND (client_field_id % 3 = 2 OR client_field_id % 7 = 0 OR client_field_id % 11 = 0) AS own FROM project_fields)
+      SELECT {_K}, CASE WHEN k % 3 = 1 THEN 'Sud' WHEN k % 4 = 0 THEN ' ' ELSE 'Nord' END AS label, CASE WHEN own OR k % 2 = 0 THEN 'local' ELSE 'inherited' END AS mode, CASE WHEN k % 3 = 2 THEN 45.0e0 ELSE orientation_deg END AS orientation_deg,
+        CAST(CASE WHEN own AND k % 7 = 0 THEN display_order WHEN own AND k % 2 = 1 THEN NULL ELSE display_order % 3 END AS DOUBLE) AS offset_m, CASE WHEN k % 3 <> 0 AND k % 11 = 0 THEN false ELSE k % 5 <> 0 END AS equidistant,
+        CASE WHEN NOT own AND k % 2 = 1 THEN 'base' END AS inherited, CASE WHEN NOT own AND k % 6 = 0 THEN 'merged-layouts' END AS conflict FROM e""",
+    "g15_portion_descriptors": """WITH e AS (SELECT *, client_field_id AS k, client_field_id % 2 = 0 AND (client_field_id % 3 = 0 OR client_field_id % 4 >= 2 OR client_field_id % 5 = 0) AS g, row_number() OVER (PARTITION BY project_id ORDER BY client_field_id) AS n FROM project_fields)
+      SELECT project_id, client_field_id, CASE WHEN k % 4 = 0 THEN 'Porzione ' || n ELSE 'Nord' END AS label, CASE WHEN k % 2 = 0 THEN 'local' ELSE 'inherited' END AS mode, CASE WHEN NOT g THEN orientation_deg END AS orientation_deg,
+        CASE WHEN NOT g THEN display_order % 3 > 0 END AS curved, k % 5 <> 0 AS equidistant, g AS terrain_guide FROM e""",
     "g19_passage_parts": f"WITH {_BOX} SELECT {_K}, 1 AS passage, 1 AS part, CAST(NULL AS VARCHAR) AS label, round(CASE WHEN l_shape THEN w ELSE 1.5e0 * w END, 2) AS area_m2 FROM b",
     "g21_clipped_lines": f"WITH {_BOX}, {_PIECES} SELECT {_K}, line, piece, round(len, 3) AS length_m FROM pc",
     "g22_trimmed_lines": f"WITH {_BOX}, {_PIECES}, t AS (SELECT *, coalesce(headland_width_m, 0) AS cut FROM pc) SELECT {_K}, line, piece, round(len - 2 * cut, 3) AS length_m FROM t WHERE cut = 0 OR len > 2 * cut + 0.05e0",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraloom.operators import contours, lines, parcels, planting, slabs, surfaces
+from terraloom.operators import contours, designs, lines, parcels, planting, slabs, surfaces
 
 M = 1 / (6371008.8 * math.pi / 180)
 FIELD = "k int, ring array<struct<lon:double,lat:double>>, exclusions array<array<struct<lon:double,lat:double>>>"
@@ -259,3 +259,16 @@ def test_parcel_unions(spark):
         assert (r.area_m2 is None) if size is None else r.area_m2 == pytest.approx(size * one, rel=1e-3)
         if size:
             assert r.ring[0] == r.ring[-1] and len(set(map(tuple, r.ring))) == len(r.ring) - 1
+
+
+def test_portion_designs(spark):
+    """A label keeps the inherited design; a new direction clears the inherited curve, a curve of one's own stays; an invalid number is zero."""
+    kind = "id int, label string, mode string, orientation_deg double, curve_points array<struct<position:double,offset_m:double>>, equidistant boolean, inherited string, conflict string"
+    curve = [(0.5, 7.0)]
+    portions = spark.createDataFrame([(n, "A", m, 10.0, curve, True, None if m == "local" else "base", "merged-layouts") for n, m in enumerate(["inherited", "inherited", "local", "inherited", "local"])], kind)
+    edits = spark.createDataFrame([(0, "B", None, None, None), (1, None, 45.0, None, None), (2, None, float("nan"), None, False), (3, None, None, [(0.2, 1.0)], None)], "id int, label string, orientation_deg double, curve_points array<struct<position:double,offset_m:double>>, equidistant boolean")
+    got = [tuple(r)[1:] for r in designs.patched_portions(portions, edits, ["id"]).orderBy("id").collect()]
+    assert got == [
+        ("B", "inherited", 10.0, curve, True, "base", "merged-layouts"), ("A", "local", 45.0, [], True, None, None), ("A", "local", 0.0, curve, False, None, None),
+        ("A", "local", 10.0, [(0.2, 1.0)], True, None, None), ("A", "local", 10.0, curve, True, None, "merged-layouts"),
+    ]
