@@ -143,7 +143,7 @@ def support_windows(boxes: DataFrame, key: list[str], anchor: tuple[float, float
 
 
 def blended(points: DataFrame, native: str, context: str, distance: str, collar: str) -> DataFrame:
-    """Heights that go over smoothly from the context's at the model's edge to its own where ``distance`` reaches the collar's width; without own height, the context's."""
+    """Heights that go over smoothly from the context's at the model's edge to its own where ``distance`` reaches the collar's width; null without the context's height, and within the model without its own, as nothing can be blended there."""
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(distance) / F.col(collar)))
     weight = t * t * (3 - 2 * t)
-    return points.withColumn("height", F.when((F.col(distance) <= 0) | F.col(native).isNull(), F.col(context)).otherwise(F.col(context) + (F.col(native) - F.col(context)) * weight))
+    return points.withColumn("height", F.when(F.col(distance) <= 0, F.col(context)).otherwise(F.col(context) + (F.col(native) - F.col(context)) * weight))

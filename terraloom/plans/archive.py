@@ -260,7 +260,7 @@ _SQL = {
         JOIN cells c2 ON c2.model_id = q.model_id AND c2.i = q.i AND c2.j = q.j + 1 JOIN cells c3 ON c3.model_id = q.model_id AND c3.i = q.i + 1 AND c3.j = q.j + 1)
       SELECT p.model_id, p.point, round(CASE WHEN a + b <= 1 THEN z00 + a * (z10 - z00) + b * (z01 - z00) ELSE z11 + (1 - b) * (z10 - z11) + (1 - a) * (z01 - z11) END, 5) AS z FROM p LEFT JOIN h ON h.model_id = p.model_id AND h.point = p.point""",
     "r5_draped_lengths": f"WITH {_CELLS}, {_DRAPED} SELECT model_id, line, round(length_m, 4) AS length_m FROM draped",
-    "r9_blended_heights": """WITH f AS (SELECT *, least(1, greatest(0, (simulated_plants / 20 - 10) / 25)) AS t FROM project_fields) SELECT project_id, client_field_id, round(CASE WHEN t <= 0 OR display_order = 5 THEN lat0 ELSE lat0 + (area_m2 / 10 - lat0) * t * t * (3 - 2 * t) END, 6) AS height FROM f""",
+    "r9_blended_heights": """WITH f AS (SELECT *, least(1, greatest(0, (simulated_plants / 20 - 10) / 25)) AS t FROM project_fields) SELECT project_id, client_field_id, round(CASE WHEN t <= 0 THEN lat0 WHEN display_order <> 5 THEN lat0 + (area_m2 / 10 - lat0) * t * t * (3 - 2 * t) END, 6) AS height FROM f""",
     "r11_draped_plants": f"""WITH {_CELLS}, {_DRAPED} SELECT model_id, line % 10 AS field, count(*) AS row_count, CASE WHEN count(length_m) = count(*) THEN round(sum(length_m), 4) END AS surface_row_m, CASE WHEN count(length_m) = count(*) THEN CAST(sum(floor(length_m / 0.9e0) + 1) AS BIGINT) END AS plants,
       CASE WHEN count(length_m) = count(*) THEN CAST(sum(greatest(0, ceil(length_m / 4.5e0) - 1) + 2) AS BIGINT) END AS posts FROM draped GROUP BY model_id, line % 10""",
     "r10_height_colours": f"WITH {_CELLS}, n AS (SELECT *, CAST(round((z + 32768) * 256) AS BIGINT) AS n FROM cells) SELECT model_id, i, j, n // 65536 % 256 AS r, n // 256 % 256 AS g, n % 256 AS b FROM n",
