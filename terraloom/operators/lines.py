@@ -6,6 +6,8 @@ that follows works on single segments, with windows over one line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ ON_SIDE, JOINED = 1e-5, 1e-7
 SAME_CUT = 1e-9
 
 
-def _segments(points: DataFrame, key: list[str]) -> DataFrame:
+def segments(points: DataFrame, key: list[str]) -> DataFrame:
+    """(key, line, seg, ax, ay, bx, by): consecutive points of each line."""
     w = Window.partitionBy(*key, "line").orderBy("seq")
     step = points.select(*key, "line", "seq", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"), F.row_number().over(w).alias("n"))
     return step.where("n > 1").select(*key, "line", (F.col("n") - 1).alias("seg"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
@@ -56,17 +59,27 @@ def clip(points: DataFrame, regions: DataFrame, key: list[str], sides: str = "si
     (also when the outside is asked for, so a line along a side is no part of it). A segment is cut wherever a side meets it, each part is judged by its middle, and parts
     that follow each other are one piece.
     """
-    met = _segments(points, key).join(regions.select(*key, F.col(sides).alias("sides")), key)
+    met = segments(points, key).join(regions.select(*key, F.col(sides).alias("sides")), key)
+    return pieces(met, key, lambda x, y: holds(x, y, F.col("sides")) if inside else ~holds(x, y, F.col("sides")))
+
+
+def holds(x: Column, y: Column, sides: Column) -> Column:
+    """Whether a region holds (x, y): an odd number of its rings around it, or a side through it."""
+    return F.exists(sides, lambda e: _on(x, y, e)) | (F.size(F.filter(sides, lambda e: _crosses(x, y, e))) % 2 == 1)
+
+
+def pieces(met: DataFrame, key: list[str], keep: Callable[[Column, Column], Column], own: tuple[str, ...] = ()) -> DataFrame:
+    """What clip() returns, for segments (key, line, seg, ax, ay, bx, by) that have the ``sides`` to be cut at with them; ``keep`` judges the middle of each part
+    and may read the columns of ``own``."""
     ts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform(F.flatten(F.transform("sides", _cuts)), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))))
-    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", ts.alias("ts"))
+    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", *own, ts.alias("ts"))
     apart = F.filter("ts", lambda t, i: (i == 0) | (t - F.get("ts", F.greatest(i - 1, F.lit(0))) > SAME_CUT))
-    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", "ts", apart.alias("cuts"))
-    part = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", F.posexplode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("s"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("e"))).alias("n", "p"))
+    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", "ts", *own, apart.alias("cuts"))
+    part = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", *own, F.posexplode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("s"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("e"))).alias("n", "p"))
     at = lambda t, c: F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}"))
     mid = (F.col("p.s") + F.col("p.e")) / 2
     part = part.withColumns({"mx": at(mid, "x"), "my": at(mid, "y")})
-    held = F.exists("sides", lambda e: _on(F.col("mx"), F.col("my"), e)) | (F.size(F.filter("sides", lambda e: _crosses(F.col("mx"), F.col("my"), e))) % 2 == 1)
-    good = part.where(held if inside else ~held).select(*key, "line", "seg", "n", at(F.col("p.s"), "x").alias("x0"), at(F.col("p.s"), "y").alias("y0"), at(F.col("p.e"), "x").alias("x1"), at(F.col("p.e"), "y").alias("y1"))
+    good = part.where(keep(F.col("mx"), F.col("my"))).select(*key, "line", "seg", "n", at(F.col("p.s"), "x").alias("x0"), at(F.col("p.s"), "y").alias("y0"), at(F.col("p.e"), "x").alias("x1"), at(F.col("p.e"), "y").alias("y1"))
     w = Window.partitionBy(*key, "line").orderBy("seg", "n")
     gap = F.hypot(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w))
     good = good.withColumn("new", F.when(gap <= JOINED, 0).otherwise(1)).withColumn("piece", F.sum("new").over(w))
@@ -126,19 +139,27 @@ def _within(cell: str) -> tuple[Column, Column]:
     return F.greatest(*lo), F.least(*hi)
 
 
+def _away(p: tuple, q: tuple, r: tuple) -> Column:
+    """Metres between the point p and the segment q-r."""
+    dx, dy = r[0] - q[0], r[1] - q[1]
+    t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((p[0] - q[0]) * dx + (p[1] - q[1]) * dy, dx * dx + dy * dy))), F.lit(0.0))
+    return F.hypot(p[0] - q[0] - t * dx, p[1] - q[1] - t * dy)
+
+
+def apart(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
+    """Metres between the segments a-b and c-d, pairs of columns; 0 where they cross."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    crossed = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+    return F.when(crossed, 0.0).otherwise(F.least(_away(a, c, d), _away(b, c, d), _away(c, a, b), _away(d, a, b)))
+
+
 def _gap(cell: str) -> Column:
     """Metres between the segment and the nearest side of a trapezoid that it doesn't meet: the least over ends against sides."""
     c = lambda n: F.col(f"{cell}.{n}")
     corner = [(c("l0"), c("y0")), (c("r0"), c("y0")), (c("r1"), c("y1")), (c("l1"), c("y1"))]
     seg = ((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")))
-
-    def away(p: tuple, q: tuple, r: tuple) -> Column:
-        dx, dy = r[0] - q[0], r[1] - q[1]
-        t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((p[0] - q[0]) * dx + (p[1] - q[1]) * dy, dx * dx + dy * dy))), F.lit(0.0))
-        return F.hypot(p[0] - q[0] - t * dx, p[1] - q[1] - t * dy)
-
     sides = list(zip(corner, corner[1:] + corner[:1]))
-    return F.least(*[away(p, q, r) for p in seg for q, r in sides], *[away(p, *seg) for p in corner])
+    return F.least(*[_away(p, q, r) for p in seg for q, r in sides], *[_away(p, *seg) for p in corner])
 
 
 def owners(points: DataFrame, trapezoids: DataFrame, key: list[str]) -> DataFrame:
@@ -148,7 +169,7 @@ def owners(points: DataFrame, trapezoids: DataFrame, key: list[str]) -> DataFram
     count, the lesser part wins them); a line that lies in none belongs to the nearest. Fields without any portion give no row.
     """
     cell = F.struct("y0", "y1", "l0", "r0", "l1", "r1").alias("cell")
-    met = _segments(points, key).join(trapezoids.select(*key, "part", cell), key)
+    met = segments(points, key).join(trapezoids.select(*key, "part", cell), key)
     lo, hi = _within("cell")
     size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     held = met.select(*key, "line", "part", (F.greatest(F.lit(0.0), hi - lo) * size).alias("m"), _gap("cell").alias("gap"))
