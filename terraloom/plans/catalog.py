@@ -87,9 +87,9 @@ def _codes(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _controls(s: SparkSession, sf: str) -> DataFrame:
-    e = view(s, sf, "counts_entries").where("entry_no <= 5")
-    pts = e.select(F.col("list_id").alias("field"), "client_field_id", (F.col("quantity") / 40 - 0.1).alias("position"), (F.col("quantity") * 5.0 - 120).alias("offset_m"))
-    out = c.curve_controls(pts, "field", "client_field_id")
+    e = view(s, sf, "counts_entries")
+    pts = e.select(F.col("list_id").alias("field"), "client_field_id", F.concat(F.lit("segment:"), "category").alias("tract"), (F.col("quantity") / 40 - 0.1).alias("position"), (F.col("quantity") * 5.0 - 120).alias("offset_m"))
+    out = c.curve_controls(pts, "field", "client_field_id", most=8, edge=0.02, reach=500.0, tract="tract")
     return out.select("field", F.size("controls").alias("n"), F.round(F.element_at("controls", 1)["position"], 6).alias("first"), F.round(F.element_at("controls", -1)["offset_m"], 6).alias("last_offset"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geo
 from terraloom.functions.stages import kept
-from terraloom.operators import contours, designs, lines, parcels, slabs, surfaces
+from terraloom.operators import contours, curves, designs, lines, parcels, slabs, surfaces
 from terraloom.operators.planting import KEY
 from terraloom.plans.archive import _FACES, _cells
 from terraloom.plans.planting import _K, _r
@@ -136,7 +136,33 @@ def _described(s: SparkSession, sf: str) -> DataFrame:
     return designs.portion_descriptors(_designed(s, sf)[0].withColumns(guide), ["project_id"], "client_field_id")
 
 
+def _roads(fields: DataFrame) -> DataFrame:
+    """The roads among the exclusions of with_roads() as passages, a tenth of the field's height wide."""
+    width = F.col("dlat") * 0.1 * geo.RAD * geo.EARTH_M
+    return fields.where("display_order % 2 = 0").select(*KEY, F.lit("road").alias("passage"), width.alias("width_m"), F.element_at("exclusions", -1).alias("ring"))
+
+
+def _tracts(s: SparkSession, sf: str) -> DataFrame:
+    fields = _fields(s, sf)
+    out = curves.tracts(curves.frames(fields, KEY), _roads(fields), KEY)
+    return out.select(*KEY, "tract", "n", F.round("start", 6).alias("from_share"), F.round("end", 6).alias("to_share"))
+
+
+def _curved(s: SparkSession, sf: str) -> DataFrame:
+    """Rows of the fields that purchases bent: each purchase sets two control points of one field of a project."""
+    fields = _fields(s, sf)
+    e = s.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'")
+    bends = e.select((F.col("event_id") + 1).alias("project_id"), (F.col("event_id") % 7 + 1).alias("display_order"), "event_id", F.col("value").alias("v"))
+    bends = bends.join(fields.select(*KEY, "display_order"), ["project_id", "display_order"])
+    spot = lambda i, at, off: F.struct((F.col("event_id") * 2 + i).alias("id"), F.lit(at).alias("position"), off.cast("double").alias("offset_m"))
+    bends = bends.select(*KEY, F.explode(F.array(spot(0, 0.25, F.col("v") % 9), spot(1, 0.8, -F.col("v") % 5))).alias("p")).select(*KEY, "p.*", F.lit(None).cast("string").alias("tract"))
+    rows = curves.curved_rows(fields, _roads(fields), bends, KEY).where("seq = 1")
+    return rows.groupBy(*KEY, "tract").agg(F.max("blend").alias("blend"), F.count("*").alias("row_count"), F.round(F.sum("length_m"), 3).alias("linear_m"), F.round(F.max("length_m"), 3).alias("longest_m"))
+
+
 QUERIES = {
+    "g12_curved_rows": _curved,
+    "g23_tracts": _tracts,
     "g9_portions": lambda s, sf: _r(slabs.portions(_fields(s, sf), KEY), 2, "area_m2").drop("anchor"),
     "g14_portion_patches": _patched,
     "g15_portion_descriptors": _described,
@@ -163,7 +189,17 @@ _PIECES = f"""c AS (SELECT *, CASE WHEN l_shape THEN 0.5e0 ELSE 1 END AS top FRO
     UNION ALL SELECT *, 0, 2, (CASE WHEN l_shape THEN 0.6e0 ELSE 0.6e0 + 0.3e0 * skew END) * w FROM c WHERE has_exclusion
     UNION ALL SELECT *, 1, 1, top * w FROM c)"""
 
+# Corners of a field in shares of its box, turned by its orientation, and the band of its road along the normal that points up the rows.
+_TURNED = f"""{_BOX}, v AS (SELECT {_K}, road, h, radians(-orientation_deg) AS a, unnest(CASE WHEN l_shape THEN [[0, 0], [1, 0], [1, 0.5e0], [0.5e0, 0.5e0], [0.5e0, 1], [0, 1]] ELSE [[0, 0], [1, 0], [1 + skew, 1], [skew, 1]] END) AS c,
+    w, CASE WHEN l_shape THEN 0.5e0 ELSE 0.5e0 + skew / 2 END AS um FROM b),
+  t AS (SELECT {_K}, any_value(road) AS road, any_value(h) AS h, any_value(a) AS a, min((c[1] - um) * w * cos(a) - (c[2] - 0.5e0) * h * sin(a)) AS x0, max((c[1] - um) * w * cos(a) - (c[2] - 0.5e0) * h * sin(a)) AS x1,
+    min((c[1] - um) * w * sin(a) + (c[2] - 0.5e0) * h * cos(a)) AS y0, max((c[1] - um) * w * sin(a) + (c[2] - 0.5e0) * h * cos(a)) AS y1 FROM v GROUP BY ALL),
+  g AS (SELECT *, abs(cos(a)) AS ny, ((-0.05e0 * h + sin(a) * sign(cos(a)) * (x0 + x1) / 2) / abs(cos(a)) - y0) / (y1 - y0) AS lo, ((0.05e0 * h + sin(a) * sign(cos(a)) * (x0 + x1) / 2) / abs(cos(a)) - y0) / (y1 - y0) AS hi FROM t),
+  p AS (SELECT *, road AND ny >= 0.1e0 AND lo > 0 AND hi < 1 AS parted FROM g)"""
+
 _SQL = {
+    "g23_tracts": f"""WITH {_TURNED} SELECT {_K}, CASE WHEN parted THEN 'segment:start:road' ELSE 'whole' END AS tract, 1 AS n, 0.0e0 AS from_share, CASE WHEN parted THEN round(lo, 6) ELSE 1.0e0 END AS to_share FROM p
+      UNION ALL SELECT {_K}, 'segment:road:end', 2, round(hi, 6), 1.0e0 FROM p WHERE parted""",
     "g9_portions": f"""WITH {_BOX}, p AS (SELECT {_K}, 1 AS portion, w * h * (CASE WHEN road THEN 0.45e0 WHEN l_shape THEN 0.75e0 ELSE 1 END - CASE WHEN has_exclusion THEN 0.04e0 ELSE 0 END) AS a, road FROM b
       UNION ALL SELECT {_K}, 2, w * h * CASE WHEN l_shape THEN 0.225e0 ELSE 0.45e0 END, road FROM b WHERE road)
       SELECT {_K}, portion, round(a, 2) AS area_m2, CASE WHEN road THEN 2 ELSE 1 END AS portions FROM p""",
