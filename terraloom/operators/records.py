@@ -129,24 +129,30 @@ def horizontal_step(ground_m: Column, along: Column, across: Column) -> Column:
 DELIVERY = "state string, send boolean, attempts int"
 
 
+def delivery_step(s: tuple, r: tuple) -> tuple[tuple, tuple]:
+    """State (state, first attempt, lease's end, attempts) and answer (state, send, attempts) after a row (submission_id, at_s, seq, action)."""
+    state, first, lease, n = s
+    at, action = r[1], r[3]
+    send = False
+    if action == "claim":
+        if state != "provider_accepted" and not (lease is not None and lease > at):
+            if first is not None and first < at - 23 * 3600:
+                state, lease = "uncertain", None
+            else:
+                state, first, lease, n, send = "sending", at if first is None else first, at + 120, n + 1, True
+    elif state == "sending":
+        state, lease = action, None
+    return (state, first, lease, n), (state, send, n)
+
+
 def deliveries(log: DataFrame) -> DataFrame:
     """Delivery states from a log (submission_id, at_s, seq, action): claims lease a delivery for two minutes and are refused while it is leased,
     accepted, or a day (23 hours) after its first attempt; results count only while it is being sent."""
     from terraloom.operators.folds import fold
 
     def step(s: tuple, r: tuple) -> tuple:
-        state, first, lease, n = s
-        at, action = r[1], r[3]
-        send = False
-        if action == "claim":
-            if state != "provider_accepted" and not (lease is not None and lease > at):
-                if first is not None and first < at - 23 * 3600:
-                    state, lease = "uncertain", None
-                else:
-                    state, first, lease, n, send = "sending", at if first is None else first, at + 120, n + 1, True
-        elif state == "sending":
-            state, lease = action, None
-        return (state, first, lease, n), state, send, n
+        now, values = delivery_step(s, r)
+        return now, *values
 
     return fold(log.select("submission_id", "at_s", "seq", "action"), "submission_id", ["at_s", "seq"], lambda: ("pending", None, None, 0), step, DELIVERY)
 
