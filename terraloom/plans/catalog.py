@@ -82,7 +82,9 @@ def _references(s: SparkSession, sf: str) -> DataFrame:
 
 def _codes(s: SparkSession, sf: str) -> DataFrame:
     p = view(s, sf, "projects")
-    used = p.where("project_id % 3 <> 0").select(F.concat(F.lit("VO-"), F.lpad((F.col("project_id") * 2).cast("string"), 7, "0")).alias("code"))
+    number = (F.col("project_id") * 2).cast("string")
+    # Numbers of more than seven digits stay whole: lpad would cut them to other numbers' codes.
+    used = p.where("project_id % 3 <> 0").select(F.concat(F.lit("VO-"), F.lpad(number, F.greatest(F.lit(7), F.length(number)), F.lit("0"))).alias("code"))
     return c.allocated_codes(p.where("project_id % 3 = 0").select("project_id", "created_at"), used, ["created_at", "project_id"]).select("project_id", "code")
 
 

@@ -433,3 +433,14 @@ def test_draped_length_on_a_plane(spark):
     got = {r.line: r.length_m for r in terrain.draped_lengths(lines, cells, ["line"]).collect()}
     du, dv = 7.4, 5.7
     assert got[1] == pytest.approx(math.hypot(5 * du, 5 * dv, 3 * du + 4 * dv)) and got[2] == pytest.approx(math.hypot(15, 9)) and got[3] is None and got[4] == 0
+
+
+def test_public_codes_keep_eight_digits(spark, tmp_path, monkeypatch):
+    """What the query gives out as used codes are whole numbers."""
+    from terraloom.plans import catalog
+
+    spark.sql("SELECT id AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, timestamp'2000-01-01' AS o_orderdate, '1' AS o_orderpriority FROM (VALUES (3L), (5000005L), (7L)) t(id)").write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    monkeypatch.setattr(catalog.c, "allocated_codes", lambda need, used, order: seen.append(sorted(r.code for r in used.collect())) or need.withColumn("code", need.project_id))
+    catalog._codes(spark, str(tmp_path))
+    assert seen == [["VO-0000014", "VO-10000010"]]
