@@ -166,8 +166,9 @@ def count_violations(entries: DataFrame, key: list[str]) -> DataFrame:
 
 
 def retries(ops: DataFrame) -> DataFrame:
-    """Attempts of each queued operation and the last one's time."""
-    return ops.groupBy("operation_id").agg(F.count("*").alias("attempts"), F.max("ts").alias("last_attempt_at"), F.max_by("seq", "ts").alias("last_seq"))
+    """Attempts of each queued operation, the last one's time and number; of attempts at the same time the one queued first counts."""
+    last = F.when(F.col("ts").isNotNull() & F.col("seq").isNotNull(), F.struct("ts", (-F.col("seq")).alias("queued")))
+    return ops.groupBy("operation_id").agg(F.count("*").alias("attempts"), F.max("ts").alias("last_attempt_at"), F.max_by("seq", last).alias("last_seq"))
 
 
 def merge_archives(imported: DataFrame, local: DataFrame, key: str) -> DataFrame:

@@ -444,3 +444,10 @@ def test_public_codes_keep_eight_digits(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog.c, "allocated_codes", lambda need, used, order: seen.append(sorted(r.code for r in used.collect())) or need.withColumn("code", need.project_id))
     catalog._codes(spark, str(tmp_path))
     assert seen == [["VO-0000014", "VO-10000010"]]
+
+
+def test_retries_of_one_moment(spark):
+    from terraloom.operators import archive
+
+    ops = spark.createDataFrame([(1, 5, 10), (1, 4, 10), (1, 9, 3), (1, 6, 10), (2, 7, 1)], "operation_id long, seq long, ts long").repartition(1)
+    assert {(r.operation_id, r.last_seq, r.attempts) for r in archive.retries(ops).collect()} == {(1, 4, 4), (2, 7, 1)}
