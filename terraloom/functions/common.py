@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(f: Callable[[Column], Column], **values: Column) -> Column:
+    """f of a struct of values, each evaluated once however often f names it; plain expressions are repeated with every mention."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 1)
+
+
 def text(x: Column) -> Column:
     """Trimmed lower case; null is empty."""
     return F.lower(F.trim(F.coalesce(x.cast("string"), F.lit(""))))

@@ -451,3 +451,10 @@ def test_retries_of_one_moment(spark):
 
     ops = spark.createDataFrame([(1, 5, 10), (1, 4, 10), (1, 9, 3), (1, 6, 10), (2, 7, 1)], "operation_id long, seq long, ts long").repartition(1)
     assert {(r.operation_id, r.last_seq, r.attempts) for r in archive.retries(ops).collect()} == {(1, 4, 4), (2, 7, 1)}
+
+
+def test_coordinate_texts_are_cut_once(spark):
+    """The text's tokens are named many times but written once in the expression, so each row is cut once."""
+    plan = spark.createDataFrame([("44, 8",)], "q string").select(geo.parse_coordinates(F.col("q")).alias("c"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert plan.first().c.lat == 44
