@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions import geo
+from terraloom.functions.common import bound
 
 #: Degrees: coordinates that agree to so many digits are one vertex (a tenth of a millimetre).
 DIGITS = 9
@@ -26,10 +27,11 @@ def _shoelace(sides: Column) -> Column:
 def _borders(parcels: DataFrame, key: list[str]) -> DataFrame:
     """Sides of all parcels counter-clockwise, cut at the vertices of their selection: (key, p, q)."""
     exact = lambda p: F.struct(F.round(p["lon"], DIGITS).alias("lon"), F.round(p["lat"], DIGITS).alias("lat"))
-    ring = parcels.select(*key, geo.edges(F.transform(geo.open_ring(F.col("ring")), exact)).alias("sides"))
-    ring = ring.select(*key, "sides", F.filter("sides", lambda e: e["a"] != e["b"]).alias("real"))
-    ring = ring.where(F.size("real") >= 3).select(*key, "real", F.when(_shoelace(F.col("real")) < 0, F.transform("real", lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))).otherwise(F.col("real")).alias("turned"))
-    side = ring.select(*key, F.explode("turned").alias("e")).select(*key, "e.a", "e.b")
+    real = lambda p: F.filter(geo.edges(p["points"]), lambda e: e["a"] != e["b"])
+    turned = lambda r: F.when(F.size(r["real"]) >= 3, F.when(_shoelace(r["real"]) < 0, F.transform(r["real"], lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))).otherwise(r["real"]))
+    # Outer explodes: for inner ones Spark infers a filter on the array and computes all that led to it again below.
+    sides = bound(lambda p: bound(turned, real=real(p)), points=F.transform(geo.open_ring(F.col("ring")), exact))
+    side = parcels.select(*key, F.explode_outer(sides).alias("e")).where("e IS NOT NULL").select(*key, "e.a", "e.b")
     corners = side.groupBy(*key).agg(F.collect_set("a").alias("corners"))
     dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
     square = dx * dx + dy * dy
@@ -37,8 +39,9 @@ def _borders(parcels: DataFrame, key: list[str]) -> DataFrame:
     beside = lambda c: F.abs((c["lon"] - F.col("a.lon")) * dy - (c["lat"] - F.col("a.lat")) * dx) / F.sqrt(square)
     on = F.filter("corners", lambda c: (c != F.col("a")) & (c != F.col("b")) & (share(c) > 0) & (share(c) < 1) & (beside(c) <= 2 * 10**-DIGITS))
     stops = F.array_sort(F.transform(on, lambda c: F.struct(share(c).alias("t"), c.alias("c"))))
-    cut = side.join(corners, key).select(*key, F.concat(F.array("a"), F.transform(stops, lambda s: s["c"]), F.array("b")).alias("path"))
-    piece = cut.select(*key, F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("p"), F.slice("path", F.lit(2), F.size("path") - 1).alias("q"))).alias("e"))
+    path = F.concat(F.array("a"), F.transform(stops, lambda s: s["c"]), F.array("b"))
+    steps = bound(lambda w: F.arrays_zip(F.slice(w["path"], F.lit(1), F.size(w["path"]) - 1).alias("p"), F.slice(w["path"], F.lit(2), F.size(w["path"]) - 1).alias("q")), path=path)
+    piece = side.join(corners, key).select(*key, F.explode_outer(steps).alias("e")).where("e IS NOT NULL")
     return piece.select(*key, "e.p", "e.q")
 
 
@@ -68,7 +71,8 @@ def union(parcels: DataFrame, key: list[str]) -> DataFrame:
     step = step.select(*key, "doubled", "outline", "starts", walked.alias("path"))
     rest = F.filter("outline", lambda e: ~F.array_contains("path", e["a"]))
     step = step.select(*key, "doubled", "outline", "starts", "path", rest.alias("rest"))
-    own = parcels.select(*key, geo.open_ring(F.col("ring")).alias("o")).select(*key, F.abs(_shoelace(geo.edges(F.col("o")))).alias("twice")).where("twice > 0").groupBy(*key).agg(F.sum("twice").alias("twice"))
+    twice = bound(lambda p: F.abs(_shoelace(p["sides"])), sides=geo.edges(geo.open_ring(F.col("ring"))))
+    own = parcels.select(*key, twice.alias("twice")).groupBy(*key).agg(F.sum(F.when(F.col("twice") > 0, F.col("twice"))).alias("twice")).where("twice IS NOT NULL")
     step = refs.join(step.join(own, key), key, "left")
     got = _shoelace(F.col("outline"))
     turn = lambda p, q, r: (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])

@@ -272,3 +272,14 @@ def test_portion_designs(spark):
         ("B", "inherited", 10.0, curve, True, "base", "merged-layouts"), ("A", "local", 45.0, [], True, None, None), ("A", "local", 0.0, curve, False, None, None),
         ("A", "local", 10.0, [(0.2, 1.0)], True, None, None), ("A", "local", 10.0, curve, True, None, "merged-layouts"),
     ]
+
+
+def test_unions_cut_each_ring_once(spark):
+    """Each parcel's corners are rounded once for the sides and once for the selection's corners, however often later steps name them."""
+    from terraloom.operators import parcels
+
+    ring = "array<struct<lon:double,lat:double>>"
+    one = spark.createDataFrame([(1, [(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.0)], "A")], f"k int, ring {ring}, reference string")
+    found = parcels.union(one, ["k"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("round(") <= 4
+    assert found.first().reason is None and len(found.first().ring) == 4
