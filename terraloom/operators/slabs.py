@@ -49,10 +49,12 @@ def cells(edges: DataFrame, key: list[str], keep: str = "difference") -> DataFra
         *key, "ring", "side", *[F.when(low, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x1", "x2", "xa"), ("y1", "y2", "ya"), ("x2", "x1", "xb"), ("y2", "y1", "yb"))]
     ).withColumn("slope", F.try_divide(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
     other = up.select(*key, *[F.col(c).alias(f"{c}_") for c in ("side", "xa", "ya", "yb", "slope")])
-    met = up.join(other, key).where("side < side_ AND ya < yb_ AND ya_ < yb AND slope <> slope_")
     at = F.try_divide(F.col("xa_") - F.col("ya_") * F.col("slope_") - F.col("xa") + F.col("ya") * F.col("slope"), F.col("slope") - F.col("slope_"))
-    crossed = met.select(*key, at.alias("y"), F.greatest("ya", "ya_").alias("lo"), F.least("yb", "yb_").alias("hi")).where("y > lo AND y < hi").select(*key, "y")
-    heights = flat.select(*key, F.explode(F.array("y1", "y2")).alias("y")).unionByName(crossed).distinct()
+    # A side meets itself at its ends; those of level sides are ends of others too. No union: Spark 4.1.2 takes one for dealt out like its inputs, and the next join fails.
+    pair = up.join(other, key).where("side = side_ OR (side < side_ AND ya < yb_ AND ya_ < yb AND slope <> slope_)")
+    pair = pair.select(*key, F.col("side") == F.col("side_"), "ya", "yb", at.alias("y"), F.greatest("ya", "ya_").alias("lo"), F.least("yb", "yb_").alias("hi")).toDF(*key, "own", "ya", "yb", "y", "lo", "hi")
+    met = pair.where("own OR (y > lo AND y < hi)").select(*key, F.when(F.col("own"), F.array("ya", "yb")).otherwise(F.array("y")).alias("ys"))
+    heights = met.select(*key, F.explode("ys").alias("y")).distinct()
     order = Window.partitionBy(*key).orderBy("y")
     slabs = heights.withColumn("next", F.lead("y").over(order)).where(F.col("next") - F.col("y") > THIN).withColumn("slab", F.row_number().over(order))
     slabs = slabs.select(*key, "slab", F.col("y").alias("y0"), F.col("next").alias("y1"))

@@ -283,3 +283,14 @@ def test_unions_cut_each_ring_once(spark):
     found = parcels.union(one, ["k"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("round(") <= 4
     assert found.first().reason is None and len(found.first().ring) == 4
+
+
+def test_cells_join_without_a_union(spark):
+    """Heights come from one join of sides; a union of dealt rows makes the next join fail where adaptive execution reads its inputs differently."""
+    from terraloom.operators import slabs
+
+    box = [(0, 0, 0, 4, 0), (0, 4, 0, 4, 2), (0, 4, 2, 0, 2), (0, 0, 2, 0, 0)]
+    edges = spark.createDataFrame([(1, r, float(a), float(b), float(c), float(d)) for r, a, b, c, d in box], "k int, ring int, x1 double, y1 double, x2 double, y2 double")
+    found = slabs.cells(edges, ["k"])
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.y0, r.y1, r.l0, r.r0) for r in found.collect()] == [(0.0, 2.0, 0.0, 4.0)]
