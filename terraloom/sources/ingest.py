@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions.common import blank_to_null
+from terraloom.functions.common import blank_to_null, bound
 from terraloom.functions.geo import close_ring
 from terraloom.operators.archive import parse_reference
 from terraloom.operators.planting import valid_rings
@@ -64,9 +64,14 @@ def _pieces(x: Column, name: str) -> Column:
 
 def _attribute(x: Column, name: str) -> Column:
     """Value of the first attribute of a name: what stands between the quotes after it."""
-    after = F.get(F.split(x, f"(?i){name}=", 2), F.lit(1))
-    quote = F.substring(after, 1, 1)
-    return F.when(quote.isin('"', "'"), blank_to_null(F.split_part(F.substring(after, F.lit(2), F.length(after)), quote, F.lit(1))))
+    quote = lambda p: F.substring(p["after"], 1, 1)
+    quoted = lambda p: F.when(quote(p).isin('"', "'"), F.split_part(F.substring(p["after"], F.lit(2), F.length(p["after"])), quote(p), F.lit(1)))
+    return bound(lambda q: blank_to_null(q["value"]), value=bound(quoted, after=F.get(F.split(x, f"(?i){name}=", 2), F.lit(1))))
+
+
+def _rows(rows: DataFrame, good: Column) -> DataFrame:
+    """The rows for which good holds. A plain filter is pushed below the columns that it reads, which are then computed again for each mention; so is what Spark infers from an inner explode."""
+    return rows.select(F.explode_outer(F.when(good, F.array(F.struct(*rows.columns)))).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def gml_parcels(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
@@ -75,14 +80,15 @@ def gml_parcels(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
     Parcels with fewer than three positions, an odd count, values that are no numbers or positions off the globe give no row.
     """
     rows = docs.select(id_col, _attribute(F.col(body_col), "numberReturned").try_cast("int").alias("said"), _pieces(F.col(body_col), "member").alias("members"))
-    rows = rows.select(id_col, (F.coalesce("said", F.size("members")) == F.size("members")).alias("complete"), F.posexplode("members").alias("ordinal", "m"))
+    rows = rows.select(id_col, (F.coalesce("said", F.size("members")) == F.size("members")).alias("complete"), F.posexplode_outer("members").alias("ordinal", "m")).where("m IS NOT NULL")
     first = lambda name: F.get(_pieces(F.col("m"), name), F.lit(0))
     values = F.transform(F.filter(F.split(F.trim(first("posList")), r"\s"), lambda x: x != ""), lambda x: x.try_cast("double"))
     rows = rows.select(id_col, "complete", "ordinal", _attribute(F.col("m"), "gml:id").alias("gml_id"), blank_to_null(decoded(first("nationalCadastralReference"))).alias("reference"), values.alias("v"))
-    pairs = F.transform(F.filter("v", lambda x, i: i % 2 == 0), lambda lat, k: F.struct(F.get("v", 2 * k + 1).alias("lon"), lat.alias("lat")))
-    rows = rows.where((F.size("v") >= 6) & (F.size("v") % 2 == 0)).select(id_col, "complete", "ordinal", "gml_id", "reference", pairs.alias("ring"))
-    rows = rows.where(F.forall("ring", lambda p: F.coalesce(p["lon"].between(-180, 180) & p["lat"].between(-90, 90), F.lit(False))))
-    return rows.withColumn("ring", close_ring(F.col("ring")))
+    pairs = lambda p: F.transform(F.filter(p["v"], lambda x, i: i % 2 == 0), lambda lat, k: F.struct(F.get(p["v"], 2 * k + 1).alias("lon"), lat.alias("lat")))
+    there = lambda p: F.forall(p["ring"], lambda q: F.coalesce(q["lon"].between(-180, 180) & q["lat"].between(-90, 90), F.lit(False)))
+    whole = lambda p: F.when((F.size(p["v"]) >= 6) & (F.size(p["v"]) % 2 == 0), bound(lambda q: F.when(there(q), close_ring(q["ring"])), ring=pairs(p)))
+    rows = rows.select(id_col, "complete", "ordinal", "gml_id", "reference", bound(whole, v=F.col("v")).alias("ring"))
+    return _rows(rows, F.col("ring").isNotNull())
 
 
 def cadastral_html(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
@@ -115,32 +121,37 @@ NO_VALUE = ("null", "undefined", "n/a")
 def soil_profiles(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """Typed profile of each answer of ``key: value`` or ``key = value`` lines; the last line of a key counts. A profile without a
     description takes its texture, type, unit, limestone, drainage or reaction. Error answers and those without any known key give no row."""
-    failed = F.lit(False)
-    for w in NOTHING:
-        failed = failed | F.lower(body_col).contains(w)
+    def failed(p: Column) -> Column:
+        out = F.lit(False)
+        for w in NOTHING:
+            out = out | p["low"].contains(w)
+        return F.coalesce(out, F.lit(True))
 
+    # Each value has a name of its own, as plain expressions are evaluated again for every mention.
     def read(line: Column) -> Column:
-        cut = F.split(line, "[:=]", 2)
-        key, value = F.lower(F.trim(F.get(cut, F.lit(0)))), F.trim(F.regexp_replace(F.get(cut, F.lit(1)), "\r", ""))
+        return bound(lambda p: bound(lambda q: bound(judged, key=q["key"], value=q["value"], bare=bare(q)), key=F.lower(F.trim(F.get(p["cut"], F.lit(0)))), value=F.trim(F.replace(F.get(p["cut"], F.lit(1)), F.lit("\r"), F.lit("")))), cut=F.split(line, "[:=]", 2))
+
+    def bare(q: Column) -> Column:
+        value = q["value"]
         quoted = F.substring(value, 1, 1).isin('"', "'") & (F.length(value) > 1) & (F.substring(value, 1, 1) == F.right(value, F.lit(1)))
-        bare = F.trim(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
-        good = F.length(key).between(2, 45) & F.length(value).between(1, 250) & (bare != "") & ~F.lower(bare).isin(*NO_VALUE)
-        return F.when(good, F.struct(F.array_join(F.filter(F.split(F.translate(key, " .-\t", "____"), "_"), lambda w: w != ""), "_").alias("k"), bare.alias("v")))
+        return F.trim(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
 
-    rows = docs.where(~F.coalesce(failed, F.lit(True))).select(id_col, F.array_compact(F.transform(F.split(F.col(body_col), "\n"), read)).alias("kv"))
-    found = lambda keys: F.element_at(F.transform(F.filter("kv", lambda x: x["k"].isin(*keys.split())), lambda x: x["v"]), F.lit(-1))
+    def judged(r: Column) -> Column:
+        good = F.length(r["key"]).between(2, 45) & F.length(r["value"]).between(1, 250) & (r["bare"] != "") & ~F.lower(r["bare"]).isin(*NO_VALUE)
+        return F.when(good, F.struct(F.array_join(F.filter(F.split(F.translate(r["key"], " .-\t", "____"), "_"), lambda w: w != ""), "_").alias("k"), r["bare"].alias("v")))
+
+    pairs = F.when(~bound(failed, low=F.lower(body_col)), F.array_compact(F.transform(F.split(F.col(body_col), "\n"), read)))
+    known = [k for keys in SOIL_TEXT.values() for k in keys.split()] + [k for keys, _ in SOIL_NUMBER.values() for k in keys.split()]
+    rows = docs.select(id_col, bound(lambda p: F.when(F.exists(p["kv"], lambda x: x["k"].isin(*known)), p["kv"]), kv=pairs).alias("kv"))
+    rows = _rows(rows, F.col("kv").isNotNull())
+    found = lambda keys: bound(lambda p: F.get(p["met"], F.size(p["met"]) - 1)["v"], met=F.filter("kv", lambda x: x["k"].isin(*keys.split())))
 
     def number(keys: str, top: int) -> Column:
-        v = F.rtrim(F.rtrim(F.translate(found(keys), ",", "."), F.lit("%")))
-        d = F.when(v.rlike("^[0-9]") & v.rlike("[0-9]$") & ~v.rlike("[^0-9.]"), v.try_cast("double"))
-        return F.when(d.between(0, top), d)
+        plain = lambda p: F.when(p["v"].rlike("^[0-9]") & p["v"].rlike("[0-9]$") & ~p["v"].rlike("[^0-9.]"), p["v"].try_cast("double"))
+        value = bound(plain, v=F.rtrim(F.rtrim(F.translate(found(keys), ",", "."), F.lit("%"))))
+        return bound(lambda p: F.when(p["d"].between(0, top), p["d"]), d=value)
 
-    known = [k for keys in SOIL_TEXT.values() for k in keys.split()] + [k for keys, _ in SOIL_NUMBER.values() for k in keys.split()]
-    rows = rows.where(F.exists("kv", lambda x: x["k"].isin(*known)))
-    rows = rows.withColumn("kv", F.when(F.size("kv") > 0, F.col("kv")))
-    # element_at() of an empty array is an error, so keys that are absent are asked for first.
-    some = lambda keys, value: F.when(F.exists("kv", lambda x: x["k"].isin(*keys.split())), value)
-    out = rows.select(id_col, *[some(k, found(k)).alias(n) for n, k in SOIL_TEXT.items()], *[some(k, number(k, top)).alias(n) for n, (k, top) in SOIL_NUMBER.items()])
+    out = rows.select(id_col, *[found(k).alias(n) for n, k in SOIL_TEXT.items()], *[number(k, top).alias(n) for n, (k, top) in SOIL_NUMBER.items()])
     return out.withColumn("description", F.coalesce("description", "texture", "soil_type", "soil_unit", "limestone", "drainage", "reaction"))
 
 
