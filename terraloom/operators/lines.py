@@ -1,22 +1,25 @@
 """Polylines against rings, for whole tables of fields: clipping, trimming, and which portion a vine row belongs to.
 
-A polyline is a set of rows (key, line, seq, x, y) in metres; rings lie in their field's row as arrays. Lines meet their field's rings by an equi-join on the key, and all
-that follows works on single segments, with windows over one line.
+A polyline is a set of rows (key, line, seq, x, y) in metres, or a row with its points as an array; rings lie in their field's row as arrays. Lines meet their field's rings by an equi-join on
+the key. Cutting and trimming work on batches of paths in numpy; what asks which portion a line belongs to works on single segments.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terraloom.functions import geo
+from terraloom.functions import cutting, geo
+from terraloom.functions.cutting import JOINED, ON_SIDE
 
-#: Metres: points this near to a side lie on it; smaller gaps between pieces don't part them.
-ON_SIDE, JOINED = 1e-5, 1e-7
-#: Shares of a segment: closer cuts are one.
-SAME_CUT = 1e-9
+# Executors get the numpy helpers with the job and need no installed package for them.
+cloudpickle.register_pickle_by_value(cutting)
 
 
 def segments(points: DataFrame, key: list[str]) -> DataFrame:
@@ -26,20 +29,6 @@ def segments(points: DataFrame, key: list[str]) -> DataFrame:
     return step.where("n > 1").select(*key, "line", (F.col("n") - 1).alias("seg"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
 
 
-def _cuts(e: Column) -> Column:
-    """Shares of the segment (ax, ay)-(bx, by) at which side ``e`` meets it: one for a crossing, those of both ends for a side on the same line."""
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    sx, sy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-    cx, cy = e["a"]["x"] - F.col("ax"), e["a"]["y"] - F.col("ay")
-    det, square = dx * sy - dy * sx, dx * dx + dy * dy
-    t, u = F.try_divide(cx * sy - cy * sx, det), F.try_divide(cx * dy - cy * dx, det)
-    within = lambda v: v.between(-SAME_CUT, 1 + SAME_CUT)
-    ends = F.array(F.try_divide(cx * dx + cy * dy, square), F.try_divide((cx + sx) * dx + (cy + sy) * dy, square))
-    along = F.when((square >= 1e-12) & (F.abs(cx * dy - cy * dx) <= 1e-8), F.filter(ends, within))
-    none = F.array().cast("array<double>")
-    return F.when(F.abs(det) > 1e-10, F.when(within(t) & within(u), F.array(t)).otherwise(none)).otherwise(F.coalesce(along, none))
-
-
 def _on(x: Column, y: Column, e: Column) -> Column:
     """Whether (x, y) lies on a side, up to ON_SIDE."""
     dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
@@ -52,15 +41,68 @@ def _crosses(x: Column, y: Column, e: Column) -> Column:
     return ((a["y"] > y) != (b["y"] > y)) & (x < F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"])
 
 
+def paths(points: DataFrame, own: list[str], *columns: str) -> DataFrame:
+    """A row per polyline: (own, path, an array of (x, y) in order, and the named columns of one of its points)."""
+    found = points.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("path"), *[F.first(c).alias(c) for c in columns])
+    return found.withColumn("path", F.transform("path", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+
+
+def clipped(met: DataFrame, carry: list[str], inside: bool = True) -> DataFrame:
+    """The pieces of paths (carry, path, sides) within their rings (or outside): (carry, piece, path, length_m), a row each.
+
+    A segment is cut wherever a side meets it, each part is judged by its middle, and parts that follow each other are one piece, in numpy, a batch of paths at a time.
+    """
+    kind = T.StructType([met.schema[c] for c in carry] + [T.StructField("piece", T.LongType()), met.schema["path"], T.StructField("length_m", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points, begins = cutting.spread(b.column("path"))
+            sides = cutting.spread(b.column("sides"))
+            sides = cutting.padded(cutting.corners(sides[0]), sides[1])
+            seg, path = cutting.segments(cutting.number(points.field("x")), cutting.number(points.field("y")), begins)
+            with np.errstate(all="ignore"):
+                x, y, begins, owner, piece = cutting.pieces(seg, path, sides, lambda x, y, p: cutting.holds(x, y, sides[p]) == inside)
+            mine = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(mine) for c in carry], pa.array(piece, pa.int64()), cutting.listed(begins, x=x, y=y), pa.array(cutting.lengths(x, y, begins))], kind.names)
+
+    return met.select(*carry, "path", "sides").mapInArrow(run, kind)
+
+
+def clipped_in_fields(fields: DataFrame, carry: list[str]) -> DataFrame:
+    """As clipped(), for fields with their own lines: (carry, ring, exclusions, paths, an array of arrays of (lon, lat)); line counts the paths from 0, and ``path`` is in metres about the ring's mean.
+
+    Rings come as they are, since an expression that leads to their sides would repeat however they were made.
+    """
+    path = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"]))
+    kind = T.StructType([fields.schema[c] for c in carry] + [T.StructField("line", T.IntegerType()), T.StructField("piece", T.LongType()), T.StructField("path", path), T.StructField("length_m", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with np.errstate(all="ignore"):
+                ref, sides = cutting.framed(b.column("ring"), b.column("exclusions"))
+                each, outer = cutting.spread(b.column("paths"))
+                field = np.repeat(np.arange(b.num_rows), np.diff(outer))
+                lon, lat, begins = cutting.rings(each)
+                seg, path = cutting.segments(*cutting.metres(lon, lat, ref, np.repeat(field, np.diff(begins))), begins)
+                x, y, begins, owner, piece = cutting.pieces(seg, path, sides[field], lambda x, y, p: cutting.holds(x, y, sides[field[p]]))
+            mine, line = pa.array(field[owner]), owner - outer[field[owner]]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(mine) for c in carry], pa.array(line, pa.int32()), pa.array(piece, pa.int64()), cutting.listed(begins, x=x, y=y), pa.array(cutting.lengths(x, y, begins))], kind.names)
+
+    return fields.select(*carry, "ring", "exclusions", "paths").mapInArrow(run, kind)
+
+
+def _points(found: DataFrame, own: list[str]) -> DataFrame:
+    return found.select(*own, F.posexplode("path").alias("n", "q")).select(*own, (F.col("n") + 1).alias("seq"), "q.x", "q.y")
+
+
 def clip(points: DataFrame, regions: DataFrame, key: list[str], sides: str = "sides", inside: bool = True) -> DataFrame:
     """The pieces of polylines within regions (or outside): (key, line, piece, seq, x, y), pieces and points numbered from 1 along each line.
 
     regions: (key, sides), the sides of all rings of a region as structs a, b of (x, y); what an odd number of rings holds is inside, and what lies on a side is inside too
-    (also when the outside is asked for, so a line along a side is no part of it). A segment is cut wherever a side meets it, each part is judged by its middle, and parts
-    that follow each other are one piece.
+    (also when the outside is asked for, so a line along a side is no part of it).
     """
-    met = segments(points, key).join(regions.select(*key, F.col(sides).alias("sides")), key)
-    return pieces(met, key, lambda x, y: holds(x, y, F.col("sides")) if inside else ~holds(x, y, F.col("sides")))
+    met = paths(points, [*key, "line"]).join(regions.select(*key, F.col(sides).alias("sides")), key)
+    return _points(clipped(met, [*key, "line"], inside), [*key, "line", "piece"])
 
 
 def holds(x: Column, y: Column, sides: Column) -> Column:
@@ -68,26 +110,6 @@ def holds(x: Column, y: Column, sides: Column) -> Column:
     return F.exists(sides, lambda e: _on(x, y, e)) | (F.size(F.filter(sides, lambda e: _crosses(x, y, e))) % 2 == 1)
 
 
-def pieces(met: DataFrame, key: list[str], keep: Callable[[Column, Column], Column], own: tuple[str, ...] = ()) -> DataFrame:
-    """What clip() returns, for segments (key, line, seg, ax, ay, bx, by) that have the ``sides`` to be cut at with them; ``keep`` judges the middle of each part
-    and may read the columns of ``own``."""
-    ts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform(F.flatten(F.transform("sides", _cuts)), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))))
-    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", *own, ts.alias("ts"))
-    apart = F.filter("ts", lambda t, i: (i == 0) | (t - F.get("ts", F.greatest(i - 1, F.lit(0))) > SAME_CUT))
-    met = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", "ts", *own, apart.alias("cuts"))
-    part = met.select(*key, "line", "seg", "ax", "ay", "bx", "by", "sides", *own, F.posexplode(F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("s"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("e"))).alias("n", "p"))
-    at = lambda t, c: F.col(f"a{c}") + t * (F.col(f"b{c}") - F.col(f"a{c}"))
-    mid = (F.col("p.s") + F.col("p.e")) / 2
-    part = part.withColumns({"mx": at(mid, "x"), "my": at(mid, "y")})
-    good = part.where(keep(F.col("mx"), F.col("my"))).select(*key, "line", "seg", "n", at(F.col("p.s"), "x").alias("x0"), at(F.col("p.s"), "y").alias("y0"), at(F.col("p.e"), "x").alias("x1"), at(F.col("p.e"), "y").alias("y1"))
-    w = Window.partitionBy(*key, "line").orderBy("seg", "n")
-    gap = F.hypot(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w))
-    good = good.withColumn("new", F.when(gap <= JOINED, 0).otherwise(1)).withColumn("piece", F.sum("new").over(w))
-    ends = good.select(*key, "line", "piece", "seg", "n", F.explode(F.when(F.col("new") == 1, F.array(F.struct(F.lit(0).alias("o"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("o"), F.col("x1").alias("x"), F.col("y1").alias("y")))).otherwise(F.array(F.struct(F.lit(1).alias("o"), F.col("x1").alias("x"), F.col("y1").alias("y"))))).alias("q"))
-    order = Window.partitionBy(*key, "line", "piece").orderBy("seg", "n", "q.o")
-    return ends.select(*key, "line", "piece", F.row_number().over(order).alias("seq"), F.col("q.x").alias("x"), F.col("q.y").alias("y"))
-
-
 def lengths(points: DataFrame, key: list[str]) -> DataFrame:
     """(key, length_m) of polylines given by ordered points (key, seq, x, y)."""
     w = Window.partitionBy(*key).orderBy("seq")
@@ -95,25 +117,23 @@ def lengths(points: DataFrame, key: list[str]) -> DataFrame:
     return points.select(*key, step.alias("step")).groupBy(*key).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length_m"))
 
 
+def trimmed(found: DataFrame, carry: list[str], amount: str = "amount_m") -> DataFrame:
+    """Paths (carry, path, amount) without ``amount`` metres at both ends: (carry, path, length_m); what is no longer than twice that and 5 cm goes altogether."""
+    kind = T.StructType([found.schema[c] for c in carry] + [found.schema["path"], T.StructField("length_m", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points, begins = cutting.spread(b.column("path"))
+            x, y, begins, owner = cutting.trimmed(cutting.number(points.field("x")), cutting.number(points.field("y")), begins, cutting.number(b.column("cut")))
+            mine = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(mine) for c in carry], cutting.listed(begins, x=x, y=y), pa.array(cutting.lengths(x, y, begins))], kind.names)
+
+    return found.select(*carry, "path", F.greatest(F.lit(0.0), F.coalesce(F.col(amount).cast("double"), F.lit(0.0))).alias("cut")).mapInArrow(run, kind)
+
+
 def trim(points: DataFrame, key: list[str], amount: str = "amount_m") -> DataFrame:
     """Polylines without ``amount`` metres at both ends; (key, seq, x, y), points numbered from 1. What is no longer than twice that and 5 cm goes altogether."""
-    w = Window.partitionBy(*key).orderBy("seq")
-    whole = Window.partitionBy(*key)
-    step = points.select(*key, "seq", "x", "y", F.greatest(F.lit(0.0), F.coalesce(F.col(amount), F.lit(0.0))).alias("cut"), F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"))
-    step = step.withColumn("d", F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0))).withColumn("end", F.sum("d").over(w))
-    step = step.withColumns({"total": F.max("end").over(whole), "last": F.max("seq").over(whole), "begin": F.col("end") - F.col("d")})
-    step = step.where((F.col("cut") == 0) | (F.col("total") > 2 * F.col("cut") + 0.05))
-    lo, hi = F.col("cut"), F.col("total") - F.col("cut")
-    at = lambda m: F.struct(m.alias("m"), *[(F.col(f"p{c}") + F.try_divide(m - F.col("begin"), F.col("d")) * (F.col(c) - F.col(f"p{c}"))).alias(c) for c in ("x", "y")])
-    own = F.struct(F.col("end").alias("m"), "x", "y")
-    # The first segment that reaches a cut has its point; vertices strictly between the cuts stay.
-    marks = F.array_compact(F.array(
-        F.when((F.col("cut") > 0) & F.col("px").isNotNull() & (F.col("begin") < lo) & (F.col("end") >= lo), at(lo)),
-        F.when((F.col("cut") > 0) & F.col("px").isNotNull() & (F.col("begin") < hi) & (F.col("end") >= hi), at(hi)),
-        F.when((F.col("cut") == 0) | ((F.col("end") > lo) & (F.col("end") < hi)), own),
-    ))
-    out = step.select(*key, "seq", F.explode(F.array_sort(marks)).alias("q"))
-    return out.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("seq", "q.m")).alias("seq"), F.col("q.x").alias("x"), F.col("q.y").alias("y"))
+    return _points(trimmed(paths(points, key, amount), key, amount), key)
 
 
 def _within(cell: str) -> tuple[Column, Column]:
@@ -146,13 +166,6 @@ def _away(p: tuple, q: tuple, r: tuple) -> Column:
     return F.hypot(p[0] - q[0] - t * dx, p[1] - q[1] - t * dy)
 
 
-def apart(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
-    """Metres between the segments a-b and c-d, pairs of columns; 0 where they cross."""
-    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    crossed = (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
-    return F.when(crossed, 0.0).otherwise(F.least(_away(a, c, d), _away(b, c, d), _away(c, a, b), _away(d, a, b)))
-
-
 def _gap(cell: str) -> Column:
     """Metres between the segment and the nearest side of a trapezoid that it doesn't meet: the least over ends against sides."""
     c = lambda n: F.col(f"{cell}.{n}")

@@ -294,3 +294,22 @@ def test_cells_join_without_a_union(spark):
     found = slabs.cells(edges, ["k"])
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.y0, r.y1, r.l0, r.r0) for r in found.collect()] == [(0.0, 2.0, 0.0, 4.0)]
+
+
+def test_clipped_in_fields(spark):
+    """Lines in their field's row give the pieces that lines and rings of two tables give; closed, open, empty and null rings, with and without exclusions."""
+    at = lambda *p: [(8 + x / 1e4, 44 + y / 1e4) for x, y in p]
+    ring, hole, line = at((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), at((1, 1), (2, 1), (2, 2), (1, 2)), at((-1, 1.5), (3, 1.5), (5, 3))
+    kind = "array<struct<lon:double,lat:double>>"
+    rows = [(1, ring, [hole], [line, at((0, 5), (4, 5))]), (2, ring[:4], [], [line]), (3, None, [hole], [line]), (4, [], [], [line]), (5, ring, None, []), (6, ring, [hole, ring], [line[:1], line])]
+    fields = spark.createDataFrame(rows, f"k int, ring {kind}, exclusions array<{kind}>, paths array<{kind}>")
+    got = {(r.k, r.line, r.piece): [(p.x, p.y) for p in r.path] for r in lines.clipped_in_fields(fields, ["k"]).collect()}
+    sides = lines.region_sides(fields, ["k"])
+    points = fields.join(sides, "k").select("k", "ref", F.posexplode("paths").alias("line", "path")).select("k", "line", "ref", F.posexplode("path").alias("seq", "p")).select("k", "line", "seq", lines.geo.to_xy(F.col("p"), F.col("ref")).alias("p")).select("k", "line", "seq", "p.x", "p.y")
+    want = {}
+    for r in sorted(lines.clip(points, sides, ["k"]).collect()):
+        want.setdefault((r.k, r.line, r.piece), []).append((r.x, r.y))
+    assert {k: len(p) for k, p in got.items()} == {k: len(p) for k, p in want.items()} and {k[0] for k in got} == {1, 2, 6}
+    for k, path in want.items():
+        assert np.allclose(got[k], path, atol=1e-9)
+    assert [k for k in got if k[0] == 1] == [(1, 0, 1), (1, 0, 2)]
