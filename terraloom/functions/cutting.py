@@ -1,6 +1,7 @@
 """Paths cut at the sides of rings, for batches of them in numpy.
 
-Segments are rows (ax, ay, bx, by) in the order of their paths; ``path`` numbers the path of each, ascending. Sides are (paths, most sides, 4), padded with NaN, which is met by nothing.
+Segments are rows (ax, ay, bx, by) in the order of their paths; ``path`` numbers the path of each, ascending. Sides are (paths, most sides, 4), padded with NaN, which is met by nothing;
+a first dimension of 1 stands for all paths or points.
 Paths are points (x, y) with begins: path i has those from begins[i] to begins[i + 1].
 """
 
@@ -102,24 +103,26 @@ def parts(seg: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     dx, dy = bx - ax, by - ay
     sx, sy = sides[..., 2] - sides[..., 0], sides[..., 3] - sides[..., 1]
     cx, cy = sides[..., 0] - ax, sides[..., 1] - ay
-    det, beside, square = dx * sy - dy * sx, cx * dy - cy * dx, dx * dx + dy * dy
-    t, u = (cx * sy - cy * sx) / det, beside / det
+    det = dx * sy - dy * sx
+    t = (cx * sy - cy * sx) / det
     within = lambda v: (v >= -SAME_CUT) & (v <= 1 + SAME_CUT)
-    found = [(t, (np.abs(det) > 1e-10) & within(t) & within(u))]
+    # Few pairs of a segment and a side meet; the rest is worked out for those alone.
+    i, j = np.nonzero(within(t) | (np.abs(det) <= 1e-10))
+    det, t, cx, cy, sx, sy, dx, dy = det[i, j], t[i, j], cx[i, j], cy[i, j], *((v[i, j] if v.shape[0] > 1 else v[0, j]) for v in (sx, sy)), dx[i, 0], dy[i, 0]
+    beside, square = cx * dy - cy * dx, dx * dx + dy * dy
+    cross = (np.abs(det) > 1e-10) & within(beside / det)
     along = (np.abs(det) <= 1e-10) & (square >= 1e-12) & (np.abs(beside) <= 1e-8)
-    if along.any():
-        found += [(v, along & within(v)) for v in ((cx * dx + cy * dy) / square, ((cx + sx) * dx + (cy + sy) * dy) / square)]
-    met = np.concatenate([good for _, good in found], 1)
-    cut, whole = np.flatnonzero(met.any(1)), np.flatnonzero(~met.any(1))
-    ts = np.where(met, np.clip(np.concatenate([v for v, _ in found], 1), 0, 1), np.inf)[cut]
-    ts = np.sort(np.concatenate([np.zeros((len(cut), 1)), np.ones((len(cut), 1)), ts], 1), 1)
-    apart = np.isfinite(ts)
-    apart[:, 1:] &= ts[:, 1:] - ts[:, :-1] > SAME_CUT
-    i, j = np.nonzero(apart)
-    v, same = ts[i, j], i[1:] == i[:-1]
-    i, s, e = np.concatenate([cut[i[:-1][same]], whole]), np.concatenate([v[:-1][same], np.zeros(len(whole))]), np.concatenate([v[1:][same], np.ones(len(whole))])
-    order = np.argsort(i, kind="stable")
-    return i[order], s[order], e[order]
+    found = [(i[cross], t[cross])] + [(i[along & within(v)], v[along & within(v)]) for v in ((cx * dx + cy * dy) / square, ((cx + sx) * dx + (cy + sy) * dy) / square)]
+    i, v = np.concatenate([i for i, _ in found]), np.clip(np.concatenate([v for _, v in found]), 0, 1)
+    all_ = np.arange(len(seg))
+    i, v = np.concatenate([all_, all_, i]), np.concatenate([np.zeros(len(seg)), np.ones(len(seg)), v])
+    order = np.lexsort((v, i))
+    i, v = i[order], v[order]
+    apart = np.ones(len(i), bool)
+    apart[1:] = (i[1:] != i[:-1]) | (v[1:] - v[:-1] > SAME_CUT)
+    i, v = i[apart], v[apart]
+    same = i[1:] == i[:-1]
+    return i[:-1][same], v[:-1][same], v[1:][same]
 
 
 def holds(x: np.ndarray, y: np.ndarray, sides: np.ndarray) -> np.ndarray:
@@ -127,11 +130,18 @@ def holds(x: np.ndarray, y: np.ndarray, sides: np.ndarray) -> np.ndarray:
     x, y = x[:, None], y[:, None]
     px, py = sides[..., 0], sides[..., 1]
     sx, sy = sides[..., 2] - px, sides[..., 3] - py
-    square = sx * sx + sy * sy
-    t = np.where(square > 0, np.clip(((x - px) * sx + (y - py) * sy) / square, 0, 1), 0.0)
-    on = np.hypot(x - px - t * sx, y - py - t * sy) <= ON_SIDE
-    around = ((py > y) != (sides[..., 3] > y)) & (x < sx * (y - py) / sy + px)
-    return on.any(1) | (around.sum(1) % 2 == 1)
+    square, beside = sx * sx + sy * sy, sx * (y - py) - sy * (x - px)
+    out = np.zeros(len(x), np.int64)
+    i, j = np.nonzero((py > y) != (sides[..., 3] > y))
+    of = lambda v: v[i, j] if v.shape[0] > 1 else v[0, j]
+    np.add.at(out, i, x[i, 0] < of(sx) * (y[i, 0] - of(py)) / of(sy) + of(px))
+    # Only what is near a side's line can lie on the side.
+    i, j = np.nonzero(beside * beside <= 1.001 * ON_SIDE * ON_SIDE * square)
+    dx, dy, ex, ey, square = x[i, 0] - of(px), y[i, 0] - of(py), of(sx), of(sy), of(square)
+    t = np.where(square > 0, np.clip((dx * ex + dy * ey) / square, 0, 1), 0.0)
+    on = np.zeros(len(x), bool)
+    on[i[np.hypot(dx - t * ex, dy - t * ey) <= ON_SIDE]] = True
+    return on | (out % 2 == 1)
 
 
 def pieces(seg: np.ndarray, path: np.ndarray, sides: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +152,7 @@ def pieces(seg: np.ndarray, path: np.ndarray, sides: np.ndarray, keep: Callable[
     ends, owners = [np.zeros((0, 4))], [np.zeros(0, np.int64)]
     for c in range(0, len(seg), AT_ONCE):
         some, own = seg[c : c + AT_ONCE], path[c : c + AT_ONCE]
-        i, s, e = parts(some, sides[own])
+        i, s, e = parts(some, sides if len(sides) == 1 else sides[own])
         (ax, ay, bx, by), own = some[i].T, own[i]
         mid = (s + e) / 2
         good = keep(ax + mid * (bx - ax), ay + mid * (by - ay), own)
@@ -178,11 +188,17 @@ def trimmed(x: np.ndarray, y: np.ndarray, begins: np.ndarray, cut: np.ndarray) -
     inner[1:] = path[1:] == path[:-1]
     d = np.zeros(len(x))
     d[1:] = np.where(inner[1:], np.hypot(np.diff(x), np.diff(y)), 0.0)
-    # Sums of each path alone, as a sum that runs on from path to path would differ in the last bits.
-    end, order = d.copy(), np.argsort(-sizes, kind="stable")
-    for k in range(1, int(sizes.max(initial=0))):
-        at = begins[order[: np.searchsorted(-sizes[order], -k)]] + k
-        end[at] += end[at - 1]
+    # Sums of each path alone, as a sum that runs on from path to path would differ in the last bits; side by side where the paths are about as long.
+    end, most = d.copy(), int(sizes.max(initial=0))
+    if len(sizes) * most <= 8 * len(x) + 1024:
+        table, place = np.zeros((len(sizes), most)), np.arange(len(x)) - begins[:-1][path]
+        table[path, place] = d
+        end = np.cumsum(table, 1)[path, place]
+    else:
+        order = np.argsort(-sizes, kind="stable")
+        for k in range(1, most):
+            at = begins[order[: np.searchsorted(-sizes[order], -k)]] + k
+            end[at] += end[at - 1]
     total = np.where(sizes > 0, end[np.maximum(begins[1:] - 1, 0)], 0.0) if len(x) else np.zeros(len(sizes))
     lo, hi, begin = cut[path], (total - cut)[path], end - d
     stay = ((cut == 0) | (total > 2 * cut + 0.05))[path]

@@ -67,9 +67,7 @@ def family(t: dict, g: tuple[np.ndarray, ...], sides: np.ndarray, holes: list[np
     """(x, y, begins, line, row, length) of one try: within the field, without headlands, outside exclusions, within its tract, none shorter than ``short``."""
     line, seg = shifted(t, g, blend)
     lines, path = np.unique(line, return_inverse=True)
-    ring = lambda ends: np.broadcast_to(ends, (max(1, len(lines)), *ends.shape))
-    all_of = lambda ends, x: np.broadcast_to(ends, (len(x), *ends.shape))
-    x, y, begins, owner, outer = cutting.pieces(seg, path, ring(sides), lambda x, y, p: cutting.holds(x, y, all_of(sides, x)))
+    x, y, begins, owner, outer = cutting.pieces(seg, path, sides[None], lambda x, y, p: cutting.holds(x, y, sides[None]))
     x, y, begins, kept = cutting.trimmed(x, y, begins, np.full(len(owner), t["headland"]))
     owner, outer = owner[kept], outer[kept]
     limits = [(b, sign) for b, sign in ((t["below"], 1), (t["above"], -1)) if b is not None]
@@ -81,11 +79,11 @@ def family(t: dict, g: tuple[np.ndarray, ...], sides: np.ndarray, holes: list[np
         for b, sign in limits:
             good &= sign * (b["nx"] * x + b["ny"] * y - b["at"]) >= -1e-7
         for h in holes:
-            good &= ~cutting.holds(x, y, all_of(h, x))
+            good &= ~cutting.holds(x, y, h[None])
         return good
 
     seg, path = cutting.segments(x, y, begins)
-    x, y, begins, whole, piece = cutting.pieces(seg, path, np.broadcast_to(walls, (max(1, len(begins) - 1), *walls.shape)), usable)
+    x, y, begins, whole, piece = cutting.pieces(seg, path, walls[None], usable)
     length = cutting.lengths(x, y, begins)
     good = length >= short
     stay = np.repeat(good, np.diff(begins))
@@ -120,7 +118,7 @@ def unsafe(x: np.ndarray, y: np.ndarray, begins: np.ndarray, line: np.ndarray, s
     i = np.repeat(np.arange(len(seg)), times)
     k = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
     cell = (c0[i, 0] + k % wide[i, 0]) * (1 << 32) + c0[i, 1] + k // wide[i, 0]
-    order = np.lexsort((line[i], cell))
+    order = np.argsort(cell, kind="stable")
     i, cell = i[order], cell[order]
     for ahead in range(1, len(i)):
         same = np.flatnonzero(cell[ahead:] == cell[:-ahead])
