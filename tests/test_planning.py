@@ -491,3 +491,18 @@ def test_exclusion_areas_name_their_points_once(spark):
     plan = spark.createDataFrame([(RING,)], f"r {ring}").select(planting._ring_area(F.col("r")).alias("a"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 3
     assert plan.first().a == pytest.approx(100, abs=0.01)
+
+
+def test_moves_are_folded_once(spark, capsys):
+    """Both sides of a move come from one row, so the plan of what projects become holds one fold."""
+    from terraloom.operators import versions
+
+    projects = spark.createDataFrame([(1, 7, None, 0, 0, ["a", "b"]), (2, 7, None, 0, 0, ["c"])], "project_id int, owner_user_id int, deleted_at string, version int, latest_revision_number int, field_ids array<string>")
+    moves = spark.createDataFrame([(1, 1, 1, 2, "a", 7, False)], "op_id int, seq int, source_id int, target_id int, field_id string, user_id int, admin boolean")
+    after, revisions = versions.moved_projects(versions.move_results(moves, projects), projects)
+    for df in (after, revisions):
+        capsys.readouterr()
+        df.explain()
+        assert sum("MapInArrow" in line for line in capsys.readouterr().out.splitlines()) == 1
+    assert {(r.project_id, r.direction, r.field_id, r.other_project_id) for r in revisions.collect()} == {(1, "out", "a", 2), (2, "in", "a", 1)}
+    assert {r.project_id: (r.version, r.field_ids) for r in after.collect()} == {1: (1, ["b"]), 2: (1, ["c", "a"])}
