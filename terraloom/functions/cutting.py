@@ -92,6 +92,24 @@ def framed(ring: pa.Array, exclusions: pa.Array) -> tuple[tuple[np.ndarray, np.n
     return ref, sides
 
 
+def turned(ring: pa.Array, exclusions: pa.Array, cos: np.ndarray, sin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(outer, holes, of): the sides of rings and of each exclusion in metres about its field's ring's mean, turned, padded; ``of`` is the field of each exclusion. Rings of fewer than three points have no sides."""
+    x, y, begins = opened(*rings(ring))
+    field = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    ref = tuple(np.bincount(field, v, len(begins) - 1) / np.maximum(np.diff(begins), 1) for v in (x, y))
+    each, outer = spread(exclusions)
+    hx, hy, inner = opened(*rings(each))
+    of = np.repeat(np.arange(len(outer) - 1), np.diff(outer))
+
+    def sides(x: np.ndarray, y: np.ndarray, begins: np.ndarray, field: np.ndarray) -> np.ndarray:
+        x, y = metres(x, y, ref, field)
+        out = padded(around(x * cos[field] - y * sin[field], x * sin[field] + y * cos[field], begins), begins)
+        out[np.diff(begins) < 3] = np.nan
+        return out
+
+    return sides(x, y, begins, field), sides(hx, hy, inner, np.repeat(of, np.diff(inner))), of
+
+
 def metres(lon: np.ndarray, lat: np.ndarray, ref: tuple[np.ndarray, np.ndarray], field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Metres east and north of each point's field's ref."""
     return (lon - ref[0][field]) * RAD * EARTH_M * np.cos(ref[1] * RAD)[field], (lat - ref[1][field]) * RAD * EARTH_M

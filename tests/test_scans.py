@@ -1,5 +1,6 @@
 """Scan lines in numpy: brute force, rings without rows, and plans that make no row for what only is summed."""
 
+import math
 import os
 import sys
 
@@ -57,3 +58,22 @@ def test_corridors_and_labels(spark):
     f = spark.createDataFrame([(1, u), (2, [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]), (3, u[:2])], "id int, ring array<struct<lon:double,lat:double>>")
     assert {r.id: (r.lon, r.lat) for r in planting.label_points(f, ["id"]).collect()} == {1: (4.5, 0.5), 2: (0.0, 0.0), 3: (None, None)}
     assert {(r.sample, r.lon, r.lat) for r in planting.sample_points(f, ["id"]).collect() if r.id == 1} == set()
+
+
+def test_vine_rows_are_cut_in_numpy(spark, capsys):
+    """Rows of a square between overlapping, level and missing exclusions; no row is made for a scan line that isn't one of the rows."""
+    m = 1 / (6371008.8 * math.pi / 180)
+    box = lambda x0, y0, x1, y1: [(a * m, b * m) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    kind = "array<struct<lon:double,lat:double>>"
+    plot = box(-5, -5, 5, 5)
+    rows = [(1, plot, [box(-5.5, -1, 5.5, 1), box(-5.5, 0, 5.5, 2)], 2.5, None, 0.0), (2, plot + plot[:1], [], 2.5, 1.0, 0.0), (3, plot[:2], [], 2.5, None, 0.0), (4, plot, [box(-5.5, -6, 5.5, 6)], 2.5, None, 0.0), (5, None, [], 2.5, None, 0.0), (6, plot, [], None, None, 0.0)]
+    fields = spark.createDataFrame(rows, f"k int, ring {kind}, exclusions array<{kind}>, row_spacing_m double, headland_width_m double, orientation_deg double")
+    out = planting.generate_rows(fields, ["k"])
+    got = {}
+    for r in sorted(out.collect()):
+        got.setdefault(r.k, {}).setdefault(r.line, []).append((r.part, round(r.x, 6), round(r.y_start, 6), round(r.y_end, 6)))
+    assert set(got) == {1, 2} and sorted(got[1]) == sorted(got[2]) == [0, 1, 2, 3]
+    assert got[1][0] == [(0, -3.75, -5.0, -1.0), (1, -3.75, 2.0, 5.0)] and got[2][3] == [(0, 3.75, -4.0, 4.0)]
+    capsys.readouterr()
+    out.explain()
+    assert "sequence(" not in capsys.readouterr().out
