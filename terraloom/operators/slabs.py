@@ -4,22 +4,30 @@ All rings of a field are cut by the heights of their vertices and of their cross
 sorted by their middles they bound cells, and running counts of sides say which rings a cell lies in. Cells that are kept are trapezoids; two of
 neighbouring slabs are connected if they share more than a point. Outlines are never rebuilt.
 
-Keys are not null. Rows are dealt out by the field's key once; every join, window and sum below has that key first and needs no other shuffle. Coordinates are metres in
+Keys are not null. A field's sides lie together, in its row or as one group, and are cut in numpy, a batch of fields at a time (`functions/trapezoids.py`). Coordinates are metres in
 a local frame; slabs thinner than a nanometre are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from terraloom.functions import cutting, geo, trapezoids
 
-from terraloom.functions import geo
-from terraloom.functions.stages import kept
+# Executors get the numpy helpers with the job and need no installed package for them.
+cloudpickle.register_pickle_by_value(cutting)
+cloudpickle.register_pickle_by_value(trapezoids)
 
 #: Metres: what is no height or no shared side.
-THIN = 1e-9
-#: Metres: exclusions that end so near the perimeter reach it.
-CONTACT = 0.001
+THIN = trapezoids.THIN
+_CELL = "slab int, cell int, y0 double, y1 double, l0 double, r0 double, l1 double, r1 double"
 
 
 def ring_edges(rings: DataFrame, key: list[str], points: str, ring: Column) -> DataFrame:
@@ -29,11 +37,21 @@ def ring_edges(rings: DataFrame, key: list[str], points: str, ring: Column) -> D
     return step.select(*key, "ring", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
 
 
-def dealt(edges: DataFrame, key: list[str]) -> DataFrame:
-    """Sides dealt out by key and numbered within it."""
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = Window.partitionBy(*key).orderBy("ring", "x1", "y1", "x2", "y2")
-    return edges.repartition(n, *key).withColumn("side", F.row_number().over(w))
+def worked(rows: DataFrame, key: list[str], out: str, make: Callable[[pa.RecordBatch], tuple[np.ndarray, list]]) -> DataFrame:
+    """(key, out): what make gives for each batch of rows, the place in the batch of each result's row, and the results' columns."""
+    kind = T.StructType([rows.schema[k] for k in key] + T.StructType.fromDDL(out).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in kind.fields[len(key) :]]
+        for b in batches:
+            with np.errstate(all="ignore"):
+                at, columns = make(b)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in key], *[c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(columns, kinds)]], kind.names)
+
+    return rows.mapInArrow(run, kind)
 
 
 def cells(edges: DataFrame, key: list[str], keep: str = "difference") -> DataFrame:
@@ -42,36 +60,26 @@ def cells(edges: DataFrame, key: list[str], keep: str = "difference") -> DataFra
     edges: (key, ring, x1, y1, x2, y2), any number of rings; returns (key, slab, cell, y0, y1, l0, r0, l1, r1): lefts and rights at the lower and the upper height.
     Cells are numbered from below and from the left.
     """
-    # Written once: five steps read the sides, and how they were made is not planned for each of them.
-    flat = dealt(kept(edges), key)
-    low = F.col("y1") < F.col("y2")
-    up = flat.where("y1 <> y2").select(
-        *key, "ring", "side", *[F.when(low, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("x1", "x2", "xa"), ("y1", "y2", "ya"), ("x2", "x1", "xb"), ("y2", "y1", "yb"))]
-    ).withColumn("slope", F.try_divide(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
-    other = up.select(*key, *[F.col(c).alias(f"{c}_") for c in ("side", "xa", "ya", "yb", "slope")])
-    at = F.try_divide(F.col("xa_") - F.col("ya_") * F.col("slope_") - F.col("xa") + F.col("ya") * F.col("slope"), F.col("slope") - F.col("slope_"))
-    # A side meets itself at its ends; those of level sides are ends of others too. No union: Spark 4.1.2 takes one for dealt out like its inputs, and the next join fails.
-    pair = up.join(other, key).where("side = side_ OR (side < side_ AND ya < yb_ AND ya_ < yb AND slope <> slope_)")
-    pair = pair.select(*key, F.col("side") == F.col("side_"), "ya", "yb", at.alias("y"), F.greatest("ya", "ya_").alias("lo"), F.least("yb", "yb_").alias("hi")).toDF(*key, "own", "ya", "yb", "y", "lo", "hi")
-    met = pair.where("own OR (y > lo AND y < hi)").select(*key, F.when(F.col("own"), F.array("ya", "yb")).otherwise(F.array("y")).alias("ys"))
-    heights = met.select(*key, F.explode("ys").alias("y")).distinct()
-    order = Window.partitionBy(*key).orderBy("y")
-    slabs = heights.withColumn("next", F.lead("y").over(order)).where(F.col("next") - F.col("y") > THIN).withColumn("slab", F.row_number().over(order))
-    slabs = slabs.select(*key, "slab", F.col("y").alias("y0"), F.col("next").alias("y1"))
-    spans = up.join(slabs, key).where((F.col("ya") <= F.col("y0") + THIN) & (F.col("yb") >= F.col("y1") - THIN))
-    x = lambda y: F.col("xa") + (F.col(y) - F.col("ya")) * F.col("slope")
-    spans = spans.select(*key, "ring", "side", "slab", "y0", "y1", x("y0").alias("l0"), x("y1").alias("l1")).withColumn("mid", F.col("l0") + F.col("l1"))
-    turn = F.when(F.row_number().over(Window.partitionBy(*key, "slab", "ring").orderBy("mid", "side")) % 2 == 1, 1).otherwise(-1)
-    across = Window.partitionBy(*key, "slab").orderBy("mid", "ring", "side")
-    spans = spans.withColumn("turn", turn)
-    spans = spans.select(
-        *key, "slab", "y0", "y1", "l0", "l1", F.lead("l0").over(across).alias("r0"), F.lead("l1").over(across).alias("r1"),
-        F.sum(F.when(F.col("ring") == 0, F.col("turn")).otherwise(0)).over(across).alias("outer"), F.sum(F.when(F.col("ring") > 0, F.col("turn")).otherwise(0)).over(across).alias("holes"),
-    )
-    inside = (F.col("outer") > 0) & (F.col("holes") > 0 if keep == "intersection" else F.col("holes") == 0)
-    chosen = spans.where(inside & (F.col("r0") - F.col("l0") + F.col("r1") - F.col("l1") > THIN))
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("slab", F.col("l0") + F.col("l1")))
-    return chosen.select(*key, "slab", number.alias("cell"), "y0", "y1", "l0", "r0", "l1", "r1")
+    corners = ("x1", "y1", "x2", "y2")
+    rows = edges.groupBy(*key).agg(F.collect_list(F.struct("ring", *corners)).alias("sides"))
+
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        sides, begins = cutting.spread(b.column("sides"))
+        ends = np.stack([cutting.number(sides.field(c)) for c in corners], 1)
+        c = trapezoids.cells(ends, np.repeat(np.arange(b.num_rows), np.diff(begins)), sides.field("ring").to_numpy(zero_copy_only=False), keep)
+        return c["field"], [c[f.split()[0]] for f in _CELL.split(", ")]
+
+    return worked(rows, key, _CELL, make)
+
+
+def field_cells(fields: DataFrame, key: list[str]) -> DataFrame:
+    """The cells of each field's ring without its exclusions, with their part: cells() and parts() of field_edges(), made in the field's row."""
+
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        c = trapezoids.cells(*trapezoids.field_sides(b.column("ring"), b.column("exclusions")), "difference")
+        return c["field"], [*[c[f.split()[0]] for f in _CELL.split(", ")], trapezoids.parts(c)]
+
+    return worked(fields.select(*key, "ring", "exclusions"), key, _CELL + ", part int", make)
 
 
 def cell_area() -> Column:
@@ -105,43 +113,15 @@ def parts(trapezoids: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, *[F.col(f"row.{c}").alias(c) for c in columns], F.array_position("firsts", F.element_at("labels", F.col("at") + 1)).cast("int").alias("part"))
 
 
-def _reaching(holes: DataFrame, key: list[str]) -> DataFrame:
-    """Exclusions (key, n, hole, outer, sign) whose sides along the perimeter, not further than CONTACT from it, are moved 2 mm beyond it.
-
-    hole, outer: open rings of (x, y); sign: 1 if outer runs counter-clockwise, else -1. Every step names its arrays twice, so that none is computed within the next one's lambda.
-    """
-    own = [*key, "n"]
-    size = lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])
-    sides = holes.select(*own, "hole", "sign", F.transform(geo.edges(F.col("outer")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), size(e).alias("m"))).alias("sides"))
-    normal = lambda e: F.struct(e["a"].alias("a"), (F.col("sign") * (e["b"]["y"] - e["a"]["y"]) / e["m"]).alias("nx"), (F.col("sign") * (e["a"]["x"] - e["b"]["x"]) / e["m"]).alias("ny"), e["m"].alias("m"))
-    walls = sides.select(*own, "hole", "sign", "sides", F.transform(F.filter("sides", lambda e: e["m"] > THIN), normal).alias("walls"))
-    gap = lambda p, w: (p["x"] - w["a"]["x"]) * w["nx"] + (p["y"] - w["a"]["y"]) * w["ny"]
-    along = lambda p, w: F.col("sign") * (w["nx"] * (p["y"] - w["a"]["y"]) - w["ny"] * (p["x"] - w["a"]["x"]))
-    on = lambda p, w: (F.abs(gap(p, w)) <= CONTACT) & along(p, w).between(-CONTACT, w["m"] + CONTACT)
-    near = F.exists("hole", lambda p: F.exists("walls", lambda w: on(p, w)))
-    walls = walls.select(*own, "hole", "sign", "walls", near.alias("near"))
-    caps = F.transform(geo.edges(F.col("hole")), lambda e: F.get(F.filter("walls", lambda w: on(e["a"], w) & on(e["b"], w)), F.lit(0)))
-    # A choice in place instead of two filters, which would be pushed down to where the rings are read, with all that leads to them.
-    found = walls.select(*own, "hole", F.when(F.col("near"), caps).alias("after"), "near").select(*own, "hole", "near", "after", F.concat(F.slice("after", F.size("after"), F.lit(1)), F.slice("after", F.lit(1), F.size("after") - 1)).alias("before"))
-    both = found.select(*own, "hole", "near", F.arrays_zip(F.col("hole").alias("p"), F.col("before").alias("b"), F.col("after").alias("a")).alias("z"))
-    push = lambda z, c: F.coalesce(z[c]["nx"] * (2 * CONTACT - gap(z["p"], z[c])), F.lit(0.0))
-    push_y = lambda z, c: F.coalesce(z[c]["ny"] * (2 * CONTACT - gap(z["p"], z[c])), F.lit(0.0))
-    twice = lambda z: z["a"].eqNullSafe(z["b"])
-    moved = lambda z: F.struct((z["p"]["x"] + push(z, "b") + F.when(twice(z), 0.0).otherwise(push(z, "a"))).alias("x"), (z["p"]["y"] + push_y(z, "b") + F.when(twice(z), 0.0).otherwise(push_y(z, "a"))).alias("y"))
-    return both.select(*own, F.when(F.col("near"), F.transform("z", moved)).otherwise(F.col("hole")).alias("pts"))
+def field_edges(fields: DataFrame, key: list[str]) -> DataFrame:
+    """Sides (key, ring, x1, y1, x2, y2) of each field's ring (0) and exclusions (from 1) in metres about the ring's mean. Exclusions that end within a millimetre of the perimeter reach it;
+    rings of fewer than three points are left out."""
 
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        sides, field, ring = trapezoids.field_sides(b.column("ring"), b.column("exclusions"))
+        return field, [ring, *sides.T.copy()]
 
-def field_edges(fields: DataFrame, key: list[str]) -> DataFrame:
-    """Sides of each field's ring (0) and exclusions (from 1) in metres about the ring's mean, with exclusions reaching the perimeter that they touch; rings of
-    fewer than three points are left out."""
-    step = fields.select(*key, "exclusions", geo.open_ring(F.col("ring")).alias("open")).where(F.size("open") >= 3)
-    step = step.select(*key, "exclusions", "open", geo.mean_of(F.col("open")).alias("ref"))
-    step = step.select(*key, "exclusions", "ref", F.transform("open", lambda p: geo.to_xy(p, F.col("ref"))).alias("outer"))
-    some = step.where(F.size(F.coalesce("exclusions", F.array())) > 0).select(*key, "exclusions", "ref", "outer", geo.twice_area(geo.edges(F.col("outer"))).alias("twice"))
-    hole = some.select(*key, "ref", "outer", F.when(F.col("twice") < 0, -1.0).otherwise(1.0).alias("sign"), F.posexplode("exclusions").alias("n", "hole"))
-    hole = hole.select(*key, (F.col("n") + 1).alias("n"), "outer", "sign", "ref", geo.open_ring(F.col("hole")).alias("hole")).where(F.size("hole") >= 3)
-    hole = hole.select(*key, "n", "outer", "sign", F.transform("hole", lambda p: geo.to_xy(p, F.col("ref"))).alias("hole"))
-    return ring_edges(step, key, "outer", F.lit(0)).unionByName(ring_edges(_reaching(hole, key), key, "pts", F.col("n")))
+    return worked(fields.select(*key, "ring", "exclusions"), key, "ring int, x1 double, y1 double, x2 double, y2 double", make)
 
 
 def portions(fields: DataFrame, key: list[str]) -> DataFrame:
@@ -150,13 +130,14 @@ def portions(fields: DataFrame, key: list[str]) -> DataFrame:
     (key, portion, area_m2, anchor as lon/lat inside the portion, portions: how many the field has). Portions count from below and from the left; the anchor is
     the middle of the widest cell. A field without any usable part gives no row.
     """
-    trapezoids = parts(cells(field_edges(fields, key), key), key)
-    width = F.struct((F.col("r0") - F.col("l0") + F.col("r1") - F.col("l1")).alias("w"), (-F.col("cell")).alias("n"))
-    middle = F.struct(((F.col("l0") + F.col("r0") + F.col("l1") + F.col("r1")) / 4).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    found = trapezoids.groupBy(*key, "part").agg(F.sum(cell_area()).alias("area_m2"), F.max_by(middle, width).alias("at"))
-    found = found.withColumn("portions", F.count("*").over(Window.partitionBy(*key)))
-    met = found.join(fields.select(*key, geo.mean_of(geo.open_ring(F.col("ring"))).alias("ref")), key)
-    return met.select(*key, F.col("part").alias("portion"), "area_m2", geo.to_lonlat(F.col("at.x"), F.col("at.y"), F.col("ref")).alias("anchor"), "portions")
+
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        c = trapezoids.cells(*trapezoids.field_sides(b.column("ring"), b.column("exclusions")), "difference")
+        p = trapezoids.portions(c, trapezoids.parts(c))
+        lon, lat = trapezoids.lonlat(p["x"], p["y"], b.column("ring"), p["field"])
+        return p["field"], [p["part"], p["area"], pa.StructArray.from_arrays([pa.array(lon), pa.array(lat)], ["lon", "lat"]), p["portions"]]
+
+    return worked(fields.select(*key, "ring", "exclusions"), key, "portion int, area_m2 double, anchor struct<lon:double,lat:double>, portions bigint", make)
 
 
 def holding(points: DataFrame, trapezoids: DataFrame, key: list[str], value: str) -> DataFrame:

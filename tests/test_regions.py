@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terraloom.functions import trapezoids
 from terraloom.operators import contours, designs, lines, parcels, planting, slabs, surfaces
 
 M = 1 / (6371008.8 * math.pi / 180)
@@ -50,6 +51,28 @@ def inside(x, y, ring):
     return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in zip(pts, pts[1:] + pts[:1])) % 2 == 1
 
 
+def test_portions_are_cut_in_the_row(spark):
+    """A field's sides are never rows that joins and windows would have to bring together again."""
+    df = spark.createDataFrame([(k, r, e) for k, (r, e, _) in enumerate(CASES.values())], FIELD)
+    assert "Exchange" not in slabs.portions(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 40])
+def test_large_fields_are_cut_in_blocks(monkeypatch, block):
+    """Fields whose sides are more than are worked on at once give the same cells and parts."""
+    rng = np.random.default_rng(7)
+    field, ring = np.repeat(np.arange(30), 12), np.tile(np.repeat([0, 1, 2], 4), 30)
+    x, y = rng.uniform(0, 50, (2, 90, 4))
+    sides = np.stack([x, y, np.roll(x, -1, 1), np.roll(y, -1, 1)], -1).reshape(-1, 4)
+    for keep in ("difference", "intersection"):
+        want = trapezoids.cells(sides, field, ring, keep)
+        with monkeypatch.context() as m:
+            m.setattr(trapezoids, "AT_ONCE", block)
+            got = trapezoids.cells(sides, field, ring, keep)
+        assert len(want["field"]) > 100 and all((got[c] == want[c]).all() for c in want)
+        assert (trapezoids.parts(got) == trapezoids.parts(want)).all()
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_portions(portions, name):
     ring, holes, want = CASES[name]
