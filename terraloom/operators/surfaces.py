@@ -6,10 +6,12 @@ whole or not there at all, and only those along the ring are cut, with the trape
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions import geo
+from terraloom.functions import cutting, geo, trapezoids
 from terraloom.operators import planting, slabs
 from terraloom.operators.terrain import STEP, corners
 
@@ -92,13 +94,21 @@ def passage_parts(fields: DataFrame, passages: DataFrame, key: list[str], least_
     that falls into several are labelled ``parte n``.
     """
     own = [*key, "passage"]
-    wide = planting.corridor(passages.withColumn("width_m", F.coalesce("width_m", F.lit(1.5))), "a", "b", F.col("width_m"), [*own, "width_m"]).where(F.col("ring").isNotNull())
-    met = wide.select(*own, F.col("ring").alias("corridor")).join(fields.select(*key, "ring"), key)
-    met = met.select(*own, "corridor", "ring", geo.mean_of(geo.open_ring(F.col("ring"))).alias("ref"))
-    xy = lambda c: F.transform(geo.open_ring(F.col(c)), lambda p: geo.to_xy(p, F.col("ref")))
-    met = met.select(*own, xy("corridor").alias("c"), xy("ring").alias("r")).where(F.size("r") >= 3)
-    sides = slabs.ring_edges(met, own, "r", F.lit(0)).unionByName(slabs.ring_edges(met, own, "c", F.lit(1)))
-    found = slabs.areas(slabs.parts(slabs.cells(sides, own, "intersection"), own), [*own, "part"]).where(F.col("area_m2") > least_m2)
-    w = planting.Window.partitionBy(*own)
-    found = found.select(*own, F.row_number().over(w.orderBy("part")).alias("part"), "area_m2", F.count("*").over(w).alias("n"))
+    return passage_ground(passages.select(*own, "a", "b", "width_m").join(fields.select(*key, "ring"), key), own, least_m2)
+
+
+def passage_ground(rows: DataFrame, own: list[str], least_m2: float = 0.01) -> DataFrame:
+    """passage_parts() of passages that have their field's ring in their row: (own, a, b, width_m, ring), own with ``passage``."""
+    wide = planting.corridor(rows.withColumns({"width_m": F.coalesce("width_m", F.lit(1.5)), "field": F.col("ring")}), "a", "b", F.col("width_m"), [*own, "width_m", "field"])
+
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        plain = np.ones(b.num_rows)
+        sides, field, ring = trapezoids.flat(*cutting.turned(b.column("field"), b.column("corridors"), plain, 0 * plain))
+        c = trapezoids.cells(sides, field, ring, "intersection")
+        p = trapezoids.portions(c, trapezoids.parts(c))
+        field, area = (p[k][p["area"] > least_m2] for k in ("field", "area"))
+        first = np.searchsorted(field, field)
+        return field, [np.arange(len(field)) - first + 1, area, np.searchsorted(field, field, "right") - first]
+
+    found = slabs.worked(wide.select(*own, "field", F.array("ring").alias("corridors")), own, "part int, area_m2 double, n int", make)
     return found.select(*own, "part", F.when(F.col("n") > 1, F.concat(F.lit("parte "), F.col("part").cast("string"))).alias("label"), "area_m2")

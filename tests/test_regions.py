@@ -244,6 +244,14 @@ def test_surfaces_within_fields(spark):
     assert low[4].min_z == pytest.approx(100 + 1.5 * 3 - 1 * 4) and low[4].max_z == pytest.approx(100 + 1.5 * 4 - 1 * 3) and low[4].max_slope_percent == pytest.approx(100 * math.hypot(a, b))
 
 
+def test_passages_in_their_field_s_row(spark):
+    """Passages that have their field's ring beside them are cut there: no join, no shuffle."""
+    rows = [(1, 1, (-5 * M, 20 * M), (45 * M, 20 * M), 2.0, PLOT), (2, 1, (5 * M, 5 * M), (5 * M, 5 * M), 2.0, PLOT), (3, 1, (-5 * M, 20 * M), (45 * M, 20 * M), None, None)]
+    found = surfaces.passage_ground(spark.createDataFrame(rows, "k int, passage int, a struct<lon:double,lat:double>, b struct<lon:double,lat:double>, width_m double, ring array<struct<lon:double,lat:double>>"), ["k", "passage"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.part, r.label, round(r.area_m2, 2)) for r in found.collect()] == [(1, 1, None, 80.0)]
+
+
 def test_passages_within_fields(spark):
     u = shape([(0, 0), (30, 0), (30, 30), (20, 30), (20, 10), (10, 10), (10, 30), (0, 30)])
     fields = spark.createDataFrame([(1, u, [])], FIELD)
