@@ -506,3 +506,35 @@ def test_moves_are_folded_once(spark, capsys):
         assert sum("MapInArrow" in line for line in capsys.readouterr().out.splitlines()) == 1
     assert {(r.project_id, r.direction, r.field_id, r.other_project_id) for r in revisions.collect()} == {(1, "out", "a", 2), (2, "in", "a", 1)}
     assert {r.project_id: (r.version, r.field_ids) for r in after.collect()} == {1: (1, ["b"]), 2: (1, ["c", "a"])}
+
+
+def _crossing(a, b):
+    """Brute force: sides of two closed rings cross, or one holds a vertex of the other."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    sides = lambda r: list(zip(r[:-1], r[1:]))
+    held = lambda p, r: sum((s[1] > p[1]) != (e[1] > p[1]) and p[0] < (e[0] - s[0]) * (p[1] - s[1]) / (e[1] - s[1]) + s[0] for s, e in sides(r)) % 2 == 1
+    cut = any(turn(*e, f[0]) * turn(*e, f[1]) < 0 and turn(*f, e[0]) * turn(*f, e[1]) < 0 for e in sides(a) for f in sides(b))
+    return cut or any(held(p, b) for p in a) or any(held(p, a) for p in b)
+
+
+def test_rings_that_touch(spark, monkeypatch):
+    """Pairs over many cells, against brute force; a pair is tested once, in numpy, whatever the number of cells and sides at once."""
+    import random
+
+    from terraloom.functions import meeting
+    from terraloom.operators import spatial
+
+    rng = random.Random(3)
+    ring = lambda n, w: (lambda x, y: (lambda p: [*p, p[0]])([(x + rng.uniform(0, w), y + rng.uniform(0, w)) for _ in range(n)]))(8 + rng.uniform(0, 0.03), 44 + rng.uniform(0, 0.03))
+    a, b = [(k, ring(3 + k % 4, 0.009)) for k in range(40)] + [(40, None), (41, [])], [(k, ring(4, 0.006)) for k in range(40)]
+    kind = "ring array<struct<lon:double,lat:double>>"
+    pairs = spatial.touching(spark.createDataFrame(a, f"k int, {kind}"), spark.createDataFrame(b, f"parcel_id int, {kind}"), ["k"])
+    assert "exists(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = {(i, j) for i, p in a[:40] for j, q in b if _crossing(p, q)}
+    assert len(want) > 50 and sorted((r.k, r.parcel_id) for r in pairs.collect()) == sorted(want)
+    import pyarrow as pa
+
+    column = lambda rings: pa.array([[{"lon": x, "lat": y} for x, y in r] for r in rings])
+    monkeypatch.setattr(meeting, "AT_ONCE", 1)
+    got = meeting.meets(column([p for _, p in a[:40] for _ in b]), column([q for _ in a[:40] for _, q in b]))
+    assert {(i, j) for i, p in a[:40] for j, q in b if got[i * 40 + j]} == want
