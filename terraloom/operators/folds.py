@@ -11,10 +11,16 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terraloom.functions import rows as rows_of
+
+# Executors get the helper with the job and need no installed package for it.
+cloudpickle.register_pickle_by_value(rows_of)
+
 
 def fold(log: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], out: str) -> DataFrame:
     """Rows of log in order within each key, each with what step(state, row) returned for it; step returns (state, *values).
@@ -30,7 +36,7 @@ def fold(log: DataFrame, key: str, order: list[str], start: Callable[[], object]
         kinds = [to_arrow_type(f.dataType) for f in schema.fields]
         state, now, began = None, None, False
         for b in batches:
-            rows, made = list(zip(*[c.to_pylist() for c in b.columns])), []
+            rows, made = list(zip(*[rows_of.values(c) for c in b.columns])), []
             for r in rows:
                 if not began or r[at] != now:
                     state, now, began = start(), r[at], True

@@ -538,3 +538,34 @@ def test_rings_that_touch(spark, monkeypatch):
     monkeypatch.setattr(meeting, "AT_ONCE", 1)
     got = meeting.meets(column([p for _, p in a[:40] for _ in b]), column([q for _ in a[:40] for _, q in b]))
     assert {(i, j) for i, p in a[:40] for j, q in b if got[i * 40 + j]} == want
+
+
+def test_values_of_arrow_columns():
+    """What folds read is what to_pylist() gives, for slices, nulls, structs and arrays too."""
+    import pyarrow as pa
+
+    from terraloom.functions import rows
+
+    pair = pa.struct([("ids", pa.list_(pa.string())), ("n", pa.int64()), ("gone", pa.bool_())])
+    columns = [
+        pa.array([1, None, 3, 4]), pa.array([1, 2, 3, 4], pa.int32()), pa.array([1.5, 2.5, None, 0.0]), pa.array(["a", None, "è", ""]), pa.array([True, None, False, True]), pa.array([None] * 4, pa.int64()),
+        pa.array([["a", None], None, [], ["b"]]), pa.array([[[1], None], [], None, [[2, 3]]]), pa.array([{"ids": ["x", "y"], "n": 1, "gone": True}, None, {"ids": None, "n": None, "gone": False}, {"ids": [], "n": 4, "gone": None}], pair),
+        pa.array([0, 1, None, 2], pa.timestamp("us", "UTC")),
+    ]
+    for c in columns:
+        for part in (c, c.slice(1, 2), c.slice(3), c.slice(0, 0)):
+            assert rows.values(part) == part.to_pylist()
+
+
+def test_edits_are_folded_once(spark):
+    """Totals and numbers of steps come from one fold of the edits; an edit that isn't applied raises nothing."""
+    from terraloom.operators import versions
+
+    fields = spark.createDataFrame([(1, 10, "a", 2.0, 25), (1, 11, "b", 3.0, 50), (2, 20, "c", 1.0, 25), (3, 30, "d", 4.0, 25)], "project_id int, client_field_id int, label string, area_m2 double, commercial_plants_25 int")
+    projects = spark.createDataFrame([(1, 5, 2), (2, 0, 0), (3, 7, 1)], "project_id int, version int, latest_revision_number int")
+    edits = spark.createDataFrame([(1, 1, 10, "rename", " x ", 5), (1, 2, 10, "rename", "y", 6), (1, 3, 11, "delete", None, 7), (1, 4, 11, "delete", None, 8), (2, 1, 20, "delete", None, 0), (3, 1, 30, "rename", "z", 6)], "project_id int, seq int, client_field_id int, action string, name string, expected_version int")
+    left, state = versions.edit_fields(fields, edits, projects)
+    assert sorted((r.client_field_id, r.label) for r in left.collect()) == [(10, "y"), (30, "d")]
+    got = {r.project_id: tuple(r)[1:] for r in state.collect()}
+    assert got == {1: (8, 5, 1, 2.0, 25, False), 2: (1, 1, 0, 0.0, 0, True), 3: (7, 1, 1, 4.0, 25, False)}
+    assert state._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
