@@ -91,6 +91,8 @@ def chains(found: DataFrame) -> DataFrame:
     A chain is walked from the end whose last segment has the lesser number; closed ones (``at`` null, as they have no end) are told apart by their least node. Lines that
     lead to a node where more than two segments meet are left out, as no order through it is given.
     """
+    # Seven steps read the segments; written once, triangles are made and cut once.
+    found = kept(found)
     degree = _degrees(found)
     ends = found.select(*GROUP, F.col("a").alias("p"), F.col("b").alias("q"), F.col("ua").alias("u0"), F.col("va").alias("v0"), F.col("ub").alias("u1"), F.col("vb").alias("v1"))
     both = ends.unionByName(ends.select(*GROUP, F.col("q").alias("p"), F.col("p").alias("q"), F.col("u1").alias("u0"), F.col("v1").alias("v0"), F.col("u0").alias("u1"), F.col("v0").alias("v1")))

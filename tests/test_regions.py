@@ -344,3 +344,12 @@ def test_clipped_in_fields(spark):
     for k, path in want.items():
         assert np.allclose(got[k], path, atol=1e-9)
     assert [k for k in got if k[0] == 1] == [(1, 0, 1), (1, 0, 2)]
+
+
+def test_chains_read_segments_from_files(spark):
+    """Segments are written once; what they were made of is not planned for each step that reads them."""
+    rows = [(1, 5.0, a, float(a), 0.0, a + 1, a + 1.0, 0.0) for a in range(1, 4)]
+    found = contours.chains(spark.createDataFrame(rows, "model_id long, level double, a long, ua double, va double, b long, ub double, vb double"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert sorted((r.at, min(r.u0, r.u1)) for r in found.collect()) in ([(0, 1.0), (1, 2.0), (2, 3.0)], [(0, 3.0), (1, 2.0), (2, 1.0)])
