@@ -569,3 +569,13 @@ def test_edits_are_folded_once(spark):
     got = {r.project_id: tuple(r)[1:] for r in state.collect()}
     assert got == {1: (8, 5, 1, 2.0, 25, False), 2: (1, 1, 0, 0.0, 0, True), 3: (7, 1, 1, 4.0, 25, False)}
     assert state._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_snapshot_outlines_are_whole(spark):
+    """Each outline is a closed polygon with all its corners, five points or an L's seven."""
+    found = registry.QUERIES["s12_snapshot_fields"](spark, DATA).where("project_id < 50").collect()
+    shapes = {(r.project_id, r.client_field_id): r.l_shape for r in view(spark, DATA, "project_fields").where("project_id < 50").withColumn("client_field_id", F.concat(F.lit("f"), F.col("client_field_id").cast("string"))).collect()}
+    assert found
+    for r in found:
+        points = r.geometry.removeprefix("POLYGON((").removesuffix("))").split(", ")
+        assert r.geometry == f"POLYGON(({', '.join(points)}))" and points[0] == points[-1] and len(points) == (7 if shapes[r.project_id, r.client_field_id] else 5)
