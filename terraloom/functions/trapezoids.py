@@ -191,3 +191,64 @@ def field_sides(ring, exclusions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # What is cut out of nothing is nothing.
     some = ~np.isnan(outer[field, 0, 0])
     return sides[some], field[some], number[some]
+
+
+def owners(seg: np.ndarray, line: np.ndarray, field: np.ndarray, c: dict[str, np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, part) of the part that holds the greatest length of each line, of those that don't differ by more than ``least`` the first; of a line outside all the nearest. seg: segments
+    (ax, ay, bx, by) with their line and that line's field; c, part: the fields' cells, ascending by field. Lines of fields without any cell have none."""
+    begin, end = np.searchsorted(c["field"], field), np.searchsorted(c["field"], field, "right")
+    total, own = np.cumsum(end - begin), []
+    # Segments in blocks, as each meets all cells of its field; a line's segments stay together.
+    whole = np.append(np.flatnonzero(line[1:] != line[:-1]) + 1, len(line)) if len(line) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(line):
+        done = total[at - 1] if at else 0
+        to = int(whole[max(np.searchsorted(whole, np.searchsorted(total, done + AT_ONCE, "right"), "right") - 1, np.searchsorted(whole, at, "right"))])
+        own.append(_owners(seg[at:to], line[at:to], begin[at:to], (end - begin)[at:to], c, part, least))
+        at = to
+    return tuple(np.concatenate(v) for v in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
+
+
+def _owners(seg: np.ndarray, line: np.ndarray, begin: np.ndarray, size: np.ndarray, c: dict[str, np.ndarray], part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    i = np.repeat(np.arange(len(seg)), size)
+    k = begin[i] + np.arange(len(i)) - (np.cumsum(size) - size)[i]
+    ax, ay, bx, by = seg[i].T
+    y0, y1, l0, r0, l1, r1 = (c[n][k] for n in ("y0", "y1", "l0", "r0", "l1", "r1"))
+    dx, dy, lo, hi = bx - ax, by - ay, np.zeros(len(i)), np.ones(len(i))
+    left, right = (l1 - l0) / (y1 - y0), (r1 - r0) / (y1 - y0)
+    # A cell is convex, so each of its four sides cuts at one end only.
+    for start, change in ((ay - y0, dy), (y1 - ay, -dy), (ax - l0 - left * (ay - y0), dx - left * dy), (right * (ay - y0) + r0 - ax, right * dy - dx)):
+        t = -start / change
+        lo = np.where((change == 0) & (start < 0), 2.0, np.where(change > 0, np.maximum(lo, t), lo))
+        hi = np.where(change < 0, np.minimum(hi, t), hi)
+    held = np.maximum(0.0, hi - lo) * np.hypot(dx, dy)
+    lines, at = np.unique(line, return_inverse=True)
+    own = at[i]
+    order = np.lexsort((part[k], own))
+    new = np.append(True, (own[order][1:] != own[order][:-1]) | (part[k][order][1:] != part[k][order][:-1])) if len(order) else np.zeros(0, bool)
+    pair, begins = np.zeros(len(order), np.int64), np.flatnonzero(new)
+    pair[order] = np.cumsum(new) - 1
+    of, number = own[order][begins], part[k][order][begins]
+    most, held = np.zeros(len(lines)), np.bincount(pair, held, len(begins))
+    np.maximum.at(most, of, held)
+    # Gaps are worked out only for lines that no part holds.
+    out = np.flatnonzero(most[own] <= least)
+    gap, nearest = np.full(len(begins), np.inf), np.full(len(lines), np.inf)
+    np.minimum.at(gap, pair[out], _gap(*(v[out] for v in (ax, ay, bx, by, y0, y1, l0, r0, l1, r1))))
+    np.minimum.at(nearest, of, gap)
+    wins = np.flatnonzero(np.where(most[of] > least, held >= most[of] - least, gap <= nearest[of] + 1e-5))
+    # Parts ascend within a line, so the first one that wins is the least.
+    of, first = np.unique(of[wins], return_index=True)
+    return lines[of], number[wins][first]
+
+
+def _gap(ax, ay, bx, by, y0, y1, l0, r0, l1, r1) -> np.ndarray:
+    """Metres between segments and the sides of cells that they don't meet: the least over ends against sides."""
+    corner, seg = [(l0, y0), (r0, y0), (r1, y1), (l1, y1)], ((ax, ay), (bx, by))
+    least = np.full(len(ax), np.inf)
+    for p, q, r in [(p, q, r) for p in seg for q, r in zip(corner, corner[1:] + corner[:1])] + [(p, *seg) for p in corner]:
+        dx, dy = r[0] - q[0], r[1] - q[1]
+        square = dx * dx + dy * dy
+        t = np.where(square > 0, np.clip(((p[0] - q[0]) * dx + (p[1] - q[1]) * dy) / square, 0, 1), 0.0)
+        least = np.minimum(least, np.hypot(p[0] - q[0] - t * dx, p[1] - q[1] - t * dy))
+    return least

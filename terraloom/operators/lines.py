@@ -1,7 +1,7 @@
 """Polylines against rings, for whole tables of fields: clipping, trimming, and which portion a vine row belongs to.
 
 A polyline is a set of rows (key, line, seq, x, y) in metres, or a row with its points as an array; rings lie in their field's row as arrays. Lines meet their field's rings by an equi-join on
-the key. Cutting and trimming work on batches of paths in numpy; what asks which portion a line belongs to works on single segments.
+the key. Cutting and trimming work on batches of paths in numpy, and so does what asks which portion a line of a field belongs to.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terraloom.functions import cutting, geo
+from terraloom.functions import cutting, geo, trapezoids
 from terraloom.functions.cutting import JOINED, ON_SIDE
+from terraloom.operators import slabs
 
 # Executors get the numpy helpers with the job and need no installed package for them.
 cloudpickle.register_pickle_by_value(cutting)
+cloudpickle.register_pickle_by_value(trapezoids)
 
 
 def segments(points: DataFrame, key: list[str]) -> DataFrame:
@@ -192,6 +194,25 @@ def owners(points: DataFrame, trapezoids: DataFrame, key: list[str]) -> DataFram
     return held.join(best, [*key, "line"]).where(winner).groupBy(*key, "line").agg(F.min("part").alias("part"))
 
 
+def owners_in_fields(fields: DataFrame, carry: list[str]) -> DataFrame:
+    """As owners(), for fields with their own lines: (carry, ring, exclusions, paths, an array of arrays of (lon, lat)) give (carry, line, part); line counts the paths from 0. Cells are cut and lines
+    measured in numpy, a batch of fields at a time."""
+
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        cells = trapezoids.cells(*trapezoids.field_sides(b.column("ring"), b.column("exclusions")), "difference")
+        lon, lat, begins = cutting.opened(*cutting.rings(b.column("ring")))
+        size, field = np.diff(begins), np.arange(b.num_rows)
+        ref = tuple(np.bincount(np.repeat(field, size), v, b.num_rows) / np.maximum(size, 1) for v in (lon, lat))
+        each, outer = cutting.spread(b.column("paths"))
+        of = np.repeat(field, np.diff(outer))
+        lon, lat, begins = cutting.rings(each)
+        seg, path = cutting.segments(*cutting.metres(lon, lat, ref, np.repeat(of, np.diff(begins))), begins)
+        line, part = trapezoids.owners(seg, path, of[path], cells, trapezoids.parts(cells), cutting.JOINED)
+        return of[line], [line - outer[of[line]], part]
+
+    return slabs.worked(fields.select(*carry, "ring", "exclusions", "paths"), carry, "line int, part int", make)
+
+
 def region_sides(fields: DataFrame, key: list[str]) -> DataFrame:
     """(key, sides, ref): the sides of each field's ring and exclusions in metres about the ring's mean."""
     step = fields.select(*key, "ring", "exclusions", geo.mean_of(geo.open_ring(F.col("ring"))).alias("ref"))

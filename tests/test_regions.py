@@ -170,6 +170,24 @@ def test_owners_of_rows(spark):
     assert {r.line: r.part for r in lines.owners(points, cells, ["k"]).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
 
 
+@pytest.mark.parametrize("block", [1, 1 << 18])
+def test_owners_are_found_in_the_row(spark, monkeypatch, block):
+    """A field's lines meet its cells in its row as they do by a join, in blocks of any size, and nothing is dealt out or written for it."""
+    monkeypatch.setattr(trapezoids, "AT_ONCE", block)
+    df = spark.createDataFrame([(k, r, e) for k, (r, e, _) in enumerate(CASES.values())], FIELD)
+    ends = [((-5, 10), (50, 10)), ((5, 35), (5, 70)), ((20, 0), (20, 29.9)), ((60, 80), (70, 90)), ((3, 25), (8, 36)), ((7, 7), (7, 7))]
+    paths = F.array(*[F.array(*[F.struct(F.lit(x * M).alias("lon"), F.lit(y * M).alias("lat")) for x, y in p]) for p in ends])
+    found = lines.owners_in_fields(df.withColumn("paths", paths), ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Join", "FileScan"))
+    ref = lambda ring: tuple(np.mean(ring[:-1], axis=0))
+    metres = lambda x, y, o: ((x - o[0] / M) * math.cos(math.radians(o[1])), y - o[1] / M)
+    points = [(k, n, i, *map(float, metres(x, y, ref(r)))) for k, (r, _, _) in enumerate(CASES.values()) if r for n, p in enumerate(ends) for i, (x, y) in enumerate(p)]
+    joined = lines.owners(spark.createDataFrame(points, POINTS), slabs.field_cells(df, ["k"]), ["k"])
+    got = {(r.k, r.line): r.part for r in found.collect()}
+    assert got == {(r.k, r.line): r.part for r in joined.collect()} and len(set(got.values())) > 2
+
+
 N = 21
 
 
