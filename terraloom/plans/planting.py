@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geo
 from terraloom.functions.common import ceil25
-from terraloom.functions.stages import kept
 from terraloom.operators import planting as p
 from terraloom.sources.views import point, view, with_rings, with_views
 
@@ -23,6 +22,10 @@ def _dealt(spark: SparkSession, sf: str, *carry: str) -> DataFrame:
     return with_rings(fields.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *p.KEY))
 
 
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    return _dealt(spark, sf, "row_spacing_m", "plant_spacing_m", "post_spacing_m", "headland_width_m", "orientation_deg")
+
+
 def _r(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -80,9 +83,9 @@ QUERIES = {
     "g5_corridors": _corridors,
     "g6_ring_validity": lambda s, sf: p.valid_rings(_fields(s, sf)).groupBy("valid").agg(F.count("*").alias("n")),
     "g7_generate_rows": _rows,
-    "g11_quantities": lambda s, sf: _r(p.quantities(kept(_fields(s, sf))), 2, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "excluded_area_m2", "row_linear_m"),
+    "g11_quantities": lambda s, sf: _r(p.quantities(_planted(s, sf)), 2, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "excluded_area_m2", "row_linear_m"),
     # Plants and posts change with the last bit where a length is a whole number of spacings, so SQL is compared on the rest of the record.
-    "g11_field_areas": lambda s, sf: _r(_r(p.quantities(kept(_fields(s, sf))), 2, "area_m2", "perimeter_m", "row_linear_m"), 3, "net_area_m2", "headland_area_m2").select(*p.KEY, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_count", "row_linear_m", "head_posts"),
+    "g11_field_areas": lambda s, sf: _r(_r(p.quantities(_planted(s, sf)), 2, "area_m2", "perimeter_m", "row_linear_m"), 3, "net_area_m2", "headland_area_m2").select(*p.KEY, "area_m2", "perimeter_m", "net_area_m2", "headland_area_m2", "row_count", "row_linear_m", "head_posts"),
     "g13_best_orientation": lambda s, sf: p.best_orientation(_dealt(s, sf, "row_spacing_m")),
     "g16_sample_points": lambda s, sf: _r(p.sample_points(_fields(s, sf)), 7, "lon", "lat"),
     "f1_commercial_rounding": lambda s, sf: s.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ceil25(F.col("l_extendedprice") - 500).alias("rounded")),

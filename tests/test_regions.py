@@ -116,6 +116,20 @@ def sides(*rings):
     return [(r[i], r[(i + 1) % len(r)]) for r in rings for i in range(len(r))]
 
 
+def test_quantities_are_worked_out_in_the_row(spark):
+    """No row for a scan line, nothing dealt out, joined or grouped; overlapping exclusions and those across the perimeter beside plain ones, and spacings that give no rows."""
+    rows = [(k, r, e, s, 0.7, 4.5, 0.0, 0.0) for k, (r, e, _) in enumerate(CASES.values()) for s in (2.0,)] + [(100, PLOT, [], s, p, 4.5, 0.0, 0.0) for s, p in ((None, 1.0),)] + [(101, PLOT, None, 0.0, 0.0, 0.0, None, 0.0)]
+    df = spark.createDataFrame(rows, f"{FIELD}, row_spacing_m double, plant_spacing_m double, post_spacing_m double, headland_width_m double, orientation_deg double")
+    found = planting.quantities(df, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Join", "Aggregate", "Generate", "FileScan"))
+    got = {r.k: r for r in found.collect()}
+    for k, (_, _, areas) in enumerate(CASES.values()):
+        assert got[k].net_area_m2 == pytest.approx(sum(areas), abs=0.2 if sum(areas) else 1e-6)
+    assert got[0].row_count == 20 and got[0].simulated_plants == 20 * 86
+    assert [(got[k].row_count, got[k].theoretical_plants, got[k].total_posts, round(got[k].area_m2)) for k in (100, 101)] == [(0, 0, 0, 2400)] * 2
+
+
 def test_clipped_lines(spark):
     outer, hole = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)]
     region = spark.createDataFrame([(1, sides(outer, hole))], SIDES)
