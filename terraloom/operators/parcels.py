@@ -1,48 +1,23 @@
 """Parcels that a selection joins to one perimeter.
 
 Parcels side by side share their common border in opposite directions, so it cancels; what is left is the outline. Borders are cut at the vertices of neighbours first, as
-one parcel's side may meet two others. A selection's outline, a few hundred sides at most, is walked within its row.
+one parcel's side may meet two others. A selection's parcels, a few hundred sides at most, come to one row and are joined in numpy, a batch of selections at a time (`functions/outlines.py`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions import geo
-from terraloom.functions.common import bound
+from terraloom.functions import cutting, outlines
+from terraloom.operators import slabs
 
-#: Degrees: coordinates that agree to so many digits are one vertex (a tenth of a millimetre).
-DIGITS = 9
-#: Share of the summed area by which parcels may overlap.
-SAME_AREA = 1e-6
-
-
-def _shoelace(sides: Column) -> Column:
-    """Twice the signed area about the first point, in square degrees."""
-    o = F.element_at(sides, 1)["a"]
-    return F.aggregate(sides, F.lit(0.0), lambda s, e: s + (e["a"]["lon"] - o["lon"]) * (e["b"]["lat"] - o["lat"]) - (e["b"]["lon"] - o["lon"]) * (e["a"]["lat"] - o["lat"]))
-
-
-def _borders(parcels: DataFrame, key: list[str]) -> DataFrame:
-    """Sides of all parcels counter-clockwise, cut at the vertices of their selection: (key, p, q)."""
-    exact = lambda p: F.struct(F.round(p["lon"], DIGITS).alias("lon"), F.round(p["lat"], DIGITS).alias("lat"))
-    real = lambda p: F.filter(geo.edges(p["points"]), lambda e: e["a"] != e["b"])
-    turned = lambda r: F.when(F.size(r["real"]) >= 3, F.when(_shoelace(r["real"]) < 0, F.transform(r["real"], lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))).otherwise(r["real"]))
-    # Outer explodes: for inner ones Spark infers a filter on the array and computes all that led to it again below.
-    sides = bound(lambda p: bound(turned, real=real(p)), points=F.transform(geo.open_ring(F.col("ring")), exact))
-    side = parcels.select(*key, F.explode_outer(sides).alias("e")).where("e IS NOT NULL").select(*key, "e.a", "e.b")
-    corners = side.groupBy(*key).agg(F.collect_set("a").alias("corners"))
-    dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
-    square = dx * dx + dy * dy
-    share = lambda c: ((c["lon"] - F.col("a.lon")) * dx + (c["lat"] - F.col("a.lat")) * dy) / square
-    beside = lambda c: F.abs((c["lon"] - F.col("a.lon")) * dy - (c["lat"] - F.col("a.lat")) * dx) / F.sqrt(square)
-    on = F.filter("corners", lambda c: (c != F.col("a")) & (c != F.col("b")) & (share(c) > 0) & (share(c) < 1) & (beside(c) <= 2 * 10**-DIGITS))
-    stops = F.array_sort(F.transform(on, lambda c: F.struct(share(c).alias("t"), c.alias("c"))))
-    path = F.concat(F.array("a"), F.transform(stops, lambda s: s["c"]), F.array("b"))
-    steps = bound(lambda w: F.arrays_zip(F.slice(w["path"], F.lit(1), F.size(w["path"]) - 1).alias("p"), F.slice(w["path"], F.lit(2), F.size(w["path"]) - 1).alias("q")), path=path)
-    piece = side.join(corners, key).select(*key, F.explode_outer(steps).alias("e")).where("e IS NOT NULL")
-    return piece.select(*key, "e.p", "e.q")
+# Executors get the numpy helpers with the job and need no installed package for them.
+cloudpickle.register_pickle_by_value(cutting)
+cloudpickle.register_pickle_by_value(outlines)
 
 
 def union(parcels: DataFrame, key: list[str]) -> DataFrame:
@@ -51,44 +26,10 @@ def union(parcels: DataFrame, key: list[str]) -> DataFrame:
     ``ring`` is closed and counter-clockwise, vertices between collinear sides stay; it is null with a ``reason`` where parcels overlap (``overlap``), meet in no side
     or in a corner only (``apart``), enclose a hole (``hole``), or where no parcel has a ring of area (``invalid``).
     """
-    refs = parcels.groupBy(*key).agg(F.array_sort(F.collect_set("reference")).alias("references"))
-    border = _borders(parcels, key)
-    there = border.groupBy(*key, F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.count_if(F.col("p") < F.col("q")).alias("up"), F.count_if(F.col("p") > F.col("q")).alias("down"))
-    doubled = (F.col("up") > 1) | (F.col("down") > 1)
-    single = F.when(F.col("up") > F.col("down"), F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).when(F.col("up") < F.col("down"), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))
-    whole = there.select(*key, doubled.alias("doubled"), single.alias("e")).groupBy(*key).agg(F.bool_or("doubled").alias("doubled"), F.array_sort(F.collect_list("e")).alias("outline"))
-    # From the first side on, always to the side that starts where the last one ended. The first vertex is the westernmost, so it lies on an outer ring.
-    step = whole.select(*key, "doubled", "outline", F.size(F.array_distinct(F.transform("outline", lambda e: e["a"]))).alias("starts"))
-    way = F.when((F.col("starts") == F.size("outline")) & (F.size("outline") > 0), F.map_from_entries(F.transform("outline", lambda e: F.struct(e["a"], e["b"]))))
-    step = step.select(*key, "doubled", "outline", "starts", way.alias("way"))
-    first = F.element_at("outline", 1)["a"]
+    listed = parcels.groupBy(*key).agg(F.array_sort(F.collect_set("reference")).alias("references"), F.collect_list("ring").alias("rings"))
 
-    def onward(path: Column, _: Column) -> Column:
-        last = F.element_at(path, -1)
-        return F.when((F.size(path) > 1) & (last == F.element_at(path, 1)), path).otherwise(F.concat(path, F.array(F.try_element_at(F.col("way"), last))))
+    def make(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        return np.arange(b.num_rows), list(outlines.union(b.column("rings")))
 
-    walked = F.when(F.col("way").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("outline"), F.lit(1))), F.array(first), onward))
-    step = step.select(*key, "doubled", "outline", "starts", walked.alias("path"))
-    rest = F.filter("outline", lambda e: ~F.array_contains("path", e["a"]))
-    step = step.select(*key, "doubled", "outline", "starts", "path", rest.alias("rest"))
-    twice = bound(lambda p: F.abs(_shoelace(p["sides"])), sides=geo.edges(geo.open_ring(F.col("ring"))))
-    own = parcels.select(*key, twice.alias("twice")).groupBy(*key).agg(F.sum(F.when(F.col("twice") > 0, F.col("twice"))).alias("twice")).where("twice IS NOT NULL")
-    step = refs.join(step.join(own, key), key, "left")
-    got = _shoelace(F.col("outline"))
-    turn = lambda p, q, r: (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])
-    cross = lambda e, f: (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) < 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) < 0)
-    crossed = F.exists("outline", lambda e: F.exists("outline", lambda f: cross(e, f)))
-    around = geo.edges(geo.open_ring(F.col("path")))
-    nested = (F.size("rest") > 0) & (_shoelace(F.col("rest")) > 0) & F.exists("rest", lambda e: geo.inside(e["a"]["lon"], e["a"]["lat"], around))
-    reason = (
-        F.when(F.col("outline").isNull() | (F.size("outline") == 0), "invalid")
-        .when(F.col("doubled") | (F.abs(got - F.col("twice")) > SAME_AREA * F.col("twice")) | crossed, "overlap")
-        .when(F.col("path").isNull(), "apart")
-        .when(nested, "overlap")
-        .when(F.size("rest") > 0, F.when(_shoelace(F.col("rest")) < 0, "hole").otherwise("apart"))
-    )
-    out = step.select(*key, "references", "path", reason.alias("reason")).select(*key, "references", "reason", F.when(F.col("reason").isNull(), F.col("path")).alias("ring"))
-    ref = geo.mean_of(geo.open_ring(F.col("ring")))
-    out = out.select(*key, "references", "reason", "ring", F.when(F.col("ring").isNotNull(), ref).alias("ref"))
-    area = F.abs(geo.twice_area(geo.edges(F.transform(geo.open_ring(F.col("ring")), lambda p: geo.to_xy(p, F.col("ref")))))) / 2
-    return out.select(*key, "ring", F.when(F.col("ring").isNotNull(), area).alias("area_m2"), "references", "reason")
+    out = slabs.worked(listed, [*key, "references"], "ring array<struct<lon:double,lat:double>>, area_m2 double, reason string", make)
+    return out.select(*key, "ring", "area_m2", "references", "reason")

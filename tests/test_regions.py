@@ -324,6 +324,19 @@ def test_parcel_unions(spark):
             assert r.ring[0] == r.ring[-1] and len(set(map(tuple, r.ring))) == len(r.ring) - 1
 
 
+@pytest.mark.parametrize("block", [1, 1 << 18])
+def test_unions_are_made_in_the_selection_s_row(spark, monkeypatch, block):
+    """One shuffle brings a selection together and its plan stays short, whatever the steps; blocks of any size give the same, and a selection without any ring is invalid."""
+    from terraloom.functions import outlines
+
+    monkeypatch.setattr(outlines, "AT_ONCE", block)
+    rows = [(n, [(8.0 + x, 44.0 + y) for x, y in r], f"r{i}") for n, (rings, _, _) in UNIONS.items() for i, r in enumerate(rings)] + [("null", None, "r0")]
+    found = parcels.union(spark.createDataFrame(rows, "sel string, ring array<struct<lon:double,lat:double>>, reference string"), ["sel"])
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.toString().split("== Initial Plan ==")[0].count("Exchange") == 1 and len(found._jdf.queryExecution().optimizedPlan().toString()) < 2000
+    assert {r.sel: r.reason for r in found.collect()} == {n: reason for n, (_, reason, _) in UNIONS.items()} | {"null": "invalid"}
+
+
 def test_portion_designs(spark):
     """A label keeps the inherited design; a new direction clears the inherited curve, a curve of one's own stays; an invalid number is zero."""
     kind = "id int, label string, mode string, orientation_deg double, curve_points array<struct<position:double,offset_m:double>>, equidistant boolean, inherited string, conflict string"
