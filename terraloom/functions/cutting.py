@@ -126,7 +126,7 @@ def parts(seg: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     within = lambda v: (v >= -SAME_CUT) & (v <= 1 + SAME_CUT)
     # Few pairs of a segment and a side meet; the rest is worked out for those alone.
     i, j = np.nonzero(within(t) | (np.abs(det) <= 1e-10))
-    det, t, cx, cy, sx, sy, dx, dy = det[i, j], t[i, j], cx[i, j], cy[i, j], *((v[i, j] if v.shape[0] > 1 else v[0, j]) for v in (sx, sy)), dx[i, 0], dy[i, 0]
+    det, t, cx, cy, sx, sy, dx, dy = det[i, j], t[i, j], cx[i, j], cy[i, j], *((v[0, j] if v.shape[0] == 1 else v[i, j]) for v in (sx, sy)), dx[i, 0], dy[i, 0]
     beside, square = cx * dy - cy * dx, dx * dx + dy * dy
     cross = (np.abs(det) > 1e-10) & within(beside / det)
     along = (np.abs(det) <= 1e-10) & (square >= 1e-12) & (np.abs(beside) <= 1e-8)
@@ -149,10 +149,9 @@ def holds(x: np.ndarray, y: np.ndarray, sides: np.ndarray) -> np.ndarray:
     px, py = sides[..., 0], sides[..., 1]
     sx, sy = sides[..., 2] - px, sides[..., 3] - py
     square, beside = sx * sx + sy * sy, sx * (y - py) - sy * (x - px)
-    out = np.zeros(len(x), np.int64)
     i, j = np.nonzero((py > y) != (sides[..., 3] > y))
-    of = lambda v: v[i, j] if v.shape[0] > 1 else v[0, j]
-    np.add.at(out, i, x[i, 0] < of(sx) * (y[i, 0] - of(py)) / of(sy) + of(px))
+    of = lambda v: v[0, j] if v.shape[0] == 1 else v[i, j]
+    out = np.bincount(i[x[i, 0] < of(sx) * (y[i, 0] - of(py)) / of(sy) + of(px)], minlength=len(x))
     # Only what is near a side's line can lie on the side.
     i, j = np.nonzero(beside * beside <= 1.001 * ON_SIDE * ON_SIDE * square)
     dx, dy, ex, ey, square = x[i, 0] - of(px), y[i, 0] - of(py), of(sx), of(sy), of(square)
@@ -162,20 +161,61 @@ def holds(x: np.ndarray, y: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return on | (out % 2 == 1)
 
 
-def pieces(seg: np.ndarray, path: np.ndarray, sides: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def apart(seg: np.ndarray, sides: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which segments lie wholly on one side of each of their sides' lines, further than ON_SIDE from it, so that they meet none; row: each segment's row of sides, ascending."""
+    begins = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    out = np.zeros(len(seg), bool)
+    # A row of sides is worked on at once; where each has few segments that would take longer than the rest of the cutting.
+    if len(begins) * 64 > len(seg):
+        return out
+    for i, j in zip(begins, np.append(begins[1:], len(seg))):
+        px, py, qx, qy = sides[row[i]][~np.isnan(sides[row[i]]).any(1)].T
+        sx, sy = qx - px, qy - py
+        # Twice the area of the triangle of a side and a point is linear in the point.
+        turn = np.stack([-sy, sx, sy * px - sx * py], 1)
+        a, b = (turn @ np.stack([seg[i:j, c], seg[i:j, c + 1], np.ones(j - i)]) for c in (0, 2))
+        far = (1.1 * ON_SIDE * np.hypot(sx, sy) + 1e-9)[:, None]
+        out[i:j] = ((np.minimum(a, b) > far) | (np.maximum(a, b) < -far)).all(0)
+    return out
+
+
+def _between(seg: np.ndarray, i: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """What of segments i lies between the shares s and e."""
+    ax, ay, bx, by = seg[i].T
+    dx, dy = bx - ax, by - ay
+    return np.stack([ax + s * dx, ay + s * dy, ax + e * dx, ay + e * dy], 1)
+
+
+def pieces(seg: np.ndarray, path: np.ndarray, sides: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, begins, owner, piece) of what is kept of paths cut at their sides; keep(x, y, path) judges the middle of each part, and parts that follow each other are one piece.
 
-    owner: the path of each piece; pieces count from 1 along a path.
+    owner: the path of each piece; pieces count from 1 along a path. row: each path's row of sides, ascending, if paths share them. Segments that run on and come near no side are judged by the first of them.
     """
     ends, owners = [np.zeros((0, 4))], [np.zeros(0, np.int64)]
-    for c in range(0, len(seg), AT_ONCE):
-        some, own = seg[c : c + AT_ONCE], path[c : c + AT_ONCE]
-        i, s, e = parts(some, sides if len(sides) == 1 else sides[own])
-        (ax, ay, bx, by), own = some[i].T, own[i]
-        mid = (s + e) / 2
-        good = keep(ax + mid * (bx - ax), ay + mid * (by - ay), own)
-        ends.append(np.stack([ax + s * (bx - ax), ay + s * (by - ay), ax + e * (bx - ax), ay + e * (by - ay)], 1)[good])
-        owners.append(own[good])
+    at = path if row is None and len(sides) > 1 else np.zeros(len(path), np.int64) if row is None else row[path]
+    # Few of the segments of paths that share sides meet any, so more of them are worked on at once.
+    step = AT_ONCE if row is None else 4 * AT_ONCE
+    for c in range(0, len(seg), step):
+        some, own, of = seg[c : c + step], path[c : c + step], at[c : c + step]
+        plain = apart(some, sides, of)
+        runs = np.zeros(len(some), bool)
+        runs[1:] = plain[1:] & plain[:-1] & (own[1:] == own[:-1]) & (some[1:, 0] == some[:-1, 2]) & (some[1:, 1] == some[:-1, 3])
+        met = np.flatnonzero(~plain)
+        i, s, e = parts(some[met], sides if len(sides) == 1 else sides[of[met]])
+        first = np.flatnonzero(plain & ~runs)
+        i, s, e = np.concatenate([met[i], first]), np.concatenate([s, np.zeros(len(first))]), np.concatenate([e, np.ones(len(first))])
+        ends_ = _between(some, i, s, e)
+        of, mid = own[i], _between(some, i, (s + e) / 2, e)
+        good = keep(mid[:, 0], mid[:, 1], of)
+        # The others of a run are as its first one is.
+        stays = np.zeros(len(some), bool)
+        stays[first] = good[len(good) - len(first) :]
+        rest = np.flatnonzero(runs)
+        rest = rest[stays[np.maximum.accumulate(np.where(runs, 0, np.arange(len(some))))[rest]]]
+        i, ends_ = np.concatenate([i[good], rest]), np.concatenate([ends_[good], some[rest]])
+        order = np.argsort(i, kind="stable")
+        ends.append(ends_[order])
+        owners.append(own[i[order]])
     end, owner = np.concatenate(ends), np.concatenate(owners)
     new = np.ones(len(end), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (np.hypot(end[1:, 0] - end[:-1, 2], end[1:, 1] - end[:-1, 3]) > JOINED)
@@ -201,6 +241,8 @@ def lengths(x: np.ndarray, y: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def trimmed(x: np.ndarray, y: np.ndarray, begins: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, begins, owner) of paths without ``cut`` metres at both ends; what is no longer than twice that and 5 cm goes altogether."""
     sizes = np.diff(begins)
+    if not cut.any() and sizes.all():
+        return x, y, begins.astype(np.int64), np.arange(len(sizes))
     path = np.repeat(np.arange(len(sizes)), sizes)
     inner = np.zeros(len(x), bool)
     inner[1:] = path[1:] == path[:-1]
